@@ -5,7 +5,8 @@ A report works on these and puts labels to codes only once it has aggregated.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,25 +94,36 @@ def typed_patrol(df: DataFrame) -> DataFrame:
     })
 
 
-@dataclass(frozen=True)
 class SurveyTables:
-    """The four typed repeat tables and the code lists."""
+    """The typed repeat tables and the code lists.
 
-    capture: DataFrame
-    aquaculture: DataFrame
-    processing: DataFrame
-    patrol: DataFrame
-    codes: Codebook
+    ``cleaned`` gives a cleaned table by name; a table is built when first asked for.
+    """
+
+    def __init__(self, cleaned: Callable[[str], DataFrame], codes: Codebook):
+        self._cleaned = cleaned
+        self.codes = codes
 
     @classmethod
-    def of_cleaned(cls, capture, aquaculture, processing, patrol, codes) -> "SurveyTables":
-        return cls(
-            typed_capture(capture),
-            typed_aquaculture(aquaculture),
-            typed_processing(processing),
-            typed_patrol(patrol),
-            codes,
-        )
+    def of_cleaned(cls, codes: Codebook, **cleaned: DataFrame) -> "SurveyTables":
+        """From cleaned frames named capture, aquaculture, processing and patrol."""
+        return cls(cleaned.__getitem__, codes)
+
+    @cached_property
+    def capture(self) -> DataFrame:
+        return typed_capture(self._cleaned("capture"))
+
+    @cached_property
+    def aquaculture(self) -> DataFrame:
+        return typed_aquaculture(self._cleaned("aquaculture"))
+
+    @cached_property
+    def processing(self) -> DataFrame:
+        return typed_processing(self._cleaned("processing"))
+
+    @cached_property
+    def patrol(self) -> DataFrame:
+        return typed_patrol(self._cleaned("patrol"))
 
     @property
     def all(self) -> tuple[DataFrame, ...]:

@@ -13,7 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally import domains as D
-from fieldtally.operators.lookups import Codebook
+from fieldtally.operators.lookups import (
+    AREA_LIST,
+    FISH_LIST,
+    PROCESSED_LIST,
+    PROVINCE_LIST,
+    Codebook,
+    code_list,
+)
 from fieldtally.plans.typed import SurveyTables
 from fieldtally.sources.submissions import REPEAT_FIELDS
 
@@ -28,8 +35,25 @@ TYPE_ANSWERS = {
 }
 
 
+# Columns of the given tables that are read here.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,"
+    " p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+    " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+    " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,"
+    " value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; with its schema stated, no file is opened to plan a query."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _province(key: str) -> Column:
@@ -163,44 +187,76 @@ def payload_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return submissions(spark, sf_dir).select(one.alias("payload"))
 
 
-def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Provinces from nations, species from parts, kinds of processing from regions, two areas."""
+def _choice_rows(df: DataFrame, name: str, code: Column, kh: Column, en: Column) -> DataFrame:
+    return df.select(
+        F.lit(name).alias("list_name"),
+        code.cast("string").alias("name"),
+        kh.alias("label_khmer"),
+        en.alias("label_english"),
+    )
 
-    def rows(df: DataFrame, name: str, code: Column, kh: Column, en: Column) -> DataFrame:
-        return df.select(
-            F.lit(name).alias("list_name"), code.cast("string").alias("name"),
-            kh.alias("label_khmer"), en.alias("label_english"),
-        )
 
-    nation = table(spark, sf_dir, "nation")
+def province_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.col("n_nationkey") + 1
     official = F.element_at(F.array(*[F.lit(p) for p in D.PROVINCES]), place)
+    nation = table(spark, sf_dir, "nation")
+    return _choice_rows(nation, PROVINCE_LIST, place, official, F.col("n_name"))
+
+
+def fish_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").where(F.col("p_size") != 50)
+    return _choice_rows(part, FISH_LIST, F.col("p_partkey"), F.col("p_name"), F.upper("p_name"))
+
+
+def processed_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region")
-    areas = F.inline(F.array(
-        F.struct(F.lit("1").alias("code"), F.lit("ទឹកសាប").alias("kh"), F.lit("Inland Fresh").alias("en")),
-        F.struct(F.lit("2").alias("code"), F.lit("សមុទ្រ").alias("kh"), F.lit("Marine").alias("en")),
-    ))
-    area = spark.range(1).select(areas)
-    lists = [
-        rows(nation, "provinces", place, official, F.col("n_name")),
-        rows(part, "type", F.col("p_partkey"), F.col("p_name"), F.upper("p_name")),
-        rows(region, "typepro", F.col("r_regionkey"), F.lower("r_name"), F.col("r_name")),
-        rows(area, "area", F.col("code"), F.col("kh"), F.col("en")),
-    ]
-    return reduce(DataFrame.unionAll, lists)
+    name = F.col("r_name")
+    return _choice_rows(region, PROCESSED_LIST, F.col("r_regionkey"), F.lower(name), name)
+
+
+def area_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    areas = spark.sql(
+        "SELECT * FROM VALUES ('1', 'ទឹកសាប', 'Inland Fresh'), ('2', 'សមុទ្រ', 'Marine')"
+        " AS t(code, kh, en)"
+    )
+    return _choice_rows(areas, AREA_LIST, F.col("code"), F.col("kh"), F.col("en"))
+
+
+LISTS = {
+    PROVINCE_LIST: province_choices,
+    FISH_LIST: fish_choices,
+    PROCESSED_LIST: processed_choices,
+    AREA_LIST: area_choices,
+}
+
+
+def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provinces from nations, species from parts, kinds of processing from regions, two areas."""
+    return reduce(DataFrame.unionAll, [build(spark, sf_dir) for build in LISTS.values()])
+
+
+class StarCodebook(Codebook):
+    """The lists above, built when asked for.  Each comes from a key: no code occurs twice."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._sf_dir = spark, sf_dir
+        self.repeated = frozenset()
+
+    def list(self, list_name: str) -> DataFrame:
+        return code_list(LISTS[list_name](self._spark, self._sf_dir), list_name)
+
+
+FACTS = {
+    "capture": capture,
+    "aquaculture": aquaculture,
+    "processing": processing,
+    "patrol": patrol,
+}
 
 
 def codebook(spark: SparkSession, sf_dir: str) -> Codebook:
-    """Every list is made from a key, so no code occurs twice."""
-    return Codebook(choices(spark, sf_dir), repeated=frozenset())
+    return StarCodebook(spark, sf_dir)
 
 
 def tables(spark: SparkSession, sf_dir: str) -> SurveyTables:
-    return SurveyTables.of_cleaned(
-        capture(spark, sf_dir),
-        aquaculture(spark, sf_dir),
-        processing(spark, sf_dir),
-        patrol(spark, sf_dir),
-        codebook(spark, sf_dir),
-    )
+    return SurveyTables(lambda name: FACTS[name](spark, sf_dir), codebook(spark, sf_dir))
