@@ -58,8 +58,8 @@ def drop_repeats(df: DataFrame) -> DataFrame:
     return df.drop(*D.REPEATS)
 
 
-def ensure_columns(df: DataFrame, names: Iterable[str], value: object = 0) -> DataFrame:
-    missing = {n: F.lit(value) for n in names if n not in df.columns}
+def ensure_columns(df: DataFrame, names: Iterable[str], value: int | Column = 0) -> DataFrame:
+    missing = {n: value if isinstance(value, Column) else F.lit(value) for n in names if n not in df.columns}
     return df.withColumns(missing) if missing else df
 
 

@@ -333,8 +333,7 @@ def _(spark, sf):
 @query("require_results", with_tables("SELECT id FROM subs", "subs"))
 def _(spark, sf):
     payload = star.payload_texts(spark, sf).select(parse_submissions(F.col("payload")).alias("p"))
-    nested = require_results(payload.select("p.*"))
-    return nested.select(F.explode("results").alias("s")).select(F.col("s._id").alias("id"))
+    return results_of(require_results(payload.select("p.*"))).select(F.col("_id").alias("id"))
 
 
 @query("empty_if_absent", with_tables(

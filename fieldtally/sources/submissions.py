@@ -57,8 +57,13 @@ def payload_schema(submission: T.StructType = SUBMISSION) -> T.StructType:
 
 
 def results_of(payload: DataFrame) -> DataFrame:
-    """One row per submission of payloads that hold them under ``results``."""
-    return require_results(payload).select(F.explode("results").alias("s")).select("s.*")
+    """One row per submission of payloads that hold them under ``results``.
+
+    The outer explode keeps the planner from adding a filter on ``results`` below it, which
+    would parse a payload text a second time.
+    """
+    rows = require_results(payload).select(F.explode_outer("results").alias("s"))
+    return rows.where(F.col("s").isNotNull()).select("s.*")
 
 
 def read_submissions(
