@@ -44,11 +44,13 @@ def to_date(text: Column, slashes: bool = True) -> Column:
 def to_moment_text(text: Column) -> Column:
     """A day as ``yyyy-MM-dd``, a day with a time as ``yyyy-MM-dd HH:mm:ss``, else NULL."""
     only_day = F.when(text.rlike(r"^\s*\d{4}[-/]\d{1,2}[-/]\d{1,2}\s*$"), to_date(text))
-    moment = text.try_cast("timestamp_ntz")
-    return F.coalesce(
-        only_day.cast("string"),
-        F.when(text.rlike(r"\d{1,2}:\d{1,2}"), F.date_format(moment, "yyyy-MM-dd HH:mm:ss")),
-    )
+    moment = F.when(text.rlike(r"\d{1,2}:\d{1,2}"), text.try_cast("timestamp_ntz"))
+    return F.coalesce(only_day.cast("string"), moment_text(moment))
+
+
+def moment_text(moment: Column) -> Column:
+    """A time stamp without a zone as ``yyyy-MM-dd HH:mm:ss``, whatever the session's zone."""
+    return F.substring(moment.cast("string"), 1, 19)
 
 
 def measure_of(df: DataFrame, name: str) -> Column:

@@ -131,10 +131,10 @@ def stringify_all(df: DataFrame) -> DataFrame:
 
     def text(field: T.StructField) -> Column:
         c = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.DateType):
-            return F.date_format(c, "yyyy-MM-dd")
-        if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
+        if isinstance(field.dataType, T.TimestampType):
             return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        if isinstance(field.dataType, T.TimestampNTZType):
+            return coercion.moment_text(c)
         return c.cast("string")
 
     return df.select(*[text(f).alias(f.name, metadata=f.metadata) for f in df.schema.fields])

@@ -84,13 +84,21 @@ def filter_area(df: DataFrame, area: str | None) -> DataFrame:
     return df if area is None else df.where(F.col("area_en") == area)
 
 
+def _in_years(df: DataFrame, first: int, last: int, date: str) -> DataFrame:
+    """As a range of dates, and of the ``year`` column of tables that are stored by year."""
+    met = calendar.in_years(F.col(date), first, last)
+    if "year" in df.columns:
+        met &= F.col("year").between(first, last)
+    return df.where(met)
+
+
 def filter_year_exact(df: DataFrame, year: int | None, date: str = "date") -> DataFrame:
-    return df if year is None else df.where(calendar.in_years(F.col(date), year, year))
+    return df if year is None else _in_years(df, year, year, date)
 
 
 def filter_year_pair(df: DataFrame, year: int | None, date: str = "date") -> DataFrame:
     """The year and the one before it."""
-    return df if year is None else df.where(calendar.in_years(F.col(date), year - 1, year))
+    return df if year is None else _in_years(df, year - 1, year, date)
 
 
 def filter_quarter(df: DataFrame, quarter: int | None, date: str = "date") -> DataFrame:

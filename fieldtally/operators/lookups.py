@@ -37,15 +37,16 @@ def code_list(choices: DataFrame, list_name: str) -> DataFrame:
     )
 
 
-def small_enough(df: DataFrame, max_bytes: int = 64 << 20) -> bool:
-    """Measures a code list once: does its text fit in ``max_bytes``?"""
-    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) + 16 for c in df.columns), F.lit(0))
-    return (df.agg(F.sum(width)).first()[0] or 0) <= max_bytes
-
-
-def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """For lists read over JDBC, of which the planner knows no size; larger ones stay unhinted."""
-    return F.broadcast(df) if small_enough(df, max_bytes) else df
+def measure(choices: DataFrame) -> tuple[frozenset[str], dict[str, int]]:
+    """The lists with repeated codes, and the bytes of each list: one row per list comes back."""
+    columns = ("name", "label_khmer", "label_english")
+    # text, and room for a row of it in a hash table
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) + 32 for c in columns), F.lit(0))
+    codes = choices.where(F.col("list_name").isin(*LABELS)).groupBy("list_name", "name")
+    by_code = codes.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes"))
+    rows = by_code.groupBy("list_name").agg(F.max("n").alias("n"), F.sum("bytes").alias("bytes"))
+    found = rows.collect()
+    return frozenset(r.list_name for r in found if r.n > 1), {r.list_name: r.bytes for r in found}
 
 
 def lookup_left_join(df: DataFrame, lookup: DataFrame, key: str, code: str) -> DataFrame:
@@ -73,23 +74,36 @@ class Codebook:
     """The choices table, by list.
 
     ``repeated`` names the lists in which some code occurs more than once.  Such a list has to be
-    joined even where its labels are not shown, since it multiplies rows; it is looked up once
-    when not given.
+    joined even where its labels are not shown, since it multiplies rows.  ``small`` names the
+    lists known to be small enough to broadcast; the planner decides about the others.  What is
+    not given is measured, once, by `measure`.
     """
 
-    def __init__(self, choices: DataFrame, repeated: frozenset[str] | None = None):
+    def __init__(
+        self,
+        choices: DataFrame,
+        repeated: frozenset[str] | None = None,
+        small: frozenset[str] = frozenset(),
+    ):
         self.choices = choices
+        self.small = small
         if repeated is not None:
-            self.repeated = frozenset(repeated)
+            self.repeated = repeated
+
+    @classmethod
+    def measured(cls, choices: DataFrame, max_bytes: int = 64 << 20) -> "Codebook":
+        """For choices from a database, of which the planner knows no size: lists that measure
+        at most ``max_bytes`` are broadcast."""
+        repeated, sizes = measure(choices)
+        return cls(choices, repeated, frozenset(n for n, b in sizes.items() if b <= max_bytes))
 
     @cached_property
     def repeated(self) -> frozenset[str]:
-        wanted = self.choices.where(F.col("list_name").isin(*LABELS))
-        twice = wanted.groupBy("list_name", "name").count().where("count > 1")
-        return frozenset(r[0] for r in twice.select("list_name").distinct().collect())
+        return measure(self.choices)[0]
 
     def list(self, list_name: str) -> DataFrame:
-        return code_list(self.choices, list_name)
+        rows = code_list(self.choices, list_name)
+        return F.broadcast(rows) if list_name in self.small else rows
 
     def label(self, df: DataFrame, *lists: str) -> DataFrame:
         """Joins the lists in the order given, then fills labels that are missing."""

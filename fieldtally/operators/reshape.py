@@ -61,12 +61,12 @@ def pivot_wide(
 ) -> DataFrame:
     """Long to wide, empty cells 0, by conditional sums: one shuffle.
 
-    ``values`` fixes the columns, also such as the data lack; else they are looked up first,
-    over a settled copy of ``df``.
+    ``values`` fixes the columns, also such as the data lack.  Else the data are summed to
+    cells, which are settled, and the columns are those of the cells.
     """
     keys = list(keys)
     if values is None:
-        df = settle(df)
+        df = settle(group_sum(df, [*keys, column], measure, measure))
         values = [v for v in column_values(df, column) if v is not None]
     where = {str(v): F.col(column) == F.lit(v) for v in values}
     return conditional_sum(df, keys, F.col(measure), where)

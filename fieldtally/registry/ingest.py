@@ -146,7 +146,7 @@ def _(spark, sf):
 def _messy(spark, sf) -> DataFrame:
     """Answers as people type them: a number text, a time text and a code text per line item."""
     line, quantity = F.col("l_linenumber"), F.col("l_quantity").cast("string")
-    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    day = F.col("l_shipdate").cast("date").cast("string")
     none = F.lit(None).cast("string")
     number = (
         F.when(line == 1, quantity)

@@ -84,8 +84,7 @@ def _(spark, sf):
 
 @query("pivot_wide__columns_from_data", wide_sql("area_code", ("1", "2")))
 def _(spark, sf):
-    cells = reshape.group_sum(_capture(spark, sf), ["province", "area_code"], "catch", "catch")
-    return reshape.pivot_wide(cells, ["province"], "area_code", "catch")
+    return reshape.pivot_wide(_capture(spark, sf), ["province"], "area_code", "catch")
 
 
 @query("ensure_pivot_columns", wide_sql("fishing_type", (*TYPES, "9")))

@@ -141,7 +141,7 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     items = table(spark, sf_dir, "lineitem")
     line = F.col("l_linenumber")
-    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    day = F.col("l_shipdate").cast("date").cast("string")
     none = F.lit(None).cast("string")
     province = _province("l_suppkey")
 
