@@ -34,7 +34,9 @@ def group_count(df: DataFrame, keys: Iterable[str], name: str = "total") -> Data
 def conditional_sum(
     df: DataFrame, keys: Iterable[str], measure: Column, where: Mapping[str, Column]
 ) -> DataFrame:
-    """One sum per named predicate, all in one pass."""
+    """One sum per named predicate, all in one pass; without any, the keys alone."""
+    if not where:
+        return df.select(*keys).distinct()
     sums = [sum_or_zero(F.when(p, measure)).alias(n) for n, p in where.items()]
     return df.groupBy(*keys).agg(*sums)
 
@@ -49,7 +51,7 @@ def column_values(df: DataFrame, column: str, order: Sequence[Column] = ()) -> l
     values = df.groupBy(column).agg(F.lit(1).alias("__one"), *[
         o.alias(f"__o{i}") for i, o in enumerate(order)
     ])
-    by = [F.col(f"__o{i}") for i in range(len(order))] + [F.col(column)]
+    by = [F.col(f"__o{i}").asc_nulls_last() for i in range(len(order))] + [F.col(column)]
     rows = values.orderBy(*by).select(column).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} values of {column!r} to make columns of")
@@ -142,13 +144,19 @@ def round_outputs(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.withColumns({c: coercion.rounded(F.col(f"`{c}`")) for c in columns})
 
 
+def by_total(key: str, total: str) -> list[Column]:
+    """Descending total; equal totals by key, a missing key last."""
+    return [F.col(total).desc(), F.col(key).asc_nulls_last()]
+
+
 def sort_desc_total(df: DataFrame, key: str, total: str = D.TOTAL) -> DataFrame:
-    return df.orderBy(F.col(total).desc(), F.col(key).asc())
+    return df.orderBy(*by_total(key, total))
 
 
 def sort_by_domain(df: DataFrame, key: str, ordered: tuple[str, ...]) -> DataFrame:
     """Rows in the order of a list, keys that are not in it last."""
-    return df.orderBy(answers.position_in(F.col(key), ordered).asc_nulls_last(), F.col(key))
+    place = answers.position_in(F.col(key), ordered)
+    return df.orderBy(place.asc_nulls_last(), F.col(key).asc_nulls_last())
 
 
 def top_k(df: DataFrame, key: str, total: str = D.TOTAL, k: int = D.TOP_SPECIES) -> DataFrame:
@@ -158,7 +166,7 @@ def top_k(df: DataFrame, key: str, total: str = D.TOTAL, k: int = D.TOP_SPECIES)
 def row_number(df: DataFrame, key: str, total: str, name: str) -> DataFrame:
     """Rank by descending total.  One window over the whole table: for tables of one row per
     province or species, not for data rows."""
-    order = Window.orderBy(F.col(total).desc(), F.col(key).asc())
+    order = Window.orderBy(*by_total(key, total))
     return df.withColumn(name, F.row_number().over(order))
 
 

@@ -94,7 +94,8 @@ def _species_cells(
 def _species_wide(cells: DataFrame, top: int | None) -> DataFrame:
     """A column per province, in the order the sorted species first show them."""
     named = settle(cells.withColumn("province_kh", F.coalesce("province_kh", F.lit("NA"))))
-    columns = reshape.column_values(named, "province_kh", [F.min("fish_name_kh")])
+    first_shown = [F.min("fish_name_kh"), F.bool_and(F.col("province_kh") == "NA")]
+    columns = reshape.column_values(named, "province_kh", first_shown)
     wide = reshape.pivot_wide(named, ["fish_name_kh"], "province_kh", "catch", columns)
     wide = reshape.row_total(wide, columns)
     if top is None:
@@ -103,7 +104,8 @@ def _species_wide(cells: DataFrame, top: int | None) -> DataFrame:
 
 
 def _by_total(cells: DataFrame) -> DataFrame:
-    return cells.orderBy(F.col("total").desc(), F.col("fish_name_kh"), F.col("province_kh"))
+    order = reshape.by_total("fish_name_kh", "total")
+    return cells.orderBy(*order, F.col("province_kh").asc_nulls_last())
 
 
 def t06_marine_species(
@@ -353,7 +355,7 @@ def aqu_code_summary(tables: SurveyTables, wide: bool = True) -> DataFrame:
         ranked = reshape.row_number(sums, "province_kh", "total_sum", "row_num")
         ranked = ranked.withColumnRenamed("province_kh", "__province")
         same = F.col("province_kh").eqNullSafe(F.col("__province"))
-        return cells.join(ranked, same).orderBy("row_num", "fish_code").select(
+        return cells.join(ranked, same).orderBy("row_num", F.col("fish_code").asc_nulls_last()).select(
             "row_num", "province_kh", "fish_code", "total", "total_sum"
         )
     cells = settle(cells.withColumn("fish_code", F.coalesce("fish_code", F.lit("NA"))))
@@ -393,5 +395,7 @@ def t08_enforcement(
     )
     sums = [reshape.sum_or_zero(F.col(f"`{c}`")).alias(c) for c in labels]
     table = both.groupBy("province_kh").agg(*sums, F.min("__order").alias("__order"))
-    ordered = table.orderBy(F.col("__order").asc_nulls_last(), "province_kh")
+    ordered = table.orderBy(
+        F.col("__order").asc_nulls_last(), F.col("province_kh").asc_nulls_last()
+    )
     return ordered.select("province_kh", *[f"`{c}`" for c in labels])

@@ -11,7 +11,7 @@ from check import session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return session("4")
+    return session("8", "2")
 
 
 @pytest.fixture

@@ -79,7 +79,7 @@ def test_total_rounding_and_order(frame):
 
 def test_domain_order_puts_unknown_last(frame):
     df = frame([("x",), ("a",), ("b",), (None,), ("w",)], "k string")
-    assert [r[0] for r in rows(reshape.sort_by_domain(df, "k", ("b", "a")))] == ["b", "a", None, "w", "x"]
+    assert [r[0] for r in rows(reshape.sort_by_domain(df, "k", ("b", "a")))] == ["b", "a", "w", "x", None]
 
 
 def test_rename(frame):
