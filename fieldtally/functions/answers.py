@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from fieldtally import domains as D
 
 
+def quoted(values: Iterable[str]) -> str:
+    """Texts as SQL literals, for lists too long to hand over one by one."""
+    return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+
+
+def text_list(values: Iterable[str]) -> Column:
+    return F.expr(f"array({quoted(values)})")
+
+
 def null_token(text: Column) -> Column:
     """NULL and the empty text become ``null``."""
     return F.coalesce(F.nullif(text, F.lit("")), F.lit(D.NULL_TOKEN))
@@ -64,8 +73,8 @@ def facility_words(text: Column) -> Column:
 
 
 def has_facility(text: Column, facility: str) -> Column:
-    words = F.array(*[F.lit(w) for w in D.FACILITIES[facility]])
-    return F.coalesce(F.arrays_overlap(facility_words(text), words), F.lit(False))
+    named = F.arrays_overlap(facility_words(text), text_list(D.FACILITIES[facility]))
+    return F.coalesce(named, F.lit(False))
 
 
 def facilities_in(text: Column) -> Column:
@@ -84,5 +93,4 @@ def recode(code: Column, labels: Mapping[str, str]) -> Column:
 
 def position_in(value: Column, ordered: tuple[str, ...]) -> Column:
     """1-based place of a value in an ordered list, NULL where it is not in it."""
-    place = F.array_position(F.array(*[F.lit(v) for v in ordered]), value)
-    return F.nullif(place, F.lit(0).cast("long"))
+    return F.nullif(F.array_position(text_list(ordered), value), F.lit(0).cast("long"))

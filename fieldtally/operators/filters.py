@@ -158,7 +158,7 @@ def filter_not_equal(df: DataFrame, column: str, value: str) -> DataFrame:
 
 
 def filter_in_list(df: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
-    return df.where(F.col(column).isin(*values))
+    return df.where(f"`{column}` IN ({answers.quoted(values)})")
 
 
 def filter_codes(df: DataFrame, **codes: str | None) -> DataFrame:

@@ -87,8 +87,8 @@ def observed_domain(df: DataFrame, key: str) -> DataFrame:
 
 def domain_frame(spark: SparkSession, ordered: Sequence[str], key: str) -> DataFrame:
     """An ordered list as a table of values and their places."""
-    listed = F.array(*[F.lit(v) for v in ordered])
-    return spark.range(1).select(F.posexplode(listed).alias("ord", key)).select(key, "ord")
+    placed = F.posexplode(answers.text_list(ordered)).alias("ord", key)
+    return spark.range(1).select(placed).select(key, "ord")
 
 
 def missing_keys(domain: DataFrame, df: DataFrame, key: str) -> DataFrame:
@@ -113,7 +113,7 @@ def zero_fill_grid(
     The zero cells come from writing the domain out per year, and are summed with the real ones;
     there is no join.
     """
-    listed = F.explode(F.array(*[F.lit(v) for v in domain])).alias(key)
+    listed = F.explode(answers.text_list(domain)).alias(key)
     if years is None:
         each_year = cells.select(year).where(F.col(year).isNotNull()).distinct()
     else:
@@ -121,7 +121,7 @@ def zero_fill_grid(
         each_year = cells.sparkSession.range(1).select(in_years)
         cells = cells.where(F.col(year).isin(*years))
     zeros = each_year.select(year, listed).withColumn(measure, F.lit(0))
-    real = cells.where(F.col(key).isin(*domain) & F.col(year).isNotNull())
+    real = cells.where(f"`{key}` IN ({answers.quoted(domain)}) AND `{year}` IS NOT NULL")
     both = real.select(key, year, measure).unionByName(zeros.select(key, year, measure))
     return group_sum(both, [key, year], measure, measure)
 

@@ -9,7 +9,7 @@ from fieldtally.operators.lookups import AREA_LIST, FISH_LIST, LABELS, PROVINCE_
 from fieldtally.plans import reports as R
 from fieldtally.plans.options import provinces_available
 from fieldtally.plans.typed import SurveyTables
-from fieldtally.session import settle
+from fieldtally.session import settle_all
 
 
 def report_bundle(tables: SurveyTables, filters: Filters = ALL) -> dict[str, DataFrame]:
@@ -19,12 +19,12 @@ def report_bundle(tables: SurveyTables, filters: Filters = ALL) -> dict[str, Dat
     settled; the sheets are made from those.
     """
     province, fish, area = (LABELS[n][0] for n in (PROVINCE_LIST, FISH_LIST, AREA_LIST))
-    wild = settle(
-        R.capture_cube(tables.capture, filters, [province, fish, area, "fishing_type"])
+    by_codes = [province, area] + ([fish] if FISH_LIST in tables.codes.repeated else [])
+    wild, farmed, shown = settle_all(
+        R.capture_cube(tables.capture, filters, [province, fish, area, "fishing_type"]),
+        R.aquaculture_cube(tables.aquaculture, filters, by_codes),
+        provinces_available(tables.all, tables.codes),
     )
-    keys = [province, area] + ([fish] if FISH_LIST in tables.codes.repeated else [])
-    farmed = settle(R.aquaculture_cube(tables.aquaculture, filters, keys))
-    shown = settle(provinces_available(tables.all, tables.codes))
     return {
         "t06_species_detail": R.t06_species_detail(tables, filters, wild),
         "t06_marine_species": R.t06_marine_species(tables, filters, wild),

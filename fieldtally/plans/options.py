@@ -17,7 +17,8 @@ from fieldtally.functions import answers, calendar
 from fieldtally.operators.filters import filter_group_only
 from fieldtally.operators.lookups import AREA_LIST, PROVINCE_LIST, Codebook
 
-FACET_COLUMNS = ("year", "month", "quarter", "week", "province", "province_group", "area_code")
+# The columns the others follow from.
+FACET_COLUMNS = ("year", "month", "week", "province", "area_code")
 
 
 def _distinct(tables: Iterable[DataFrame], *columns: str) -> DataFrame:
@@ -27,11 +28,14 @@ def _distinct(tables: Iterable[DataFrame], *columns: str) -> DataFrame:
 
 def facets(tables: Iterable[DataFrame]) -> DataFrame:
     """The combinations of filter values that occur; as few rows as the form has answers."""
-    parts = []
-    for t in tables:
-        lacks = [c for c in FACET_COLUMNS if c not in t.columns]
-        parts.append(t.withColumns({c: F.lit(None).cast("string") for c in lacks}))
-    return _distinct(parts, *FACET_COLUMNS)
+    parts = [
+        t if "area_code" in t.columns else t.withColumn("area_code", F.lit(None).cast("string"))
+        for t in tables
+    ]
+    return _distinct(parts, *FACET_COLUMNS).withColumns({
+        "quarter": calendar.month_to_quarter(F.col("month")),
+        "province_group": answers.province_group(F.col("province")),
+    })
 
 
 def _sorted_values(tables: Iterable[DataFrame], column: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +45,10 @@ def settle(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def settle_all(*frames: DataFrame) -> list[DataFrame]:
+    """Settles independent frames, their jobs running side by side."""
+    shared_folder(frames[0].sparkSession)
+    with ThreadPoolExecutor(max_workers=len(frames)) as pool:
+        return list(pool.map(settle, frames))

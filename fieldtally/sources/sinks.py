@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -76,14 +77,16 @@ def write_report_bundle(
     """Writes each report, laid out and as text, to ``out/<sheet>/run_date=<day>``.
 
     A run replaces what an earlier run of the same day wrote.  Parquet keeps the cells as column
-    metadata.  Returns the folder of each report.
+    metadata.  The sheets are small, so a few are written at a time.  Returns each one's folder.
     """
     day = (run_date or datetime.date.today()).isoformat()
-    written = {}
-    for name, df in reports.items():
-        placed = report_layout(df, LAYOUT.get(name, (Block(1, 1),)))
+
+    def write(name: str) -> str:
+        placed = report_layout(reports[name], LAYOUT.get(name, (Block(1, 1),)))
         target = f"{out}/{D.SHEETS.get(name, name)}/run_date={day}"
         writer = stringify_all(placed).write.mode("overwrite").format(fmt)
         (writer.option("header", "true") if fmt == "csv" else writer).save(target)
-        written[name] = target
-    return written
+        return target
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        return dict(zip(reports, pool.map(write, reports)))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally import domains as D
+from fieldtally.functions.answers import text_list
 from fieldtally.operators.lookups import (
     AREA_LIST,
     FISH_LIST,
@@ -198,7 +199,7 @@ def _choice_rows(df: DataFrame, name: str, code: Column, kh: Column, en: Column)
 
 def province_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.col("n_nationkey") + 1
-    official = F.element_at(F.array(*[F.lit(p) for p in D.PROVINCES]), place)
+    official = F.element_at(text_list(D.PROVINCES), place)
     nation = table(spark, sf_dir, "nation")
     return _choice_rows(nation, PROVINCE_LIST, place, official, F.col("n_name"))
 
