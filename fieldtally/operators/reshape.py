@@ -96,12 +96,17 @@ def missing_keys(domain: DataFrame, df: DataFrame, key: str) -> DataFrame:
 
 
 def append_zero_rows(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows of ``df`` and, for every other key, a row of zeros."""
-    zeros = missing_keys(keys.select(key), df, key)
+    """The rows of a summary, one per key, and a row of zeros for every other key.
+
+    Zeros are put under all keys and summed in: the summary is computed once, not a second time
+    to find out which keys it lacks.
+    """
     measures = [f for f in df.schema.fields if f.name != key]
-    return df.unionByName(
-        zeros.select(key, *[F.lit(0).cast(f.dataType).alias(f.name) for f in measures])
+    zeros = keys.select(
+        key, *[F.lit(0).cast(f.dataType).alias(f.name) for f in measures]
     )
+    sums = [F.sum(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in measures]
+    return df.unionByName(zeros).groupBy(key).agg(*sums)
 
 
 def zero_fill_grid(
@@ -110,20 +115,24 @@ def zero_fill_grid(
 ) -> DataFrame:
     """A cell for every pair of a domain value and a year, 0 where there is none.
 
-    The zero cells come from writing the domain out per year, and are summed with the real ones;
-    there is no join.
+    One row per year is summed, with a column per domain value, and then written out as cells.
+    ``years`` fixes the years; else they are those of ``cells``.
     """
-    listed = F.explode(answers.text_list(domain)).alias(key)
+    rows = cells.select(key, year, measure)
     if years is None:
-        each_year = cells.select(year).where(F.col(year).isNotNull()).distinct()
+        rows = rows.where(F.col(year).isNotNull())
     else:
-        in_years = F.explode(F.array(*[F.lit(y) for y in years])).alias(year)
-        each_year = cells.sparkSession.range(1).select(in_years)
-        cells = cells.where(F.col(year).isin(*years))
-    zeros = each_year.select(year, listed).withColumn(measure, F.lit(0))
-    real = cells.where(f"`{key}` IN ({answers.quoted(domain)}) AND `{year}` IS NOT NULL")
-    both = real.select(key, year, measure).unionByName(zeros.select(key, year, measure))
-    return group_sum(both, [key, year], measure, measure)
+        fixed = F.explode(F.array(*[F.lit(y) for y in years])).alias(year)
+        rows = rows.where(F.col(year).isin(*years)).unionByName(
+            cells.sparkSession.range(1).select(fixed), allowMissingColumns=True
+        )
+    each = {f"__{i}": F.col(key) == value for i, value in enumerate(domain)}
+    wide = conditional_sum(rows, [year], F.col(measure), each)
+    filled = [
+        F.struct(F.lit(value).alias(key), F.col(name).alias(measure))
+        for name, value in zip(each, domain)
+    ]
+    return wide.select(year, F.inline(F.array(*filled))).select(key, year, measure)
 
 
 def merge_summaries(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -164,10 +173,21 @@ def top_k(df: DataFrame, key: str, total: str = D.TOTAL, k: int = D.TOP_SPECIES)
 
 
 def row_number(df: DataFrame, key: str, total: str, name: str) -> DataFrame:
-    """Rank by descending total.  One window over the whole table: for tables of one row per
-    province or species, not for data rows."""
-    order = Window.orderBy(*by_total(key, total))
-    return df.withColumn(name, F.row_number().over(order))
+    """Rank by descending total, 1 to n, without gaps.
+
+    The sorted table is settled; its parts are numbered each by itself, and the count of the
+    parts before is added.  Only those counts, one per part, meet in one task.
+    """
+    order = by_total(key, total)
+    parted = settle(df.orderBy(*order).withColumn("__part", F.spark_partition_id()))
+    counts = parted.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start")
+    starts = counts.select("__part", start)
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    numbered = parted.withColumn(name, place).join(F.broadcast(starts), "__part")
+    numbered = numbered.withColumn(name, (F.col(f"`{name}`") + F.col("__start")).cast("int"))
+    return numbered.drop("__part", "__start")
 
 
 def select_rename(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:

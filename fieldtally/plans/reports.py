@@ -349,7 +349,7 @@ def aqu_code_summary(tables: SurveyTables, wide: bool = True) -> DataFrame:
     rows = flt.filter_positive(tables.aquaculture, "catch")
     cells = rows.groupBy("province", "fish_code").agg(F.sum("catch").alias("total"))
     cells = tables.codes.label(cells, PROVINCE_LIST)
-    cells = reshape.group_sum(cells, ["province_kh", "fish_code"], "total", "total")
+    cells = settle(reshape.group_sum(cells, ["province_kh", "fish_code"], "total", "total"))
     if not wide:
         sums = reshape.group_sum(cells, ["province_kh"], "total", "total_sum")
         ranked = reshape.row_number(sums, "province_kh", "total_sum", "row_num")
@@ -358,8 +358,9 @@ def aqu_code_summary(tables: SurveyTables, wide: bool = True) -> DataFrame:
         return cells.join(ranked, same).orderBy("row_num", F.col("fish_code").asc_nulls_last()).select(
             "row_num", "province_kh", "fish_code", "total", "total_sum"
         )
-    cells = settle(cells.withColumn("fish_code", F.coalesce("fish_code", F.lit("NA"))))
-    columns = reshape.column_values(cells, "fish_code", [F.min("province_kh")])
+    cells = cells.withColumn("fish_code", F.coalesce("fish_code", F.lit("NA")))
+    first_shown = [F.min("province_kh"), F.bool_and(F.col("fish_code") == "NA")]
+    columns = reshape.column_values(cells, "fish_code", first_shown)
     table = reshape.pivot_wide(cells, ["province_kh"], "fish_code", "total", columns)
     table = reshape.row_total(table, columns, D.TOTAL)
     table = reshape.row_number(table, "province_kh", D.TOTAL, D.ROW_NUMBER_HEADING)

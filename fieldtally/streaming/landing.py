@@ -1,14 +1,16 @@
 """Landed submission files to staged tables, new files only.
 
-The same cleaning and typing as the one-off load.  Every step works row by row, so the stream
-keeps no state.
+A first stream parses landed files into staged submissions; one stream per table reads its own
+columns of those.  Cleaning and typing are those of the one-off load and work row by row, so no
+stream keeps state.  The sinks record which files belong to a finished batch: a restart after a
+lost driver or executor neither loses nor repeats a submission.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from fieldtally.plans import clean, typed
 from fieldtally.sources.submissions import SUBMISSION
@@ -19,14 +21,25 @@ STEPS = {
     "processing": (clean.clean_processing, typed.typed_processing),
     "patrol": (clean.clean_patrol, typed.typed_patrol),
 }
+MAX_FILES = 1000
 
 
-def landed_submissions(
-    spark: SparkSession, path: str, schema: T.StructType = SUBMISSION, max_files: int = 1000
-) -> DataFrame:
-    """A stream of submissions from a folder of JSON-lines files."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    return reader.json(path)
+def _start(writer: DataStreamWriter, out: str, checkpoint: str) -> StreamingQuery:
+    """Works off what is there, batch by batch, and stops."""
+    writer = writer.format("parquet").option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start(out)
+
+
+def land(
+    spark: SparkSession,
+    landed: str,
+    staged: str,
+    checkpoint: str,
+    schema: T.StructType = SUBMISSION,
+) -> StreamingQuery:
+    """Parses new JSON-lines files of a folder into staged submissions."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", MAX_FILES)
+    return _start(reader.json(landed).writeStream, staged, f"{checkpoint}/submissions")
 
 
 def typed_stream(submissions: DataFrame, name: str) -> DataFrame:
@@ -34,14 +47,15 @@ def typed_stream(submissions: DataFrame, name: str) -> DataFrame:
     return typed_columns(cleaned(submissions))
 
 
-def load_landed(
-    submissions: DataFrame, name: str, out: str, checkpoint: str
+def load(
+    spark: SparkSession,
+    name: str,
+    staged: str,
+    out: str,
+    checkpoint: str,
+    schema: T.StructType = SUBMISSION,
 ) -> StreamingQuery:
-    """Appends one table's rows of all files not yet seen, then stops.
-
-    The parquet sink records which files belong to a finished batch, so a restart after a lost
-    driver or executor neither loses nor repeats a submission.
-    """
-    writer = typed_stream(submissions, name).writeStream.format("parquet").partitionBy("year")
-    writer = writer.option("checkpointLocation", f"{checkpoint}/{name}")
-    return writer.trigger(availableNow=True).start(f"{out}/{name}")
+    """Appends a table's rows of newly staged submissions, by year, as `StagedTables` reads them."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", MAX_FILES)
+    rows = typed_stream(reader.parquet(staged), name)
+    return _start(rows.writeStream.partitionBy("year"), f"{out}/{name}", f"{checkpoint}/{name}")

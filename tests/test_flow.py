@@ -216,12 +216,12 @@ def test_staged_tables_give_the_same_reports(spark, tables, codes, tmp_path):
 def test_landed_files_are_loaded_once(spark, landed, tables, codes, tmp_path):
     source, out = tmp_path / "in", tmp_path / "out"
     source.mkdir()
-    checkpoint = str(tmp_path / "checkpoint")
+    checkpoint, parsed = str(tmp_path / "checkpoint"), str(tmp_path / "parsed")
 
     def load():
-        stream = landing.landed_submissions(spark, str(source))
+        landing.land(spark, str(source), parsed, checkpoint).awaitTermination()
         for name in landing.STEPS:
-            landing.load_landed(stream, name, str(out), checkpoint).awaitTermination()
+            landing.load(spark, name, parsed, str(out), checkpoint).awaitTermination()
 
     for n in (0, 1):
         (source / f"{n}.json").write_text((landed / "lines" / f"{n}.json").read_text())

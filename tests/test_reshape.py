@@ -74,7 +74,8 @@ def test_total_rounding_and_order(frame):
     ordered = reshape.sort_desc_total(rounded, "k", "t")
     assert rows(ordered) == [("c", None, 9, 9), ("a", 2, 2, 3), ("b", 0, 2, 3)]
     assert rows(reshape.top_k(rounded, "k", "t", 2)) == rows(ordered)[:2]
-    assert [r[4] for r in rows(reshape.row_number(ordered, "k", "t", "n"))] == [1, 2, 3]
+    assert sorted((r.n, r.k) for r in reshape.row_number(rounded, "k", "t", "n").collect()) == [
+        (1, "c"), (2, "a"), (3, "b")]
 
 
 def test_domain_order_puts_unknown_last(frame):
@@ -85,3 +86,18 @@ def test_domain_order_puts_unknown_last(frame):
 def test_rename(frame):
     df = frame([(1, 2)], "a int, `b.c` int")
     assert reshape.select_rename(df, {"b.c": "x.y", "a": "z"}).columns == ["x.y", "z"]
+
+
+def test_row_number_over_many_parts(spark):
+    # totals of which a third are the same
+    df = spark.range(3000).selectExpr("id AS k", "IF(id % 3 = 0, 5, id) AS t")
+    limit = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        numbered = reshape.row_number(df, "k", "t", "n").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", limit)
+    ranked = sorted(numbered, key=lambda r: (-r.t, r.k))
+    assert [r.n for r in ranked] == list(range(1, 3001))
