@@ -169,7 +169,8 @@ def _shown_date(df):
     return df.withColumn("date", shown("date"))
 
 
-PARTS = "t.id, CAST(t.date AS VARCHAR) AS date, t.year, t.month, t.quarter, t.week, t.province, t.province_group, t.province_kh, t.province_en"
+PARTS = """t.id, CAST(t.date AS VARCHAR) AS date, t.year, t.month, t.quarter, t.week, t.province,
+    t.province_group, t.province_kh, t.province_en"""
 
 
 @query("enrich_submissions", with_tables(

@@ -23,6 +23,7 @@ from fieldtally.operators.lookups import (
     code_list,
 )
 from fieldtally.plans.typed import SurveyTables
+from fieldtally.session import spread
 from fieldtally.sources.submissions import REPEAT_FIELDS
 
 # Answers to the aquaculture type question, by line number.
@@ -140,7 +141,10 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Line 6 has empty repeat groups and line 7 none at all; line 2 pads its province code.
     """
-    items = table(spark, sf_dir, "lineitem")
+    return _nested(table(spark, sf_dir, "lineitem"))
+
+
+def _nested(items: DataFrame) -> DataFrame:
     line = F.col("l_linenumber")
     day = F.col("l_shipdate").cast("date").cast("string")
     none = F.lit(None).cast("string")
@@ -185,7 +189,7 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def payload_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The submissions as JSON payloads of one submission each."""
     one = F.to_json(F.struct(F.array(F.struct("*")).alias("results")))
-    return submissions(spark, sf_dir).select(one.alias("payload"))
+    return _nested(spread(table(spark, sf_dir, "lineitem"))).select(one.alias("payload"))
 
 
 def _choice_rows(df: DataFrame, name: str, code: Column, kh: Column, en: Column) -> DataFrame:

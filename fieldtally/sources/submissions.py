@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtally.operators.repeats import require_results
+from fieldtally.session import spread
 
 
 def texts(*names: str) -> T.StructType:
@@ -72,11 +73,13 @@ def read_submissions(
     """Submissions from landed JSON files.
 
     ``lines`` reads one submission per line, which Spark splits within a file; use it for large
-    files.  Otherwise each file is one payload page, and is one task.
+    files.  Otherwise each file is one payload page and is parsed by one task; the submissions of
+    a few large pages are then spread over all cores.
     """
     if lines:
         return spark.read.schema(schema).json(path)
-    return results_of(spark.read.schema(payload_schema(schema)).json(path, multiLine=True))
+    pages = spark.read.schema(payload_schema(schema)).json(path, multiLine=True)
+    return spread(results_of(pages))
 
 
 def parse_submissions(text: Column, schema: T.StructType = SUBMISSION) -> Column:

@@ -115,7 +115,8 @@ def province_years(rows, f, area, kind, provinces, restrict, without):
 def species(rows, f, marine):
     rows = [r for r in rows if r["date"] and (rint(r["catch"]) or 0) > 0]
     if marine:
-        rows = [r for r in rows if r["area_code"] == "2" and r["province_kh"] not in (None, D.EXCLUDED_FROM_MARINE)]
+        without = (None, D.EXCLUDED_FROM_MARINE)
+        rows = [r for r in rows if r["area_code"] == "2" and r["province_kh"] not in without]
     rows = period(years(labels(rows, f), f, 0), f)
     sums = defaultdict(int)
     for r in rows:

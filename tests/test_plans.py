@@ -88,3 +88,29 @@ def test_small_code_list_is_broadcast_and_a_large_one_is_not(spark, tables):
         spark.conf.unset(adaptive)
     again = R.t06_species_detail(tables, Filters(year=1998), wide=False)
     assert [tuple(r) for r in again.collect()] == unhinted
+
+
+def test_a_hot_code_is_split_where_the_list_is_too_large_to_broadcast(spark, tmp_path):
+    """A third of all rows have one code."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    rows = spark.range(0, 200000, 1, 16).selectExpr(
+        "id", "IF(id % 3 = 0, '7', CAST(id % 5000 AS STRING)) AS fish_code", "uuid() AS more")
+    rows.write.parquet(str(tmp_path / "rows"))
+    codes = spark.range(5000).selectExpr("CAST(id AS STRING) AS code", "CONCAT('n', id) AS label")
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        joined = lookup_left_join(spark.read.parquet(str(tmp_path / "rows")), codes, "fish_code", "code")
+        assert "SortMergeJoin(skew=true)" in plan(joined)
+        assert joined.where("label = CONCAT('n', fish_code)").count() == 200000
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
