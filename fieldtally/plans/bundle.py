@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from fieldtally.operators.filters import ALL, Filters
 from fieldtally.operators.lookups import AREA_LIST, FISH_LIST, LABELS, PROVINCE_LIST
 from fieldtally.plans import reports as R
-from fieldtally.plans.options import provinces_available
+from fieldtally.plans.options import province_labels
 from fieldtally.plans.typed import SurveyTables
 from fieldtally.session import settle_all
 
@@ -23,7 +23,7 @@ def report_bundle(tables: SurveyTables, filters: Filters = ALL) -> dict[str, Dat
     wild, farmed, shown = settle_all(
         R.capture_cube(tables.capture, filters, [province, fish, area, "fishing_type"]),
         R.aquaculture_cube(tables.aquaculture, filters, by_codes),
-        provinces_available(tables.all, tables.codes),
+        province_labels(tables.all, tables.codes),
     )
     return {
         "t06_species_detail": R.t06_species_detail(tables, filters, wild),

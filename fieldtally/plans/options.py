@@ -65,11 +65,15 @@ def groups_available(tables: Iterable[DataFrame]) -> DataFrame:
     return groups.orderBy(answers.group_order(F.col("province_group")))
 
 
-def provinces_available(tables: Iterable[DataFrame], codes: Codebook) -> DataFrame:
-    """Labels of the provinces in the data, by English name; codes are made distinct first."""
+def province_labels(tables: Iterable[DataFrame], codes: Codebook) -> DataFrame:
+    """Both labels of the provinces in the data; codes are made distinct before they are joined."""
     labelled = codes.label(_distinct(tables, "province"), PROVINCE_LIST)
-    pairs = labelled.select("province_kh", "province_en").distinct().dropna()
-    return pairs.orderBy("province_en", "province_kh")
+    return labelled.select("province_kh", "province_en").distinct().dropna()
+
+
+def provinces_available(tables: Iterable[DataFrame], codes: Codebook) -> DataFrame:
+    """`province_labels` by English name."""
+    return province_labels(tables, codes).orderBy("province_en", "province_kh")
 
 
 def areas_available(tables: Iterable[DataFrame], codes: Codebook) -> DataFrame:

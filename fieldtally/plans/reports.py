@@ -23,7 +23,7 @@ from fieldtally.operators import reshape
 from fieldtally.operators.filters import ALL, Filters
 from fieldtally.operators.lookups import AREA_LIST, FISH_LIST, LABELS, PROVINCE_LIST, Codebook
 from fieldtally.operators.repeats import explode_codes
-from fieldtally.plans.options import provinces_available, provinces_for_group
+from fieldtally.plans.options import province_labels, provinces_for_group
 from fieldtally.plans.typed import SurveyTables
 from fieldtally.session import settle
 
@@ -377,7 +377,7 @@ def t08_enforcement(
 ) -> DataFrame:
     """Enforcement outcomes by province, every province of the group shown, by English name.
 
-    ``domain`` is `provinces_available`, where the caller has it already.
+    ``domain`` is `province_labels`, where the caller has it already.
     """
     rows = flt.filter_year_pair(tables.patrol, filters.year).where(flt.in_period(filters))
     rows = explode_codes(rows, "patrol_enforcement", "code", D.OUTCOMES)
@@ -385,7 +385,7 @@ def t08_enforcement(
     cube = rows.groupBy("province").agg(*counted)
     cases = _labelled(cube, tables.codes, [PROVINCE_LIST])
     cases = flt.apply_labels(cases, filters, area_rule=False)
-    shown = provinces_available(tables.all, tables.codes) if domain is None else domain
+    shown = province_labels(tables.all, tables.codes) if domain is None else domain
     if filters.group is not None:
         offered = provinces_for_group(tables.codes, filters.group).select("province_kh")
         shown = shown.join(offered, "province_kh", "left_semi")
