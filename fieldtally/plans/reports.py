@@ -400,3 +400,20 @@ def t08_enforcement(
         F.col("__order").asc_nulls_last(), F.col("province_kh").asc_nulls_last()
     )
     return ordered.select("province_kh", *[f"`{c}`" for c in labels])
+
+
+REPORTS = {
+    report.__name__: report
+    for report in (
+        t02_dai,
+        t03_fishery_domain,
+        t04_rice_field,
+        t05_marine_province,
+        t06_marine_species,
+        t06_species_detail,
+        t07_aquaculture,
+        t07_aquaculture_detail,
+        t08_enforcement,
+        t10_facilities,
+    )
+}

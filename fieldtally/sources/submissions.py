@@ -60,10 +60,13 @@ def payload_schema(submission: T.StructType = SUBMISSION) -> T.StructType:
 def results_of(payload: DataFrame) -> DataFrame:
     """One row per submission of payloads that hold them under ``results``.
 
+    A payload without ``results``, such as a torn file, fails the job rather than losing rows.
     The outer explode keeps the planner from adding a filter on ``results`` below it, which
     would parse a payload text a second time.
     """
-    rows = require_results(payload).select(F.explode_outer("results").alias("s"))
+    missing = F.raise_error(F.lit("a payload has no results"))
+    held = F.coalesce(F.col("results"), missing)
+    rows = require_results(payload).select(F.explode_outer(held).alias("s"))
     return rows.where(F.col("s").isNotNull()).select("s.*")
 
 

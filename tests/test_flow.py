@@ -101,6 +101,17 @@ def test_pages_and_lines_read_the_same(spark, landed, submissions):
     assert submissions.count() == 5
 
 
+def test_a_page_without_results_fails_and_an_empty_one_does_not(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "0.json").write_text('{"results": []}')
+    assert read_submissions(spark, str(tmp_path / "empty")).count() == 0
+    for name, text in (("other", '{"detail": "not found"}'), ("torn", '{"results": [{"_id": 1')):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "0.json").write_text(text)
+        with pytest.raises(Exception, match="no results"):
+            read_submissions(spark, str(tmp_path / name)).count()
+
+
 def test_cleaned_tables(submissions):
     tables = clean.clean_all(submissions)
     main = {r["id"]: r for r in tables.main.collect()}
