@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TESTDATA, compare, database
+from fieldtally.registry import core
 
 FOLDER = TESTDATA / "sf0.001"
 
@@ -17,14 +18,14 @@ def con():
     return database(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(core.QUERIES))
 def test_query(spark, con, name):
     outcome = compare(spark, con, str(FOLDER), name)
     assert outcome.startswith("ok"), outcome
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(core.QUERIES) == set(core.SQL)
 
 
 def test_flagship(spark):
