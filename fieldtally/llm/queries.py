@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldtally.llm.bpe import encode_documents
 from fieldtally.llm.common import table
+from fieldtally.llm.token_count import count_tokens
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -30,3 +31,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
+
+
+@register
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and whether they are more than a context of 4096."""
+    counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
