@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldtally.llm import language, quality, urls
 from fieldtally.llm.bpe import encode_documents
-from fieldtally.llm.common import table
+from fieldtally.llm.common import held_out, table
 from fieldtally.llm.token_count import count_tokens
 
 QUERIES = {}
@@ -38,3 +41,60 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and whether they are more than a context of 4096."""
     counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@register
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages learned from two thirds of the documents, predicted for all."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~F.coalesce(held_out(), F.lit(False))))
+    found = language.identify(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@register
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality learned from the labels of two thirds of the documents, scored for all."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learned = ~F.coalesce(held_out(), F.lit(False))
+    model = quality.fit(labels.where(learned).select("doc_id", "quality").join(docs.where(learned).select("doc_id", "text"), "doc_id"))
+    found = quality.score(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+RULE_SQL = """CASE
+    WHEN suffix('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN suffix('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN suffix('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN suffix('.' || host, '.net') AND starts_with(path, '/') THEN 'net/'
+END"""
+
+
+def terms_sql(terms: tuple[str, ...]) -> str:
+    """How many of the terms stand alone in a URL."""
+    one = "CAST(regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9]){}([^a-z0-9]|$)') AS INT)"
+    return " + ".join(one.format(term) for term in terms)
+
+
+@partial(
+    register,
+    sql=rf"""
+    WITH parts AS (
+        SELECT *,
+            translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+        FROM pages
+    ), ruled AS (
+        SELECT *, {RULE_SQL} AS rule, {terms_sql(urls.STRICT)} AS n_strict, {terms_sql(urls.SOFT)} AS n_soft FROM parts
+    )
+    SELECT page_id, host, path, rule, n_strict, n_soft,
+        CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN n_strict >= 1 OR n_soft >= {urls.SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict
+    FROM ruled""",
+)
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page by its URL."""
+    judged = urls.filter_urls(table(spark, sf_dir, "pages"))
+    counts = [F.size(c).alias(n) for c, n in (("strict_terms", "n_strict"), ("soft_terms", "n_soft"))]
+    return judged.select("page_id", "host", "path", "rule", "verdict", *counts)
