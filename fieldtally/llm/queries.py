@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import language, quality, urls
+from fieldtally.llm import language, line_dedup, quality, urls
 from fieldtally.llm.bpe import encode_documents
 from fieldtally.llm.common import held_out, table
+from fieldtally.llm.decontaminate import find_contamination
 from fieldtally.llm.token_count import count_tokens
 
 QUERIES = {}
@@ -98,3 +99,47 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.filter_urls(table(spark, sf_dir, "pages"))
     counts = [F.size(c).alias(n) for c, n in (("strict_terms", "n_strict"), ("soft_terms", "n_soft"))]
     return judged.select("page_id", "host", "path", "rule", "verdict", *counts)
+
+
+@partial(
+    register,
+    sql=rf"""
+    WITH each AS (
+        SELECT doc_id, source, md5(text) AS text_key,
+            unnest(string_split(text, chr(10))) AS line,
+            generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+        FROM documents
+    ), keyed AS (
+        SELECT *, regexp_replace(line, '^[ \t\r\f\x0b]+|[ \t\r\f\x0b]+\z', '', 'g') AS stripped,
+            regexp_matches(line, '^[ \t\r\f\x0b]*([^ \t\r\f\x0b]+[ \t\r\f\x0b]+){{{line_dedup.MIN_WORDS - 1}}}[^ \t\r\f\x0b]') AS counts
+        FROM each
+    ), spread AS (
+        SELECT stripped FROM keyed WHERE counts
+        GROUP BY stripped HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}
+    ), judged AS (
+        SELECT k.*, s.stripped IS NOT NULL AND row_number() OVER (
+            PARTITION BY k.stripped ORDER BY doc_id NULLS FIRST, text_key, pos) > 1 AS gone
+        FROM keyed k LEFT JOIN spread s ON k.counts AND k.stripped = s.stripped
+    )
+    SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_removed,
+        coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+    FROM judged GROUP BY doc_id""",
+)
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many sources share."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@register
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside ten successive words of a benchmark item."""
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.array_size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
