@@ -13,6 +13,7 @@ from fieldtally.llm.bpe import encode_documents
 from fieldtally.llm.common import held_out, table
 from fieldtally.llm.decontaminate import find_contamination
 from fieldtally.llm.token_count import count_tokens
+from fieldtally.llm.top_k import top_k
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -143,3 +144,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@register
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of every row for the rows whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
