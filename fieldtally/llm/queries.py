@@ -12,6 +12,7 @@ from fieldtally.llm import language, line_dedup, quality, urls
 from fieldtally.llm.bpe import encode_documents
 from fieldtally.llm.common import held_out, table
 from fieldtally.llm.decontaminate import find_contamination
+from fieldtally.llm.jaccard import components
 from fieldtally.llm.token_count import count_tokens
 from fieldtally.llm.top_k import top_k
 
@@ -151,3 +152,9 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best of every row for the rows whose id is divisible by 20."""
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@register
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose sets of three-word shingles are at least 90 % alike."""
+    return components(table(spark, sf_dir, "documents"), n=3, percent=90)
