@@ -13,6 +13,7 @@ from fieldtally.llm.bpe import encode_documents
 from fieldtally.llm.common import held_out, table
 from fieldtally.llm.decontaminate import find_contamination
 from fieldtally.llm.jaccard import components
+from fieldtally.llm.licenses import scan_licenses
 from fieldtally.llm.token_count import count_tokens
 from fieldtally.llm.top_k import top_k
 
@@ -158,3 +159,16 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose sets of three-word shingles are at least 90 % alike."""
     return components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+@register
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses in every document: a row for each, and one with nulls for a document without any."""
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.explode_outer("licenses").alias("found")).select(
+        "doc_id",
+        F.col("found.name").alias("license"),
+        F.round("found.coverage", 6).alias("coverage"),
+        F.col("found.first").alias("first_word"),
+        F.col("found.last").alias("last_word"),
+    )
