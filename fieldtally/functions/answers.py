@@ -19,6 +19,11 @@ def text_list(values: Iterable[str]) -> Column:
     return F.expr(f"array({quoted(values)})")
 
 
+def trimmed(text: Column) -> Column:
+    """Without blanks, tabs and line ends at either end."""
+    return F.btrim(text, F.lit(" \t\r\n"))
+
+
 def null_token(text: Column) -> Column:
     """NULL and the empty text become ``null``."""
     return F.coalesce(F.nullif(text, F.lit("")), F.lit(D.NULL_TOKEN))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 # A decimal number or an infinity; Spark's own cast would also take "12d" and "12f".
 _NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)\s*$"
+_ZONE = r":\d{1,2}(\.\d+)?\s*(Z|UTC|[+-]\d{2}(:?\d{2})?)\s*$"
 _DAY_DASH = r"^\s*(\d{4}-\d{1,2}-\d{1,2})"
 _DAY_DASH_OR_SLASH = r"^\s*(\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2})"
 
@@ -42,10 +43,22 @@ def to_date(text: Column, slashes: bool = True) -> Column:
 
 
 def to_moment_text(text: Column) -> Column:
-    """A day as ``yyyy-MM-dd``, a day with a time as ``yyyy-MM-dd HH:mm:ss``, else NULL."""
+    """A day as ``yyyy-MM-dd``, a day with a time as ``yyyy-MM-dd HH:mm:ss``, else NULL.
+
+    A time with a zone offset is given in UTC, one without as it is.
+    """
     only_day = F.when(text.rlike(r"^\s*\d{4}[-/]\d{1,2}[-/]\d{1,2}\s*$"), to_date(text))
-    moment = F.when(text.rlike(r"\d{1,2}:\d{1,2}"), text.try_cast("timestamp_ntz"))
-    return F.coalesce(only_day.cast("string"), moment_text(moment))
+    timed = text.rlike(r"\d{1,2}:\d{1,2}")
+    zoned = text.rlike(_ZONE)
+    plain = F.when(timed & ~zoned, text.try_cast("timestamp_ntz"))
+    return F.coalesce(only_day.cast("string"), moment_text(plain), moment_text(F.when(timed & zoned, utc(text))))
+
+
+def utc(text: Column) -> Column:
+    """A time with a zone offset as the time it is in UTC then, whatever the session's zone."""
+    spelled = F.regexp_replace(text, r"([+-]\d{2})(\d{2})\s*$", "$1:$2")
+    local = spelled.try_cast("timestamp").cast("timestamp_ntz")
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
 
 
 def moment_text(moment: Column) -> Column:

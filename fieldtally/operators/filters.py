@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,13 +115,25 @@ def filter_week(df: DataFrame, week: int | None, date: str = "date") -> DataFram
     return df if week is None else df.where(calendar.week_number(F.col(date)) == week)
 
 
-def in_period(filters: Filters, date: str = "date") -> Column:
-    """Quarter, month and week together, as one predicate on the date."""
+def in_period(filters: Filters, date: str = "date", years: tuple[int, ...] | None = None) -> Column:
+    """Quarter, month and week together, as one predicate on the date.
+
+    Where the ``years`` are known, quarter and month are ranges of dates, which reach the scan.
+    """
     met = F.lit(True)
+    months = set(range(1, 13))
     if filters.quarter is not None:
-        met &= F.quarter(date) == filters.quarter
+        months &= set(months_of_quarter(filters.quarter))
     if filters.month is not None:
-        met &= F.month(date) == filters.month
+        months &= {filters.month}
+    if years is not None and 0 < len(months) < 12:
+        first, last = min(months), max(months)
+        met &= reduce(or_, [calendar.in_months(F.col(date), y, first, last) for y in years])
+    else:
+        if filters.quarter is not None:
+            met &= F.quarter(date) == filters.quarter
+        if filters.month is not None:
+            met &= F.month(date) == filters.month
     if filters.week is not None:
         met &= calendar.week_number(F.col(date)) == filters.week
     return met
@@ -195,8 +209,3 @@ def reconcile_filters(old: Filters, new: Filters, areas: tuple[str, ...] | None
         result = result.with_(quarter=(new.month + 2) // 3)
     return result
 
-
-def reconciled_month(month: Column, quarter: Column) -> Column:
-    """A month that lies outside the chosen quarter is switched off."""
-    fits = quarter.isNull() | (calendar.month_to_quarter(month) == quarter)
-    return F.when(fits, month)

@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldtally.session import settle
+
 PROVINCE_LIST, FISH_LIST, PROCESSED_LIST, AREA_LIST = "provinces", "type", "typepro", "area"
 
 # Labels each list brings in, by code column.
@@ -93,7 +95,9 @@ class Codebook:
     @classmethod
     def measured(cls, choices: DataFrame, max_bytes: int = 64 << 20) -> "Codebook":
         """For choices from a database, of which the planner knows no size: lists that measure
-        at most ``max_bytes`` are broadcast."""
+        at most ``max_bytes`` are broadcast.  The choices are settled, so that the database is
+        asked once."""
+        choices = settle(choices)
         repeated, sizes = measure(choices)
         return cls(choices, repeated, frozenset(n for n, b in sizes.items() if b <= max_bytes))
 

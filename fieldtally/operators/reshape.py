@@ -61,19 +61,29 @@ def column_values(df: DataFrame, column: str, order: Sequence[Column] = ()) -> l
 def pivot_wide(
     df: DataFrame, keys: Iterable[str], column: str, measure: str, values: Iterable | None = None
 ) -> DataFrame:
-    """Long to wide, empty cells 0, by conditional sums: one shuffle.
+    """Long to wide, empty cells 0.
 
-    ``values`` fixes the columns, also such as the data lack.  Else the data are summed to
-    cells, which are settled, and the columns are those of the cells.
+    ``values`` fixes the columns, a few, also such as the data lack: conditional sums, one
+    shuffle.  Else the data are summed to cells, which are settled, and the columns are those of
+    the cells, up to ``spark.sql.pivotMaxValues``; beyond that, stay with the long form.
     """
     keys = list(keys)
     if values is None:
         df = settle(group_sum(df, [*keys, column], measure, measure))
-        values = [v for v in column_values(df, column) if v is not None]
+        return pivot_cells(df, keys, column, measure, [v for v in column_values(df, column) if v is not None])
     where = {str(v): F.col(column) == F.lit(v) for v in values}
     return conditional_sum(df, keys, F.col(measure), where)
 
 
+def pivot_cells(df: DataFrame, keys: Iterable[str], column: str, measure: str, values: Sequence) -> DataFrame:
+    """Cells to columns that come from the data: a row finds its column once, however many there are."""
+    keys = list(keys)
+    if not values:
+        return df.select(*keys).distinct()
+    wide = df.groupBy(*keys).pivot(column, list(values)).agg(F.sum(measure))
+    return wide.select(*keys, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(str(v)) for v in values])
+
+
 def target_years(df: DataFrame, year: int | None, column: str = "year") -> list[int]:
     """The two years a report compares; for all years, the ones there are."""
     if year is not None:
@@ -88,7 +98,7 @@ def observed_domain(df: DataFrame, key: str) -> DataFrame:
 def domain_frame(spark: SparkSession, ordered: Sequence[str], key: str) -> DataFrame:
     """An ordered list as a table of values and their places."""
     placed = F.posexplode(answers.text_list(ordered)).alias("ord", key)
-    return spark.range(1).select(placed).select(key, "ord")
+    return spark.range(0, 1, 1, 1).select(placed).select(key, "ord")
 
 
 def missing_keys(domain: DataFrame, df: DataFrame, key: str) -> DataFrame:
@@ -124,7 +134,7 @@ def zero_fill_grid(
     else:
         fixed = F.explode(F.array(*[F.lit(y) for y in years])).alias(year)
         rows = rows.where(F.col(year).isin(*years)).unionByName(
-            cells.sparkSession.range(1).select(fixed), allowMissingColumns=True
+            cells.sparkSession.range(0, 1, 1, 1).select(fixed), allowMissingColumns=True
         )
     each = {f"__{i}": F.col(key) == value for i, value in enumerate(domain)}
     wide = conditional_sum(rows, [year], F.col(measure), each)

@@ -23,7 +23,7 @@ def report_bundle(tables: SurveyTables, filters: Filters = ALL) -> dict[str, Dat
     wild, farmed, shown = settle_all(
         R.capture_cube(tables.capture, filters, [province, fish, area, "fishing_type"]),
         R.aquaculture_cube(tables.aquaculture, filters, by_codes),
-        province_labels(tables.all, tables.codes),
+        province_labels(tables.offered, tables.codes),
     )
     return {
         "t06_species_detail": R.t06_species_detail(tables, filters, wild),

@@ -55,11 +55,11 @@ def capture_cube(
 
     ``catch`` and ``positive`` count rows of the chosen quarter, month and week only.  A report
     over all years shows every year there is, so the other rows then stay in, as years without
-    a sum.  ``first_id`` is the first submission of the period.
+    a sum.  ``first_id`` is the first submission of the period, ``rows`` the number of its rows.
     """
     by_year = flt.filter_year_pair if pair else flt.filter_year_exact
     rows = by_year(capture, filters.year)
-    inside = flt.in_period(filters)
+    inside = flt.in_period(filters, years=_years(filters, pair))
     if filters.year is not None or not pair:
         rows, inside = rows.where(inside), F.lit(True)
     whole = coercion.rounded(F.col("catch"))
@@ -67,9 +67,17 @@ def capture_cube(
         F.sum(F.when(inside, whole)).alias("catch"),
         F.sum(F.when(inside & (whole > 0), whole)).alias("positive"),
         F.min(F.when(inside, F.col("id"))).alias("first_id"),
+        F.count_if(inside).alias("rows"),
     )
 
 
+def _years(filters: Filters, pair: bool = True) -> tuple[int, ...] | None:
+    """The years a filter leaves, if it names one."""
+    if filters.year is None:
+        return None
+    return (filters.year - 1, filters.year) if pair else (filters.year,)
+
+
 def _species_cells(
     tables: SurveyTables, filters: Filters, cube: DataFrame | None, marine: bool
 ) -> DataFrame:
@@ -92,11 +100,14 @@ def _species_cells(
 
 
 def _species_wide(cells: DataFrame, top: int | None) -> DataFrame:
-    """A column per province, in the order the sorted species first show them."""
+    """A column per province, in the order the sorted species first show them.
+
+    More provinces than ``spark.sql.pivotMaxValues`` are an error; the long form has no such limit.
+    """
     named = settle(cells.withColumn("province_kh", F.coalesce("province_kh", F.lit("NA"))))
     first_shown = [F.min("fish_name_kh"), F.bool_and(F.col("province_kh") == "NA")]
     columns = reshape.column_values(named, "province_kh", first_shown)
-    wide = reshape.pivot_wide(named, ["fish_name_kh"], "province_kh", "catch", columns)
+    wide = reshape.pivot_cells(named, ["fish_name_kh"], "province_kh", "catch", columns)
     wide = reshape.row_total(wide, columns)
     if top is None:
         return reshape.sort_desc_total(wide, "fish_name_kh")
@@ -174,11 +185,11 @@ def province_years(
         rows = flt.filter_not_equal(rows, "province_kh", spec.without)
     if spec.restrict:
         rows = flt.filter_in_list(rows, "province_kh", spec.provinces)
-    rows = flt.apply_labels(rows, filters).select("province_kh", "year", "catch", "first_id")
+    rows = flt.apply_labels(rows, filters).select("province_kh", "year", "catch", "first_id", "rows")
     if filters.year is None:
         by_label = rows.groupBy("province_kh", "year")
         rows = settle(
-            by_label.agg(F.sum("catch").alias("catch"), F.min("first_id").alias("first_id"))
+            by_label.agg(F.sum("catch").alias("catch"), F.min("first_id").alias("first_id"), F.sum("rows").alias("rows"))
         )
     years = reshape.target_years(rows, filters.year)
     if spec.provinces is not None:
@@ -186,7 +197,7 @@ def province_years(
         zeros = reshape.domain_frame(rows.sparkSession, spec.provinces, "province_kh")
         rows = rows.unionByName(zeros.select("province_kh"), allowMissingColumns=True)
     else:
-        rows = flt.filter_key_present(rows, "first_id")
+        rows = rows.where(F.col("rows") > 0)
     sums = [
         reshape.sum_or_zero(F.when(F.col("year") == y, F.col("catch"))).alias(str(y))
         for y in years
@@ -200,7 +211,7 @@ def _ordered(
 ) -> DataFrame:
     """List order, or the order of first appearance; long form has a row per year."""
     if spec.provinces is None:
-        place = F.struct("first_id", "province_kh")
+        place = F.struct(F.col("first_id").isNull().alias("unnumbered"), "first_id", "province_kh")
     else:
         place = answers.position_in(F.col("province_kh"), spec.provinces)
     table = table.withColumn("__place", place)
@@ -246,7 +257,7 @@ def aquaculture_cube(
 
     ``grown`` and ``farmed`` count the rows with a catch, and those of the listed species.
     """
-    rows = flt.filter_year_pair(aquaculture, filters.year).where(flt.in_period(filters))
+    rows = flt.filter_year_pair(aquaculture, filters.year).where(flt.in_period(filters, years=_years(filters)))
     if only is not None:
         rows = rows.where(only)
     grown = coercion.present(F.col("catch")) > 0
@@ -308,7 +319,7 @@ def t07_aquaculture_detail(
     rows = _aquaculture_labelled(tables, filters, cube, F.col("catch") > 0, ["area_code"])
     water = coercion.to_double(F.col("area_code"))
     rows = rows.where(F.col("grown") > 0).withColumns({
-        "province_kh": F.trim("province_kh"),
+        "province_kh": answers.trimmed(F.col("province_kh")),
         D.FRESH_FISH: F.when(water == int(D.AREA_FRESH), F.col("catch")),
         D.SEA_FISH: F.when(water == int(D.AREA_MARINE), F.col("catch")),
     })
@@ -345,7 +356,11 @@ def t10_facilities(
 
 
 def aqu_code_summary(tables: SurveyTables, wide: bool = True) -> DataFrame:
-    """Harvest by province and species code, provinces numbered by descending total."""
+    """Harvest by province and species code, provinces numbered by descending total.
+
+    The wide form has a column per species code, up to ``spark.sql.pivotMaxValues`` of them, and
+    more are an error; the long form has no such limit.
+    """
     rows = flt.filter_positive(tables.aquaculture, "catch")
     cells = rows.groupBy("province", "fish_code").agg(F.sum("catch").alias("total"))
     cells = tables.codes.label(cells, PROVINCE_LIST)
@@ -361,7 +376,7 @@ def aqu_code_summary(tables: SurveyTables, wide: bool = True) -> DataFrame:
     cells = cells.withColumn("fish_code", F.coalesce("fish_code", F.lit("NA")))
     first_shown = [F.min("province_kh"), F.bool_and(F.col("fish_code") == "NA")]
     columns = reshape.column_values(cells, "fish_code", first_shown)
-    table = reshape.pivot_wide(cells, ["province_kh"], "fish_code", "total", columns)
+    table = reshape.pivot_cells(cells, ["province_kh"], "fish_code", "total", columns)
     table = reshape.row_total(table, columns, D.TOTAL)
     table = reshape.row_number(table, "province_kh", D.TOTAL, D.ROW_NUMBER_HEADING)
     named = {D.ROW_NUMBER_HEADING: D.ROW_NUMBER_HEADING, "province_kh": D.PROVINCE_OR_CAPITAL}
@@ -379,13 +394,14 @@ def t08_enforcement(
 
     ``domain`` is `province_labels`, where the caller has it already.
     """
-    rows = flt.filter_year_pair(tables.patrol, filters.year).where(flt.in_period(filters))
+    rows = flt.filter_year_pair(tables.patrol, filters.year)
+    rows = rows.where(flt.in_period(filters, years=_years(filters)))
     rows = explode_codes(rows, "patrol_enforcement", "code", D.OUTCOMES)
     counted = [F.count_if(F.col("code") == c).alias(label) for c, label in D.OUTCOMES.items()]
     cube = rows.groupBy("province").agg(*counted)
     cases = _labelled(cube, tables.codes, [PROVINCE_LIST])
     cases = flt.apply_labels(cases, filters, area_rule=False)
-    shown = province_labels(tables.all, tables.codes) if domain is None else domain
+    shown = province_labels(tables.offered, tables.codes) if domain is None else domain
     if filters.group is not None:
         offered = provinces_for_group(tables.codes, filters.group).select("province_kh")
         shown = shown.join(offered, "province_kh", "left_semi")

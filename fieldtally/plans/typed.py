@@ -16,7 +16,7 @@ from fieldtally.operators.cleaning import resolve_column
 from fieldtally.operators.lookups import Codebook
 
 
-# Names the aquaculture type answer may go by, first found first.
+# Names the aquaculture type answer may go by, first found first.
 TYPE_COLUMNS = ("aqu_fishcatch_aqu_type", "aqu_type", "aquaculture_type", "type", "aqu_type_raw")
 
 
@@ -129,6 +129,11 @@ class SurveyTables:
     def all(self) -> tuple[DataFrame, ...]:
         return self.capture, self.aquaculture, self.processing, self.patrol
 
+    @property
+    def offered(self) -> tuple[DataFrame, ...]:
+        """What option lists and province lists are made from."""
+        return self.all
+
     @property
     def with_area(self) -> tuple[DataFrame, ...]:
         return self.capture, self.aquaculture, self.processing

@@ -13,29 +13,99 @@ from fieldtally import domains as D
 from fieldtally.functions import coercion
 from fieldtally.operators import cleaning
 from fieldtally.operators.filters import Filters
+from fieldtally.operators.lookups import Codebook
 from fieldtally.operators.repeats import explode_repeat, require_results
 from fieldtally.plans import clean
 from fieldtally.plans.bundle import report_bundle
-from fieldtally.plans.reports import t10_facilities
+from fieldtally.plans.reports import t04_rice_field, t08_enforcement, t10_facilities
+from fieldtally.plans.typed import SurveyTables
 from fieldtally.registry import reporting
 from fieldtally.registry.core import query, shown
+from fieldtally.registry.sql import calendar as sql_calendar
+from fieldtally.registry.sql import table_sql as TABLES
 from fieldtally.registry.sql import with_tables
 from fieldtally.session import shared_folder
 from fieldtally.sources import sinks, star
-from fieldtally.sources.submissions import parse_submissions, results_of
+from fieldtally.sources.choices import read_choices
+from fieldtally.sources.staging import StagedTables, stage_tables
+from fieldtally.sources.submissions import (
+    find_schema,
+    parse_submissions,
+    read_submissions,
+    results_of,
+    stage_submissions,
+)
 
 # --- sources ---------------------------------------------------------------------------------
 
 
-@query("read_submissions", with_tables(
+def landing_folder(spark) -> str:
+    """A folder of its own for what a query lands, among those the cluster shares."""
+    return f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
+
+
+def landed_lines(spark, sf, *more) -> str:
+    folder = landing_folder(spark)
+    star.line_texts(spark, sf, *more).write.text(folder)
+    return folder
+
+
+def landed_pages(spark, sf) -> str:
+    """Pages as files of one payload each."""
+    folder = landing_folder(spark)
+    star.page_texts(spark, sf).repartition("page").write.partitionBy("page").text(folder)
+    return folder
+
+
+READ = with_tables(
     """SELECT id, date, province, submission_time,
     CASE WHEN line < 6 THEN 2 WHEN line = 6 THEN 0 ELSE -1 END AS captures,
     CASE WHEN line < 6 THEN caught ELSE 'NA' END AS first_catch FROM subs""",
     "subs",
-))
+)
+
+
+@query("read_submissions", READ)
+def _(spark, sf):
+    """Lines of JSON in files, read by the reader."""
+    return _read_columns(read_submissions(spark, landed_lines(spark, sf), lines=True))
+
+
+@query("read_submissions__pages", READ)
 def _(spark, sf):
+    """Payload pages of many submissions in files, read by the reader."""
+    return _read_columns(read_submissions(spark, landed_pages(spark, sf)))
+
+
+@query("read_submissions__parsed", READ)
+def _(spark, sf):
+    """Payload texts that are in a table already."""
     payload = star.payload_texts(spark, sf).select(parse_submissions(F.col("payload")).alias("p"))
-    return results_of(payload.select("p.*")).select(
+    return _read_columns(results_of(payload.select("p.*")))
+
+
+@query("read_submissions__rejects", """SELECT CAST(count(*) FILTER (WHERE l_linenumber NOT IN (2, 3, 5)) AS BIGINT) AS good,
+    CAST(count(*) FILTER (WHERE l_linenumber IN (2, 3, 5)) AS BIGINT) AS bad FROM lineitem""")
+def _(spark, sf):
+    """Torn lines, groups of a wrong type and ids that are no number, set aside and counted."""
+    line = F.get_json_object("value", "$.inspectorate")
+    spoilt = (
+        F.when(F.get_json_object("value", "$._id") % 8 == 2, F.expr("substr(value, 1, length(value) - 9)"))
+        .when(line == "none", F.regexp_replace("value", r'"_id":(\d+)', '"_id":"no $1"'))
+        .when(line == "5", F.regexp_replace("value", r'"nat_fishcatch":\[.*?\]', '"nat_fishcatch":"none"'))
+        .otherwise(F.col("value"))
+    )
+    folder, rejects = landing_folder(spark), landing_folder(spark)
+    star.line_texts(spark, sf).select(spoilt.alias("value")).write.text(folder)
+    good = read_submissions(spark, folder, lines=True, rejects=rejects)
+    counts = good.select(F.lit(1).alias("good"), F.lit(0).alias("bad")).unionAll(
+        spark.read.parquet(rejects).select(F.lit(0), F.lit(1))
+    )
+    return counts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+
+
+def _read_columns(rows: DataFrame) -> DataFrame:
+    return rows.select(
         F.col("_id").alias("id"),
         "date",
         "province",
@@ -54,7 +124,10 @@ def _(spark, sf):
     "provinces", "fish", "kinds", "areas",
 ))
 def _(spark, sf):
-    return star.choices(spark, sf)
+    """Choices landed as a table and read by the reader."""
+    folder = landing_folder(spark)
+    star.choices(spark, sf).write.parquet(folder)
+    return read_choices(spark, folder)
 
 
 CLEANED = with_tables(
@@ -95,6 +168,37 @@ def _(spark, sf):
     return main.withColumns({"province": shown("province"), "inspectorate": shown("inspectorate")})
 
 
+@query("clean_main__all_answers", with_tables(
+    """SELECT id, date, CAST(CAST(province AS INTEGER) AS VARCHAR) AS province,
+    CASE WHEN line = 3 THEN 'NA' ELSE inspectorate END AS inspectorate,
+    CASE WHEN line = 5 THEN 'null' ELSE replace(submission_time, 'T', ' ') END AS submission_time,
+    CASE WHEN line < 4 THEN CAST(l_partkey AS VARCHAR) ELSE 'null' END AS boats_number,
+    kind AS boats_owner_kind, CASE WHEN line = 1 THEN 'note ' || area ELSE 'null' END AS remark
+    FROM subs""",
+    "subs",
+))
+def _(spark, sf):
+    """Answers the reports don't know stay; the unwanted ones go."""
+    line = F.col("_id") % 8
+    part, flag = F.get("nat_fishcatch", 0)["nat_fishcatch/nat_fishtype"], F.element_at("_tags", 1)
+    items = F.get("aqu_fishcatch", 0)["aqu_fishcatch/area_aqu"]
+    more = [
+        F.when(line < 4, part.cast("long")).alias("boats/number"),
+        F.struct(F.translate(flag, "RAN", "123").alias("Kind")).alias("boats/owner"),
+        F.when(line == 1, F.concat(F.lit("note "), items)).alias("remark"),
+        F.lit("u-1").alias("formhub/uuid"),
+        F.lit("n").alias("__version__"),
+    ]
+    folder = landed_lines(spark, sf, *more)
+    schema = find_schema(spark, folder, lines=True)
+    main = clean.clean_main(read_submissions(spark, folder, lines=True, schema=schema))
+    kept = ["id", "date", "province", "inspectorate", "submission_time", "boats_number", "boats_owner_kind", "remark"]
+    unwanted = {"formhub_uuid", "version"} & set(main.columns)
+    if unwanted:
+        raise ValueError(f"not dropped: {unwanted}")
+    return main.select(*kept).withColumns({"province": shown("province"), "inspectorate": shown("inspectorate")})
+
+
 @query("clean_capture", with_tables(
     """SELECT id, province, date, CAST(e AS INTEGER) AS pos,
         CASE e WHEN 0 THEN caught ELSE 'unspecified' END AS nat_fishcatch_nat_catch,
@@ -406,7 +510,13 @@ SPECIES = {
 BUNDLE_SQL = "\nUNION ALL ".join(
     [_cells_sql(name, *made) for name, made in BUNDLE.items()]
     + [
-        f"""SELECT '{name}', fish_name_kh || '|' || CAST(total AS VARCHAR)
+        f"""SELECT '{name}', fish_name_kh || '|' || province_kh || '|' || CAST(catch AS VARCHAR)
+            || '|' || CAST(total AS VARCHAR) FROM ({sql})"""
+        for name, sql in SPECIES.items()
+    ]
+    + [
+        f"""SELECT '{name} rows', CAST({sinks.LAYOUT[name][0].start_row} - 1
+            + row_number() OVER (ORDER BY total DESC, fish_name_kh) AS VARCHAR) || '|' || fish_name_kh
         FROM (SELECT DISTINCT fish_name_kh, total FROM ({sql}))"""
         for name, sql in SPECIES.items()
     ]
@@ -422,9 +532,68 @@ def _(spark, sf):
     lines = []
     for name, folder in written.items():
         sheet = spark.read.parquet(folder)
-        columns = sheet.columns if name in BUNDLE else ["fish_name_kh", D.TOTAL]
+        columns = [c for c in sheet.columns if c != "sheet_row"]
+        if name not in BUNDLE:  # every cell of the sheet that isn't 0, and the row each species is in
+            rows = sheet.select(F.concat_ws("|", "sheet_row", "fish_name_kh").alias("cells"))
+            lines.append(rows.select(F.lit(f"{name} rows").alias("report"), "cells"))
+            provinces = [c for c in columns if c not in ("fish_name_kh", D.TOTAL)]
+            sheet = sheet.unpivot(["fish_name_kh", D.TOTAL], [f"`{c}`" for c in provinces], "province_kh", "catch")
+            sheet, columns = sheet.where("catch <> '0'"), ["fish_name_kh", "province_kh", "catch", D.TOTAL]
         cells = F.concat_ws("|", *[F.col(f"`{c}`") for c in columns])
         lines.append(sheet.select(F.lit(name).alias("report"), cells.alias("cells")))
     return reduce(DataFrame.unionAll, lines)
 
 
+# --- the whole path --------------------------------------------------------------------------
+
+# The survey tables as they come out of submissions: the first element of each group, and none
+# where the form has no such group.
+_OF_SUBMISSIONS = {
+    "capture0": """SELECT id, 0 AS pos, {calendar}, province, CAST(caught AS DOUBLE) AS catch, area AS area_code,
+        kind AS fishing_type, part AS fish_code FROM ({subs}) WHERE line < 6""",
+    "aqu0": """SELECT id, 0 AS pos, {calendar}, province, CAST(caught AS DOUBLE) AS catch, area AS area_code,
+        aqu_type, part AS fish_code FROM ({subs}) WHERE line < 6""",
+    "processing0": """SELECT id, 0 AS pos, {calendar}, province, 0.0 AS processing_amount, kind AS proc_code,
+        area AS area_code FROM ({subs}) WHERE line < 6""",
+    "patrol0": """SELECT id, 0 AS pos, {calendar}, province, 0.0 AS patrol_amountcrime,
+        codes AS patrol_enforcement FROM ({subs}) WHERE line < 6""",
+}
+
+
+def of_submissions(sql: str) -> str:
+    """A report's SQL over the submissions instead of the typed tables."""
+    for name, body in _OF_SUBMISSIONS.items():
+        own = body.format(calendar=sql_calendar("CAST(date AS DATE)"), subs=TABLES["subs"])
+        sql = sql.replace(TABLES[name], own.replace("AS date,", "AS day,", 1))
+    return sql
+
+
+def _whole_path(spark, sf) -> StagedTables:
+    """JSON files to staged tables."""
+    raw = stage_submissions(read_submissions(spark, landed_lines(spark, sf), lines=True), landing_folder(spark))
+    cleaned = clean.clean_all(raw)
+    codes = Codebook.measured(star.choices(spark, sf))
+    tables = SurveyTables.of_cleaned(
+        codes, capture=cleaned.nat, aquaculture=cleaned.aqu, processing=cleaned.processing, patrol=cleaned.patrol
+    )
+    folder = landing_folder(spark)
+    stage_tables(tables, folder)
+    return StagedTables(spark, folder, codes)
+
+
+@query("whole_path__t04", of_submissions(reporting.province_years_sql(
+    reporting.T04_ROWS, reporting.PAIR, D.PROVINCES, "quarter = 'Q1'")))
+def _(spark, sf):
+    return t04_rice_field(_whole_path(spark, sf), Filters(year=1998, quarter="Q1"))
+
+
+@query("whole_path__t08", of_submissions(reporting.enforcement_sql("year IN (1997, 1998)")))
+def _(spark, sf):
+    return t08_enforcement(_whole_path(spark, sf), Filters(year=1998))
+
+
+@query("whole_path__t10", of_submissions(reporting.facilities_sql("year IN (1997, 1998)", True)))
+def _(spark, sf):
+    return t10_facilities(_whole_path(spark, sf), Filters(year=1998))
+
+

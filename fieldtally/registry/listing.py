@@ -73,11 +73,13 @@ def _(spark, sf):
     FROM (SELECT year, month, quarter, week, province, province_group, area_code FROM capture
         UNION ALL SELECT year, month, quarter, week, province, province_group, area_code FROM aqu
         UNION ALL SELECT year, month, quarter, week, province, province_group, area_code
-        FROM processing)""",
-    *FOUR[:3],
+        FROM processing
+        UNION ALL SELECT year, month, quarter, week, province, province_group, 'NA' FROM patrol)""",
+    *FOUR,
 ))
 def _(spark, sf):
-    return O.facets(star.tables(spark, sf).with_area)
+    found = O.facets(star.tables(spark, sf).all)
+    return found.withColumn("area_code", shown("area_code"))
 
 
 @query("provinces_for_group", with_tables(
@@ -129,7 +131,10 @@ def _(spark, sf):
         F.month("o_orderdate").alias("month"),
         F.concat(F.lit("Q"), (F.col("o_custkey") % 4 + 1).cast("string")).alias("quarter"),
     )
-    kept = flt.reconciled_month(F.col("month"), F.col("quarter"))
-    return chosen.groupBy("month", "quarter", shown(kept).alias("month_kept")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    # twelve months and four quarters: the function is applied to every selection that occurs
+    kept = []
+    for row in chosen.groupBy("month", "quarter").agg(F.count(F.lit(1)).alias("n")).collect():
+        before = flt.Filters(month=row.month)
+        after = flt.reconcile_filters(before, before.with_(quarter=row.quarter))
+        kept.append((row.month, row.quarter, "NA" if after.month is None else str(after.month), row.n))
+    return spark.createDataFrame(kept, "month int, quarter string, month_kept string, n long")

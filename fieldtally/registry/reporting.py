@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from fieldtally import domains as D
 from fieldtally.operators.filters import Filters
 from fieldtally.plans import reports as R
@@ -110,6 +112,16 @@ def _(spark, sf):
     return R.t05_marine_province(star.tables(spark, sf), chosen, wide=False)
 
 
+@query("t05_marine_province__missing_ids", province_years_sql(T05_ROWS, PAIR, None, "quarter = 'Q1'"))
+def _(spark, sf):
+    """The same provinces and sums where some submissions, or all of a province, have no id."""
+    tables = star.tables(spark, sf)
+    unnumbered = (F.col("id") % 3 == 0) | (F.col("province") % 2 == 0)
+    capture = tables.capture.withColumn("id", F.when(~unnumbered, F.col("id")))
+    cube = R.capture_cube(capture, Filters(year=1998, quarter="Q1"), ["province", "area_code"])
+    return R.t05_marine_province(tables, Filters(year=1998, quarter="Q1"), cube)
+
+
 def species_sql(where: str, top: int | None) -> str:
     cells = f"""SELECT fish_name_kh, province_kh, CAST(sum({WHOLE}) AS BIGINT) AS catch
         FROM capture WHERE {WHOLE} > 0 AND ({where}) GROUP BY 1, 2"""
@@ -140,6 +152,26 @@ def _(spark, sf):
     return R.t06_species_detail(star.tables(spark, sf), chosen, wide=False)
 
 
+def species_wide_sql(where: str, top: int | None) -> str:
+    """A column per province that has a catch, and the total."""
+    return f"""WITH
+    wide AS (PIVOT ({species_sql(where, top)}) ON province_kh USING sum(catch) GROUP BY fish_name_kh, total)
+    SELECT fish_name_kh, total AS "{D.TOTAL}", coalesce(columns(* EXCLUDE (fish_name_kh, total)), 0) FROM wide"""
+
+
+@query("t06_marine_species__wide", species_wide_sql(f"{T05_ROWS} AND year = 1998", None))
+def _(spark, sf):
+    """All species, since a row beyond the first ones can hold a province no other has."""
+    tables = star.tables(spark, sf)
+    cells = R._species_cells(tables, Filters(year=1998), None, marine=True)
+    return R._species_wide(cells, None)
+
+
+@query("t06_species_detail__wide", species_wide_sql("year = 1998", None))
+def _(spark, sf):
+    return R.t06_species_detail(star.tables(spark, sf), Filters(year=1998))
+
+
 def aquaculture_sql(where: str, detail: bool) -> str:
     sums = {label: f"fish_code = '{code}'" for code, label in D.SPECIES.items()}
     if detail:
@@ -257,6 +289,14 @@ CODE_SUMMARY = with_tables(
 )
 
 
+@query("aqu_code_summary__wide", f"""WITH
+    wide AS (PIVOT ({CODE_SUMMARY}) ON fish_code USING sum(total) GROUP BY row_num, province_kh, total_sum)
+    SELECT row_num AS "{D.ROW_NUMBER_HEADING}", province_kh AS "{D.PROVINCE_OR_CAPITAL}", total_sum AS "{D.TOTAL}",
+        coalesce(columns(* EXCLUDE (row_num, province_kh, total_sum)), 0) FROM wide""")
+def _(spark, sf):
+    return R.aqu_code_summary(star.tables(spark, sf))
+
+
 @query("aqu_code_summary", CODE_SUMMARY)
 def _(spark, sf):
     return R.aqu_code_summary(star.tables(spark, sf), wide=False)

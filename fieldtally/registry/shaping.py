@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally import domains as D
@@ -198,14 +199,28 @@ def _(spark, sf):
     return reshape.round_outputs(sums, ["catch"])
 
 
-@query("sort_desc_total", with_tables(SUMS, "capture0"))
+def _placed(ordered: DataFrame) -> DataFrame:
+    """Rows of a sorted table with their places in it, of a few rows."""
+    numbered = ordered.withColumn("__row", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.orderBy("__row"))
+    return numbered.withColumn("place", place).drop("__row")
+
+
+@query("sort_desc_total", with_tables(
+    f"SELECT *, CAST(row_number() OVER (ORDER BY total DESC, province) AS INTEGER) AS place FROM ({SUMS})",
+    "capture0",
+))
 def _(spark, sf):
-    return reshape.sort_desc_total(_by_province(spark, sf), "province", "total")
+    return _placed(reshape.sort_desc_total(_by_province(spark, sf), "province", "total"))
 
 
-@query("sort_by_domain", with_tables(SUMS, "capture0"))
+@query("sort_by_domain", with_tables(
+    f"""SELECT *, CAST(row_number() OVER (ORDER BY list_position([{texts(CODES)}], province) NULLS LAST, province)
+    AS INTEGER) AS place FROM ({SUMS})""",
+    "capture0",
+))
 def _(spark, sf):
-    return reshape.sort_by_domain(_by_province(spark, sf), "province", CODES)
+    return _placed(reshape.sort_by_domain(_by_province(spark, sf), "province", CODES))
 
 
 SPECIES_SUMS = f"SELECT fish_code, CAST(sum({WHOLE}) AS BIGINT) AS total FROM capture0 GROUP BY 1"
@@ -240,8 +255,10 @@ def _(spark, sf):
     "SELECT trim(aqu_type) AS kind, count(*) AS n FROM aqu0 WHERE aqu_type <> '' GROUP BY 1", "aqu0"
 ))
 def _(spark, sf):
+    """Labels with blanks, tabs and line ends around them."""
     rows = _aquaculture(spark, sf).where("aqu_type <> ''")
-    return reshape.group_count(rows, [F.trim("aqu_type").alias("kind")], "n")
+    around = F.when(F.col("pos") % 2 == 1, F.concat(F.lit("\t "), "aqu_type", F.lit("\r\n"))).otherwise(F.col("aqu_type"))
+    return reshape.group_count(rows, [answers.trimmed(around).alias("kind")], "n")
 
 
 @query("empty_safe", with_tables(SUMS.replace("GROUP BY", "WHERE year = 1900 GROUP BY"), "capture0"))

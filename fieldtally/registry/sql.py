@@ -33,7 +33,7 @@ TYPE_ANSWER = """CASE l_linenumber WHEN 1 THEN 'pond' WHEN 2 THEN 'Ponds_batch'
 SPECIES_CODE = """CASE WHEN l_returnflag = 'R' THEN 'FM' || lpad(CAST(l_partkey % 100 AS VARCHAR), 3, '0')
     ELSE CAST(l_partkey % 100 AS VARCHAR) END"""
 
-_CTES = {
+table_sql = {
     "provinces": f"""SELECT CAST(n_nationkey + 1 AS VARCHAR) AS code,
         list_extract([{texts(D.PROVINCES)}], n_nationkey + 1) AS province_kh, n_name AS province_en
         FROM nation""",
@@ -82,12 +82,12 @@ def _labelled(base: str, *lists: str) -> str:
     return f"SELECT t.*, {group_of('t.province')} AS province_group, {shown} FROM {base} t {joins}"
 
 
-_CTES["capture"] = _labelled("capture0", "provinces", "fish", "areas")
-_CTES["aqu"] = _labelled("aqu0", "provinces", "areas")
-_CTES["aquf"] = _labelled("aqu0", "provinces", "fish", "areas")
-_CTES["processing"] = _labelled("processing0", "provinces", "areas", "kinds")
-_CTES["patrol"] = _labelled("patrol0", "provinces")
-_CTES["subs"] = f"""SELECT l_orderkey * 8 + l_linenumber AS id, l_linenumber AS line,
+table_sql["capture"] = _labelled("capture0", "provinces", "fish", "areas")
+table_sql["aqu"] = _labelled("aqu0", "provinces", "areas")
+table_sql["aquf"] = _labelled("aqu0", "provinces", "fish", "areas")
+table_sql["processing"] = _labelled("processing0", "provinces", "areas", "kinds")
+table_sql["patrol"] = _labelled("patrol0", "provinces")
+table_sql["subs"] = f"""SELECT l_orderkey * 8 + l_linenumber AS id, l_linenumber AS line,
     strftime(l_shipdate, '%Y-%m-%d') AS date,
     CASE WHEN l_linenumber = 2 THEN CASE WHEN l_suppkey % 26 < 10 THEN '0' ELSE '' END ELSE '' END
         || CAST(l_suppkey % 26 AS VARCHAR) AS province,
@@ -112,5 +112,5 @@ _NEEDS = {
 def with_tables(body: str, *names: str, **more: str) -> str:
     """A query on survey tables: ``names`` from above, ``more`` given as SQL, in that order."""
     wanted = dict.fromkeys(n for name in names for n in (*_NEEDS.get(name, ()), name))
-    parts = [f"{n} AS ({_CTES[n]})" for n in wanted] + [f"{n} AS ({q})" for n, q in more.items()]
+    parts = [f"{n} AS ({table_sql[n]})" for n in wanted] + [f"{n} AS ({q})" for n, q in more.items()]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # what a settled frame was written to goes when nothing refers to it any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # no Python stack per column expression: plans of many columns build several times faster
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -39,15 +41,6 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores ahead of costly per-row work, if the input has fewer splits than that.
-
-    A large input has more, and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Write a small aggregated frame to the shared folder, so that no later step rescans."""
     folder = shared_folder(df.sparkSession)

@@ -76,13 +76,19 @@ def write_report_bundle(
 ) -> dict[str, str]:
     """Writes each report, laid out and as text, to ``out/<sheet>/run_date=<day>``.
 
-    A run replaces what an earlier run of the same day wrote.  Parquet keeps the cells as column
-    metadata.  The sheets are small, so a few are written at a time.  Returns each one's folder.
+    A run replaces what an earlier run of the same day wrote.  ``sheet_row`` is the row of the
+    sheet that a row of the report fills, from its first block's row down; a sheet has a million
+    rows at most, so one task numbers them, in the order of the report, and writes one file.
+    Parquet keeps the cells as column metadata.  A few sheets are written at a time.  Returns each
+    one's folder.
     """
     day = (run_date or datetime.date.today()).isoformat()
 
     def write(name: str) -> str:
-        placed = report_layout(reports[name], LAYOUT.get(name, (Block(1, 1),)))
+        blocks = LAYOUT.get(name, (Block(1, 1),))
+        placed = report_layout(reports[name], blocks).coalesce(1)
+        row = F.monotonically_increasing_id() + blocks[0].start_row
+        placed = placed.withColumn("sheet_row", row.cast("int"))
         target = f"{out}/{D.SHEETS.get(name, name)}/run_date={day}"
         writer = stringify_all(placed).write.mode("overwrite").format(fmt)
         (writer.option("header", "true") if fmt == "csv" else writer).save(target)

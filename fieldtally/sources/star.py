@@ -23,7 +23,6 @@ from fieldtally.operators.lookups import (
     code_list,
 )
 from fieldtally.plans.typed import SurveyTables
-from fieldtally.session import spread
 from fieldtally.sources.submissions import REPEAT_FIELDS
 
 # Answers to the aquaculture type question, by line number.
@@ -189,7 +188,20 @@ def _nested(items: DataFrame) -> DataFrame:
 def payload_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The submissions as JSON payloads of one submission each."""
     one = F.to_json(F.struct(F.array(F.struct("*")).alias("results")))
-    return _nested(spread(table(spark, sf_dir, "lineitem"))).select(one.alias("payload"))
+    return submissions(spark, sf_dir).select(one.alias("payload"))
+
+
+def line_texts(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """The submissions as JSON, one in a row, with more answers than the reports need."""
+    return submissions(spark, sf_dir).select(F.to_json(F.struct("*", *more)).alias("value"))
+
+
+def page_texts(spark: SparkSession, sf_dir: str, size: int = 2000) -> DataFrame:
+    """The submissions as JSON payloads of up to ``size``, with the number of the page."""
+    page = F.floor(F.col("_id") / size).alias("page")
+    pages = submissions(spark, sf_dir).select(page, F.struct("*").alias("s"))
+    pages = pages.groupBy("page").agg(F.collect_list("s").alias("results"))
+    return pages.select("page", F.to_json(F.struct("results")).alias("value"))
 
 
 def _choice_rows(df: DataFrame, name: str, code: Column, kh: Column, en: Column) -> DataFrame:

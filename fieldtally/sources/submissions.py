@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtally.operators.repeats import require_results
-from fieldtally.session import spread
+
+BAD = "__unread"
 
 
 def texts(*names: str) -> T.StructType:
@@ -19,7 +20,7 @@ def _repeat(*names: str) -> T.ArrayType:
     return T.ArrayType(texts(*names))
 
 
-# Fields of one element of each repeat group, as the form names them.
+# Fields of one element of each repeat group, as the form names them.
 REPEAT_FIELDS = {
     "nat_fishcatch": (
         "nat_fishcatch/nat_catch",
@@ -70,19 +71,78 @@ def results_of(payload: DataFrame) -> DataFrame:
     return rows.where(F.col("s").isNotNull()).select("s.*")
 
 
+def records(texts_read: DataFrame, schema: T.StructType) -> DataFrame:
+    """``file, text, s`` and ``bad`` of texts in ``value``, each parsed once.
+
+    ``bad`` is the text itself where it can't be read as ``schema``: torn, of another type in any
+    field, or no object.  Empty lines are no records.
+    """
+    parsed = F.from_json("value", T.StructType([*schema.fields, T.StructField(BAD, T.StringType())]), {"columnNameOfCorruptRecord": BAD})
+    rows = texts_read.where(F.trim("value") != "").select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"), parsed.alias("s")
+    )
+    unread = F.col("s").isNull() | F.col(f"s.{BAD}").isNotNull()
+    return rows.withColumn("bad", F.when(unread, F.col("text")))
+
+
+def readable(rows: DataFrame, skip: bool) -> DataFrame:
+    """Parsed records; an unreadable one fails the job and names its file, or is left out with ``skip``."""
+    if skip:
+        return rows.where(F.col("bad").isNull()).select("s.*").drop(BAD)
+    failed = F.raise_error(F.concat(F.lit("a submission can't be read in "), F.col("file")))
+    return rows.where(F.when(F.col("bad").isNotNull(), failed).otherwise(F.lit(True))).select("s.*").drop(BAD)
+
+
+def _texts(reader, path: str, lines: bool) -> DataFrame:
+    return reader.option("wholetext", not lines).text(path)
+
+
+def _record_schema(schema: T.StructType, lines: bool) -> T.StructType:
+    return T.StructType(list((schema if lines else payload_schema(schema)).fields))
+
+
 def read_submissions(
-    spark: SparkSession, path: str, lines: bool = False, schema: T.StructType = SUBMISSION
+    spark: SparkSession, path: str, lines: bool = False, schema: T.StructType = SUBMISSION, rejects: str | None = None
 ) -> DataFrame:
     """Submissions from landed JSON files.
 
     ``lines`` reads one submission per line, which Spark splits within a file; use it for large
     files.  Otherwise each file is one payload page and is parsed by one task; the submissions of
-    a few large pages are then spread over all cores.
+    a few large pages are then dealt out evenly.
+
+    A record that can't be read as ``schema`` (a line, or a page) fails the job with the name of
+    its file.  With ``rejects``, such records are first written to that folder, by `set_aside`,
+    and the others are returned.
+    """
+    if rejects is not None:
+        set_aside(spark, path, rejects, lines, schema)
+    rows = records(_texts(spark.read, path, lines), _record_schema(schema, lines))
+    found = readable(rows, skip=rejects is not None)
+    return found if lines else results_of(found).hint("rebalance")
+
+
+def set_aside(
+    spark: SparkSession, path: str, rejects: str, lines: bool = False, schema: T.StructType = SUBMISSION
+) -> int:
+    """Writes the records that can't be read to a folder, as ``file, text``, and gives their number."""
+    rows = records(_texts(spark.read, path, lines), _record_schema(schema, lines))
+    rows.where(F.col("bad").isNotNull()).select("file", "text").write.mode("overwrite").parquet(rejects)
+    return spark.read.schema("file string, text string").parquet(rejects).count()
+
+
+def find_schema(spark: SparkSession, path: str, lines: bool = False) -> T.StructType:
+    """The schema of landed files with every answer in them, text where the reports say nothing else.
+
+    One pass over all files, none of them sampled.  The fields of ``SUBMISSION`` keep their types,
+    so that a file that lacks or spoils one doesn't change the tables.
     """
-    if lines:
-        return spark.read.schema(schema).json(path)
-    pages = spark.read.schema(payload_schema(schema)).json(path, multiLine=True)
-    return spread(results_of(pages))
+    reader = spark.read.option("primitivesAsString", True).option("samplingRatio", 1.0)
+    found = reader.json(path, multiLine=not lines).schema
+    if not lines:
+        found = found["results"].dataType.elementType if "results" in found.names else T.StructType([])
+    known = set(SUBMISSION.names)
+    more = [f for f in found.fields if f.name not in known and f.name != "_corrupt_record"]
+    return T.StructType([*SUBMISSION.fields, *more])
 
 
 def parse_submissions(text: Column, schema: T.StructType = SUBMISSION) -> Column:

@@ -9,11 +9,13 @@ lost driver or executor neither loses nor repeats a submission.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from fieldtally.plans import clean, typed
-from fieldtally.sources.submissions import SUBMISSION
+from fieldtally.sources.staging import stage_facets
+from fieldtally.sources.submissions import SUBMISSION, readable, records
 
 STEPS = {
     "capture": (clean.clean_capture, typed.typed_capture),
@@ -21,7 +23,8 @@ STEPS = {
     "processing": (clean.clean_processing, typed.typed_processing),
     "patrol": (clean.clean_patrol, typed.typed_patrol),
 }
-MAX_FILES = 1000
+#: Files of a batch, and parts a year's rows of a batch are written in.
+MAX_FILES, FILES_PER_YEAR = 1000, 4
 
 
 def _start(writer: DataStreamWriter, out: str, checkpoint: str) -> StreamingQuery:
@@ -36,10 +39,34 @@ def land(
     staged: str,
     checkpoint: str,
     schema: T.StructType = SUBMISSION,
+    skip_bad: bool = False,
+    max_files: int = MAX_FILES,
 ) -> StreamingQuery:
-    """Parses new JSON-lines files of a folder into staged submissions."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", MAX_FILES)
-    return _start(reader.json(landed).writeStream, staged, f"{checkpoint}/submissions")
+    """Parses new JSON-lines files of a folder into staged submissions.
+
+    A line that can't be read fails the batch with the name of its file, as in the one-off load.
+    With ``skip_bad`` it is left out; run `land_rejects` to keep such lines.
+    """
+    rows = records(_lines(spark, landed, max_files), schema)
+    return _start(readable(rows, skip_bad).writeStream, staged, f"{checkpoint}/submissions")
+
+
+def land_rejects(
+    spark: SparkSession,
+    landed: str,
+    rejects: str,
+    checkpoint: str,
+    schema: T.StructType = SUBMISSION,
+    max_files: int = MAX_FILES,
+) -> StreamingQuery:
+    """Keeps the lines of new files that can't be read, as ``file, text``."""
+    rows = records(_lines(spark, landed, max_files), schema)
+    bad = rows.where(F.col("bad").isNotNull()).select("file", "text")
+    return _start(bad.writeStream, rejects, f"{checkpoint}/rejects")
+
+
+def _lines(spark: SparkSession, landed: str, max_files: int) -> DataFrame:
+    return spark.readStream.option("maxFilesPerTrigger", max_files).text(landed)
 
 
 def typed_stream(submissions: DataFrame, name: str) -> DataFrame:
@@ -54,8 +81,37 @@ def load(
     out: str,
     checkpoint: str,
     schema: T.StructType = SUBMISSION,
+    max_files: int = MAX_FILES,
 ) -> StreamingQuery:
-    """Appends a table's rows of newly staged submissions, by year, as `StagedTables` reads them."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", MAX_FILES)
+    """Appends a table's rows of newly staged submissions, by year, as `StagedTables` reads them.
+
+    Rows are dealt by year and a salt, so that a batch leaves a few files a year however many
+    tasks it has, and a year with most of the rows has several writers.
+    """
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
     rows = typed_stream(reader.parquet(staged), name)
+    rows = rows.repartition("year", F.pmod(F.xxhash64("id", "pos"), F.lit(FILES_PER_YEAR)))
     return _start(rows.writeStream.partitionBy("year"), f"{out}/{name}", f"{checkpoint}/{name}")
+
+
+def load_facets(
+    spark: SparkSession,
+    name: str,
+    staged: str,
+    out: str,
+    checkpoint: str,
+    schema: T.StructType = SUBMISSION,
+    max_files: int = MAX_FILES,
+) -> StreamingQuery:
+    """Adds the filter values of newly staged submissions to those kept with the tables.
+
+    Each batch has its own part, which a repeated batch replaces.
+    """
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    rows = typed_stream(reader.parquet(staged), name)
+
+    def add(batch: DataFrame, number: int) -> None:
+        stage_facets([batch], out, f"{name}-{number}")
+
+    writer = rows.writeStream.foreachBatch(add).option("checkpointLocation", f"{checkpoint}/facets-{name}")
+    return writer.trigger(availableNow=True).start()
