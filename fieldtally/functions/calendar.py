@@ -46,6 +46,11 @@ def month_to_quarter(month: Column) -> Column:
     )
 
 
+def day(value: datetime.date) -> Column:
+    """A day as a constant, of any year a date can have."""
+    return F.lit(value.isoformat()).cast("date")
+
+
 def in_months(date: Column, year: int, first: int, last: int) -> Column:
     """Dates of a year's months ``first`` to ``last``, as a range, so that a scan can skip files by it.
 
@@ -53,10 +58,10 @@ def in_months(date: Column, year: int, first: int, last: int) -> Column:
     """
     met = F.lit(year <= datetime.MAXYEAR) & F.lit(year >= datetime.MINYEAR)
     if datetime.MINYEAR <= year <= datetime.MAXYEAR:
-        met = date >= F.lit(datetime.date(year, first, 1))
+        met = date >= day(datetime.date(year, first, 1))
         after = datetime.date(year, last, 28) + datetime.timedelta(days=4) if (year, last) < (datetime.MAXYEAR, 12) else None
         if after is not None:
-            met &= date < F.lit(after.replace(day=1))
+            met &= date < day(after.replace(day=1))
     return met
 
 
@@ -64,7 +69,7 @@ def in_years(date: Column, first: int, last: int) -> Column:
     """Dates of the years ``first`` to ``last``, as a range; open where no date lies beyond."""
     met = date.isNotNull()
     if first > datetime.MINYEAR:
-        met &= date >= F.lit(datetime.date(first, 1, 1))
+        met &= date >= day(datetime.date(first, 1, 1))
     if last < datetime.MAXYEAR:
-        met &= date < F.lit(datetime.date(last + 1, 1, 1))
+        met &= date < day(datetime.date(last + 1, 1, 1))
     return met

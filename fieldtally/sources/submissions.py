@@ -94,7 +94,7 @@ def readable(rows: DataFrame, skip: bool) -> DataFrame:
 
 
 def _texts(reader, path: str, lines: bool) -> DataFrame:
-    return reader.option("wholetext", not lines).text(path)
+    return reader.text(path, wholetext=not lines)
 
 
 def _record_schema(schema: T.StructType, lines: bool) -> T.StructType:

@@ -15,7 +15,13 @@ from fieldtally.plans.bundle import report_bundle
 from fieldtally.plans.typed import SurveyTables
 from fieldtally.session import settle, shared_folder
 from fieldtally.sources import sinks, staging
-from fieldtally.sources.submissions import read_submissions, stage_submissions
+from fieldtally.sources.submissions import (
+    SUBMISSION,
+    find_schema,
+    read_submissions,
+    set_aside,
+    stage_submissions,
+)
 from fieldtally.streaming import landing
 
 
@@ -105,11 +111,71 @@ def test_a_page_without_results_fails_and_an_empty_one_does_not(spark, tmp_path)
     (tmp_path / "empty").mkdir()
     (tmp_path / "empty" / "0.json").write_text('{"results": []}')
     assert read_submissions(spark, str(tmp_path / "empty")).count() == 0
-    for name, text in (("other", '{"detail": "not found"}'), ("torn", '{"results": [{"_id": 1')):
-        (tmp_path / name).mkdir()
-        (tmp_path / name / "0.json").write_text(text)
-        with pytest.raises(Exception, match="no results"):
-            read_submissions(spark, str(tmp_path / name)).count()
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "0.json").write_text('{"detail": "not found"}')
+    with pytest.raises(Exception, match="no results"):
+        read_submissions(spark, str(tmp_path / "other")).count()
+
+
+BAD_LINES = {
+    "torn": '{"_id": 7, "date": "2024-01-0',
+    "wrong_group": '{"_id": 7, "date": "2024-01-05", "nat_fishcatch": "none"}',
+    "wrong_id": '{"_id": "abc", "date": "2024-01-05"}',
+    "no_object": "7",
+}
+
+
+def with_bad_line(folder, bad, page):
+    good = [json.dumps(s) for s in SUBMISSIONS[:2]]
+    folder.mkdir()
+    if page:
+        (folder / "good.json").write_text(f'{{"results": [{", ".join(good)}]}}')
+        (folder / "bad.json").write_text(f'{{"results": [{bad}]}}')
+    else:
+        (folder / "good.json").write_text(good[0] + "\n\n")
+        (folder / "bad.json").write_text(f"{good[1]}\n{bad}\n")
+
+
+@pytest.mark.parametrize("page", [False, True])
+@pytest.mark.parametrize("kind", list(BAD_LINES))
+def test_what_cannot_be_read_fails_or_is_set_aside(spark, tmp_path, kind, page):
+    folder, rejects = tmp_path / "in", str(tmp_path / "rejects")
+    with_bad_line(folder, BAD_LINES[kind], page)
+    for ask in (lambda df: df.count(), lambda df: df.select("date").collect(), lambda df: df.collect()):
+        with pytest.raises(Exception, match="can't be read in .*bad.json"):
+            ask(read_submissions(spark, str(folder), lines=not page))
+    kept = read_submissions(spark, str(folder), lines=not page, rejects=rejects)
+    assert sorted(r[0] for r in kept.select("_id").collect()) == [1, 2]
+    (aside,) = spark.read.parquet(rejects).collect()
+    assert aside.file.endswith("bad.json") and BAD_LINES[kind] in aside.text
+    assert set_aside(spark, str(folder), rejects, lines=not page) == 1
+
+
+def test_a_stream_stops_at_what_cannot_be_read_or_keeps_it_apart(spark, tmp_path):
+    folder, at = tmp_path / "in", lambda name: str(tmp_path / name)
+    folder.mkdir()
+    (folder / "0.json").write_text("\n".join([json.dumps(SUBMISSIONS[0]), *BAD_LINES.values()]))
+    with pytest.raises(Exception, match="can't be read in .*0.json"):
+        landing.land(spark, str(folder), at("staged"), at("strict")).awaitTermination()
+    landing.land(spark, str(folder), at("kept"), at("lax"), skip_bad=True).awaitTermination()
+    assert spark.read.parquet(at("kept")).count() == 1
+    for _ in range(2):
+        landing.land_rejects(spark, str(folder), at("rejects"), at("lax")).awaitTermination()
+    assert {r.text for r in spark.read.parquet(at("rejects")).collect()} == set(BAD_LINES.values())
+
+
+def test_every_answer_is_found(spark, tmp_path):
+    more = SUBMISSIONS[0] | {"remarks": "n", "law/extra": 3, "boat": {"Length": 2.5}, "names": ["a", 1]}
+    (tmp_path / "0.json").write_text("\n".join(json.dumps(s) for s in (SUBMISSIONS[1], more)))
+    schema = find_schema(spark, str(tmp_path), lines=True)
+    assert schema.fields[: len(SUBMISSION.fields)] == SUBMISSION.fields
+    main = clean.clean_main(read_submissions(spark, str(tmp_path), lines=True, schema=schema))
+    found = {r.id: r for r in main.collect()}
+    assert (found[1].law_extra, found[1].boat_length, found[2].law_extra, found[1].remarks) == ("3", "2.5", "null", "n")
+    assert "formhub_uuid" not in main.columns
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages" / "0.json").write_text(json.dumps({"results": [more]}))
+    assert set(find_schema(spark, str(tmp_path / "pages")).names) == set(schema.names)
 
 
 def test_cleaned_tables(submissions):
@@ -208,11 +274,12 @@ def test_bundle_on_disk(spark, tables, tmp_path):
     assert len(written) == 9
     assert written["t02_dai"].endswith("/T02_ផលឧបករណ៍ដាយ/run_date=2024-12-31")
     dai = spark.read.option("header", True).csv(written["t02_dai"])
-    assert dai.columns == ["province_kh", "2023", "2024"]
-    assert rows(dai)[0] == (D.PROVINCES[7], "0", "2")
+    assert dai.columns == ["province_kh", "2023", "2024", "sheet_row"]
+    assert rows(dai)[0] == (D.PROVINCES[7], "0", "2", "11")
+    assert [r.sheet_row for r in dai.collect()] == ["11", "12", "13"]
     kept = sinks.write_report_bundle({"t02_dai": reports["t02_dai"]}, str(tmp_path / "p"), day, "parquet")
     fields = spark.read.parquet(kept["t02_dai"]).schema.fields
-    assert [f.metadata["col"] for f in fields] == [2, 3, 5]
+    assert [f.metadata["col"] for f in fields[:-1]] == [2, 3, 5] and fields[-1].name == "sheet_row"
 
 
 def test_staged_tables_give_the_same_reports(spark, tables, codes, tmp_path):
@@ -222,6 +289,26 @@ def test_staged_tables_give_the_same_reports(spark, tables, codes, tmp_path):
         assert rows(report(staged, Filters(year=2024))) == rows(report(tables, Filters(year=2024)))
     df = R.t04_rice_field(staged, Filters(year=2024))
     assert "PartitionFilters: [isnotnull(year" in df._jdf.queryExecution().toString()
+    assert staged.capture is staged.capture
+
+
+def scans(df, *names):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return {name: text.split("== Initial Plan ==")[0].count(f"{name}]") for name in names}
+
+
+def test_province_lists_need_no_fact_table(spark, tables, codes, tmp_path):
+    staging.stage_tables(tables, str(tmp_path))
+    staged = staging.StagedTables(spark, str(tmp_path), codes)
+    report = R.t08_enforcement(staged, Filters(year=2024))
+    report.collect()
+    found = scans(report, *(f"{tmp_path}/{n}" for n in (*staging.NAMES, "facets")))
+    assert list(found.values()) == [0, 0, 0, 1, 1]
+    (tmp_path / "bare").mkdir()
+    for name in staging.NAMES:
+        staging.stage_table(getattr(tables, name), str(tmp_path / "bare" / name))
+    bare = staging.StagedTables(spark, str(tmp_path / "bare"), codes)
+    assert rows(R.t08_enforcement(bare, Filters(year=2024))) == rows(report)
 
 
 def test_landed_files_are_loaded_once(spark, landed, tables, codes, tmp_path):
@@ -233,6 +320,7 @@ def test_landed_files_are_loaded_once(spark, landed, tables, codes, tmp_path):
         landing.land(spark, str(source), parsed, checkpoint).awaitTermination()
         for name in landing.STEPS:
             landing.load(spark, name, parsed, str(out), checkpoint).awaitTermination()
+            landing.load_facets(spark, name, parsed, str(out), checkpoint).awaitTermination()
 
     for n in (0, 1):
         (source / f"{n}.json").write_text((landed / "lines" / f"{n}.json").read_text())
@@ -244,6 +332,9 @@ def test_landed_files_are_loaded_once(spark, landed, tables, codes, tmp_path):
         assert sorted(rows(kept.select(typed.columns)), key=str) == sorted(rows(typed), key=str)
     assert rows(R.t04_rice_field(staged, Filters(year=2024))) == rows(
         R.t04_rice_field(tables, Filters(year=2024)))
+    values = staged.offered[0].distinct()
+    assert sorted(rows(values), key=str) == sorted(rows(O.facets(tables.all).select(values.columns)), key=str)
+    assert len(list(out.glob("capture/year=2024/*.parquet"))) <= 2 * landing.FILES_PER_YEAR
 
 
 def test_shared_folder_is_the_one_the_cluster_names(spark, tmp_path):

@@ -109,3 +109,20 @@ def test_lists_to_text(one):
 def test_recode_and_position(one):
     assert one(lambda c: answers.recode(c, {"2": "two"}), ["2", "3", None]) == ["two", None, None]
     assert one(lambda c: answers.position_in(c, ("b", "a")), ["a", "b", "c", None]) == [2, 1, None, None]
+
+
+def test_moments_with_a_zone_are_given_in_utc(spark, one):
+    texts = ["2024-03-01T08:00:00+07:00", "2024-03-01T08:00:00.250+0700", "2024-03-01T08:00:00Z",
+             "2024-03-01 01:00:00-02", "2024-03-01T08:00:00", "2024-03-01"]
+    expected = ["2024-03-01 01:00:00", "2024-03-01 01:00:00", "2024-03-01 08:00:00",
+                "2024-03-01 03:00:00", "2024-03-01 08:00:00", "2024-03-01"]
+    for zone in ("UTC", "Asia/Phnom_Penh"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert one(coercion.to_moment_text, texts) == expected
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_labels_lose_white_space_at_their_ends(one):
+    assert one(answers.trimmed, ["\t a b\r\n", "a", " ", None]) == ["a b", "a", "", None]

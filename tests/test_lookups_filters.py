@@ -125,3 +125,16 @@ def test_reconcile():
 def test_months_of_quarter():
     assert [flt.months_of_quarter(q) for q in (1, 2, 3, 4)] == [
         (1, 2, 3), (4, 5, 6), (7, 8, 9), (10, 11, 12)]
+
+
+@pytest.mark.parametrize("year", [1, 2, 9998, 9999])
+def test_every_year_can_be_asked_for(frame, year):
+    days = [datetime.date(y, m, 1) for y in (1, 2, 9997, 9998, 9999) for m in (1, 12)]
+    df = frame([(d,) for d in days], "date date")
+    for chosen in (flt.Filters(year=year), flt.Filters(year=year, month=12), flt.Filters(year=year, quarter=1)):
+        years = (year - 1, year)
+        got = flt.filter_year_pair(df, year).where(flt.in_period(chosen, years=years)).collect()
+        months = {12} if chosen.month else {1} if chosen.quarter else {1, 12}
+        assert {r.date for r in got} == {d for d in days if d.year in years and d.month in months}
+    both = flt.Filters(year=2, quarter=1, month=12)
+    assert df.where(flt.in_period(both, years=(1, 2))).count() == 0

@@ -55,6 +55,18 @@ def test_year_range_and_columns_reach_the_scan(tables, report):
     assert "l_extendedprice" not in schema and "l_tax" not in schema
 
 
+@pytest.mark.parametrize("report", FIXED, ids=lambda r: r.__name__)
+@pytest.mark.parametrize(("chosen", "ends"), [
+    ({"quarter": 1}, [("1997-01-01", "1997-04-01"), ("1998-01-01", "1998-04-01")]),
+    ({"month": 12}, [("1997-12-01", "1998-01-01"), ("1998-12-01", "1999-01-01")]),
+])
+def test_quarter_and_month_reach_the_scan_as_ranges(tables, report, chosen, ends):
+    text = plan(report(tables, Filters(year=1998, **chosen)), "formatted")
+    pushed = next(line for line in text.splitlines() if "PushedFilters" in line and "l_shipdate" in line)
+    for first, behind in ends:
+        assert re.search(rf"And\(GreaterThanOrEqual\(l_shipdate,{first}.{{0,9}}\),LessThan\(l_shipdate,{behind}", pushed)
+
+
 def test_species_cells_are_computed_once(tables):
     text = plan(R.t06_marine_species(tables, Filters(year=1998), wide=False))
     assert "ReusedExchange" in text
