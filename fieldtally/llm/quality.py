@@ -86,7 +86,8 @@ def features(batch: list[str]) -> np.ndarray:
         run = np.zeros_like(kind)
         for n, buckets in zip(SIZES, run_buckets()):
             run = (run[: len(kind) - n + 1] << 7) | kind[n - 1 :] if n > 1 else kind
-            counts += np.bincount(at[: len(run)] + buckets[run], minlength=counts.size)
+            inside = at[: len(run)] == at[n - 1 :]  # no run reaches into the next text
+            counts += np.bincount((at[: len(run)] + buckets[run])[inside], minlength=counts.size)
     counts = counts.reshape(len(batch), BUCKETS)
     shares = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
     return np.hstack([shares, np.array([measures(t) for t in batch]).reshape(-1, MEASURES)]).astype(np.float32)
@@ -94,7 +95,7 @@ def features(batch: list[str]) -> np.ndarray:
 
 def embed(model: Model, found: np.ndarray) -> np.ndarray:
     """Vectors of length 1 in the latent space; zero stays zero."""
-    vectors = (found * model.idf - model.centre) @ model.axes
+    vectors = (found * model.idf - model.centre).astype(np.float64) @ model.axes
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
 
 
@@ -147,7 +148,7 @@ def train(found: np.ndarray, labels: np.ndarray) -> Model:
     weighed = found * idf
     centre = weighed.mean(0)
     axes, spread = singular_vectors(weighed - centre, WIDTH)
-    scaled = (axes / np.sqrt(np.maximum(spread, 1e-6))).astype(np.float32)  # half way to equal spread
+    scaled = axes / np.sqrt(np.maximum(spread, 1e-6))  # half way to equal spread
     space = Model(idf, centre, scaled, np.zeros((0, 0)), labels, float(labels.mean()))
     return replace(space, vectors=embed(space, found))
 
@@ -189,7 +190,7 @@ def score_batches(spark, model: Model | None):
             for at in range(0, len(some), 512):
                 block = [t or "" for t in some[at : at + 512]]
                 found = votes(model, embed(model, features(block))) if model else np.full(len(block), 0.5)
-                scores.append(np.clip(found, 0, 1))
+                scores.append(np.round(np.clip(found, 0, 1), 9))  # sums differ in the last digits with the block
         return pa.array(np.concatenate(scores) if scores else [], pa.float64())
 
     return scored

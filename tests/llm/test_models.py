@@ -77,6 +77,12 @@ def test_votes_are_exact(monkeypatch):
         assert abs(found - expected) < 1e-6
 
 
+def test_features_are_of_one_text_alone():
+    texts = ["", "A | b\n", "", "x" * 50, "The THE the!!", "12 é"]
+    together = quality.features(texts)
+    assert all((quality.features([t])[0] == row).all() for t, row in zip(texts, together))
+
+
 def test_quality_edges(spark):
     docs = documents(spark)
     labelled = docs.withColumn("quality", (F.col("doc_id") % 2).cast("int"))
