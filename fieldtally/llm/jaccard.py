@@ -1,18 +1,24 @@
 """Exact Jaccard join of texts as sets of word shingles, as a join in a metric space.
 
-One minus the Jaccard similarity is a metric. Pivots drawn from a region split it into Voronoi
-cells, and by the triangle inequality a text can only have a partner in the cell of another pivot
-if that pivot is at most twice the radius farther than its own, so it is copied there too. Cells
-are regions again, joined in the same way, until they are small and compared pair by pair.
-
-Pivots can't split all texts at once: unrelated texts are all at a distance of nearly one from
-each other, so no window would leave any cell out. The first regions are therefore the texts that
-share one of their rarest shingles, enough of them that two linked texts always share one. Rare
-is by a table of counts of all shingles, folded by hash to a fixed size; any order is exact.
-
+One minus the Jaccard similarity is a metric. A pivot drawn from a region divides it: points within
+the radius are linked with the pivot, and so with each other. By the triangle inequality none of
+them has a partner beyond twice the radius. Points in the window between can have partners among
+those within and among themselves, but only if they share a difference from the pivot (what
+differs between two sets is what only one of them has different from the pivot), so points of
+these two zones go to a cell for each of their differences. What is outside the radius is a cell
+too, if something lies beyond the window. Cells are regions again, joined in the same way, until
+they are small and compared pair by pair.
+
+Pivots can't divide all texts at once: unrelated texts are all at a distance of nearly one from
+each other, so all would lie beyond each window. The first regions are therefore the texts that
+share one of their rarest shingles, enough of them that two linked texts always share one. A
+shingle is as rare as its rarest word, by a table of counts of the words of all texts, folded by
+hash to a fixed size; any order is exact.
+
+Before two sets are compared, their sketches are: counts of shingles by a few places of their
+hash. The sum of their differences is at most that of the sets, so nothing linked is passed over.
 Equal sets are one point. Links only matter here for the classes they make, so pairs that are in
-one class already aren't compared again; before cells are made, each region is compared with a
-few single pivots, which joins most groups of copies at once.
+one class already aren't compared again.
 """
 
 from __future__ import annotations
@@ -28,159 +34,242 @@ from pyspark.sql import functions as F
 
 from fieldtally.llm.common import packed, texts, written
 
-#: Bits of a shingle's hash that name its place in the table of counts.
-COUNTED_BITS = 18
-#: Single pivots a region is compared with first; pivots of a large region, about; points of a small one.
-STARS, PIVOTS, SMALL = 3, 8, 32
-#: Times a region is split before it is compared pair by pair, however large; results are the same.
-DEPTH = 4
+#: Bits of a word's hash that name its place in the table of counts.
+COUNTED_BITS = 21
+#: Rows of at most 50 bytes that are broadcast; more are shuffled.
+BROADCAST_ROWS = 500_000
+#: Points of a region that is compared pair by pair, and places of a sketch.
+SMALL, SKETCH = 64, 32
+#: Times a region is divided; what is left is compared pair by pair, however large.
+DEPTH = 2
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """Sorted hashes of the different runs of ``n`` words; with fewer words, of the one run of all.
-
-    A-Z are lower-cased; words are what stands between ASCII white space.
-    """
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash of each word; A-Z are lower-cased, and words are what stands between ASCII white space."""
     words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def runs_of(hashed: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of ``n`` words; with fewer words, of the one run of all."""
+    size = min(n, len(hashed))
+    if not size:
         return np.zeros(0, np.int64)
-    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    size = min(n, len(words))
-    runs = np.full(len(words) - size + 1, size, np.uint64)
+    runs = np.full(len(hashed) - size + 1, size, np.uint64)
     for i in range(size):
-        runs = runs * np.uint64(0x9E3779B97F4A7C15) + hashed[i : len(words) - size + 1 + i]
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + hashed[i : len(hashed) - size + 1 + i]
         runs ^= runs >> np.uint64(29)
-    return np.unique(runs.view(np.int64))
+    return runs.view(np.int64)
+
+
+def shingles(text: str | None, n: int) -> np.ndarray:
+    """Sorted hashes of the different runs of ``n`` words."""
+    return np.unique(runs_of(word_hashes(text), n))
+
+
+def rarest(text: str | None, n: int, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a text, and those of the rarest words: one more than two linked sets can differ in."""
+    hashed = word_hashes(text)
+    own, first = np.unique(runs_of(hashed, n), return_index=True)
+    if not len(own):
+        return own, own
+    by_word, size = counts[places(hashed)], min(n, len(hashed))
+    least = by_word[: len(hashed) - size + 1]
+    for i in range(1, size):
+        least = np.minimum(least, by_word[i : len(hashed) - size + 1 + i])
+    kept = len(own) - -(-len(own) * percent // 100) + 1
+    return own, own[np.lexsort((own, least[first]))[:kept]]
+
+
+def sketch(own: np.ndarray) -> list[int]:
+    """How many shingles have each value of the lowest bits of their hash."""
+    return np.minimum(np.bincount(own & (SKETCH - 1), minlength=SKETCH), 32767).tolist()
+
+
+def keyed(values: np.ndarray) -> bytes:
+    """What stands for a set: 128 bits of its sorted hashes."""
+    return xxhash.xxh3_128_digest(values.tobytes())
+
+
+def shingled(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
+
 
+def sets_and_counts(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
+    """``doc_id, text_key, key, size, sketch`` by row, and how often words of each place of the table stand in all texts.
 
-def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, text_key, key, size, grams`` by row; ``key`` stands for the set, and is null for an empty one."""
+    ``key`` stands for the set, and is null for an empty one. Both come from one pass; a task gives
+    its table when it has read all its rows, and the sum of the tables has their fixed size.
+    """
     schema = pa.schema([
         ("doc_id", pa.int64()), ("text_key", pa.binary()), ("key", pa.binary()),
-        ("size", pa.int64()), ("grams", pa.list_(pa.int64())),
+        ("size", pa.int64()), ("sketch", pa.list_(pa.int16())), ("place", pa.int32()), ("n", pa.int64()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << COUNTED_BITS, np.int64)
         for batch in batches:
-            sets = [shingles(t, n) for t in texts(batch)]
-            sizes = np.array([len(s) for s in sets], np.int64)
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            grams = pa.ListArray.from_arrays(offsets, np.concatenate([*sets, np.zeros(0, np.int64)]))
-            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), pa.array(sizes), grams]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            keys, sizes, sketches, found = [], [], [], [np.zeros(0, np.int64)]
+            for text in texts(batch):
+                hashed = word_hashes(text)
+                own = np.unique(runs_of(hashed, n))
+                found.append(places(hashed))
+                keys.append(keyed(own) if len(own) else None)
+                sizes.append(len(own))
+                sketches.append(sketch(own))
+            table += np.bincount(np.concatenate(found), minlength=len(table))
+            nothing = [pa.nulls(len(keys), t) for t in schema.types[5:]]
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())]
+            columns.append(pa.array(sketches, schema.types[4]))
+            yield pa.RecordBatch.from_arrays([*columns, *nothing], schema=schema)
+        (used,) = np.nonzero(table)
+        nothing = [pa.nulls(len(used), t) for t in schema.types[:5]]
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array(used, pa.int32()), pa.array(table[used])], schema=schema)
+
+    kind = "doc_id long, text_key binary, key binary, size long, sketch array<smallint>, place int, n long"
+    found = written(shingled(docs).mapInArrow(run, kind))
+    counts = found.where(F.col("place").isNotNull()).groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(1 << COUNTED_BITS, np.int64)
+    table[counts["place"].to_numpy()] = counts["n"].to_numpy()
+    table = np.minimum(table, np.iinfo(np.int32).max).astype(np.int32)
+    return found.where(F.col("place").isNull()).select("doc_id", "text_key", "key", "size", "sketch"), table
 
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_key binary, key binary, size long, grams array<long>")
 
+def places(hashed: np.ndarray) -> np.ndarray:
+    return (hashed >> np.uint64(64 - COUNTED_BITS)).astype(np.int64)
 
-def counted(sets: DataFrame) -> np.ndarray:
-    """How often shingles of each place of the table stand in all sets; its size is fixed."""
-    place = F.shiftrightunsigned("gram", 64 - COUNTED_BITS).cast("int").alias("place")
-    found = sets.select(F.explode("grams").alias("gram")).groupBy(place).count().toArrow()
-    table = np.zeros(1 << COUNTED_BITS, np.int64)
-    table[found["place"].to_numpy()] = found["count"].to_numpy()
-    return table
 
+def first_regions(docs: DataFrame, n: int, table: np.ndarray, percent: int) -> DataFrame:
+    """``region, key, size``: sets by each of their rarest shingles, where another set has it too.
 
-def rare_grams(sets: DataFrame, table: np.ndarray, percent: int) -> DataFrame:
-    """``gram, key, size``: of each set its rarest shingles, one more than two linked sets can differ in."""
-    shared = sets.sparkSession.sparkContext.broadcast(table)
-    schema = pa.schema([("gram", pa.int64()), ("key", pa.binary()), ("size", pa.int64())])
+    Of each set there is one shingle more than two linked sets can differ in. A task gives a set
+    once however many copies it reads, so copies don't gather at a shingle.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    schema = pa.schema([("region", pa.int64()), ("key", pa.binary()), ("size", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = shared.value, set()
         for batch in batches:
-            offsets, grams = batch.column("grams").offsets.to_numpy(), batch.column("grams").values.to_numpy()
-            counts = shared.value[grams.view(np.uint64) >> np.uint64(64 - COUNTED_BITS)]
-            kept, times = [], []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                n = b - a
-                first = n - -(-n * percent // 100) + 1
-                kept.append(grams[a:b][np.lexsort((grams[a:b], counts[a:b]))[:first]])
-                times.append(len(kept[-1]))
-            row = np.repeat(np.arange(batch.num_rows), times)
-            columns = [pa.array(np.concatenate([*kept, np.zeros(0, np.int64)])), batch.column("key").take(row), batch.column("size").take(row)]
+            found, keys, sizes = [], [], []
+            for text in texts(batch):
+                own, rare = rarest(text, n, counts, percent)
+                key = keyed(own)
+                if not len(own) or key in seen:
+                    continue
+                seen.add(key)
+                found.append(rare)
+                keys.append(key)
+                sizes.append(len(own))
+            times = [len(x) for x in found]
+            row = np.repeat(np.arange(len(found)), times)
+            columns = [pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), pa.array(keys, pa.binary()).take(pa.array(row)), pa.array(np.repeat(np.array(sizes, np.int64), times))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    rows = sets.where(F.col("key").isNotNull()).select("key", "size", "grams")
-    return rows.mapInArrow(run, "gram long, key binary, size long").distinct()
+    rows = shingled(docs).mapInArrow(run, "region long, key binary, size long")
+    # dealt by shingle once; what follows needs no other shuffle
+    rows = rows.repartition("region").groupBy("region", "key").agg(F.max("size").alias("size"))
+    shared_by = rows.groupBy("region").agg(F.count("*").alias("points")).where(F.col("points") > 1)
+    return written(rows.join(shared_by.select("region"), "region").select("region", "key", "size"))
+
+
+def sets_of(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+    """``key, grams`` of the wanted sets, each once."""
+    schema = pa.schema([("key", pa.binary()), ("grams", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            found = {}
+            for text in texts(batch):
+                own = shingles(text, n)
+                found[keyed(own)] = own
+            found = {k: x for k, x in found.items() if k not in seen}
+            seen.update(found)
+            offsets = np.cumsum([0, *[len(x) for x in found.values()]]).astype(np.int32)
+            grams = pa.ListArray.from_arrays(offsets, np.concatenate([*found.values(), np.zeros(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), grams], schema=schema)
+
+    sets = shingled(docs).mapInArrow(run, "key binary, grams array<long>")
+    return written(sets.join(at_hand(wanted), "key", "left_semi").dropDuplicates(["key"]))
+
+
+def at_hand(rows: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has no more than ``BROADCAST_ROWS`` rows, else joined by shuffle."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
 class Points:
-    """The sets that share a rare shingle with another, and what is known of them so far."""
-
-    def __init__(self, sets: DataFrame, regions: DataFrame, percent: int):
-        self.percent, self.spark = percent, sets.sparkSession
-        wanted = regions.select("key").distinct()
-        self.sets = written(
-            sets.select("key", "size", "grams").join(wanted, "key", "left_semi").dropDuplicates(["key"])
-        )
-        self.tested = self.spark.createDataFrame([], "a binary, b binary, common long, total long")
+    """The sets that may be linked with another, and what is known of them so far."""
+
+    def __init__(self, docs: DataFrame, n: int, keys: DataFrame, percent: int):
+        self.percent, self.spark = percent, docs.sparkSession
+        self.sets = sets_of(docs, n, written(keys.distinct()))
         #: By point that isn't the smallest of its class, the smallest.
         self.classes = self.spark.createDataFrame([], "key binary, root binary")
 
-    def linked(self) -> Column:
-        return F.col("common") * 100 >= F.col("total") * self.percent
-
-    def alike_in_size(self, a: str, b: str) -> Column:
-        return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
-
-    def test(self, pairs: DataFrame) -> None:
-        """Compares pairs ``a < b`` not compared before, and merges the classes of the linked ones."""
-        new = pairs.distinct().join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
-        a = self.sets.select(F.col("key").alias("a"), F.col("grams").alias("grams_a"))
+    def compared(self, pairs: DataFrame, *more: Column) -> DataFrame:
+        """``a, b, common, total`` of pairs, and what else is asked of ``grams_a`` and ``grams_b``; written."""
+        pairs = at_hand(written(pairs.select("a", "b").distinct()))
+        wanted = at_hand(written(pairs.select("a").distinct()))
+        a = self.sets.select(F.col("key").alias("a"), F.col("grams").alias("grams_a")).join(wanted, "a", "left_semi")
         b = self.sets.select(F.col("key").alias("b"), F.col("grams").alias("grams_b"))
-        common = F.array_size(F.array_intersect("grams_a", "grams_b")).cast("long")
-        both = new.join(a, "a").join(b, "b").select("a", "b", common.alias("common"), F.array_size("grams_a").alias("n"), F.array_size("grams_b").alias("m"))
-        new = written(both.select("a", "b", "common", (F.col("n") + F.col("m") - F.col("common")).cast("long").alias("total")))
-        self.tested = self.tested.unionByName(new)
-        links = new.where(self.linked()).select(F.col("b").alias("high"), F.col("a").alias("low"))
-        self.classes = classes(links.unionByName(self.classes.toDF("high", "low")))
+        common = F.array_size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("common")
+        sizes = (F.array_size("grams_a") + F.array_size("grams_b")).cast("long").alias("sizes")
+        both = b.join(pairs, "b").join(a, "a").select("a", "b", "grams_a", "grams_b", common, sizes)
+        return written(both.select("a", "b", "common", (F.col("sizes") - F.col("common")).alias("total"), *more))
+
+    def merge(self, compared: DataFrame) -> None:
+        """Makes one class of the classes that are linked."""
+        links = compared.where(F.col("common") * 100 >= F.col("total") * self.percent)
+        links = links.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low"))
+        if not links.isEmpty():
+            self.classes = classes(links.unionByName(self.classes.toDF("high", "low")))
 
     def active(self, regions: DataFrame) -> DataFrame:
-        """``region, key, size, root, points`` of regions with points of more than one class."""
-        known = regions.select("region", "key", "size").join(self.classes, "key", "left")
-        known = known.select("region", "key", "size", F.coalesce("root", "key").alias("root"))
+        """``region, key, size, sketch, root, points`` of regions with points of more than one class."""
+        known = regions.join(self.classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
         mixed = known.groupBy("region").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("points"))
         mixed = mixed.where(F.col("x") != F.col("y")).select("region", "points")
-        return written(known.join(mixed, "region"))
-
-    def stars(self, regions: DataFrame, turn: int) -> DataFrame:
-        """Pairs of one pivot of each region with its points of other classes."""
-        drawn = F.struct(F.xxhash64("key", F.lit(turn)).alias("drawn"), "key", "size", "root")
-        pivots = regions.groupBy("region").agg(F.min(drawn).alias("p"))
-        pivots = pivots.select("region", F.col("p.key").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.root").alias("pivot_root"))
-        return self.pairs(regions.join(pivots, "region"))
-
-    def pairs(self, joined: DataFrame) -> DataFrame:
-        """``a < b`` of rows with a point and a pivot that may be linked and aren't of one class."""
-        may = self.alike_in_size("size", "pivot_size") & (F.col("root") != F.col("pivot_root"))
-        return joined.where(may).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
-
-    def all_pairs(self, regions: DataFrame) -> DataFrame:
-        """Pairs of points of different classes of each region."""
-        other = regions.select("region", *[F.col(c).alias(n) for c, n in (("key", "pivot"), ("size", "pivot_size"), ("root", "pivot_root"))])
-        return self.pairs(regions.join(other, "region").where(F.col("key") < F.col("pivot")))
-
-    def split(self, regions: DataFrame, turn: int) -> DataFrame:
-        """Compares regions with pivots drawn from them, and gives ``region, key, size`` of the cells."""
-        drawn = F.pmod(F.xxhash64("key", F.lit(-turn)), F.lit(1 << 20)) * F.col("points") < PIVOTS * (1 << 20)
-        pivots = regions.where(drawn).select("region", F.col("key").alias("pivot"), F.col("size").alias("pivot_size"))
+        return written(known.select("region", "key", "size", "sketch", "root").join(mixed, "region"))
+
+    def divide(self, regions: DataFrame, turn: int) -> DataFrame:
+        """Compares regions with a pivot of each, and gives ``region, key, size, sketch`` of their cells."""
+        drawn = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("drawn"), "key")).alias("p")
+        pivots = regions.groupBy("region").agg(drawn).select("region", F.col("p.key").alias("pivot"))
         joined = written(regions.join(pivots, "region").where(F.col("key") != F.col("pivot")))
-        self.test(joined.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")))
-        found = joined.withColumns({"a": F.least("key", "pivot"), "b": F.greatest("key", "pivot")}).join(self.tested, ["a", "b"])
-        far = (1 - F.col("common") / F.col("total")).alias("far")
-        found = written(found.select("region", "key", "size", "pivot", far))
-        nearest = found.groupBy("region", "key").agg(F.min("far").alias("nearest"))
-        window = F.col("far") <= F.col("nearest") + 2 * (1 - self.percent / 100) + 1e-9
-        cells = found.join(nearest, ["region", "key"]).where(window)
-        cells = cells.select(F.xxhash64("region", "pivot").alias("region"), "key", "size")
-        # a region from which no pivot was drawn waits for the next turn
-        waiting = regions.join(pivots.select("region").distinct(), "region", "left_anti").select("region", "key", "size")
-        # pivots have met all others, and need no cell
-        cells = cells.join(pivots.select(F.col("pivot").alias("key")).distinct(), "key", "left_anti")
-        return cells.unionByName(waiting)
+        differences = F.array_union(F.array_except("grams_a", "grams_b"), F.array_except("grams_b", "grams_a"))
+        window = 1 - F.col("common") / F.col("total") <= 2 * (1 - self.percent / 100) + 1e-9
+        pairs = joined.select(F.col("pivot").alias("a"), F.col("key").alias("b"))
+        found = self.compared(pairs, F.when(window, differences).alias("differences"))
+        self.merge(found)
+        linked = F.col("common") * 100 >= F.col("total") * self.percent
+        zones = found.select(
+            F.col("a").alias("pivot"), F.col("b").alias("key"), "differences",
+            linked.alias("inside"), F.col("differences").isNull().alias("beyond"),
+        )
+        points = regions.select("key", "size", "sketch").dropDuplicates(["key"])
+        by_difference = zones.select("pivot", "key", F.explode("differences").alias("gram"))
+        cells = by_difference.select(F.xxhash64("pivot", "gram").alias("region"), "key").join(points, "key")
+        zoned = joined.join(zones.select("pivot", "key", "inside", "beyond"), ["pivot", "key"])
+        far = zoned.groupBy("region").agg(F.bool_or("beyond").alias("far")).where("far").select("region")
+        rest = zoned.where(~F.col("inside")).join(far, "region").select("region", "key", "size", "sketch")
+        return written(cells.select("region", "key", "size", "sketch").unionByName(rest).distinct())
+
+
+def candidates(regions: DataFrame, percent: int) -> DataFrame:
+    """``a < b`` of points of a region that may be linked, by size and sketch, and aren't of one class.
+
+    The most two linked sets can differ in follows from their sizes; the sketches differ in no more.
+    """
+    names = ("key", "size", "sketch", "root")
+    other = regions.select("region", *[F.col(c).alias(f"other_{c}") for c in names])
+    apart = sum((F.abs(F.col("sketch")[i].cast("int") - F.col("other_sketch")[i].cast("int")) for i in range(SKETCH)), F.lit(0))
+    near = apart * (100 + percent) <= (F.col("size") + F.col("other_size")) * (100 - percent)
+    met = (F.col("key") < F.col("other_key")) & (F.col("root") != F.col("other_root"))
+    pairs = regions.join(other, "region").where(met & near)
+    return pairs.select(F.col("key").alias("a"), F.col("other_key").alias("b"))
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -212,27 +301,26 @@ def fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("high", "low"))).first())
 
 
-def link(sets: DataFrame, percent: int) -> DataFrame:
+def link(docs: DataFrame, n: int, sets: DataFrame, table: np.ndarray, percent: int) -> DataFrame:
     """``key, root`` of the points linked with others, by ``percent`` of similarity or more."""
-    rare = rare_grams(sets, counted(sets), percent)
-    shared = rare.groupBy("gram").agg(F.count("*").alias("points")).where(F.col("points") > 1)
-    regions = written(rare.join(shared.select("gram"), "gram").withColumnRenamed("gram", "region"))
-    points = Points(sets, regions, percent)
-    for turn in range(STARS):
-        regions = points.active(regions)
-        if regions.isEmpty():
+    first = first_regions(docs, n, table, percent)
+    sketches = sets.where(F.col("key").isNotNull()).select("key", "sketch").dropDuplicates(["key"])
+    sizes = first.groupBy("region").agg(F.count("*").alias("points"))
+    regions = written(first.join(sizes, "region").join(sketches, "key").withColumn("root", F.col("key")))
+    small = F.col("points") <= SMALL
+    pairs = written(candidates(regions.where(small), percent).distinct())
+    large = regions.where(~small).drop("points", "root")
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select("key"))
+    points = Points(docs, n, keys, percent)
+    points.merge(points.compared(pairs))
+    for turn in range(DEPTH):
+        large = points.active(large)
+        if large.isEmpty():
             return points.classes
-        points.test(points.stars(regions, turn))
-    for turn in range(DEPTH + 1):
-        regions = points.active(regions)
-        if regions.isEmpty():
-            break
-        small = (F.col("points") <= SMALL) if turn < DEPTH else F.lit(True)
-        points.test(points.all_pairs(regions.where(small)))
-        regions = regions.where(~small)
-        if regions.isEmpty():
-            break
-        regions = points.split(regions, turn + 1)
+        cells = points.active(points.divide(large, turn))
+        points.merge(points.compared(candidates(cells.where(small), percent)))
+        large = cells.where(~small).select("region", "key", "size", "sketch")
+    points.merge(points.compared(candidates(points.active(large), percent)))
     return points.classes
 
 
@@ -240,14 +328,17 @@ def classified(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """``doc_id, text_key, key, size, root`` by row; ``root`` stands for the class, and is null without words."""
     if not 0 < percent <= 100:
         raise ValueError("the similarity is a percentage above 0")
-    sets = written(shingle_sets(docs, n))
-    roots = link(sets, percent)
-    return sets.drop("grams").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    sets, table = sets_and_counts(docs, n)
+    roots = link(docs, n, sets, table, percent)
+    return sets.drop("sketch").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
 def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every whole text, linked at ``percent`` or more.
 
+    ``docs`` is read three times, so it should be a table; shingles aren't kept, since they are
+    larger than the texts.
+
     A text's set is of the different runs of ``n`` words, or of the one run of all if there are
     fewer; ``component_id`` is the smallest ``doc_id`` that links lead to, itself included. A null
     or empty text has no shingles and is linked with nothing, not even its like, and keeps its own

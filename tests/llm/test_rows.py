@@ -108,9 +108,7 @@ def near_copies(seed):
 @pytest.mark.parametrize(("n", "percent", "cells"), [(3, 90, False), (2, 80, False), (1, 70, True), (2, 60, True)])
 def test_classes(spark, monkeypatch, n, percent, cells):
     if cells:  # all by pivots, windows and cells
-        monkeypatch.setattr(jaccard, "STARS", 0)
         monkeypatch.setattr(jaccard, "SMALL", 2)
-        monkeypatch.setattr(jaccard, "PIVOTS", 2)
     rows = near_copies(n * percent)
     found = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), n, percent)
     assert sorted_rows(found, "doc_id", "n_shingles", "component_id") == sorted(smallest_linked(rows, n, percent), key=repr)
