@@ -29,7 +29,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.llm.common import packed, texts, written
@@ -141,7 +141,7 @@ def places(hashed: np.ndarray) -> np.ndarray:
 
 
 def first_regions(docs: DataFrame, n: int, table: np.ndarray, percent: int) -> DataFrame:
-    """``region, key, size``: sets by each of their rarest shingles, where another set has it too.
+    """``region, key, size, points``: sets by each of their rarest shingles, where another set has it too.
 
     Of each set there is one shingle more than two linked sets can differ in. A task gives a set
     once however many copies it reads, so copies don't gather at a shingle.
@@ -168,10 +168,10 @@ def first_regions(docs: DataFrame, n: int, table: np.ndarray, percent: int) -> D
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     rows = shingled(docs).mapInArrow(run, "region long, key binary, size long")
-    # dealt by shingle once; what follows needs no other shuffle
+    # read and dealt by shingle once; what follows needs no other shuffle
     rows = rows.repartition("region").groupBy("region", "key").agg(F.max("size").alias("size"))
-    shared_by = rows.groupBy("region").agg(F.count("*").alias("points")).where(F.col("points") > 1)
-    return written(rows.join(shared_by.select("region"), "region").select("region", "key", "size"))
+    points = F.count("*").over(Window.partitionBy("region"))
+    return written(rows.withColumn("points", points).where(F.col("points") > 1))
 
 
 def sets_of(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
@@ -305,8 +305,7 @@ def link(docs: DataFrame, n: int, sets: DataFrame, table: np.ndarray, percent: i
     """``key, root`` of the points linked with others, by ``percent`` of similarity or more."""
     first = first_regions(docs, n, table, percent)
     sketches = sets.where(F.col("key").isNotNull()).select("key", "sketch").dropDuplicates(["key"])
-    sizes = first.groupBy("region").agg(F.count("*").alias("points"))
-    regions = written(first.join(sizes, "region").join(sketches, "key").withColumn("root", F.col("key")))
+    regions = written(first.join(sketches, "key").withColumn("root", F.col("key")))
     small = F.col("points") <= SMALL
     pairs = written(candidates(regions.where(small), percent).distinct())
     large = regions.where(~small).drop("points", "root")
