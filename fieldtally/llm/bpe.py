@@ -27,7 +27,7 @@ from fieldtally.llm.common import by_size, texts
 #: Bytes up to which a word is merged by scanning.
 SHORT = 96
 #: Chunks kept encoded per Python worker, twice at most, and the longest that is kept.
-KEPT, KEPT_CHARS = 200_000, 48
+KEPT, KEPT_CHARS = 100_000, 48
 #: Characters encoded at once; a longer text is encoded alone.
 AT_ONCE = 1 << 20
 BITS = 20
@@ -242,10 +242,13 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
-            done = [x for some in by_size(texts(batch), AT_ONCE) for x in bpe.encode(some)]
-            ids, shown = [x[0] for x in done], [x[1] for x in done]
-            columns = [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids]), pa.array(ids), pa.array(shown)]
-            yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(columns, SCHEMA)], schema=SCHEMA)
+            at = 0
+            for some in by_size(texts(batch), AT_ONCE):  # ids and text go on as soon as they are made
+                done = bpe.encode(some)
+                ids, shown = [x[0] for x in done], [x[1] for x in done]
+                columns = [batch.column("doc_id").slice(at, len(some)), pa.array([len(x) // 4 for x in ids]), pa.array(ids), pa.array(shown)]
+                yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(columns, SCHEMA)], schema=SCHEMA)
+                at += len(some)
 
     rows = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
