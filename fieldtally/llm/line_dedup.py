@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from fieldtally.llm.common import packed, written
 
-#: Sites a line is on, at least, and words it has, at least, to be boilerplate.
-MIN_SITES, MIN_WORDS = 6, 4
+#: Sites a line is on, at least, and words it has, at least, to be boilerplate: all but blank lines are judged.
+MIN_SITES, MIN_WORDS = 6, 1
 #: Sketches have 2^LG_K registers. An estimate is off by 1.04 / sqrt(2^LG_K) in the usual case, 3 %
 #: here; between the threshold less and plus NEAR of it, five times that and more, sites are counted.
 LG_K, NEAR = 10, 0.2
@@ -74,7 +74,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
     """``docs`` with boilerplate lines taken out of ``text``, and ``n_lines``, ``n_removed`` as columns added.
 
     ``docs`` has ``doc_id, text, source``. A line is compared without the white space around it;
-    one of fewer than ``min_words`` words is never boilerplate. A line on ``min_sites`` different
+    one of fewer than ``min_words`` words, by default a blank one, is never boilerplate. A line on ``min_sites`` different
     sources or more stays at its first place, by smallest ``doc_id`` (missing ids before all),
     then text, then position, and goes elsewhere. Rows repeated whole have the same first place,
     and keep it alike. A null source is no site. A null or empty text stays as it is, with 0 lines for

@@ -13,6 +13,7 @@ from check import TESTDATA, compare, database
 
 import __spark_entry__ as entry
 from fieldtally.llm import decontaminate, fm_index, jaccard, licenses, line_dedup, top_k, urls
+from fieldtally.llm.common import table
 from fieldtally.llm.queries import QUERIES, SQL
 
 SMALL = TESTDATA / "sf0.001"
@@ -56,6 +57,35 @@ def test_threshold_is_exact(spark, sites):
     assert sum(removed) == (3 * sites - 1 if sites >= 6 else 0)
 
 
+@pytest.mark.parametrize("line", ["All rights reserved.", "Two words", "Les.", "–"])
+def test_short_lines_are_judged(spark, line):
+    rows = [(i, f"body {i}\n\n \t\n{line}", f"s{i}", None, None) for i in range(6)]
+    found = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(lined(spark, rows)).collect()}
+    assert found[0] == (rows[0][1], 4, 0)
+    assert all(found[i] == (f"body {i}\n\n \t", 4, 1) for i in range(1, 6))
+
+
+def test_all_lines_but_blank_ones_are_judged(spark):
+    docs = table(spark, str(SMALL), "documents").select("doc_id", "text", "source")
+    sites, seen, expected = {}, set(), {}
+    rows = sorted((r.doc_id, r.text, r.source) for r in docs.collect())
+    for _, text, source in rows:
+        for line in text.split("\n"):
+            sites.setdefault(line.strip(" \t\r\f\v"), set()).add(source)
+    for doc_id, text, _ in rows:
+        left = []
+        for line in text.split("\n"):
+            key = line.strip(" \t\r\f\v")
+            common = key != "" and len(sites[key]) >= 6
+            if not (common and key in seen):
+                left.append(line)
+            if common:
+                seen.add(key)
+        expected[doc_id] = "\n".join(left)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == expected
+    assert any(0 < len(key.split()) < 4 and len(x) >= 6 for key, x in sites.items())
+
+
 def test_line_edges(spark):
     docs = documents(spark)
     found = line_dedup.dedup_lines(docs)
