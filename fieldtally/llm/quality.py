@@ -1,7 +1,7 @@
 """Quality by the votes of the nearest labelled documents in a latent-semantic space.
 
-A text's features are the hashed runs of one to three character classes, each run of small letters
-taken as one, and a few measures of its length, repetition and layout. A truncated singular value decomposition of a bounded
+A text's features are its hashed words, the hashed runs of one to three character classes, each run
+of small letters taken as one, and a few measures of its length, repetition and layout. A truncated singular value decomposition of a bounded
 sample of labelled documents, done in numpy, gives the space. The vectors of that sample are
 broadcast; every document's cosines with all of them are computed exactly, a block of documents
 at a time, and the labels of the nearest vote with weights that grow with the cosine.
@@ -14,9 +14,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +26,15 @@ from fieldtally.llm.characters import code_points, ngram_hashes, property_table,
 from fieldtally.llm.common import by_size, texts
 
 SIZES, BUCKETS, WIDTH = (1, 2, 3), 1 << 12, 48
+#: Places of hashed words, and their weight beside the runs of classes, which are of the same length.
+TERMS, TERM_WEIGHT = 1 << 11, 0.5
+#: A longer word, as of a script without blanks, counts by its runs of ``PIECE`` characters.
+LONG, PIECE = 24, 3
 #: About so many labelled documents make the space and vote, all if there are fewer.
 LABELLED = 3000
 NEIGHBOURS, SHARPNESS = 15, 12.0
 MEASURES = 7
+WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
 @dataclass(frozen=True)
@@ -75,8 +82,27 @@ def measures(text: str) -> list[float]:
     ]
 
 
+@lru_cache(maxsize=1 << 16)
+def term_place(term: str) -> int:
+    return crc32(term.encode("utf-8", "surrogatepass")) % TERMS
+
+
+def terms(text: str) -> np.ndarray:
+    """By place: how many of the text's words are hashed there, upper and lower case alike."""
+    counts = np.zeros(TERMS)
+    for word, n in Counter(WORD.findall(text.lower())).items():
+        for term in [word] if len(word) <= LONG else [word[i : i + PIECE] for i in range(len(word) - PIECE + 1)]:
+            counts[term_place(term)] += n
+    return counts
+
+
+def shares(counts: np.ndarray) -> np.ndarray:
+    """By text: shares under a square root, of length 1; zero stays zero."""
+    return np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
+
+
 def features(batch: list[str]) -> np.ndarray:
-    """By text and feature: shares of hashed runs under a square root, then the measures."""
+    """By text and feature: shares of hashed runs and of hashed words, then the measures."""
     counts = np.zeros(len(batch) * BUCKETS)
     for owners, parts in slices(batch):
         points, owner = code_points(parts)
@@ -88,9 +114,8 @@ def features(batch: list[str]) -> np.ndarray:
             run = (run[: len(kind) - n + 1] << 7) | kind[n - 1 :] if n > 1 else kind
             inside = at[: len(run)] == at[n - 1 :]  # no run reaches into the next text
             counts += np.bincount((at[: len(run)] + buckets[run])[inside], minlength=counts.size)
-    counts = counts.reshape(len(batch), BUCKETS)
-    shares = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
-    return np.hstack([shares, np.array([measures(t) for t in batch]).reshape(-1, MEASURES)]).astype(np.float32)
+    found = [shares(counts.reshape(len(batch), BUCKETS)), TERM_WEIGHT * shares(np.array([terms(t) for t in batch]).reshape(-1, TERMS))]
+    return np.hstack([*found, np.array([measures(t) for t in batch]).reshape(-1, MEASURES)]).astype(np.float32)
 
 
 def embed(model: Model, found: np.ndarray) -> np.ndarray:

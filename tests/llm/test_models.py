@@ -83,6 +83,17 @@ def test_features_are_of_one_text_alone():
     assert all((quality.features([t])[0] == row).all() for t, row in zip(texts, together))
 
 
+def test_quality_by_wording_alone(spark):
+    """Texts of equal layout, repetition and word lengths, whose labels only their words tell."""
+    draw = np.random.default_rng(5)
+    words = ["".join(draw.choice(list("abcdefghijkl"), 5)) for _ in range(300)]
+    own = [words[100:200], words[200:]]
+    rows = [(i, " ".join(draw.permutation([*draw.choice(words[:100], 24), *draw.choice(own[i % 2], 6)])), i % 2) for i in range(450)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    found = quality.score(docs.where("doc_id >= 300"), quality.fit(docs.where("doc_id < 300"))).collect()
+    assert np.mean([(r.score >= 0.5) == r.doc_id % 2 for r in found]) > 0.9
+
+
 def test_quality_edges(spark):
     docs = documents(spark)
     labelled = docs.withColumn("quality", (F.col("doc_id") % 2).cast("int"))
