@@ -323,6 +323,35 @@ def test_top_k(spark, monkeypatch, seed):
     assert top_k.top_k(frame.limit(0), frame).count() == 0
 
 
+@pytest.mark.parametrize("spread", [20.0, 1e4, 2.0**21])
+def test_top_k_of_large_components(spark, monkeypatch, spread):
+    """Scores beyond 2^24, and beyond 2^53, against integers of any size."""
+    monkeypatch.setattr(top_k, "BLOCK", 61)
+    draw = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(draw.normal(0, spread, (200, 16)))]
+    rows += [(200 + i, [x + (j == 0) / 64 for j, x in enumerate(row)]) for i, row in rows]  # scores that differ by little
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = top_k.top_k(frame, frame.where("vec_id % 20 = 0"), 5).collect()
+    whole = {i: [math.floor(x * 64) for x in row] for i, row in rows}
+    expected = []
+    for i in range(0, 400, 20):
+        scores = sorted((-sum(map(int.__mul__, whole[i], v)), j) for j, v in whole.items() if j != i)[:5]
+        expected += [(i, rank, j, -score) for rank, (score, j) in enumerate(scores, 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == expected
+
+
+def test_top_k_of_components_beyond_32_bits(spark):
+    frame = spark.createDataFrame([(i, [2.0**26 + i / 64]) for i in range(9)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(20, [1.5])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in top_k.top_k(frame, asked, 2).orderBy("rank").collect()] == [(8, 96 * (2**32 + 8)), (7, 96 * (2**32 + 7))]
+
+
+def test_top_k_beyond_64_bits_fails(spark):
+    frame = spark.createDataFrame([(0, [1e12]), (20, [-1e300])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="beyond 64 bits"):
+        top_k.top_k(frame, frame, 1)
+
+
 def test_top_k_query(spark):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(str(SMALL / "embeddings.parquet")).collect()]
     found = sorted_rows(QUERIES["op10_top_k"](spark, str(SMALL)), "query_id", "rank", "vec_id", "score")
