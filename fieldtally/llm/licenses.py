@@ -35,7 +35,22 @@ TEMPLATES = {
         "OF ANY KIND, either express or implied."
     ),
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "BSD-conditions": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution."
+    ),
+    "BSD-3-Clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission."
+    ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ),
     "MIT": "Released under the MIT License.",
     "MIT-permission": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
@@ -43,6 +58,10 @@ TEMPLATES = {
         "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
         "and to permit persons to whom the Software is furnished to do so."
     ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+        "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
 }
 
 
@@ -128,8 +147,11 @@ class Templates:
         self.sets = {name: set(row) for name, row in self.rows.items()}
         self.vocabulary = set().union(*self.sets.values())
 
-    def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """Name, coverage, first and last word, of each template found; the best place of each, the first of equals."""
+    def scan(self, text: str | None, every: bool = False) -> list[tuple[str, float, int, int]]:
+        """Name, coverage, first and last word, of each template found; the best place of each, the first of equals.
+
+        With ``every``, all places that don't overlap, best first chosen, in their order.
+        """
         own = words(text)
         known = [(i, w) for i, w in enumerate(own) if w in self.vocabulary]
         there = {w for _, w in known}
@@ -139,24 +161,42 @@ class Templates:
             need = max(1, len(self.sets[name]) - int(len(row) * (1 - self.coverage) + 1e-9))
             if len(self.sets[name] & there) < need:
                 continue
-            best = None
+            there_too = []
             places = [(i, w) for i, w in known if w in self.sets[name]]
             for a, b in stretches(places, need, 2 * len(row)):
-                low = max(0, a - len(row))
-                pairs = aligned(own[low : b + 1 + len(row)], row)
-                if pairs and (best is None or len(pairs) > best[0]):
-                    best = len(pairs), low + pairs[0][0], low + pairs[-1][0]
-            if best and best[0] >= self.coverage * len(row) - 1e-9:
-                found.append((name, best[0] / len(row), best[1], best[2]))
+                pad = len(row)
+                while True:  # narrower too: a word that stands twice in a wide stretch is no anchor
+                    low = max(0, a - pad)
+                    pairs = aligned(own[low : b + 1 + pad], row)
+                    if len(pairs) >= self.coverage * len(row) - 1e-9:
+                        there_too.append((-len(pairs), low + pairs[0][0], low + pairs[-1][0]))
+                    if not pad or len(pairs) == len(row):
+                        break
+                    pad //= 2
+            chosen = apart(there_too) if every else sorted(there_too, key=lambda x: x[:2])[:1]
+            found += [(name, -n / len(row), first, last) for n, first, last in chosen]
         return found
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+def apart(places: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of places as words matched, negative, first and last: the best, the shortest of equals, that don't overlap."""
+    starts: list[int] = []
+    chosen: list[tuple[int, int, int]] = []
+    for n, first, last in sorted(set(places), key=lambda x: (x[0], x[2] - x[1], x[1])):
+        at = bisect_left(starts, first)
+        if (at == 0 or chosen[at - 1][2] < first) and (at == len(starts) or last < starts[at]):
+            starts.insert(at, first)
+            chosen.insert(at, (n, first, last))
+    return chosen
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, every: bool = False) -> DataFrame:
     """``doc_id, licenses`` of every whole text: an array of ``name, coverage, first, last``.
 
     ``first`` and ``last`` are numbers of words, from 0. Words are compared after A-Z are
     lower-cased. Of a template that stands in a text several times, the place of best coverage is
-    given, the first of equals. A null or empty text, and templates without words, give nothing;
+    given, the first of equals; with ``every``, all places that reach the coverage and don't overlap.
+    A null or empty text, and templates without words, give nothing;
     repeated rows give repeated results; other columns are not looked at. The templates go to all
     tasks with the code, so they are meant to be some hundreds, not a table.
     """
@@ -167,7 +207,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Templates(chosen, coverage)
         for batch in batches:
-            found = [[dict(zip(("name", "coverage", "first", "last"), x)) for x in scanner.scan(t)] for t in texts(batch)]
+            found = [[dict(zip(("name", "coverage", "first", "last"), x)) for x in scanner.scan(t, every)] for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, schema.types[1])], schema=schema)
 
     rows = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))

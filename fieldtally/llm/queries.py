@@ -163,8 +163,8 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licenses in every document: a row for each, and one with nulls for a document without any."""
-    found = scan_licenses(table(spark, sf_dir, "documents"))
+    """Licenses in every document: a row for each place, and one with nulls for a document without any."""
+    found = scan_licenses(table(spark, sf_dir, "documents"), every=True)
     return found.select("doc_id", F.explode_outer("licenses").alias("found")).select(
         "doc_id",
         F.col("found.name").alias("license"),

@@ -289,6 +289,24 @@ def test_licenses_found(spark):
     assert licenses.scan_licenses(no_documents(spark)).count() == 0
 
 
+def test_every_place_of_a_license():
+    mit, mpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["MPL-2.0"]
+    scanner = licenses.Templates(licenses.TEMPLATES, licenses.COVERAGE)
+    far = "x " * 30 + mit + " y" * 40 + " " + mit.replace("the ", "the old ")
+    assert scanner.scan(far, True) == [("MIT", 1.0, 30, 34), ("MIT", 1.0, 75, 80)]
+    near = f"x {mit} y {mit} z"
+    assert scanner.scan(near, True) == [("MIT", 1.0, 1, 5), ("MIT", 1.0, 7, 11)]
+    assert scanner.scan(near) == [("MIT", 1.0, 1, 5)]
+    assert scanner.scan(f"{mit} {mit} {mit}", True) == [("MIT", 1.0, i, i + 4) for i in (0, 5, 10)]
+    assert [x[0] for x in scanner.scan(f"a {mpl} b", True)] == ["MPL-2.0"]
+
+
+@pytest.mark.parametrize("name", list(licenses.TEMPLATES))
+def test_templates_are_told_apart(name):
+    found = {x[0] for x in licenses.Templates(licenses.TEMPLATES, licenses.COVERAGE).scan(licenses.TEMPLATES[name], True)}
+    assert found - {"Apache-2.0"} == {name} - {"Apache-2.0"} and name in found
+
+
 def test_license_query(spark):
     docs = spark.read.parquet(str(SMALL / "documents.parquet")).collect()
     found = {(r.doc_id, r.license) for r in QUERIES["op7_license_scan"](spark, str(SMALL)).collect()}
