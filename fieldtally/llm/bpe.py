@@ -97,8 +97,8 @@ class WordBPE:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(pattern).findall
         self.special = regex.compile("|".join(map(regex.escape, self.added)) or r"(?!)")
-        self.kept: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge_short(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of words of 1 to ``SHORT`` bytes, all words a step at a time."""
@@ -159,23 +159,23 @@ class WordBPE:
                 offer(before[i])
         return [p for p in parts if p >= 0]
 
-    def merge(self, words: list[str]) -> dict[str, tuple[bytes, str]]:
-        """Ids as little-endian bytes, and decoded text, of words."""
-        done: dict[str, tuple[bytes, str]] = {}
+    def merge(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words as little-endian bytes."""
+        done: dict[str, bytes] = {}
         by_width: dict[int, list[tuple[str, bytes]]] = defaultdict(list)
         for word in words:
             raw = word.encode()
             if len(raw) <= SHORT:
                 by_width[-(-len(raw) // 4)].append((word, raw))
             else:
-                done[word] = self._shown(self.merge_long(raw))
+                done[word] = self._packed(self.merge_long(raw))
         for group in by_width.values():
             merged = self.merge_short([raw for _, raw in group])
-            done.update((word, self._shown(ids.tolist())) for (word, _), ids in zip(group, merged))
+            done.update((word, self._packed(ids.tolist())) for (word, _), ids in zip(group, merged))
         return done
 
-    def _shown(self, ids: list[int]) -> tuple[bytes, str]:
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.token[i] for i in ids])
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, chunks: set[str]) -> None:
         """Encodes the chunks, runs without white space, that aren't known yet."""
@@ -185,7 +185,7 @@ class WordBPE:
         merged = self.merge(list({w for ws in words.values() for w in ws}))
         for chunk, ws in words.items():
             found = [merged[w] for w in ws]
-            self.kept[chunk] = found[0] if len(found) == 1 else (b"".join([x[0] for x in found]), " ".join([x[1] for x in found]))
+            self.kept[chunk] = found[0] if len(found) == 1 else b"".join(found)
 
     def chunks(self, text: str | None) -> list[str]:
         """The runs of a text without white space; a special token has a blank before it."""
@@ -207,11 +207,11 @@ class WordBPE:
         """Of each text its ids as little-endian 32-bit integers, and the text they decode to."""
         split = [self.chunks(t) for t in batch]
         self.learn({c for chunks in split for c in chunks if c[0] != " "})
-        self.kept.update({" " + t: self._shown([i]) for t, i in self.added.items()})
+        self.kept.update({" " + t: self._packed([i]) for t, i in self.added.items()})
         done = []
         for chunks in split:
-            found = list(map(self.kept.__getitem__, chunks))
-            done.append((b"".join([x[0] for x in found]), " ".join([x[1] for x in found])))
+            ids = b"".join(map(self.kept.__getitem__, chunks))
+            done.append((ids, self.decode(ids)))
         if len(self.kept) > KEPT:
             self.older = {c: x for c, x in self.kept.items() if len(c) <= KEPT_CHARS}
             self.kept = {}
@@ -219,7 +219,7 @@ class WordBPE:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, tokens joined by blanks, as a vocabulary without a decoder gives it."""
-        return " ".join([self.token[i] for (i,) in struct.iter_unpack("<I", ids)])
+        return " ".join([self.token[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 @lru_cache(maxsize=2)

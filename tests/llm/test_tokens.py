@@ -55,6 +55,12 @@ def test_bpe_forgets_and_relearns(library, monkeypatch):
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_decodes_the_packed_ids(monkeypatch):
+    own = bpe.WordBPE(WORDS)
+    monkeypatch.setattr(own, "decode", lambda ids: f"{len(ids) // 4} ids")
+    assert all(shown == f"{len(ids) // 4} ids" for ids, shown in own.encode(strings(50, 3)))
+
+
 def test_bpe_edges(spark, library):
     found = bpe.encode_documents(documents(spark), WORDS).collect()
     assert len(found) == len(TEXTS) + 3
