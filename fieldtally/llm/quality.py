@@ -150,41 +150,60 @@ def fit(labelled: DataFrame, at_most: int = LABELLED) -> Model | None:
     if not n:
         return None
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1_000_003)) / 1_000_003
-    schema = pa.schema([("label", pa.int32()), ("doc_id", pa.int64()), ("found", pa.binary())])
+    schema = pa.schema([("label", pa.int32()), ("doc_id", pa.int64()), ("at", pa.binary()), ("found", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features([t])[0].tobytes() for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("doc_id"), pa.array(found, pa.binary())], schema=schema)
+            at, found = [], []
+            for text in texts(batch):
+                row = features([text])[0]
+                (there,) = np.nonzero(row)
+                at.append(there.astype(np.uint16).tobytes())
+                found.append(row[there].tobytes())
+            columns = [batch.column("label"), batch.column("doc_id"), pa.array(at, pa.binary()), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     sample = known.where(drawn < at_most / n).select("label", F.col("doc_id").cast("long"), "text")
-    rows = sample.mapInArrow(run, "label int, doc_id long, found binary").toArrow()
+    rows = sample.mapInArrow(run, "label int, doc_id long, at binary, found binary").toArrow()
     if not rows.num_rows:
         return None
-    raw = sorted(zip(rows["doc_id"].to_pylist(), rows["found"].to_pylist(), rows["label"].to_pylist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
-    found = np.stack([np.frombuffer(r[1], np.float32) for r in raw])
-    return train(found, np.array([r[2] for r in raw], np.float32))
+    rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "found", "label")])
+    matrix = np.zeros((rows.num_rows, BUCKETS + TERMS + MEASURES), np.float32)
+    for row, at, found in zip(matrix, rows["at"], rows["found"]):
+        row[np.frombuffer(at.as_py(), np.uint16)] = np.frombuffer(found.as_py(), np.float32)
+    labels = rows["label"].to_numpy().astype(np.float32)
+    del rows
+    return train(matrix, labels)
+
+
+def blocks(matrix: np.ndarray, size: int = 256) -> Iterator[np.ndarray]:
+    """The rows of a matrix, some at a time, so that what is computed of them stays small."""
+    return (matrix[i : i + size] for i in range(0, len(matrix), size))
 
 
 def train(found: np.ndarray, labels: np.ndarray) -> Model:
-    """The space by singular value decomposition, and the labelled vectors in it."""
-    idf = np.log(1 + len(found) / (1 + (found > 0).sum(0))).astype(np.float32)
+    """The space by singular value decomposition, and the labelled vectors in it.
+
+    ``found`` is the one matrix of its size: all else is computed by blocks of its rows.
+    """
+    present = sum((block > 0).sum(0) for block in blocks(found))
+    idf = np.log(1 + len(found) / (1 + present)).astype(np.float32)
     idf[-MEASURES:] = 1
-    weighed = found * idf
-    centre = weighed.mean(0)
-    axes, spread = singular_vectors(weighed - centre, WIDTH)
+    centre = (sum((block * idf).sum(0, dtype=np.float64) for block in blocks(found)) / len(found)).astype(np.float32)
+    axes, spread = singular_vectors(found, idf, centre, WIDTH)
     scaled = axes / np.sqrt(np.maximum(spread, 1e-6))  # half way to equal spread
     space = Model(idf, centre, scaled, np.zeros((0, 0)), labels, float(labels.mean()))
-    return replace(space, vectors=embed(space, found))
+    return replace(space, vectors=np.vstack([embed(space, block) for block in blocks(found)]))
 
 
-def singular_vectors(matrix: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Right singular vectors as columns, and singular values, by iteration of a random subspace."""
-    width = min(width, *matrix.shape)
-    probe = np.random.default_rng(7).normal(size=(matrix.shape[1], min(width + 16, matrix.shape[1])))
+def singular_vectors(found: np.ndarray, idf: np.ndarray, centre: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors of ``found * idf - centre`` as columns, and singular values, by iteration of a random subspace."""
+    width, size = min(width, *found.shape), found.shape[1]
+    probe = np.random.default_rng(7).normal(size=(size, min(width + 16, size)))
+    weighed = lambda: ((block * idf - centre).astype(np.float64) for block in blocks(found))
     for _ in range(4):
-        probe, _ = np.linalg.qr(matrix.T @ (matrix @ probe))
-    _, spread, turned = np.linalg.svd(matrix @ probe, full_matrices=False)
+        probe, _ = np.linalg.qr(sum(block.T @ (block @ probe) for block in weighed()))
+    _, spread, turned = np.linalg.svd(np.vstack([block @ probe for block in weighed()]), full_matrices=False)
     return (probe @ turned.T)[:, :width], spread[:width]
 
 
