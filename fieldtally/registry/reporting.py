@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldtally import domains as D
+from fieldtally.operators.cleaning import ensure_columns
 from fieldtally.operators.filters import Filters
 from fieldtally.plans import reports as R
 from fieldtally.registry.core import query
@@ -152,10 +153,16 @@ def _(spark, sf):
     return R.t06_species_detail(star.tables(spark, sf), chosen, wide=False)
 
 
+#: Columns of the wide forms over the given tables: every province and the code without a label; every species code.
+PROVINCE_COLUMNS = ("0", *D.PROVINCES)
+SPECIES_COLUMNS = (*map(str, range(100)), *(f"FM{i:03}" for i in range(100)))
+
+
 def species_wide_sql(where: str, top: int | None) -> str:
-    """A column per province that has a catch, and the total."""
+    """A column per province, and the total."""
     return f"""WITH
-    wide AS (PIVOT ({species_sql(where, top)}) ON province_kh USING sum(catch) GROUP BY fish_name_kh, total)
+    wide AS (PIVOT ({species_sql(where, top)}) ON province_kh IN ({texts(PROVINCE_COLUMNS)})
+        USING CAST(sum(catch) AS BIGINT) GROUP BY fish_name_kh, total)
     SELECT fish_name_kh, total AS "{D.TOTAL}", coalesce(columns(* EXCLUDE (fish_name_kh, total)), 0) FROM wide"""
 
 
@@ -164,12 +171,13 @@ def _(spark, sf):
     """All species, since a row beyond the first ones can hold a province no other has."""
     tables = star.tables(spark, sf)
     cells = R._species_cells(tables, Filters(year=1998), None, marine=True)
-    return R._species_wide(cells, None)
+    return ensure_columns(R._species_wide(cells, None), PROVINCE_COLUMNS, F.lit(0).cast("long"))
 
 
 @query("t06_species_detail__wide", species_wide_sql("year = 1998", None))
 def _(spark, sf):
-    return R.t06_species_detail(star.tables(spark, sf), Filters(year=1998))
+    wide = R.t06_species_detail(star.tables(spark, sf), Filters(year=1998))
+    return ensure_columns(wide, PROVINCE_COLUMNS, F.lit(0).cast("long"))
 
 
 def aquaculture_sql(where: str, detail: bool) -> str:
@@ -290,11 +298,11 @@ CODE_SUMMARY = with_tables(
 
 
 @query("aqu_code_summary__wide", f"""WITH
-    wide AS (PIVOT ({CODE_SUMMARY}) ON fish_code USING sum(total) GROUP BY row_num, province_kh, total_sum)
+    wide AS (PIVOT ({CODE_SUMMARY}) ON fish_code IN ({texts(SPECIES_COLUMNS)}) USING sum(total) GROUP BY row_num, province_kh, total_sum)
     SELECT row_num AS "{D.ROW_NUMBER_HEADING}", province_kh AS "{D.PROVINCE_OR_CAPITAL}", total_sum AS "{D.TOTAL}",
         coalesce(columns(* EXCLUDE (row_num, province_kh, total_sum)), 0) FROM wide""")
 def _(spark, sf):
-    return R.aqu_code_summary(star.tables(spark, sf))
+    return ensure_columns(R.aqu_code_summary(star.tables(spark, sf)), SPECIES_COLUMNS, F.lit(0.0))
 
 
 @query("aqu_code_summary", CODE_SUMMARY)

@@ -292,9 +292,17 @@ def test_staged_tables_give_the_same_reports(spark, tables, codes, tmp_path):
     assert staged.capture is staged.capture
 
 
-def scans(df, *names):
-    text = df._jdf.queryExecution().executedPlan().toString()
-    return {name: text.split("== Initial Plan ==")[0].count(f"{name}]") for name in names}
+def scans(df, *folders):
+    """How many scans of the optimized plan read each folder, by the roots of their relations."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = [leaves.apply(i) for i in range(leaves.size())]
+    roots = [p for leaf in leaves if "Relation" in leaf.nodeName() for p in root_paths(leaf)]
+    return {folder: roots.count(folder) for folder in folders}
+
+
+def root_paths(leaf):
+    paths = leaf.relation().location().rootPaths()
+    return [paths.apply(i).toUri().getPath() for i in range(paths.size())]
 
 
 def test_province_lists_need_no_fact_table(spark, tables, codes, tmp_path):
