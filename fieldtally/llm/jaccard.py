@@ -1,24 +1,25 @@
 """Exact Jaccard join of texts as sets of word shingles, as a join in a metric space.
 
-One minus the Jaccard similarity is a metric. A pivot drawn from a region divides it: points within
-the radius are linked with the pivot, and so with each other. By the triangle inequality none of
-them has a partner beyond twice the radius. Points in the window between can have partners among
-those within and among themselves, but only if they share a difference from the pivot (what
-differs between two sets is what only one of them has different from the pivot), so points of
-these two zones go to a cell for each of their differences. What is outside the radius is a cell
-too, if something lies beyond the window. Cells are regions again, joined in the same way, until
-they are small and compared pair by pair.
+One minus the Jaccard similarity is a metric. Several pivots of a region make Voronoi cells: each
+point belongs to the pivot it is nearest to. What lies within the radius of a pivot is linked with
+it, and so of one class with all else there. By the triangle inequality two linked points differ
+by no more than the radius in their distance from any pivot, so a cell needs, beside its own
+points, only those of a window beyond its boundary: points not further from its pivot than from
+their own by more than twice the radius, and not further than ``NEAR`` and the radius. Points
+further than ``NEAR`` from all pivots make a cell of their own. Cells with points of more than one
+class are joined again in the same way: by cells of a few points pair by pair, else by new pivots.
 
 Pivots can't divide all texts at once: unrelated texts are all at a distance of nearly one from
 each other, so all would lie beyond each window. The first regions are therefore the texts that
 share one of their rarest shingles, enough of them that two linked texts always share one. A
 shingle is as rare as its rarest word, by a table of counts of the words of all texts, folded by
-hash to a fixed size; any order is exact.
+hash to a fixed size; any order is exact. For the same reason points of large cells are dealt anew
+to regions by the shingles that are rarest among these points, and those get new pivots: every
+turn compares pivots with all points of their region and leaves them out of the next, so the join
+ends without a limit of depth.
 
-Before two sets are compared, their sketches are: counts of shingles by a few places of their
-hash. The sum of their differences is at most that of the sets, so nothing linked is passed over.
-Equal sets are one point. Links only matter here for the classes they make, so pairs that are in
-one class already aren't compared again.
+Equal sets are one point. Links only matter here for the classes they make, so a region with
+points of one class is done.
 """
 
 from __future__ import annotations
@@ -28,43 +29,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm.common import packed, texts, written
+from fieldtally.llm.shingles import Points, Scratch, by_class, keyed, pairs_within, runs_of, shared, shingled, sketch, word_hashes
 
 #: Bits of a word's hash that name its place in the table of counts.
 COUNTED_BITS = 21
-#: Rows of at most 50 bytes that are broadcast; more are shuffled.
-BROADCAST_ROWS = 500_000
-#: Points of a region that is compared pair by pair, and places of a sketch.
-SMALL, SKETCH = 64, 32
-#: Times a region is divided; what is left is compared pair by pair, however large.
-DEPTH = 2
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    """A hash of each word; A-Z are lower-cased, and words are what stands between ASCII white space."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def runs_of(hashed: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of ``n`` words; with fewer words, of the one run of all."""
-    size = min(n, len(hashed))
-    if not size:
-        return np.zeros(0, np.int64)
-    runs = np.full(len(hashed) - size + 1, size, np.uint64)
-    for i in range(size):
-        runs = runs * np.uint64(0x9E3779B97F4A7C15) + hashed[i : len(hashed) - size + 1 + i]
-        runs ^= runs >> np.uint64(29)
-    return runs.view(np.int64)
-
-
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """Sorted hashes of the different runs of ``n`` words."""
-    return np.unique(runs_of(word_hashes(text), n))
+#: Points of a region that is compared pair by pair, and pivots of a larger one, so many more each turn.
+SMALL, PIVOTS = 8, 2
+#: Distance from a pivot up to which points are of its cell.
+NEAR = 0.5
 
 
 def rarest(text: str | None, n: int, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,21 +57,6 @@ def rarest(text: str | None, n: int, counts: np.ndarray, percent: int) -> tuple[
     return own, own[np.lexsort((own, least[first]))[:kept]]
 
 
-def sketch(own: np.ndarray) -> list[int]:
-    """How many shingles have each value of the lowest bits of their hash."""
-    return np.minimum(np.bincount(own & (SKETCH - 1), minlength=SKETCH), 32767).tolist()
-
-
-def keyed(values: np.ndarray) -> bytes:
-    """What stands for a set: 128 bits of its sorted hashes."""
-    return xxhash.xxh3_128_digest(values.tobytes())
-
-
-def shingled(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
-
-
 def sets_and_counts(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     """``doc_id, text_key, key, size, sketch`` by row, and how often words of each place of the table stand in all texts.
 
@@ -140,17 +101,17 @@ def places(hashed: np.ndarray) -> np.ndarray:
     return (hashed >> np.uint64(64 - COUNTED_BITS)).astype(np.int64)
 
 
-def first_regions(docs: DataFrame, n: int, table: np.ndarray, percent: int) -> DataFrame:
-    """``region, key, size, points``: sets by each of their rarest shingles, where another set has it too.
+def first_regions(docs: DataFrame, n: int, table: np.ndarray, percent: int, scratch: Scratch) -> DataFrame:
+    """``region, key, size, pos``: sets by each of their rarest shingles, where another set has it too.
 
     Of each set there is one shingle more than two linked sets can differ in. A task gives a set
     once however many copies it reads, so copies don't gather at a shingle.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    schema = pa.schema([("region", pa.int64()), ("key", pa.binary()), ("size", pa.int64())])
+    common = docs.sparkSession.sparkContext.broadcast(table)
+    schema = pa.schema([("region", pa.int64()), ("key", pa.binary()), ("size", pa.int64()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = shared.value, set()
+        counts, seen = common.value, set()
         for batch in batches:
             found, keys, sizes = [], [], []
             for text in texts(batch):
@@ -162,173 +123,88 @@ def first_regions(docs: DataFrame, n: int, table: np.ndarray, percent: int) -> D
                 found.append(rare)
                 keys.append(key)
                 sizes.append(len(own))
-            times = [len(x) for x in found]
+            times = np.array([len(x) for x in found], np.int64)
             row = np.repeat(np.arange(len(found)), times)
-            columns = [pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), pa.array(keys, pa.binary()).take(pa.array(row)), pa.array(np.repeat(np.array(sizes, np.int64), times))]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + 1
+            rare = pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))
+            by_row = [pa.array(keys, pa.binary()).take(pa.array(row)), pa.array(np.array(sizes, np.int64)[row])]
+            yield pa.RecordBatch.from_arrays([rare, *by_row, pa.array(place.astype(np.int32))], schema=schema)
 
-    rows = shingled(docs).mapInArrow(run, "region long, key binary, size long")
-    # read and dealt by shingle once; what follows needs no other shuffle
-    rows = rows.repartition("region").groupBy("region", "key").agg(F.max("size").alias("size"))
-    points = F.count("*").over(Window.partitionBy("region"))
-    return written(rows.withColumn("points", points).where(F.col("points") > 1))
+    rows = scratch(shingled(docs).mapInArrow(run, "region long, key binary, size long, pos int"))
+    return shared(rows, scratch).dropDuplicates(["region", "key"])
 
 
-def sets_of(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """``key, grams`` of the wanted sets, each once."""
-    schema = pa.schema([("key", pa.binary()), ("grams", pa.list_(pa.int64()))])
+def pivots(regions: DataFrame, turn: int) -> DataFrame:
+    """``region, i, pivot``: of each region the point with the rarest place of its shingle, and some drawn by hash."""
+    central = F.min(F.struct(F.col("pos") / F.col("size"), F.xxhash64("key"), "key"))["key"]
+    drawn = [F.min(F.struct(F.xxhash64("key", F.lit(turn), F.lit(i)), "key"))["key"] for i in range(1, PIVOTS * (turn + 1))]
+    chosen = regions.groupBy("region").agg(F.array_distinct(F.array(central, *drawn)).alias("chosen"))
+    return chosen.select("region", F.posexplode("chosen").alias("i", "pivot"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for batch in batches:
-            found = {}
-            for text in texts(batch):
-                own = shingles(text, n)
-                found[keyed(own)] = own
-            found = {k: x for k, x in found.items() if k not in seen}
-            seen.update(found)
-            offsets = np.cumsum([0, *[len(x) for x in found.values()]]).astype(np.int32)
-            grams = pa.ListArray.from_arrays(offsets, np.concatenate([*found.values(), np.zeros(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), grams], schema=schema)
-
-    sets = shingled(docs).mapInArrow(run, "key binary, grams array<long>")
-    return written(sets.join(at_hand(wanted), "key", "left_semi").dropDuplicates(["key"]))
-
-
-def at_hand(rows: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it has no more than ``BROADCAST_ROWS`` rows, else joined by shuffle."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
-
-
-class Points:
-    """The sets that may be linked with another, and what is known of them so far."""
-
-    def __init__(self, docs: DataFrame, n: int, keys: DataFrame, percent: int):
-        self.percent, self.spark = percent, docs.sparkSession
-        self.sets = sets_of(docs, n, written(keys.distinct()))
-        #: By point that isn't the smallest of its class, the smallest.
-        self.classes = self.spark.createDataFrame([], "key binary, root binary")
-
-    def compared(self, pairs: DataFrame, *more: Column) -> DataFrame:
-        """``a, b, common, total`` of pairs, and what else is asked of ``grams_a`` and ``grams_b``; written."""
-        pairs = at_hand(written(pairs.select("a", "b").distinct()))
-        wanted = at_hand(written(pairs.select("a").distinct()))
-        a = self.sets.select(F.col("key").alias("a"), F.col("grams").alias("grams_a")).join(wanted, "a", "left_semi")
-        b = self.sets.select(F.col("key").alias("b"), F.col("grams").alias("grams_b"))
-        common = F.array_size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("common")
-        sizes = (F.array_size("grams_a") + F.array_size("grams_b")).cast("long").alias("sizes")
-        both = b.join(pairs, "b").join(a, "a").select("a", "b", "grams_a", "grams_b", common, sizes)
-        return written(both.select("a", "b", "common", (F.col("sizes") - F.col("common")).alias("total"), *more))
-
-    def merge(self, compared: DataFrame) -> None:
-        """Makes one class of the classes that are linked."""
-        links = compared.where(F.col("common") * 100 >= F.col("total") * self.percent)
-        links = links.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low"))
-        if not links.isEmpty():
-            self.classes = classes(links.unionByName(self.classes.toDF("high", "low")))
-
-    def active(self, regions: DataFrame) -> DataFrame:
-        """``region, key, size, sketch, root, points`` of regions with points of more than one class."""
-        known = regions.join(self.classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        mixed = known.groupBy("region").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("points"))
-        mixed = mixed.where(F.col("x") != F.col("y")).select("region", "points")
-        return written(known.select("region", "key", "size", "sketch", "root").join(mixed, "region"))
-
-    def divide(self, regions: DataFrame, turn: int) -> DataFrame:
-        """Compares regions with a pivot of each, and gives ``region, key, size, sketch`` of their cells."""
-        drawn = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("drawn"), "key")).alias("p")
-        pivots = regions.groupBy("region").agg(drawn).select("region", F.col("p.key").alias("pivot"))
-        joined = written(regions.join(pivots, "region").where(F.col("key") != F.col("pivot")))
-        differences = F.array_union(F.array_except("grams_a", "grams_b"), F.array_except("grams_b", "grams_a"))
-        window = 1 - F.col("common") / F.col("total") <= 2 * (1 - self.percent / 100) + 1e-9
-        pairs = joined.select(F.col("pivot").alias("a"), F.col("key").alias("b"))
-        found = self.compared(pairs, F.when(window, differences).alias("differences"))
-        self.merge(found)
-        linked = F.col("common") * 100 >= F.col("total") * self.percent
-        zones = found.select(
-            F.col("a").alias("pivot"), F.col("b").alias("key"), "differences",
-            linked.alias("inside"), F.col("differences").isNull().alias("beyond"),
-        )
-        points = regions.select("key", "size", "sketch").dropDuplicates(["key"])
-        by_difference = zones.select("pivot", "key", F.explode("differences").alias("gram"))
-        cells = by_difference.select(F.xxhash64("pivot", "gram").alias("region"), "key").join(points, "key")
-        zoned = joined.join(zones.select("pivot", "key", "inside", "beyond"), ["pivot", "key"])
-        far = zoned.groupBy("region").agg(F.bool_or("beyond").alias("far")).where("far").select("region")
-        rest = zoned.where(~F.col("inside")).join(far, "region").select("region", "key", "size", "sketch")
-        return written(cells.select("region", "key", "size", "sketch").unionByName(rest).distinct())
-
-
-def candidates(regions: DataFrame, percent: int) -> DataFrame:
-    """``a < b`` of points of a region that may be linked, by size and sketch, and aren't of one class.
-
-    The most two linked sets can differ in follows from their sizes; the sketches differ in no more.
-    """
-    names = ("key", "size", "sketch", "root")
-    other = regions.select("region", *[F.col(c).alias(f"other_{c}") for c in names])
-    apart = sum((F.abs(F.col("sketch")[i].cast("int") - F.col("other_sketch")[i].cast("int")) for i in range(SKETCH)), F.lit(0))
-    near = apart * (100 + percent) <= (F.col("size") + F.col("other_size")) * (100 - percent)
-    met = (F.col("key") < F.col("other_key")) & (F.col("root") != F.col("other_root"))
-    pairs = regions.join(other, "region").where(met & near)
-    return pairs.select(F.col("key").alias("a"), F.col("other_key").alias("b"))
 
+def cells(met: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """``region, key`` of the Voronoi cells that points belong to or have in their window.
 
-def classes(edges: DataFrame) -> DataFrame:
-    """``key, root``: of each point of a graph that isn't the smallest of its component, the smallest.
-
-    ``high`` and ``low`` are the ends of edges. Each turn gives the larger neighbours of a point its
-    smallest neighbour, then the point itself and its smaller ones, until all edges lead to the root.
-    Only smallest values are gathered, so a point with very many edges is no task of its own.
+    ``met`` has ``region, key, i, pivot``, of each pivot every other point of its region, ``found`` the
+    compared pairs.
     """
-    edges = written(edges.distinct())
-    mark = fingerprint(edges)
-    while True:
-        both = edges.unionByName(edges.select(F.col("low").alias("high"), F.col("high").alias("low")))
-        least = both.groupBy("high").agg(F.min("low").alias("least"))
-        least = least.select("high", F.least("high", "least").alias("least"))
-        large = both.join(least, "high").where(F.col("low") > F.col("high")).select(F.col("low").alias("high"), F.col("least").alias("low"))
-        large = large.distinct()
-        least = large.groupBy("high").agg(F.min("low").alias("least"))
-        small = large.join(least, "high").select("high", F.array_distinct(F.array("high", "low")).alias("ends"), "least")
-        small = small.select(F.explode("ends").alias("high"), F.col("least").alias("low"))
-        edges = written(small.where(F.col("high") != F.col("low")).distinct())
-        before, mark = mark, fingerprint(edges)
-        if mark == before:
-            return edges.toDF("key", "root")
-
-
-def fingerprint(edges: DataFrame) -> tuple:
-    """Equal for equal sets of edges, and else different but for an accident of 64 bits."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("high", "low"))).first())
-
-
-def link(docs: DataFrame, n: int, sets: DataFrame, table: np.ndarray, percent: int) -> DataFrame:
+    radius, rounding = 1 - percent / 100, 1e-9
+    ends = [F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")]
+    apart = met.select("region", "key", "i", *ends).join(found, ["a", "b"])
+    apart = apart.select("region", "key", F.struct((1 - F.col("common") / F.col("total")).alias("d"), "i").alias("to"))
+    # as many as there are pivots
+    by_point = apart.groupBy("region", "key").agg(F.sort_array(F.collect_list("to")).alias("to"))
+    least = F.col("to")[0]["d"]
+    reach = F.least(least + 2 * radius, F.lit(NEAR + radius)) + rounding
+    near = F.transform(F.filter("to", lambda x: x["d"] <= reach), lambda x: x["i"])
+    far = F.when(least > NEAR, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    of_point = by_point.select("region", "key", F.explode(F.concat(near, far)).alias("cell"))
+    return of_point.select("region", "key", F.xxhash64("region", "cell").alias("inner"))
+
+
+def link(docs: DataFrame, n: int, sets: DataFrame, table: np.ndarray, percent: int, scratch: Scratch) -> DataFrame:
     """``key, root`` of the points linked with others, by ``percent`` of similarity or more."""
-    first = first_regions(docs, n, table, percent)
-    sketches = sets.where(F.col("key").isNotNull()).select("key", "sketch").dropDuplicates(["key"])
-    regions = written(first.join(sketches, "key").withColumn("root", F.col("key")))
-    small = F.col("points") <= SMALL
-    pairs = written(candidates(regions.where(small), percent).distinct())
-    large = regions.where(~small).drop("points", "root")
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select("key"))
-    points = Points(docs, n, keys, percent)
-    points.merge(points.compared(pairs))
-    for turn in range(DEPTH):
-        large = points.active(large)
-        if large.isEmpty():
-            return points.classes
-        cells = points.active(points.divide(large, turn))
-        points.merge(points.compared(candidates(cells.where(small), percent)))
-        large = cells.where(~small).select("region", "key", "size", "sketch")
-    points.merge(points.compared(candidates(points.active(large), percent)))
-    return points.classes
+    regions = first_regions(docs, n, table, percent, scratch)
+    known = sets.where(F.col("key").isNotNull()).dropDuplicates(["key"])
+    regions = scratch(regions.join(known.select("key", "sketch"), "key"))
+    counted = regions.groupBy("region").agg(F.count("*").alias("points"))
+    regions = scratch(regions.join(counted, "region").withColumn("root", F.col("key")))
+    points, turn = None, 0
+    while not regions.isEmpty():
+        small, large = regions.where(F.col("points") <= SMALL), regions.where(F.col("points") > SMALL)
+        drawn = scratch(pivots(large, turn))
+        met = scratch(large.select("region", "key").join(drawn, "region").where(F.col("key") != F.col("pivot")))
+        pairs = pairs_within(small, percent).unionByName(met.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")))
+        pairs = scratch(pairs.distinct())
+        if points is None:
+            keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select("key")).distinct()
+            rows = known.select("key", "doc_id", "text_key").join(keys, "key", "left_semi")
+            points = Points(docs, n, rows, percent, scratch)
+        found = points.compared(pairs)
+        points.merge(found)
+        left = points.active(large.drop("root", "points").join(drawn.toDF("region", "i", "key"), ["region", "key"], "left_anti"))
+        if left.isEmpty():
+            break
+        inner = cells(met.join(left.select("region").distinct(), "region", "left_semi"), found, percent)
+        left = left.drop("root", "points").join(inner, ["region", "key"]).drop("region").withColumnRenamed("inner", "region")
+        left = points.active(left)
+        few = left.where(F.col("points") <= SMALL).select("region", "key", "size", "pos", "sketch")
+        many = left.where(F.col("points") > SMALL).select("key", "size", "sketch").dropDuplicates(["key"])
+        turn += 1
+        regions = points.active(few.unionByName(points.rare_regions(many, turn)))
+    return written(points.classes) if points else sets.sparkSession.createDataFrame([], "key binary, root binary")
 
 
 def classified(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """``doc_id, text_key, key, size, root`` by row; ``root`` stands for the class, and is null without words."""
     if not 0 < percent <= 100:
         raise ValueError("the similarity is a percentage above 0")
-    sets, table = sets_and_counts(docs, n)
-    roots = link(docs, n, sets, table, percent)
+    scratch = Scratch(docs.sparkSession)
+    try:
+        sets, table = sets_and_counts(docs, n)
+        roots = link(docs, n, sets, table, percent, scratch)
+    finally:
+        scratch.drop()
     return sets.drop("sketch").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
@@ -341,17 +217,12 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     A text's set is of the different runs of ``n`` words, or of the one run of all if there are
     fewer; ``component_id`` is the smallest ``doc_id`` that links lead to, itself included. A null
     or empty text has no shingles and is linked with nothing, not even its like, and keeps its own
-    id. Missing ids are passed over in the smallest one. Repeated rows are linked like other
-    copies and give a row each; other columns are not looked at. Sets are compared by 64-bit
-    hashes of shingles, and taken as equal by 128-bit hashes.
+    id. Very long texts are taken whole, like others. Missing ids are passed over in the smallest
+    one. Repeated rows are linked like other copies and give a row each; an empty table gives an
+    empty one; other columns are not looked at. Sets are compared by 64-bit hashes of shingles,
+    and taken as equal by 128-bit hashes.
     """
-    rows = classified(docs, n, percent)
-    # smallest ids first by set, so that what a class gathers is bounded by its different sets
-    least = rows.where(F.col("key").isNotNull()).groupBy("key", "root").agg(F.min("doc_id").alias("least"))
-    by_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rows.join(by_root, "root", "left")
-    own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"))
+    return by_class(classified(docs, n, percent))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

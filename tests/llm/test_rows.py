@@ -135,13 +135,26 @@ def near_copies(seed):
     return [(10 * i + draw.randint(0, 9), t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("n", "percent", "cells"), [(3, 90, False), (2, 80, False), (1, 70, True), (2, 60, True)])
+def changed_copies(seed, copies, share, words=60):
+    """Copies of one text with up to a share of their words changed, and texts that share a passage alone."""
+    draw = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    rows = []
+    for _ in range(copies):
+        part = draw.random() * share
+        rows.append(" ".join(f"n{draw.randint(0, 10**6)}" if draw.random() < part else w for w in base))
+    rows += [" ".join([*base[:12], *(f"u{draw.randint(0, 10**6)}" for _ in range(20))]) for _ in range(copies // 2)]
+    draw.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize(("n", "percent", "cells"), [(3, 90, False), (3, 90, True), (2, 80, False), (1, 70, True), (2, 60, True)])
 def test_classes(spark, monkeypatch, n, percent, cells):
     if cells:  # all by pivots, windows and cells
-        monkeypatch.setattr(jaccard, "SMALL", 2)
-    rows = near_copies(n * percent)
-    found = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), n, percent)
-    assert sorted_rows(found, "doc_id", "n_shingles", "component_id") == sorted(smallest_linked(rows, n, percent), key=repr)
+        monkeypatch.setattr(jaccard, "SMALL", 1)
+    for rows in (near_copies(n * percent), changed_copies(n * percent, 60, 0.3)):
+        found = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), n, percent)
+        assert sorted_rows(found, "doc_id", "n_shingles", "component_id") == sorted(smallest_linked(rows, n, percent), key=repr)
 
 
 def test_class_edges(spark):
