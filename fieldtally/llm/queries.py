@@ -16,6 +16,7 @@ from fieldtally.llm.jaccard import components
 from fieldtally.llm.licenses import scan_licenses
 from fieldtally.llm.token_count import count_tokens
 from fieldtally.llm.top_k import top_k
+from fieldtally.llm.whitening import whiten
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -172,3 +173,9 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("found.first").alias("first_word"),
         F.col("found.last").alias("last_word"),
     )
+
+
+@register
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 32 principal components of every vector, in units of their standard deviation."""
+    return whiten(table(spark, sf_dir, "embeddings"), most=32)
