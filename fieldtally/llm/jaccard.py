@@ -33,14 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm.common import packed, texts, written
-from fieldtally.llm.shingles import Points, Scratch, by_class, keyed, pairs_within, runs_of, shared, shingled, sketch, word_hashes
+from fieldtally.llm.shingles import Points, Scratch, alive, by_class, keyed, pairs_within, runs_of, shared, shingled, sketch, word_hashes
 
 #: Bits of a word's hash that name its place in the table of counts.
 COUNTED_BITS = 21
-#: Points of a region that is compared pair by pair, and pivots of a larger one, so many more each turn.
-SMALL, PIVOTS = 8, 2
+#: Points of a region that is compared pair by pair, and pivots of a larger one, times ``GROWTH`` each turn.
+SMALL, PIVOTS, GROWTH = 16, 4, 4
+#: Pivots that have cells; the others are compared alone.
+CELLS = 4
 #: Distance from a pivot up to which points are of its cell.
 NEAR = 0.5
+POINT = ("region", "key", "size", "pos", "sketch")
 
 
 def rarest(text: str | None, n: int, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,11 +138,18 @@ def first_regions(docs: DataFrame, n: int, table: np.ndarray, percent: int, scra
 
 
 def pivots(regions: DataFrame, turn: int) -> DataFrame:
-    """``region, i, pivot``: of each region the point with the rarest place of its shingle, and some drawn by hash."""
-    central = F.min(F.struct(F.col("pos") / F.col("size"), F.xxhash64("key"), "key"))["key"]
-    drawn = [F.min(F.struct(F.xxhash64("key", F.lit(turn), F.lit(i)), "key"))["key"] for i in range(1, PIVOTS * (turn + 1))]
-    chosen = regions.groupBy("region").agg(F.array_distinct(F.array(central, *drawn)).alias("chosen"))
-    return chosen.select("region", F.posexplode("chosen").alias("i", "pivot"))
+    """``region, i, pivot`` of larger regions.
+
+    Of each the point with the rarest place of its shingle, and some points outside the largest
+    class, drawn by hash; all of them if they are a few, and the region is done then.
+    """
+    central = regions.groupBy("region").agg(F.min(F.struct(F.col("pos") / F.col("size"), F.xxhash64("key"), "key"))["key"].alias("pivot"))
+    draw = F.pmod(F.xxhash64("key", F.lit(turn)), F.col("outside"))
+    drawn = regions.where(F.col("apart") & (draw < PIVOTS * GROWTH**turn))
+    # the first ones make cells
+    place = F.when(F.col("outside") <= CELLS, 0).otherwise(F.pmod(F.xxhash64("key", F.lit(turn)), F.col("outside")))
+    drawn = drawn.select("region", F.col("key").alias("pivot"), place.cast("int").alias("i"))
+    return central.select("region", "pivot", F.lit(0).alias("i")).unionByName(drawn).groupBy("region", "pivot").agg(F.min("i").alias("i"))
 
 
 def cells(met: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -150,14 +160,14 @@ def cells(met: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """
     radius, rounding = 1 - percent / 100, 1e-9
     ends = [F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")]
-    apart = met.select("region", "key", "i", *ends).join(found, ["a", "b"])
-    apart = apart.select("region", "key", F.struct((1 - F.col("common") / F.col("total")).alias("d"), "i").alias("to"))
-    # as many as there are pivots
+    apart = met.where(F.col("i") < CELLS).select("region", "key", "pivot", *ends).join(found, ["a", "b"])
+    apart = apart.select("region", "key", F.struct((1 - F.col("common") / F.col("total")).alias("d"), "pivot").alias("to"))
+    # a few, as there are pivots with cells
     by_point = apart.groupBy("region", "key").agg(F.sort_array(F.collect_list("to")).alias("to"))
     least = F.col("to")[0]["d"]
     reach = F.least(least + 2 * radius, F.lit(NEAR + radius)) + rounding
-    near = F.transform(F.filter("to", lambda x: x["d"] <= reach), lambda x: x["i"])
-    far = F.when(least > NEAR, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    near = F.transform(F.filter("to", lambda x: x["d"] <= reach), lambda x: x["pivot"])
+    far = F.when(least > NEAR, F.array(F.lit(b""))).otherwise(F.array().cast("array<binary>"))
     of_point = by_point.select("region", "key", F.explode(F.concat(near, far)).alias("cell"))
     return of_point.select("region", "key", F.xxhash64("region", "cell").alias("inner"))
 
@@ -166,9 +176,10 @@ def link(docs: DataFrame, n: int, sets: DataFrame, table: np.ndarray, percent: i
     """``key, root`` of the points linked with others, by ``percent`` of similarity or more."""
     regions = first_regions(docs, n, table, percent, scratch)
     known = sets.where(F.col("key").isNotNull()).dropDuplicates(["key"])
-    regions = scratch(regions.join(known.select("key", "sketch"), "key"))
-    counted = regions.groupBy("region").agg(F.count("*").alias("points"))
-    regions = scratch(regions.join(counted, "region").withColumn("root", F.col("key")))
+    regions = scratch(alive(regions, percent))
+    counted = regions.groupBy("region").agg(F.count("*").alias("points")).where(F.col("points") > 1)
+    regions = regions.join(counted, "region").join(known.select("key", "sketch"), "key")
+    regions = scratch(regions.withColumns({"root": F.col("key"), "outside": F.col("points"), "apart": F.lit(False)}))
     points, turn = None, 0
     while not regions.isEmpty():
         small, large = regions.where(F.col("points") <= SMALL), regions.where(F.col("points") > SMALL)
@@ -182,13 +193,14 @@ def link(docs: DataFrame, n: int, sets: DataFrame, table: np.ndarray, percent: i
             points = Points(docs, n, rows, percent, scratch)
         found = points.compared(pairs)
         points.merge(found)
-        left = points.active(large.drop("root", "points").join(drawn.toDF("region", "i", "key"), ["region", "key"], "left_anti"))
+        left = large.select(*POINT).join(drawn.select("region", F.col("pivot").alias("key")), ["region", "key"], "left_anti")
+        left = points.active(left)
         if left.isEmpty():
             break
         inner = cells(met.join(left.select("region").distinct(), "region", "left_semi"), found, percent)
-        left = left.drop("root", "points").join(inner, ["region", "key"]).drop("region").withColumnRenamed("inner", "region")
+        left = left.select(*POINT).join(inner, ["region", "key"]).drop("region").withColumnRenamed("inner", "region")
         left = points.active(left)
-        few = left.where(F.col("points") <= SMALL).select("region", "key", "size", "pos", "sketch")
+        few = left.where(F.col("points") <= SMALL).select(*POINT)
         many = left.where(F.col("points") > SMALL).select("key", "size", "sketch").dropDuplicates(["key"])
         turn += 1
         regions = points.active(few.unionByName(points.rare_regions(many, turn)))

@@ -115,6 +115,17 @@ def may_link(percent: int) -> Column:
     return enough[0] & enough[1] & (apart * (100 + percent) <= sizes * (100 - percent))
 
 
+def alive(regions: DataFrame, percent: int) -> DataFrame:
+    """The rows of regions but for points that could be linked with none of the region, not even with one of its least size.
+
+    A point whose shingles that are rarer than the region's are already more than two linked sets
+    can differ in has its partners elsewhere, if any.
+    """
+    least = regions.groupBy("region").agg(F.min("size").alias("least"))
+    enough = (F.col("size") - F.col("pos") + 1) * (100 + percent) >= percent * (F.col("size") + F.col("least"))
+    return regions.join(least, "region").where(enough).drop("least")
+
+
 def pairs_within(regions: DataFrame, percent: int) -> DataFrame:
     """``a < b`` of points of a region that may be linked and aren't of one class; for regions of a few points."""
     names = ("key", "size", "pos", "sketch", "root")
@@ -157,12 +168,17 @@ class Points:
             self.classes = classes(links.unionByName(self.classes.toDF("high", "low")), self.scratch)
 
     def active(self, regions: DataFrame) -> DataFrame:
-        """The rows of regions with points of more than one class, with their ``root`` and the region's ``points``; written."""
-        known = regions.join(self.classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        mark = F.xxhash64("root")
-        mixed = known.groupBy("region").agg(F.min(mark).alias("x"), F.max(mark).alias("y"), F.count("*").alias("points"))
-        mixed = mixed.where(F.col("x") != F.col("y")).select("region", "points")
-        return self.scratch(known.join(mixed, "region"))
+        """The rows of regions with points of more than one class, with their ``root``; written.
+
+        Beside it the region's ``points``, how many of them are ``outside`` its largest class, and
+        ``apart``, whether this one is.
+        """
+        known = alive(regions, self.percent).join(self.classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        by_class = known.groupBy("region", F.xxhash64("root").alias("mark")).agg(F.count("*").alias("n"))
+        largest = by_class.groupBy("region").agg(F.sum("n").alias("points"), F.max(F.struct("n", "mark")).alias("main"))
+        mixed = largest.where(F.col("points") > F.col("main.n"))
+        mixed = mixed.select("region", "points", (F.col("points") - F.col("main.n")).alias("outside"), "main.mark")
+        return self.scratch(known.join(mixed, "region").withColumn("apart", F.xxhash64("root") != F.col("mark")).drop("mark"))
 
     def rare_regions(self, points: DataFrame, turn: int) -> DataFrame:
         """``region, key, size, pos, sketch``: points by those of their shingles that are rarest among these points.
