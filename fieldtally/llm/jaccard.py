@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm.common import packed, texts, written
-from fieldtally.llm.shingles import Points, Scratch, alive, by_class, keyed, pairs_within, runs_of, shared, shingled, sketch, word_hashes
+from fieldtally.llm.shingles import Points, Scratch, alive, by_class, drawn_outside, keyed, pairs_within, runs_of, shared, shingled, sketch, word_hashes
 
 #: Bits of a word's hash that name its place in the table of counts.
 COUNTED_BITS = 21
 #: Points of a region that is compared pair by pair, and pivots of a larger one, times ``GROWTH`` each turn.
 SMALL, PIVOTS, GROWTH = 16, 4, 4
-#: Pivots that have cells; the others are compared alone.
+#: About how many pivots of a region have cells; the others are compared alone.
 CELLS = 4
 #: Distance from a pivot up to which points are of its cell.
 NEAR = 0.5
@@ -138,29 +138,27 @@ def first_regions(docs: DataFrame, n: int, table: np.ndarray, percent: int, scra
 
 
 def pivots(regions: DataFrame, turn: int) -> DataFrame:
-    """``region, i, pivot`` of larger regions.
+    """``region, pivot, celled`` of larger regions; some pivots have cells.
 
     Of each the point with the rarest place of its shingle, and some points outside the largest
     class, drawn by hash; all of them if they are a few, and the region is done then.
     """
-    central = regions.groupBy("region").agg(F.min(F.struct(F.col("pos") / F.col("size"), F.xxhash64("key"), "key"))["key"].alias("pivot"))
-    draw = F.pmod(F.xxhash64("key", F.lit(turn)), F.col("outside"))
-    drawn = regions.where(F.col("apart") & (draw < PIVOTS * GROWTH**turn))
-    # the first ones make cells
-    place = F.when(F.col("outside") <= CELLS, 0).otherwise(F.pmod(F.xxhash64("key", F.lit(turn)), F.col("outside")))
-    drawn = drawn.select("region", F.col("key").alias("pivot"), place.cast("int").alias("i"))
-    return central.select("region", "pivot", F.lit(0).alias("i")).unionByName(drawn).groupBy("region", "pivot").agg(F.min("i").alias("i"))
+    central = regions.groupBy("region").agg(F.min(F.struct("pos", F.xxhash64("key"), "key"))["key"].alias("pivot"))
+    drawn = regions.where(drawn_outside(turn, PIVOTS * GROWTH**turn))
+    drawn = drawn.select("region", F.col("key").alias("pivot"), drawn_outside(turn, CELLS).alias("celled"))
+    every = central.withColumn("celled", F.lit(True)).unionByName(drawn)
+    return every.groupBy("region", "pivot").agg(F.bool_or("celled").alias("celled"))
 
 
 def cells(met: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """``region, key`` of the Voronoi cells that points belong to or have in their window.
 
-    ``met`` has ``region, key, i, pivot``, of each pivot every other point of its region, ``found`` the
+    ``met`` has ``region, key, pivot, celled``, of each pivot every other point of its region, ``found`` the
     compared pairs.
     """
     radius, rounding = 1 - percent / 100, 1e-9
     ends = [F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")]
-    apart = met.where(F.col("i") < CELLS).select("region", "key", "pivot", *ends).join(found, ["a", "b"])
+    apart = met.where("celled").select("region", "key", "pivot", *ends).join(found, ["a", "b"])
     apart = apart.select("region", "key", F.struct((1 - F.col("common") / F.col("total")).alias("d"), "pivot").alias("to"))
     # a few, as there are pivots with cells
     by_point = apart.groupBy("region", "key").agg(F.sort_array(F.collect_list("to")).alias("to"))

@@ -14,6 +14,7 @@ from fieldtally.llm.common import held_out, table
 from fieldtally.llm.decontaminate import find_contamination
 from fieldtally.llm.jaccard import components
 from fieldtally.llm.licenses import scan_licenses
+from fieldtally.llm.minhash import near_duplicates
 from fieldtally.llm.token_count import count_tokens
 from fieldtally.llm.top_k import top_k
 from fieldtally.llm.whitening import whiten
@@ -179,3 +180,9 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 32 principal components of every vector, in units of their standard deviation."""
     return whiten(table(spark, sf_dir, "embeddings"), most=32)
+
+
+@register
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose sets of two-word shingles are at least 80 % alike, and which of each stays."""
+    return near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)

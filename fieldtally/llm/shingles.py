@@ -135,6 +135,15 @@ def pairs_within(regions: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("key").alias("a"), F.col("other_key").alias("b"))
 
 
+def drawn_outside(turn: int, about: int) -> Column:
+    """Whether a point of an active region is outside its largest class and among ``about`` drawn there, all if they are no more.
+
+    Drawn by hash, the same points in regions that hold the same ones.
+    """
+    unit = 1 << 30
+    return F.col("apart") & (F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(unit)) * F.col("outside") < about * unit)
+
+
 class Points:
     """The sets that may be linked with another, and what is known of them so far.
 
