@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally.llm import language, line_dedup, quality, urls
+from fieldtally.llm.alignment import align_documents
 from fieldtally.llm.bpe import encode_documents
 from fieldtally.llm.common import held_out, table
 from fieldtally.llm.decontaminate import find_contamination
@@ -186,3 +187,10 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose sets of two-word shingles are at least 80 % alike, and which of each stays."""
     return near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
+@register
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two vocabularies over every document."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align_documents(table(spark, sf_dir, "documents"), *paths, digest=True).withColumnRenamed("groups", "groups_sha256")
