@@ -6,7 +6,7 @@ import datetime
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally import domains as D
@@ -30,6 +30,7 @@ from fieldtally.sources.choices import read_choices
 from fieldtally.sources.staging import StagedTables, stage_tables
 from fieldtally.sources.submissions import (
     find_schema,
+    latest_versions,
     parse_submissions,
     read_submissions,
     results_of,
@@ -104,6 +105,60 @@ def _(spark, sf):
     return counts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
 
 
+@query("read_submissions__pages_rejects", """SELECT CAST(count(*) FILTER (WHERE l_linenumber NOT IN (3, 5)) AS BIGINT) AS good,
+    CAST(count(*) FILTER (WHERE l_linenumber IN (3, 5)) AS BIGINT) AS bad,
+    CAST(sum(l_orderkey * 8 + l_linenumber) FILTER (WHERE l_linenumber NOT IN (3, 5)) AS BIGINT) AS ids,
+    CAST(count(DISTINCT (l_orderkey * 8 + l_linenumber) // 2000) AS BIGINT) AS pages FROM lineitem""")
+def _(spark, sf):
+    """Pages with groups of a wrong type and ids that are no number: all other submissions of a page stay."""
+    value = F.regexp_replace("value", r'"_id":(\d+)(,[^{}]*"inspectorate":"none")', '"_id":"no $1"$2')
+    value = F.regexp_replace(value, r'("inspectorate":"5",[^{}]*"_validation_status":)\{[^}]*\}', '$1"none"')
+    folder, rejects = landing_folder(spark), landing_folder(spark)
+    star.page_texts(spark, sf).select("page", value.alias("value")).repartition("page").write.partitionBy("page").text(folder)
+    good = read_submissions(spark, folder, rejects=rejects)
+    aside = spark.read.parquet(rejects)
+    counts = good.select(F.lit(1).alias("good"), F.lit(0).alias("bad"), F.col("_id").alias("ids"), F.lit(None).alias("page")).unionAll(
+        aside.select(F.lit(0), F.lit(1), F.lit(0).cast("long"), "file")
+    )
+    return counts.agg(*[F.sum(c).alias(c) for c in ("good", "bad", "ids")], F.count_distinct("page").alias("pages"))
+
+
+LATER = """CASE WHEN line < 5 THEN DATE '2030-01-01' ELSE DATE '1985-01-01' END"""
+SUBMITTED = """strftime({start} + CAST(CAST(date AS DATE) - DATE '1990-01-01' AS INTEGER), '%Y-%m-%d')
+    || 'T00:00:' || lpad(CAST(CAST(province AS INTEGER) AS VARCHAR), 2, '0')"""
+
+
+@query("read_submissions__latest", with_tables(
+    f""", landed AS (
+        SELECT id, date, province, CASE WHEN line <> 5 THEN {SUBMITTED.format(start="DATE '2000-01-01'")} END AS given FROM subs
+        UNION ALL SELECT id, date, CASE WHEN line = 1 THEN '24' ELSE province END, {SUBMITTED.format(start=LATER)} FROM subs
+    )
+    SELECT id, max_by(date, given) AS date, max_by(province, given) AS province, left(max(given), 4) AS year_submitted
+    FROM landed GROUP BY id""",
+    "subs",
+))
+def _(spark, sf):
+    """Submissions landed twice or more, some with an answer changed: the one last submitted counts, a time that can't be read is early."""
+    line = F.col("s._id") % 8
+    days = F.datediff(F.to_date("s.date"), F.lit("1990-01-01").cast("date"))
+
+    def submitted(start: Column) -> Column:
+        return F.concat(F.date_add(start, days).cast("string"), F.lit("T00:00:"), F.lpad(F.col("s.province").cast("int").cast("string"), 2, "0"))
+
+    first = F.when(line == 5, "unknown").otherwise(submitted(F.lit("2000-01-01").cast("date")))
+    second = submitted(F.when(line < 5, F.lit("2030-01-01").cast("date")).otherwise(F.lit("1985-01-01").cast("date")))
+    province = F.when(line == 1, "24").otherwise(F.col("s.province"))
+    given = star.submissions(spark, sf).select(F.struct("*").alias("s"))
+    versions = [
+        given.select(F.to_json(F.col("s").withField("_submission_time", first)).alias("value")),
+        given.select(F.to_json(F.col("s").withField("_submission_time", second).withField("province", province)).alias("value")),
+    ]
+    folder = landing_folder(spark)
+    versions[0].unionAll(versions[1]).write.text(folder)
+    found = latest_versions(read_submissions(spark, folder, lines=True))
+    return found.select(F.col("_id").alias("id"), "date", "province", F.col("_submission_time").substr(1, 4).alias("year_submitted"))
+
+
 def _read_columns(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.col("_id").alias("id"),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtally.operators.repeats import require_results
+from fieldtally.session import shared_folder
 
 BAD = "__unread"
 
@@ -71,34 +74,85 @@ def results_of(payload: DataFrame) -> DataFrame:
     return rows.where(F.col("s").isNotNull()).select("s.*")
 
 
-def records(texts_read: DataFrame, schema: T.StructType) -> DataFrame:
-    """``file, text, s`` and ``bad`` of texts in ``value``, each parsed once.
+def records(texts_read: DataFrame, schema: T.StructType, lines: bool = True) -> DataFrame:
+    """``file, pos, text, s`` and ``fault`` of JSON texts in ``value``, each parsed once as ``schema``.
 
-    ``bad`` is the text itself where it can't be read as ``schema``: torn, of another type in any
-    field, or no object.  Empty lines are no records.
+    ``lines`` are one submission each, without ``pos``.  Otherwise a text is a payload page: its
+    ``results`` are taken apart as texts, dealt out evenly, and parsed each by itself; ``pos`` is
+    the place on the page.  ``fault`` says what is wrong where ``text`` can't be read as ``schema``:
+    torn, of another type in any field, or no object; without ``pos`` it is a whole page, torn or
+    without ``results``.  Empty lines and missing elements are no records.
     """
-    parsed = F.from_json("value", T.StructType([*schema.fields, T.StructField(BAD, T.StringType())]), {"columnNameOfCorruptRecord": BAD})
-    rows = texts_read.where(F.trim("value") != "").select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"), parsed.alias("s")
-    )
+    rows = texts_read.select(F.col("_metadata.file_path").alias("file"), "value")
+    if lines:
+        nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("pos", "int"), ("page", "string"))]
+        rows = rows.where(F.trim("value") != "").select("file", *nothing, F.col("value").alias("text"))
+    else:
+        page = T.StructType([T.StructField("results", T.ArrayType(T.StringType())), T.StructField(BAD, T.StringType())])
+        rows = rows.select("file", "value", _once(F.from_json("value", page, {"columnNameOfCorruptRecord": BAD}), "p"))
+        torn = F.col("p").isNull() | F.col(f"p.{BAD}").isNotNull()
+        fault = F.when(torn, "a page of submissions can't be read in ").when(F.col("p.results").isNull(), "a page has no results in ")
+        rows = rows.select("file", "value", fault.alias("page"), F.col("p.results").alias("results"))
+        # a page that can't be taken apart stays as one text; the others' texts end here
+        parts = F.when(F.col("page").isNull(), F.col("results")).otherwise(F.array("value"))
+        rows = rows.select("file", "page", F.posexplode_outer(parts).alias("pos", "text"))
+        rows = rows.where(F.col("text").isNotNull()).hint("rebalance")
+        rows = rows.select("file", F.when(F.col("page").isNull(), F.col("pos")).alias("pos"), "page", "text")
+    parsed = F.from_json("text", T.StructType([*schema.fields, T.StructField(BAD, T.StringType())]), {"columnNameOfCorruptRecord": BAD})
+    rows = rows.select("file", "pos", "page", "text", _once(parsed, "s"))
     unread = F.col("s").isNull() | F.col(f"s.{BAD}").isNotNull()
-    return rows.withColumn("bad", F.when(unread, F.col("text")))
+    fault = F.coalesce("page", F.when(unread, "a submission can't be read in "))
+    return rows.select("file", "pos", "text", "s", fault.alias("fault"))
+
+
+def _once(column: Column, name: str) -> Column:
+    """A column that filters above it are not moved below, so that it is computed once.
+
+    It comes from an explode of one element; an outer one, which adds no filter of its own.
+    """
+    return F.explode_outer(F.array(column)).alias(name)
+
 
+def fields_of(schema: T.StructType) -> list[Column]:
+    return [F.col(f"s.`{f.name}`") for f in schema.fields]
 
-def readable(rows: DataFrame, skip: bool) -> DataFrame:
-    """Parsed records; an unreadable one fails the job and names its file, or is left out with ``skip``."""
-    if skip:
-        return rows.where(F.col("bad").isNull()).select("s.*").drop(BAD)
-    failed = F.raise_error(F.concat(F.lit("a submission can't be read in "), F.col("file")))
-    return rows.where(F.when(F.col("bad").isNotNull(), failed).otherwise(F.lit(True))).select("s.*").drop(BAD)
+
+def readable(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """The submissions of records; one that can't be read fails the job and names its file."""
+    failed = F.raise_error(F.concat("fault", "file"))
+    kept = rows.where(F.when(F.col("fault").isNotNull(), failed).otherwise(F.lit(True)))
+    return kept.select(*fields_of(schema))
 
 
 def _texts(reader, path: str, lines: bool) -> DataFrame:
     return reader.text(path, wholetext=not lines)
 
 
-def _record_schema(schema: T.StructType, lines: bool) -> T.StructType:
-    return T.StructType(list((schema if lines else payload_schema(schema)).fields))
+def parse_landed(
+    spark: SparkSession, path: str, out: str, lines: bool = False, schema: T.StructType = SUBMISSION
+) -> tuple[int, int]:
+    """Parses landed files into a folder, submissions under ``bad=false``, other records under ``bad=true``.
+
+    One pass gives both, and their numbers.
+    """
+    rows = records(_texts(spark.read, path, lines), schema, lines)
+    seen = Observation()
+    bad = F.col("fault").isNotNull()
+    split = rows.select("file", "pos", F.when(bad, F.col("text")).alias("text"), F.when(~bad, F.col("s")).alias("s"), bad.alias("bad"))
+    split = split.observe(seen, F.count_if(~F.col("bad")).alias("good"), F.count_if(F.col("bad")).alias("bad"))
+    split.write.mode("overwrite").partitionBy("bad").parquet(out)
+    return seen.get["good"], seen.get["bad"]
+
+
+def _parsed(spark: SparkSession, out: str, schema: T.StructType, bad: bool) -> DataFrame:
+    """What `parse_landed` wrote, the one part or the other."""
+    held = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
+    kind = T.StructType([
+        T.StructField("file", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("text", T.StringType()),
+        T.StructField("s", held), T.StructField("bad", T.BooleanType()),
+    ])
+    rows = spark.read.schema(kind).parquet(out).where(F.col("bad") == bad)
+    return rows.select("file", "pos", "text") if bad else rows.select(*fields_of(schema))
 
 
 def read_submissions(
@@ -107,27 +161,49 @@ def read_submissions(
     """Submissions from landed JSON files.
 
     ``lines`` reads one submission per line, which Spark splits within a file; use it for large
-    files.  Otherwise each file is one payload page and is parsed by one task; the submissions of
-    a few large pages are then dealt out evenly.
+    files.  Otherwise each file is one payload page, taken apart by one task; its submissions are
+    dealt out evenly and parsed then.
 
-    A record that can't be read as ``schema`` (a line, or a page) fails the job with the name of
-    its file.  With ``rejects``, such records are first written to that folder, by `set_aside`,
-    and the others are returned.
+    A submission that can't be read as ``schema``, or a page without ``results``, fails the job with
+    the name of its file.  With ``rejects``, it is written to that folder as ``file, pos, text``
+    (``pos`` is its place on a page, missing for a line and a whole page), and all others are
+    returned, from a folder in ``spark.checkpoint.dir``: files are read and parsed once for both.
     """
     if rejects is not None:
-        set_aside(spark, path, rejects, lines, schema)
-    rows = records(_texts(spark.read, path, lines), _record_schema(schema, lines))
-    found = readable(rows, skip=rejects is not None)
-    return found if lines else results_of(found).hint("rebalance")
+        return _set_aside(spark, path, rejects, lines, schema)[0]
+    return readable(records(_texts(spark.read, path, lines), schema, lines), schema)
 
 
 def set_aside(
     spark: SparkSession, path: str, rejects: str, lines: bool = False, schema: T.StructType = SUBMISSION
 ) -> int:
-    """Writes the records that can't be read to a folder, as ``file, text``, and gives their number."""
-    rows = records(_texts(spark.read, path, lines), _record_schema(schema, lines))
-    rows.where(F.col("bad").isNotNull()).select("file", "text").write.mode("overwrite").parquet(rejects)
-    return spark.read.schema("file string, text string").parquet(rejects).count()
+    """Writes the records that can't be read to a folder, as ``file, pos, text``, and gives their number."""
+    return _set_aside(spark, path, rejects, lines, schema)[1]
+
+
+def _set_aside(
+    spark: SparkSession, path: str, rejects: str, lines: bool, schema: T.StructType
+) -> tuple[DataFrame, int]:
+    out = f"{shared_folder(spark)}/parsed-{uuid.uuid4().hex}"
+    _, bad = parse_landed(spark, path, out, lines, schema)
+    _parsed(spark, out, schema, True).write.mode("overwrite").parquet(rejects)
+    return _parsed(spark, out, schema, False), bad
+
+
+def latest_versions(submissions: DataFrame) -> DataFrame:
+    """Each submission once, as it was last submitted, whatever was landed before or again.
+
+    One aggregate by ``_id``: the row of the latest ``_submission_time`` (a missing or unreadable
+    one is the earliest), of equal times the one of the greatest hash of all answers, so that the
+    result doesn't depend on the order of files.  Rows without an id are told apart by their answers.
+    """
+    names = submissions.columns
+    whole = F.struct(*[F.col(f"`{c}`") for c in names])
+    same = F.xxhash64(*[F.col(f"`{c}`") for c in names])
+    order = F.struct(F.try_to_timestamp(F.col("_submission_time")), same)
+    unnamed = F.when(F.col("_id").isNull(), same)
+    newest = submissions.groupBy(F.col("_id").alias("__id"), unnamed.alias("__unnamed")).agg(F.max_by(whole, order).alias("s"))
+    return newest.select("s.*")
 
 
 def find_schema(spark: SparkSession, path: str, lines: bool = False) -> T.StructType:

@@ -48,7 +48,9 @@ def land(
     With ``skip_bad`` it is left out; run `land_rejects` to keep such lines.
     """
     rows = records(_lines(spark, landed, max_files), schema)
-    return _start(readable(rows, skip_bad).writeStream, staged, f"{checkpoint}/submissions")
+    if skip_bad:
+        rows = rows.where(F.col("fault").isNull())
+    return _start(readable(rows, schema).writeStream, staged, f"{checkpoint}/submissions")
 
 
 def land_rejects(
@@ -59,9 +61,9 @@ def land_rejects(
     schema: T.StructType = SUBMISSION,
     max_files: int = MAX_FILES,
 ) -> StreamingQuery:
-    """Keeps the lines of new files that can't be read, as ``file, text``."""
+    """Keeps the lines of new files that can't be read, as ``file, pos, text``."""
     rows = records(_lines(spark, landed, max_files), schema)
-    bad = rows.where(F.col("bad").isNotNull()).select("file", "text")
+    bad = rows.where(F.col("fault").isNotNull()).select("file", "pos", "text")
     return _start(bad.writeStream, rejects, f"{checkpoint}/rejects")
 
 
