@@ -23,6 +23,7 @@ from fieldtally.operators import reshape
 from fieldtally.operators.filters import ALL, Filters
 from fieldtally.operators.lookups import AREA_LIST, FISH_LIST, LABELS, PROVINCE_LIST, Codebook
 from fieldtally.operators.repeats import explode_codes
+from fieldtally.plans.cells import ROWS, is_cells
 from fieldtally.plans.options import province_labels, provinces_for_group
 from fieldtally.plans.typed import SurveyTables
 from fieldtally.session import settle
@@ -62,8 +63,16 @@ def capture_cube(
     inside = flt.in_period(filters, years=_years(filters, pair))
     if filters.year is not None or not pair:
         rows, inside = rows.where(inside), F.lit(True)
+    by_code = rows.groupBy(*dict.fromkeys([*keys, "year"]))
+    if is_cells(capture):
+        return by_code.agg(
+            F.sum(F.when(inside, F.col("catch"))).alias("catch"),
+            F.sum(F.when(inside, F.col("positive"))).alias("positive"),
+            F.min(F.when(inside, F.col("first_id"))).alias("first_id"),
+            F.sum(F.when(inside, F.col(ROWS)).otherwise(0)).alias("rows"),
+        )
     whole = coercion.rounded(F.col("catch"))
-    return rows.groupBy(*dict.fromkeys([*keys, "year"])).agg(
+    return by_code.agg(
         F.sum(F.when(inside, whole)).alias("catch"),
         F.sum(F.when(inside & (whole > 0), whole)).alias("positive"),
         F.min(F.when(inside, F.col("id"))).alias("first_id"),
@@ -84,7 +93,9 @@ def _species_cells(
     """Positive catch by species and province labels."""
     lists = _lists(filters, tables.codes, FISH_LIST)
     if cube is None:
-        rows = flt.filter_positive_rounded(tables.capture, "catch")
+        rows = tables.capture_cells
+        if not is_cells(rows):
+            rows = flt.filter_positive_rounded(rows, "catch")
         keys = dict.fromkeys([*_keys(lists), "area_code"] if marine else _keys(lists))
         cube = capture_cube(rows, filters, list(keys), pair=False)
     rows = cube.where(F.col("positive").isNotNull() & F.col("year").isNotNull())
@@ -178,7 +189,7 @@ def province_years(
     lists = _lists(filters, tables.codes)
     if cube is None:
         keys = [*_keys(lists), "area_code"] + (["fishing_type"] if spec.fishing_type else [])
-        cube = capture_cube(tables.capture, filters, keys)
+        cube = capture_cube(tables.capture_cells, filters, keys)
     rows = flt.filter_codes(cube, area_code=spec.area, fishing_type=spec.fishing_type)
     rows = _labelled(rows, tables.codes, lists)
     if spec.without is not None:
@@ -260,6 +271,11 @@ def aquaculture_cube(
     rows = flt.filter_year_pair(aquaculture, filters.year).where(flt.in_period(filters, years=_years(filters)))
     if only is not None:
         rows = rows.where(only)
+    if is_cells(aquaculture):
+        of_species = [F.sum(F.when(F.col("fish_code") == code, F.col("catch"))).alias(label) for code, label in D.SPECIES.items()]
+        kinds = [F.sum(F.col(f"`{kind}`")).alias(kind) for kind in D.FACILITIES if kind in aquaculture.columns]
+        farmed = F.sum(F.when(F.col("fish_code").isin(*D.SPECIES), F.col("grown")).otherwise(0)).alias("farmed")
+        return rows.groupBy(*keys).agg(*of_species, F.sum("catch").alias("catch"), *kinds, F.sum("grown").alias("grown"), farmed)
     grown = coercion.present(F.col("catch")) > 0
     listed = grown & F.col("fish_code").isin(*D.SPECIES)
     sums = [
@@ -286,7 +302,7 @@ def _aquaculture_labelled(
     lists = _lists(filters, tables.codes)
     if cube is None:
         keys = list(dict.fromkeys([*_keys(lists), *more_keys]))
-        cube = aquaculture_cube(tables.aquaculture, filters, keys, only)
+        cube = aquaculture_cube(tables.aquaculture_cells, filters, keys, only)
     return _labelled(cube, tables.codes, lists)
 
 
@@ -340,9 +356,9 @@ def t10_facilities(
 ) -> DataFrame:
     """Ponds, batches and plastic soung by province; all 25 provinces unless one is chosen."""
     kinds = list(D.FACILITIES)
-    spark = tables.aquaculture.sparkSession
-    zeros = reshape.domain_frame(spark, D.PROVINCES, "province_kh").select("province_kh")
-    if "aqu_type" not in tables.aquaculture.columns:
+    given = tables.aquaculture_cells
+    zeros = reshape.domain_frame(given.sparkSession, D.PROVINCES, "province_kh").select("province_kh")
+    if "aqu_type" not in given.columns and not set(kinds) <= set(given.columns):
         rows = zeros.withColumns({k: F.lit(0) for k in kinds})
     else:
         rows = flt.apply_labels(_aquaculture_labelled(tables, filters, cube), filters)
@@ -361,7 +377,7 @@ def aqu_code_summary(tables: SurveyTables, wide: bool = True) -> DataFrame:
     The wide form has a column per species code, up to ``spark.sql.pivotMaxValues`` of them, and
     more are an error; the long form has no such limit.
     """
-    rows = flt.filter_positive(tables.aquaculture, "catch")
+    rows = flt.filter_positive(tables.aquaculture_cells, "catch")
     cells = rows.groupBy("province", "fish_code").agg(F.sum("catch").alias("total"))
     cells = tables.codes.label(cells, PROVINCE_LIST)
     cells = settle(reshape.group_sum(cells, ["province_kh", "fish_code"], "total", "total"))
@@ -394,10 +410,14 @@ def t08_enforcement(
 
     ``domain`` is `province_labels`, where the caller has it already.
     """
-    rows = flt.filter_year_pair(tables.patrol, filters.year)
+    given = tables.patrol_cells
+    rows = flt.filter_year_pair(given, filters.year)
     rows = rows.where(flt.in_period(filters, years=_years(filters)))
-    rows = explode_codes(rows, "patrol_enforcement", "code", D.OUTCOMES)
-    counted = [F.count_if(F.col("code") == c).alias(label) for c, label in D.OUTCOMES.items()]
+    if is_cells(given):
+        counted = [F.sum(F.col(f"`{label}`")).alias(label) for label in D.OUTCOMES.values()]
+    else:
+        rows = explode_codes(rows, "patrol_enforcement", "code", D.OUTCOMES)
+        counted = [F.count_if(F.col("code") == c).alias(label) for c, label in D.OUTCOMES.items()]
     cube = rows.groupBy("province").agg(*counted)
     cases = _labelled(cube, tables.codes, [PROVINCE_LIST])
     cases = flt.apply_labels(cases, filters, area_rule=False)

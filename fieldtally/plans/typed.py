@@ -125,6 +125,19 @@ class SurveyTables:
     def patrol(self) -> DataFrame:
         return typed_patrol(self._cleaned("patrol"))
 
+    @property
+    def capture_cells(self) -> DataFrame:
+        """What reports add up: the rows, or cells of them where these are kept."""
+        return self.capture
+
+    @property
+    def aquaculture_cells(self) -> DataFrame:
+        return self.aquaculture
+
+    @property
+    def patrol_cells(self) -> DataFrame:
+        return self.patrol
+
     @property
     def all(self) -> tuple[DataFrame, ...]:
         return self.capture, self.aquaculture, self.processing, self.patrol

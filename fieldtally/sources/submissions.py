@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -197,13 +198,23 @@ def latest_versions(submissions: DataFrame) -> DataFrame:
     one is the earliest), of equal times the one of the greatest hash of all answers, so that the
     result doesn't depend on the order of files.  Rows without an id are told apart by their answers.
     """
-    names = submissions.columns
+    newest = newest_version(submissions.columns).alias("s")
+    return by_submission(submissions).agg(newest).select("s.*")
+
+
+def _hash_of(names: Iterable[str]) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in names])
+
+
+def by_submission(submissions: DataFrame) -> GroupedData:
+    unnamed = F.when(F.col("_id").isNull(), _hash_of(submissions.columns))
+    return submissions.groupBy(F.col("_id").alias("__id"), unnamed.alias("__unnamed"))
+
+
+def newest_version(names: Iterable[str]) -> Column:
+    """Of the rows of a submission the latest one, as a struct of its columns."""
     whole = F.struct(*[F.col(f"`{c}`") for c in names])
-    same = F.xxhash64(*[F.col(f"`{c}`") for c in names])
-    order = F.struct(F.try_to_timestamp(F.col("_submission_time")), same)
-    unnamed = F.when(F.col("_id").isNull(), same)
-    newest = submissions.groupBy(F.col("_id").alias("__id"), unnamed.alias("__unnamed")).agg(F.max_by(whole, order).alias("s"))
-    return newest.select("s.*")
+    return F.max_by(whole, F.struct(F.try_to_timestamp(F.col("_submission_time")), _hash_of(names)))
 
 
 def find_schema(spark: SparkSession, path: str, lines: bool = False) -> T.StructType:

@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from fieldtally.functions import calendar, coercion
+from fieldtally.operators.lookups import Codebook
 from fieldtally.plans import clean, typed
+from fieldtally.session import settle
 from fieldtally.sources.staging import stage_facets
-from fieldtally.sources.submissions import SUBMISSION, readable, records
+from fieldtally.sources.submissions import SUBMISSION, by_submission, newest_version, readable, records
+from fieldtally.sources.warehouse import Warehouse
 
 STEPS = {
     "capture": (clean.clean_capture, typed.typed_capture),
@@ -117,3 +121,50 @@ def load_facets(
 
     writer = rows.writeStream.foreachBatch(add).option("checkpointLocation", f"{checkpoint}/facets-{name}")
     return writer.trigger(availableNow=True).start()
+
+
+def merge(
+    spark: SparkSession,
+    staged: str,
+    out: str,
+    checkpoint: str,
+    codes: Codebook,
+    schema: T.StructType = SUBMISSION,
+    max_files: int = MAX_FILES,
+    keep: int = 2,
+) -> StreamingQuery:
+    """Keeps the tables of a `Warehouse` at the latest version of every submission.
+
+    The stream's state holds, by submission, its latest version and the dates it ever had.  A batch
+    replaces the changed submissions in the years of all of these dates, together with the partial
+    sums and filter values of those years; other years are not touched.  All of it counts from one
+    manifest on, which also notes the batch: a batch that is repeated after a failure is passed
+    over if it is in.  Older versions are cleared but for ``keep``.
+    """
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    versions = by_submission(reader.parquet(staged)).agg(
+        newest_version(schema.names).alias("s"), F.collect_set("date").alias("dates")
+    )
+
+    def add(batch: DataFrame, number: int) -> None:
+        tables = Warehouse(spark, out, codes)
+        if tables.batches.get("merge", -1) >= number:
+            return
+        changed = settle(batch)
+        dated = changed.select(F.explode_outer("dates").alias("date"))
+        dates = dated.select(calendar.year_of(coercion.date_of(dated, "date")).alias("year"))
+        years = [r["year"] for r in dates.distinct().collect()]  # as many as the form has years
+        if not years:
+            return
+        newest = changed.select("s.*")
+        ids = newest.select(F.col("_id").alias("id"))
+        merged = {}
+        for name in STEPS:
+            rows = typed_stream(newest, name)
+            if not tables.is_empty:
+                rows = tables.read(name, years).join(ids, "id", "left_anti").unionByName(rows)
+            merged[name] = rows
+        tables.publish(merged, years, ("merge", number)).clear(keep)
+
+    writer = versions.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", f"{checkpoint}/merge")
+    return writer.trigger(availableNow=True).start()

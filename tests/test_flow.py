@@ -16,6 +16,7 @@ from fieldtally.plans.bundle import report_bundle
 from fieldtally.plans.typed import SurveyTables
 from fieldtally.session import settle, shared_folder
 from fieldtally.sources import sinks, staging
+from fieldtally.sources.warehouse import Warehouse
 from fieldtally.sources.submissions import (
     SUBMISSION,
     find_schema,
@@ -402,3 +403,76 @@ def test_shared_folder_is_the_one_the_cluster_names(spark, tmp_path):
     assert before == named or named is None
     settled = settle(spark.range(5))
     assert settled.count() == 5
+
+
+def test_versions(spark, tables, codes, tmp_path):
+    first = Warehouse(spark, str(tmp_path), codes)
+    assert first.is_empty and first.number == 0
+    named = {name: getattr(tables, name) for name in staging.NAMES}
+    second = first.publish(named)
+    for report in R.REPORTS.values():
+        for chosen in (Filters(), Filters(year=2024, quarter="Q1"), Filters(group="Inland", year=2024), Filters(month=3, week=5)):
+            assert rows(report(second, chosen)) == rows(report(tables, chosen)), (report.__name__, chosen)
+    assert rows(R.aqu_code_summary(second)) == rows(R.aqu_code_summary(tables))
+    assert sorted(rows(O.provinces_available(second.offered, codes))) == sorted(rows(O.provinces_available(tables.offered, codes)))
+    # a reader that began before keeps to what it saw
+    before = rows(R.t04_rice_field(second, Filters(year=2024)))
+    third = second.publish({n: t.where("year = 2023") for n, t in named.items()}, [2023, 2024])
+    assert rows(R.t04_rice_field(second, Filters(year=2024))) == before
+    assert third.capture.where("year = 2024").count() == 0 and third.capture.where("year IS NULL").count() == 1
+    assert Warehouse(spark, str(tmp_path), codes).number == third.number == 2
+    # of two publications at once, one fails and changes nothing
+    with pytest.raises(RuntimeError, match="come between"):
+        second.publish(named)
+    assert Warehouse(spark, str(tmp_path), codes).capture.count() == third.capture.count()
+    # folders no recent manifest names go
+    assert third.clear(keep=1) > 0 and third.clear(keep=1) == 0
+    assert rows(third.capture) == rows(Warehouse(spark, str(tmp_path), codes).capture)
+
+
+def test_reports_read_kept_sums_alone(spark, tables, codes, tmp_path):
+    kept = Warehouse(spark, str(tmp_path), codes).publish({name: getattr(tables, name) for name in staging.NAMES})
+    folders = [f"{tmp_path}/data/{n}/" for n in staging.NAMES]
+    for report in [*R.REPORTS.values(), R.aqu_code_summary]:
+        df = report(kept, Filters(year=2024)) if report in R.REPORTS.values() else report(kept, wide=False)
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        leaves = [leaves.apply(i) for i in range(leaves.size())]
+        read = [p for leaf in leaves if "Relation" in leaf.nodeName() for p in root_paths(leaf)]
+        assert not any(p.startswith(tuple(folders)) for p in read), report.__name__
+
+
+def land_more(folder, n, submissions):
+    (folder / f"{n:02}.json").write_text("\n".join(json.dumps(s) for s in submissions))
+
+
+def test_a_stream_keeps_the_latest_versions(spark, codes, tmp_path):
+    """Edited, repeated and late submissions, a move to another year, a restart between and a batch that is repeated."""
+    folder, at = tmp_path / "in", lambda name: str(tmp_path / name)
+    folder.mkdir()
+
+    def run():
+        landing.land(spark, str(folder), at("staged"), at("state")).awaitTermination()
+        landing.merge(spark, at("staged"), at("tables"), at("state"), codes).awaitTermination()
+        return Warehouse(spark, at("tables"), codes)
+
+    def expected():
+        read = latest_versions(read_submissions(spark, str(folder), lines=True))
+        return survey(clean.clean_all(read), codes)
+
+    later = {"_submission_time": "2026-01-01T00:00:00"}
+    steps = [
+        SUBMISSIONS[:3],
+        [*SUBMISSIONS[2:], changed(0, province="9", **later)],
+        [changed(1, date="2024-02-20", **later), SUBMISSIONS[0]],  # to another year; an old version again
+        [changed(1, date="2022-02-20", _submission_time="2020-01-01T00:00:00")],  # late, and older
+    ]
+    for n, part in enumerate(steps):
+        land_more(folder, n, part)
+        found = run()
+        for name in staging.NAMES:
+            assert sorted(rows(getattr(found, name)), key=str) == sorted(rows(getattr(expected(), name).select(*getattr(found, name).columns)), key=str)
+        for report in (R.t04_rice_field, R.t05_marine_province, R.t08_enforcement, R.t10_facilities):
+            assert rows(report(found, Filters(year=2024))) == rows(report(expected(), Filters(year=2024))), (n, report.__name__)
+    assert run().number == found.number == len(steps)
+    versions = sum(1 for _ in (tmp_path / "tables" / "data" / "capture").glob("version=*"))
+    assert versions <= 6 and found.batches == {"merge": len(steps) - 1}
