@@ -84,6 +84,21 @@ def pivot_cells(df: DataFrame, keys: Iterable[str], column: str, measure: str, v
     return wide.select(*keys, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(str(v)) for v in values])
 
 
+def pivot_map(
+    df: DataFrame, keys: Iterable[str], column: str, measure: str, cells: str = "cells", total: str = "total"
+) -> DataFrame:
+    """Long to wide with any number of columns: a map from column to sum in each row, and the sum of all.
+
+    The columns are in order; a missing one is called ``NA``, and no entry means 0.  Nothing is
+    collected, so there is no limit as for columns of a table.
+    """
+    keys = list(keys)
+    named = df.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit("NA")))
+    sums = group_sum(named, [*keys, column], measure, measure)
+    entries = F.sort_array(F.collect_list(F.struct(column, measure)))
+    return sums.groupBy(*keys).agg(F.map_from_entries(entries).alias(cells), F.sum(measure).alias(total))
+
+
 def target_years(df: DataFrame, year: int | None, column: str = "year") -> list[int]:
     """The two years a report compares; for all years, the ones there are."""
     if year is not None:

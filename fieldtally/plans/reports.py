@@ -29,6 +29,10 @@ from fieldtally.plans.typed import SurveyTables
 from fieldtally.session import settle
 
 
+#: The wide form with a map in place of columns.
+MAP = "map"
+
+
 def _lists(filters: Filters, codes: Codebook, *shown: str) -> list[str]:
     """The lists to join: those shown or filtered by, and those that multiply rows."""
     wanted = [PROVINCE_LIST, *shown]
@@ -125,16 +129,26 @@ def _species_wide(cells: DataFrame, top: int | None) -> DataFrame:
     return reshape.top_k(wide, "fish_name_kh", k=top)
 
 
+def _species_map(cells: DataFrame) -> DataFrame:
+    """A map from province to catch in each species' row, and the total."""
+    return reshape.pivot_map(cells, ["fish_name_kh"], "province_kh", "catch")
+
+
 def _by_total(cells: DataFrame) -> DataFrame:
     order = reshape.by_total("fish_name_kh", "total")
     return cells.orderBy(*order, F.col("province_kh").asc_nulls_last())
 
 
 def t06_marine_species(
-    tables: SurveyTables, filters: Filters = ALL, cube: DataFrame | None = None, wide: bool = True
+    tables: SurveyTables, filters: Filters = ALL, cube: DataFrame | None = None, wide: bool | str = True
 ) -> DataFrame:
-    """Marine catch by species and province, the 51 species of most catch."""
+    """Marine catch by species and province, the 51 species of most catch.
+
+    Wide with a column by province, or with ``wide="map"`` a map from province to catch, else long.
+    """
     cells = _species_cells(tables, filters, cube, marine=True)
+    if wide == MAP:
+        return reshape.top_k(_species_map(cells), "fish_name_kh", "total")
     if wide:
         return _species_wide(cells, D.TOP_SPECIES)
     totals = reshape.group_sum(cells, ["fish_name_kh"], "catch", "total")
@@ -146,10 +160,12 @@ def t06_marine_species(
 
 
 def t06_species_detail(
-    tables: SurveyTables, filters: Filters = ALL, cube: DataFrame | None = None, wide: bool = True
+    tables: SurveyTables, filters: Filters = ALL, cube: DataFrame | None = None, wide: bool | str = True
 ) -> DataFrame:
-    """Catch of any area by species and province, all species."""
+    """Catch of any area by species and province, all species; forms as of `t06_marine_species`."""
     cells = _species_cells(tables, filters, cube, marine=False)
+    if wide == MAP:
+        return reshape.sort_desc_total(_species_map(cells), "fish_name_kh", "total")
     if wide:
         return _species_wide(cells, None)
     # a species has at most as many cells as there are provinces
@@ -371,16 +387,21 @@ def t10_facilities(
     return ordered.select("province_kh", "`plastic soung`", "ponds", "batches")
 
 
-def aqu_code_summary(tables: SurveyTables, wide: bool = True) -> DataFrame:
+def aqu_code_summary(tables: SurveyTables, wide: bool | str = True) -> DataFrame:
     """Harvest by province and species code, provinces numbered by descending total.
 
     The wide form has a column per species code, up to ``spark.sql.pivotMaxValues`` of them, and
-    more are an error; the long form has no such limit.
+    more are an error.  With ``wide="map"`` it has a map from code to catch; that and the long form
+    have no such limit.
     """
     rows = flt.filter_positive(tables.aquaculture_cells, "catch")
     cells = rows.groupBy("province", "fish_code").agg(F.sum("catch").alias("total"))
     cells = tables.codes.label(cells, PROVINCE_LIST)
     cells = settle(reshape.group_sum(cells, ["province_kh", "fish_code"], "total", "total"))
+    if wide == MAP:
+        table = reshape.pivot_map(cells, ["province_kh"], "fish_code", "total", total="total_sum")
+        table = reshape.row_number(table, "province_kh", "total_sum", "row_num")
+        return table.select("row_num", "province_kh", "cells", "total_sum").orderBy("row_num")
     if not wide:
         sums = reshape.group_sum(cells, ["province_kh"], "total", "total_sum")
         ranked = reshape.row_number(sums, "province_kh", "total_sum", "row_num")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally import domains as D
+from fieldtally.operators import reshape
 from fieldtally.operators.cleaning import ensure_columns
 from fieldtally.operators.filters import Filters
 from fieldtally.plans import reports as R
@@ -308,3 +310,43 @@ def _(spark, sf):
 @query("aqu_code_summary", CODE_SUMMARY)
 def _(spark, sf):
     return R.aqu_code_summary(star.tables(spark, sf), wide=False)
+
+
+def shown_map(df: DataFrame, cells: str, number: str) -> DataFrame:
+    """A map as text, ``column=value`` in order."""
+    entries = F.transform(F.map_entries(cells), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast(number).cast("string")))
+    return df.withColumn(cells, F.concat_ws(";", entries))
+
+
+@query("t06_species_detail__map", f"""SELECT fish_name_kh,
+    string_agg(province_kh || '=' || CAST(catch AS VARCHAR), ';' ORDER BY province_kh) AS cells, any_value(total) AS total
+    FROM ({species_sql("year = 1998", None)}) GROUP BY fish_name_kh""")
+def _(spark, sf):
+    """A map from province to catch."""
+    return shown_map(R.t06_species_detail(star.tables(spark, sf), Filters(year=1998), wide=R.MAP), "cells", "long")
+
+
+@query("aqu_code_summary__map", f"""SELECT row_num, province_kh,
+    string_agg(fish_code || '=' || CAST(CAST(total * 2 AS BIGINT) AS VARCHAR), ';' ORDER BY fish_code) AS cells, any_value(total_sum) AS total_sum
+    FROM ({CODE_SUMMARY}) GROUP BY row_num, province_kh""")
+def _(spark, sf):
+    """A map from species code to catch, in halves."""
+    summary = R.aqu_code_summary(star.tables(spark, sf), wide=R.MAP)
+    doubled = summary.withColumn("cells", F.transform_values("cells", lambda _, v: v * 2))
+    return shown_map(doubled, "cells", "long")
+
+
+@query("pivot_map__many_columns", with_tables(
+    """SELECT province, count(*) AS n_columns, CAST(sum(whole) AS BIGINT) AS total, min(fish) AS first_column, max(fish) AS last_column
+    FROM (SELECT province, fish, sum(whole) AS whole FROM (
+        SELECT province, CAST(id AS VARCHAR) || ':' || fish_code AS fish, CAST(round_even(catch, 0) AS BIGINT) AS whole FROM capture0)
+        GROUP BY 1, 2) GROUP BY province""",
+    "capture0",
+))
+def _(spark, sf):
+    """Thousands of columns, one for each order and species."""
+    capture = star.tables(spark, sf).capture
+    rows = capture.select("province", F.concat(F.col("id").cast("string"), F.lit(":"), "fish_code").alias("fish"), F.rint("catch").cast("long").alias("whole"))
+    wide = reshape.pivot_map(rows, ["province"], "fish", "whole")
+    columns = F.map_keys("cells")
+    return wide.select("province", F.size("cells").cast("long").alias("n_columns"), "total", F.array_min(columns).alias("first_column"), F.array_max(columns).alias("last_column"))

@@ -37,7 +37,7 @@ def stage_tables(tables: SurveyTables, path: str) -> None:
 
 def stage_facets(tables: Iterable[DataFrame], path: str, part: str) -> None:
     """Adds the filter values of some rows; a part written again replaces what it was."""
-    facets(tables).select(FACETS).coalesce(1).write.mode("overwrite").parquet(f"{path}/facets/part={part}")
+    facets(tables).select(FACETS).repartition(1).write.mode("overwrite").parquet(f"{path}/facets/part={part}")
 
 
 class StagedTables(SurveyTables):
