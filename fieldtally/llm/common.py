@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldtally.session import shared_folder
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -23,9 +24,18 @@ def written(df: DataFrame) -> DataFrame:
 
     Later jobs read it instead of computing it again, also after an executor is lost.
     """
+    return write_to(df, f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}")
+
+
+def write_to(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a table at ``path``; tasks in Python are handed a thousand rows at once at most."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = int(spark.conf.get(BATCH_ROWS))
+    spark.conf.set(BATCH_ROWS, min(before, 1000) if before > 0 else 1000)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -36,7 +36,7 @@ from fieldtally.llm.common import packed, texts, written
 from fieldtally.llm.shingles import Points, Scratch, alive, by_class, drawn_outside, keyed, pairs_within, runs_of, shared, shingled, sketch, word_hashes
 
 #: Bits of a word's hash that name its place in the table of counts.
-COUNTED_BITS = 21
+COUNTED_BITS = 20
 #: Points of a region that is compared pair by pair, and pivots of a larger one, times ``GROWTH`` each turn.
 SMALL, PIVOTS, GROWTH = 16, 4, 4
 #: About how many pivots of a region have cells; the others are compared alone.

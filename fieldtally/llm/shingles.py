@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import texts
+from fieldtally.llm.common import texts, write_to
 from fieldtally.session import shared_folder
 
 #: Rows of at most 50 bytes that are broadcast, and hashes of sets that are; more are shuffled.
@@ -34,9 +34,7 @@ class Scratch:
         self.folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{next(self.number)}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return write_to(df, f"{self.folder}/{next(self.number)}")
 
     def drop(self) -> None:
         """Removes them all; nothing may read them any more."""
@@ -91,11 +89,12 @@ def shared(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of ``region, key, ...`` whose region another set has too.
 
     Regions are told apart by the least and greatest hash of their sets, so nothing gathers at one.
+    Their number grows with the input, so they are joined by shuffle.
     """
     mark = F.xxhash64("key")
     several = rows.groupBy("region").agg(F.min(mark).alias("x"), F.max(mark).alias("y"))
     several = scratch(several.where(F.col("x") != F.col("y")).select("region"))
-    return rows.join(at_hand(several), "region", "left_semi")
+    return rows.join(several, "region", "left_semi")
 
 
 def linked(percent: int) -> Column:
