@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldtally.llm.common import by_size, texts
+from fieldtally.llm.common import by_size, texts, written
 from fieldtally.llm.fm_index import FMIndex
 
 #: Words of a phrase. Characters of a shard, and of the benchmark items searched for in one pass.
@@ -174,9 +174,13 @@ def scan(df: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
 
         return run
 
-    for phrases in [*blocks(benchmark, window)] or [Phrases.of([], window)]:
+    passes = 0
+    for phrases in blocks(benchmark, window):  # the driver holds one block at a time, and so does a task
+        if passes:
+            out = written(out)
         out = out.mapInArrow(pass_over(context.broadcast(phrases)), schema)
-    return out
+        passes += 1
+    return out if passes else out.mapInArrow(pass_over(context.broadcast(Phrases.of([], window))), schema)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -186,7 +190,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     fewer. ``spans`` are the first and last numbers of words inside occurrences, merged, and
     ``items`` the sorted ids, as text, of the items found. A null or empty text has no words; an
     item with a null id or text, or without words, is never found; an empty benchmark finds
-    nothing. Repeated rows give repeated results, and other columns are not looked at.
+    nothing. Very long texts are searched whole, as a shard of their own. Repeated rows give
+    repeated results, an empty table of documents an empty one, and other columns are not looked at.
+
+    A benchmark of more than ``BLOCK`` characters is searched for in several passes, the results of
+    each but the last written to the shared folder.
     """
     found = scan(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")), benchmark, window)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)

@@ -81,10 +81,25 @@ def predict(model: Model, batch: list[str]) -> np.ndarray:
     return probabilities(means / model.temperature)
 
 
-def train(vectors: np.ndarray, labels: np.ndarray, languages: list[str], checks: np.ndarray, seed: int = 7) -> Model:
-    """``vectors``: by document and bucket, the share of its subwords; ``checks``: documents not trained on."""
+class Shares:
+    """By document and bucket the share of its subwords, as a matrix of which only some rows are ever whole."""
+
+    def __init__(self, buckets: list[np.ndarray], shares: list[np.ndarray]):
+        self.ends = np.cumsum([0, *map(len, buckets)])
+        self.buckets = np.concatenate([*buckets, np.zeros(0, np.int32)])
+        self.shares = np.concatenate([*shares, np.zeros(0, np.float32)])
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        found = np.zeros((len(rows), BUCKETS), np.float32)
+        for row, first, end in zip(found, self.ends[rows], self.ends[rows + 1]):
+            row[self.buckets[first:end]] = self.shares[first:end]
+        return found
+
+
+def train(vectors: Shares, labels: np.ndarray, languages: list[str], checks: np.ndarray, seed: int = 7) -> Model:
+    """A model of the documents' shares and languages; ``checks``: documents not trained on."""
     rng = np.random.default_rng(seed)
-    embedding = rng.normal(0, 0.1, (vectors.shape[1], WIDTH)).astype(np.float32)
+    embedding = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     weights, bias = rng.normal(0, 0.1, (WIDTH, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
     rows = np.flatnonzero(~checks)
     steps = range(EPOCHS)
@@ -101,7 +116,8 @@ def train(vectors: np.ndarray, labels: np.ndarray, languages: list[str], checks:
             bias -= rate / 100 * error.sum(0)
             embedding -= rate * x.T @ back
     held = np.flatnonzero(checks) if checks.any() else rows
-    logits, truth = vectors[held] @ embedding @ weights + bias, labels[held]
+    means = np.vstack([vectors[some] @ embedding for some in np.array_split(held, len(held) // 256 + 1)])
+    logits, truth = means @ weights + bias, labels[held]
 
     # a few checks without an error don't make a certainty: targets are smoothed by their number
     targets = np.full(logits.shape, 1 / (len(held) + 2) / max(1, len(languages) - 1))
@@ -162,9 +178,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     if not rows.num_rows:
         return None
     order = np.argsort([hash_of(b.as_py(), s.as_py()) for b, s in zip(rows["buckets"], rows["shares"])], kind="stable")
-    vectors = np.zeros((rows.num_rows, BUCKETS), np.float32)
-    for i, k in enumerate(order.tolist()):
-        vectors[i, rows["buckets"][k].values.to_numpy()] = rows["shares"][k].values.to_numpy()
+    vectors = Shares(*([rows[c][k].values.to_numpy() for k in order.tolist()] for c in ("buckets", "shares")))
     labels = np.array([languages.index(x) for x in rows["language"].to_pylist()])[order]
     return train(vectors, labels, languages, np.array(rows["held"].to_pylist(), bool)[order])
 
@@ -179,8 +193,9 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     ``lang_pred`` is a language of the model, and ``und`` with score 0, not accepted, where the
     text is null or empty or has no letter, and everywhere without a model. ``accepted`` is false
-    where the calibrated score is below the model's limit. Repeated rows give repeated results;
-    other columns are not looked at.
+    where the calibrated score is below the model's limit. Very long texts are judged whole, some
+    characters at a time. Repeated rows give repeated results, an empty table an empty one; other
+    columns are not looked at.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
     shared = docs.sparkSession.sparkContext.broadcast(model)

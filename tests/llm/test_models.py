@@ -1,13 +1,17 @@
 """Language identification and the quality classifier: held-out accuracy, exact votes, edges."""
 
 import numpy as np
+import pytest
 from cases import TEXTS, documents, no_documents
+from check import TESTDATA
 from pyspark.sql import functions as F
 
 from fieldtally.llm import language, quality
+from fieldtally.llm.common import held_out, table
 from fieldtally.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
+SMALL = TESTDATA / "sf0.001"
 
 
 def test_language_on_held_out(spark):
@@ -107,3 +111,33 @@ def test_quality_edges(spark):
         assert by_text.setdefault(row.text or "", score.score) == score.score
     assert quality.fit(no_documents(spark).withColumn("quality", F.lit(1))) is None
     assert quality.score(no_documents(spark), None).count() == 0
+
+
+def test_language_is_the_softmax_of_the_mean_embedding(spark):
+    """Predictions against a mean over subwords one by one."""
+    labelled = table(spark, str(SMALL), "documents").limit(60)
+    model = language.fit(labelled)
+    given = ["Ein Haus, und noch ein Haus", "x", "many words " * 40, "é ß", "the house of the many"]
+    for text, found in zip(given, language.predict(model, given)):
+        buckets = np.concatenate([b for _, _, b in language.subwords([text])])
+        logits = (np.mean([model.table[b] for b in buckets], axis=0) + model.bias) / model.temperature
+        expected = np.exp(logits - logits.max())
+        assert found == pytest.approx(expected / expected.sum(), abs=1e-6)
+
+
+def test_held_out_languages_are_not_learned(spark):
+    """Other labels in the held-out third leave the model as it is."""
+    docs = table(spark, str(SMALL), "documents")
+    changed = docs.withColumn("lang", F.when(held_out(), F.lit("other")).otherwise(F.col("lang")))
+    found = [language.fit(d.where(~held_out())) for d in (docs, changed)]
+    assert found[0].languages == found[1].languages and (found[0].table == found[1].table).all()
+
+
+def test_shares_are_the_rows_of_a_matrix():
+    draw = np.random.default_rng(4)
+    buckets = [np.sort(draw.choice(language.BUCKETS, n, replace=False)).astype(np.int32) for n in (3, 0, 50)]
+    shares = [draw.random(len(b)).astype(np.float32) for b in buckets]
+    found = language.Shares(buckets, shares)[np.array([2, 1, 0, 2])]
+    assert found.shape == (4, language.BUCKETS)
+    for row, i in zip(found, (2, 1, 0, 2)):
+        assert (row[buckets[i]] == shares[i]).all() and (row > 0).sum() == len(buckets[i])
