@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fieldtally.functions import answers, calendar, coercion
@@ -11,7 +13,8 @@ from fieldtally.plans import clean, enrich, typed
 from fieldtally.registry.core import query, shown, shown_sql
 from fieldtally.registry.sql import calendar as calendar_sql
 from fieldtally.registry.sql import group_of, with_tables
-from fieldtally.sources import star
+from fieldtally.session import shared_folder
+from fieldtally.sources import dealt, star
 
 # Dates of which some are missing, so that calendar parts of nothing show.
 DATES = """SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS d
@@ -135,6 +138,22 @@ def _(spark, sf):
     return joined.withColumns(labels)
 
 
+@query("lookup_left_join__dealt", with_tables(
+    """SELECT t.id, t.pos, t.fish_code, coalesce(f.fish_name_kh, t.fish_code) AS fish_name_kh,
+    coalesce(f.fish_name_en, t.fish_code) AS fish_name_en FROM capture0 t LEFT JOIN fish f ON t.fish_code = f.code""",
+    "capture0", "fish",
+))
+def _(spark, sf):
+    """Catches and the species list kept in the same buckets, joined without a shuffle."""
+    name = f"dealt_{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{name}"
+    capture = typed.typed_capture(star.capture(spark, sf)).select("id", "pos", "fish_code")
+    rows = dealt.deal_rows(capture, "fish_code", f"{name}_rows", f"{folder}/rows")
+    fish = star.codebook(spark, sf).list(lookups.FISH_LIST)
+    listed = dealt.deal_list(fish, "fish_code", f"{name}_list", f"{folder}/list")
+    return dealt.label_dealt(rows, listed)
+
+
 @query("lookup_left_join__repeated_code", with_tables(
     """SELECT t.province, coalesce(f.label, 'NA') AS label, count(*) AS n
     FROM processing0 t LEFT JOIN (SELECT CAST(n_regionkey AS VARCHAR) AS code, n_name AS label FROM nation) f

@@ -3,12 +3,13 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldtally.operators.filters import Filters
-from fieldtally.operators.lookups import lookup_left_join
+from fieldtally.operators.lookups import label_fallback, lookup_left_join
 from fieldtally.plans import reports as R
 from fieldtally.plans.typed import typed_capture
-from fieldtally.sources import star
+from fieldtally.sources import dealt, star
 
 SF = "/root/testdata/sf0.001"
 F98 = Filters(year=1998, quarter="Q1")
@@ -126,3 +127,22 @@ def test_a_hot_code_is_split_where_the_list_is_too_large_to_broadcast(spark, tmp
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_dealt_tables_join_without_a_shuffle(spark, tmp_path):
+    """Missing, unlisted and repeated codes, and one code of most rows, as by the usual join."""
+    codes = [None, "1", "2", "x", *["7"] * 40]
+    rows = spark.createDataFrame([(i, i % 3, c) for i, c in enumerate(codes)], "id long, pos int, fish_code string")
+    listed = [("1", "a", "A"), ("2", "b", "B"), ("2", "b2", "B2"), (None, "n", "N"), ("7", "s", None)]
+    lookup = spark.createDataFrame(listed, "fish_code string, fish_name_kh string, fish_name_en string")
+    kept = dealt.deal_rows(rows, "fish_code", "dealt_rows", str(tmp_path / "rows"), buckets=8)
+    names = dealt.deal_list(lookup, "fish_code", "dealt_list", str(tmp_path / "list"), buckets=8)
+    found = dealt.label_dealt(kept, names)
+    expected = label_fallback(lookup_left_join(rows, lookup, "fish_code", "fish_code"))
+    assert found.columns == expected.columns
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+    assert "Exchange" not in plan(found)
+    hot = kept.where("fish_code = '7'").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert hot > 2
+    spark.sql("DROP TABLE dealt_rows")
+    spark.sql("DROP TABLE dealt_list")
