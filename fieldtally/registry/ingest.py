@@ -32,6 +32,7 @@ from fieldtally.sources.submissions import (
     find_schema,
     latest_versions,
     parse_submissions,
+    read_pages,
     read_submissions,
     results_of,
     stage_submissions,
@@ -78,6 +79,12 @@ def _(spark, sf):
     return _read_columns(read_submissions(spark, landed_pages(spark, sf)))
 
 
+@query("read_submissions__large_pages", READ)
+def _(spark, sf):
+    """Payload pages in files, each cut by byte ranges and put together by element."""
+    return _read_columns(read_pages(spark, landed_pages(spark, sf)))
+
+
 @query("read_submissions__parsed", READ)
 def _(spark, sf):
     """Payload texts that are in a table already."""

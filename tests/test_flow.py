@@ -16,11 +16,13 @@ from fieldtally.plans.bundle import report_bundle
 from fieldtally.plans.typed import SurveyTables
 from fieldtally.session import settle, shared_folder
 from fieldtally.sources import sinks, staging
+from fieldtally.sources.pages import page_elements
 from fieldtally.sources.warehouse import Warehouse
 from fieldtally.sources.submissions import (
     SUBMISSION,
     find_schema,
     latest_versions,
+    read_pages,
     read_submissions,
     set_aside,
     stage_submissions,
@@ -185,6 +187,57 @@ def test_json_is_parsed_once(spark, landed, kind, parses):
         assert plan.count("from_json") == parses, plan
 
 
+NASTY = [
+    submission(11, 'a "quoted" {brace} \\ [x] }', "2024-01-05", nat_fishcatch=[caught("1", "1", "3", "}{")]),
+    submission(12, "ends with a backslash \\", "2024-01-06", remarks="}]}", nat_fishcatch=[]),
+    submission(13, "ខ្មែរ } ពោធិ៍សាត់", "2024-01-07", nat_fishcatch=[caught("\n}", "2", "1", '"')]),
+]
+
+
+@pytest.mark.parametrize("size", [20, 333, 1 << 20])
+@pytest.mark.parametrize("indent", [None, 2])
+def test_pages_are_cut_by_byte_ranges(spark, tmp_path, monkeypatch, size, indent):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    given = [*SUBMISSIONS, *NASTY]
+    for n, part in enumerate((given, given[:1], [])):
+        page = {"count": len(part), "next": None, "note": "a } and ] and {", "results": part, "more": {"a": {"b": []}}}
+        (folder / f"{n}.json").write_text(json.dumps(page, indent=indent, ensure_ascii=False) + "\n" * n)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for key in before:
+            spark.conf.set(key, size)
+        cut = read_pages(spark, str(folder))
+        found = sorted(rows(cut), key=str)
+        if size == 333:
+            assert page_elements(spark, str(folder)).select("file").distinct().count() == 2
+            assert spark.read.text(str(folder), lineSep="}").rdd.getNumPartitions() > 10
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert found == sorted(rows(read_submissions(spark, str(folder))), key=str) and len(found) == 9
+
+
+@pytest.mark.parametrize(("page", "fault", "good"), [
+    ('{"results": [{"_id": 1}, {"_id": 2', "can't be read", [0]),
+    ('{"results": [{"_id": 1}, {"_id": 2}', None, [0, 1]),
+    ('{"detail": "not found"}', "no results", []),
+    ('{"results": [7, {"_id": 1}, null, {"_id": 2}, "x"]}', "no submissions", [0, 1]),
+    ('{"results": []}', None, []),
+    ("", None, []),
+])
+def test_what_large_pages_hold(spark, tmp_path, page, fault, good):
+    (tmp_path / "0.json").write_text(page)
+    found = page_elements(spark, str(tmp_path)).collect()
+    assert sorted(r.pos for r in found if r.page is None) == good
+    assert all(json.loads(r.text)["_id"] == r.pos + 1 for r in found if r.page is None)
+    faults = {r.page for r in found if r.page}
+    assert bool(faults) == bool(fault) and all(fault in f for f in faults)
+    if fault:
+        with pytest.raises(Exception, match=f"{fault}.*0.json"):
+            read_pages(spark, str(tmp_path)).count()
+
+
 def changed(i, **answers):
     return SUBMISSIONS[i] | answers
 
