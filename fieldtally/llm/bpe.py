@@ -235,7 +235,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` of every whole text, with the vocabulary file at ``path``.
 
     The file must lie at the same place on all machines. A null text is taken as empty: no ids,
-    empty decoded text. Repeated rows give repeated results; other columns are not looked at; an
+    empty decoded text. Very long texts are encoded whole, alone. Repeated rows give repeated results; other columns are not looked at; an
     empty table gives an empty one. Each row is encoded alone, without a shuffle.
     """
 

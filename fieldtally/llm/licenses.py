@@ -196,8 +196,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     ``first`` and ``last`` are numbers of words, from 0. Words are compared after A-Z are
     lower-cased. Of a template that stands in a text several times, the place of best coverage is
     given, the first of equals; with ``every``, all places that reach the coverage and don't overlap.
-    A null or empty text, and templates without words, give nothing;
-    repeated rows give repeated results; other columns are not looked at. The templates go to all
+    A null or empty text, and templates without words, give nothing; very long texts are scanned whole;
+    repeated rows give repeated results, an empty table an empty one; other columns are not looked at. The templates go to all
     tasks with the code, so they are meant to be some hundreds, not a table.
     """
     kind = pa.struct([("name", pa.string()), ("coverage", pa.float64()), ("first", pa.int32()), ("last", pa.int32())])

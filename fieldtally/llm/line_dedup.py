@@ -78,7 +78,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
     sources or more stays at its first place, by smallest ``doc_id`` (missing ids before all),
     then text, then position, and goes elsewhere. Rows repeated whole have the same first place,
     and keep it alike. A null source is no site. A null or empty text stays as it is, with 0 lines for
-    null; a text all of whose lines go becomes empty. Columns of the input keep their names and
+    null; a text all of whose lines go becomes empty. Very long texts are judged whole, line by line; an empty table
+    gives an empty one. Columns of the input keep their names and
     values, also those called as ours inside; ``n_lines`` and ``n_removed`` of the input are
     replaced.
     """

@@ -211,7 +211,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id, score`` of every whole text: the votes for quality 1, from 0 to 1.
 
     A null text is scored as an empty one, which has features like any other. Without a model each
-    score is 0.5. Repeated rows give repeated results; other columns are not looked at.
+    score is 0.5. Very long texts are scored whole, some characters at a time. Repeated rows give
+    repeated results, an empty table an empty one; other columns are not looked at.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
     scored = score_batches(docs.sparkSession, model)

@@ -258,7 +258,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_bytes, n_tokens`` of every whole text, for the model file at ``path``.
 
     The file must lie at the same place on all machines. A null text is taken as empty: no bytes,
-    no tokens. Repeated rows give repeated results, other columns are not looked at, and an empty
+    no tokens. Very long texts are counted whole, in chunks. Repeated rows give repeated results, other columns are not looked at, and an empty
     table gives an empty one. Rows are counted where they are read, without a shuffle.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])

@@ -111,7 +111,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64)
     query's own id are not among its results. A vector that is null, or has a component that is null or
     not finite, takes no part, and neither does one without an id. Shorter vectors count as filled
     with zeros. A row repeated whole among the queries is asked once; among the vectors each is
-    found. Scores are summed as 64-bit integers. Bounds are 32-bit floats where the largest components
+    found. Without vectors or queries the result is empty. Very long vectors are handled like others. Scores are summed as 64-bit integers. Bounds are 32-bit floats where the largest components
     show that these are exact, else 64-bit ones, widened by their rounding where they aren't exact.
     Components so large that width times the largest of both sides reaches 2^62 are an error.
 

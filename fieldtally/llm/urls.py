@@ -91,7 +91,8 @@ def filter_urls(
 
     A null URL has empty host and path, no terms, and is allowed. An empty vocabulary or an empty
     list of rules leaves the other to decide; of rules of equal length the last by name decides.
-    Repeated rows give repeated results; other columns (among them the page itself) are not read.
+    Very long URLs are searched whole. Repeated rows give repeated results, an empty table an empty
+    one; other columns (among them the page itself) are not read.
     """
     schema = pa.schema([
         ("page_id", pa.int64()), ("url", pa.string()),
