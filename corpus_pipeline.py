@@ -40,17 +40,25 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents alike in 80 % of their five-word shingles, the one of smallest id."""
+    """Of each group of documents alike in 80 % of their five-word shingles, the one of smallest id.
+
+    Documents without words, null or empty, are in no group and stay; of rows repeated whole one stays.
+    Very long texts are compared whole; an empty table stays empty.
+    """
     return jaccard.one_of_each(docs, n=5, percent=80).select(*columns_of(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of benchmark phrases; ``n_chars`` is of the text that is left."""
+    """Documents without the words of benchmark phrases; ``n_chars`` is of the text that is left.
+
+    A null or empty text, an empty table and an empty benchmark change nothing; very long texts are
+    searched whole, and repeated rows are treated alike.
+    """
     return counted(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded`` of the documents that are left."""
+    """``doc_id, n_tokens, ids, decoded`` of the documents that are left, a row each; of a null or empty text none and empty."""
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
