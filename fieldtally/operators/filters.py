@@ -209,3 +209,23 @@ def reconcile_filters(old: Filters, new: Filters, areas: tuple[str, ...] | None
         result = result.with_(quarter=(new.month + 2) // 3)
     return result
 
+
+def reconcile_selections(df: DataFrame) -> DataFrame:
+    """`reconcile_filters` for a table of selections, row by row.
+
+    ``old`` and ``new`` are structs of ``group, province, area`` (texts), ``quarter, month`` (numbers), a
+    missing value for All; ``areas`` has the areas the new group offers, missing for any.  The
+    result is the column ``kept``, a struct of the same fields; other columns stay.
+    """
+    old, new = (lambda name: F.col(f"old.{name}")), (lambda name: F.col(f"new.{name}"))
+    moved = lambda name: ~old(name).eqNullSafe(new(name))
+    offered = F.col("areas").isNull() | F.coalesce(F.array_contains("areas", new("area")), F.lit(False))
+    inside = F.ceil(new("month") / 3) == new("quarter")
+    kept = {
+        "group": new("group"),
+        "province": F.when(~moved("group"), new("province")),
+        "area": F.when(~moved("group") | offered, new("area")),
+        "quarter": F.when(~moved("quarter") & moved("month") & new("month").isNotNull(), F.ceil(new("month") / 3).cast("int")).otherwise(new("quarter")),
+        "month": F.when(~moved("quarter") | new("quarter").isNull() | inside, new("month")),
+    }
+    return df.withColumn("kept", F.struct(*[c.alias(n) for n, c in kept.items()]))

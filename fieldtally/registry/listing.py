@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fieldtally.functions import calendar
@@ -127,14 +128,20 @@ RECONCILED = """SELECT month, quarter,
 
 @query("reconcile_filters", RECONCILED)
 def _(spark, sf):
-    chosen = star.table(spark, sf, "orders").select(
-        F.month("o_orderdate").alias("month"),
-        F.concat(F.lit("Q"), (F.col("o_custkey") % 4 + 1).cast("string")).alias("quarter"),
+    """A quarter is chosen after a month, in every order's row."""
+    orders = star.table(spark, sf, "orders")
+    number = (F.col("o_custkey") % 4 + 1).cast("int")
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("group", "province", "area")]
+
+    def selection(quarter: Column) -> Column:
+        return F.struct(*nothing, quarter.alias("quarter"), F.month("o_orderdate").alias("month"))
+
+    chosen = orders.select(
+        selection(F.lit(None).cast("int")).alias("old"), selection(number).alias("new"), F.lit(None).cast("array<string>").alias("areas")
     )
-    # twelve months and four quarters: the function is applied to every selection that occurs
-    kept = []
-    for row in chosen.groupBy("month", "quarter").agg(F.count(F.lit(1)).alias("n")).collect():
-        before = flt.Filters(month=row.month)
-        after = flt.reconcile_filters(before, before.with_(quarter=row.quarter))
-        kept.append((row.month, row.quarter, "NA" if after.month is None else str(after.month), row.n))
-    return spark.createDataFrame(kept, "month int, quarter string, month_kept string, n long")
+    found = flt.reconcile_selections(chosen)
+    return found.groupBy(
+        F.col("new.month").alias("month"),
+        F.concat(F.lit("Q"), F.col("new.quarter").cast("string")).alias("quarter"),
+        shown(F.col("kept.month")).alias("month_kept"),
+    ).agg(F.count(F.lit(1)).alias("n"))

@@ -1,9 +1,11 @@
 import datetime
+import itertools
+import random
 
 import pytest
 
 from fieldtally.operators import filters as flt
-from fieldtally.operators.filters import Filters, reconcile_filters
+from fieldtally.operators.filters import Filters, reconcile_filters, reconcile_selections
 from fieldtally.operators.lookups import Codebook, code_list, label_fallback, lookup_left_join, measure
 from fieldtally.sources.choices import read_choices
 
@@ -138,3 +140,18 @@ def test_every_year_can_be_asked_for(frame, year):
         assert {r.date for r in got} == {d for d in days if d.year in years and d.month in months}
     both = flt.Filters(year=2, quarter=1, month=12)
     assert df.where(flt.in_period(both, years=(1, 2))).count() == 0
+
+
+def test_reconcile_row_by_row(spark):
+    """Every change of one or more filters, as the function of one selection gives it."""
+    names = ("group", "province", "area", "quarter", "month")
+    values = list(itertools.product((None, "Inland", "Marine"), (None, "p"), (None, "a", "b"), (None, 1, 4), (None, 2, 12)))
+    draw = random.Random(6)
+    rows = [(i, draw.choice(values), draw.choice(values), draw.choice([None, [], ["a"], ["a", "b"]])) for i in range(400)]
+    rows += [(400 + i, v, (*v[:4], m), None) for i, (v, m) in enumerate(itertools.product(draw.sample(values, 20), (None, 2, 5, 12)))]
+    kind = "struct<group: string, province: string, area: string, quarter: int, month: int>"
+    found = reconcile_selections(spark.createDataFrame(rows, f"i int, old {kind}, new {kind}, areas array<string>"))
+    kept = {r.i: tuple(r.kept) for r in found.collect()}
+    for i, old, new, areas in rows:
+        one = reconcile_filters(*(Filters(**dict(zip(names, v))) for v in (old, new)), None if areas is None else tuple(areas))
+        assert kept[i] == tuple(getattr(one, n) for n in names), (old, new, areas)
