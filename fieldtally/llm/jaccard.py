@@ -43,7 +43,7 @@ SMALL, PIVOTS, GROWTH = 16, 4, 4
 CELLS = 4
 #: Distance from a pivot up to which points are of its cell.
 NEAR = 0.5
-POINT = ("region", "key", "size", "pos", "sketch")
+POINT = ("region", "key", "size", "pos")
 
 
 def rarest(text: str | None, n: int, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,8 +133,11 @@ def first_regions(docs: DataFrame, n: int, table: np.ndarray, percent: int, scra
             by_row = [pa.array(keys, pa.binary()).take(pa.array(row)), pa.array(np.array(sizes, np.int64)[row])]
             yield pa.RecordBatch.from_arrays([rare, *by_row, pa.array(place.astype(np.int32))], schema=schema)
 
-    rows = scratch(shingled(docs).mapInArrow(run, "region long, key binary, size long, pos int"))
-    return shared(rows, scratch).dropDuplicates(["region", "key"])
+    inner = Scratch(docs.sparkSession)
+    rows = inner(shingled(docs).mapInArrow(run, "region long, key binary, size long, pos int"))
+    found = scratch(shared(rows, inner).dropDuplicates(["region", "key"]))
+    inner.drop()
+    return found
 
 
 def pivots(regions: DataFrame, turn: int) -> DataFrame:
@@ -173,17 +176,19 @@ def cells(met: DataFrame, found: DataFrame, percent: int) -> DataFrame:
 def link(docs: DataFrame, n: int, sets: DataFrame, table: np.ndarray, percent: int, scratch: Scratch) -> DataFrame:
     """``key, root`` of the points linked with others, by ``percent`` of similarity or more."""
     regions = first_regions(docs, n, table, percent, scratch)
-    known = sets.where(F.col("key").isNotNull()).dropDuplicates(["key"])
     regions = scratch(alive(regions, percent))
+    known = sets.where(F.col("key").isNotNull()).join(regions.select("key").distinct(), "key", "left_semi")
+    known = scratch(known.dropDuplicates(["key"]))
+    sketches = known.select("key", "sketch")
     counted = regions.groupBy("region").agg(F.count("*").alias("points")).where(F.col("points") > 1)
-    regions = regions.join(counted, "region").join(known.select("key", "sketch"), "key")
+    regions = regions.join(counted, "region")
     regions = scratch(regions.withColumns({"root": F.col("key"), "outside": F.col("points"), "apart": F.lit(False)}))
     points, turn = None, 0
     while not regions.isEmpty():
         small, large = regions.where(F.col("points") <= SMALL), regions.where(F.col("points") > SMALL)
         drawn = scratch(pivots(large, turn))
         met = scratch(large.select("region", "key").join(drawn, "region").where(F.col("key") != F.col("pivot")))
-        pairs = pairs_within(small, percent).unionByName(met.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")))
+        pairs = pairs_within(small, sketches, percent).unionByName(met.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")))
         pairs = scratch(pairs.distinct())
         if points is None:
             keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select("key")).distinct()
@@ -199,8 +204,9 @@ def link(docs: DataFrame, n: int, sets: DataFrame, table: np.ndarray, percent: i
         left = left.select(*POINT).join(inner, ["region", "key"]).drop("region").withColumnRenamed("inner", "region")
         left = points.active(left)
         few = left.where(F.col("points") <= SMALL).select(*POINT)
-        many = left.where(F.col("points") > SMALL).select("key", "size", "sketch").dropDuplicates(["key"])
+        many = left.where(F.col("points") > SMALL).select("key", "size").dropDuplicates(["key"])
         turn += 1
+        scratch.sweep()
         regions = points.active(few.unionByName(points.rare_regions(many, turn)))
     return written(points.classes) if points else sets.sparkSession.createDataFrame([], "key binary, root binary")
 

@@ -103,6 +103,7 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
 
 def buckets(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """``region, key`` of sets by each band in which another set agrees, and ``key, size, sketch, signature`` of these; written."""
+    inner = Scratch(rows.sparkSession)
     schema = pa.schema([("region", pa.int64()), ("key", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +113,10 @@ def buckets(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array(found), batch.column("key").take(pa.array(by_row))], schema=schema)
 
     one = rows.where(F.col("signature").isNotNull()).select("key", "size", "sketch", "signature")
-    banded = scratch(one.select("key", "signature").mapInArrow(run, "region long, key binary"))
-    several = scratch(shared(banded, scratch).distinct())
+    banded = inner(one.select("key", "signature").mapInArrow(run, "region long, key binary"))
+    several = scratch(shared(banded, inner).distinct())
+    inner.drop()
+    scratch.sweep()
     keys = scratch(several.select("key").distinct())
     return several, scratch(one.join(at_hand(keys), "key", "left_semi").dropDuplicates(["key"]))
 
@@ -168,18 +171,20 @@ def link(docs: DataFrame, n: int, rows: DataFrame, percent: int, scratch: Scratc
     signatures = known.select("key", "signature")
     places = rows.select("key", "doc_id", "text_key").join(at_hand(known.select("key")), "key", "left_semi").dropDuplicates(["key"])
     points, turn = Points(docs, n, places, percent, scratch), 0
-    regions = regions.join(known.drop("signature"), "key").select("region", "key", "size", F.lit(1).alias("pos"), "sketch")
+    sketches = known.select("key", "sketch")
+    regions = regions.join(known.select("key", "size"), "key").select("region", "key", "size", F.lit(1).alias("pos"))
     regions = points.active(regions)
     while not regions.isEmpty():
         small, large = regions.where(F.col("points") <= SMALL), regions.where(F.col("points") > SMALL)
         drawn = scratch(centres(large, turn))
         met = large.select("region", "key").join(drawn, "region").where(F.col("key") != F.col("centre"))
-        pairs = pairs_within(small, percent).unionByName(met.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")))
+        pairs = pairs_within(small, sketches, percent).unionByName(met.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")))
         pairs = scratch(pairs.distinct())
         points.merge(points.compared(plausible(pairs, signatures, percent, scratch)))
-        left = large.select("region", "key", "size", "pos", "sketch").join(drawn.toDF("region", "key"), ["region", "key"], "left_anti")
-        many = points.active(left).select("key", "size", "sketch").dropDuplicates(["key"])
+        left = large.select("region", "key", "size", "pos").join(drawn.toDF("region", "key"), ["region", "key"], "left_anti")
+        many = points.active(left).select("key", "size").dropDuplicates(["key"])
         turn += 1
+        scratch.sweep()
         regions = points.active(points.rare_regions(many, turn))
     return written(points.classes)
 

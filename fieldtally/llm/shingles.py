@@ -1,12 +1,13 @@
 """Texts as sets of word shingles, and what joins of such sets share.
 
 A set is of 64-bit hashes of runs of words, and 128 bits of all its hashes stand for it. Sets that
-may be linked lie in regions, tables of ``region, key, size, pos, sketch``: ``pos`` is the place of
-the region's shingle among those of the set, the rarest first.
+may be linked lie in regions, tables of ``region, key, size, pos``: ``pos`` is the place of the
+region's shingle among those of the set, the rarest first.
 """
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from itertools import count
@@ -36,6 +37,11 @@ class Scratch:
     def __call__(self, df: DataFrame) -> DataFrame:
         return write_to(df, f"{self.folder}/{next(self.number)}")
 
+    def sweep(self) -> None:
+        """Has Spark remove the shuffle files of frames that are no longer used; it does when the driver collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self) -> None:
         """Removes them all; nothing may read them any more."""
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
@@ -125,9 +131,13 @@ def alive(regions: DataFrame, percent: int) -> DataFrame:
     return regions.join(least, "region").where(enough).drop("least")
 
 
-def pairs_within(regions: DataFrame, percent: int) -> DataFrame:
-    """``a < b`` of points of a region that may be linked and aren't of one class; for regions of a few points."""
+def pairs_within(regions: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """``a < b`` of points of a region that may be linked and aren't of one class; for regions of a few points.
+
+    ``sketches`` has ``key, sketch`` of all points.
+    """
     names = ("key", "size", "pos", "sketch", "root")
+    regions = regions.select("region", "key", "size", "pos", "root").join(sketches, "key")
     other = regions.select("region", *[F.col(c).alias(f"other_{c}") for c in names])
     met = (F.col("key") < F.col("other_key")) & (F.col("root") != F.col("other_root"))
     pairs = regions.join(other, "region").where(met & may_link(percent))
@@ -181,7 +191,7 @@ class Points:
         Beside it the region's ``points``, how many of them are ``outside`` its largest class, and
         ``apart``, whether this one is.
         """
-        known = alive(regions, self.percent).join(self.classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        known = regions.join(self.classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
         by_class = known.groupBy("region", F.xxhash64("root").alias("mark")).agg(F.count("*").alias("n"))
         largest = by_class.groupBy("region").agg(F.sum("n").alias("points"), F.max(F.struct("n", "mark")).alias("main"))
         mixed = largest.where(F.col("points") > F.col("main.n"))
@@ -189,12 +199,12 @@ class Points:
         return self.scratch(known.join(mixed, "region").withColumn("apart", F.xxhash64("root") != F.col("mark")).drop("mark"))
 
     def rare_regions(self, points: DataFrame, turn: int) -> DataFrame:
-        """``region, key, size, pos, sketch``: points by those of their shingles that are rarest among these points.
+        """``region, key, size, pos``: points by those of their shingles that are rarest among these points.
 
-        ``points`` has ``key, size, sketch``, each point once. Of each there is one shingle more
+        ``points`` has ``key, size``, each point once. Of each there is one shingle more
         than two linked sets can differ in, but for those that no other point has.
         """
-        grams = points.select("key", "size").join(self.sets, "key").select("key", "size", F.explode("grams").alias("gram"))
+        grams = points.join(self.sets, "key").select("key", "size", F.explode("grams").alias("gram"))
         often = grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > 1)
         held = grams.join(often, "gram").groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("held"))
         kept = F.col("size") - F.ceil(F.col("size") * self.percent / 100) + 1
@@ -203,7 +213,7 @@ class Points:
         found = held.select("key", "size", alone.alias("alone"), F.posexplode(first).alias("i", "rare"))
         region = F.xxhash64("rare.gram", F.lit(turn))
         found = found.select(region.alias("region"), "key", "size", (F.col("alone") + F.col("i") + 1).cast("int").alias("pos"))
-        return found.join(points.select("key", "sketch"), "key").select("region", "key", "size", "pos", "sketch")
+        return alive(self.scratch(found), self.percent)
 
 
 def sets_of(docs: DataFrame, n: int, places: DataFrame, scratch: Scratch) -> DataFrame:
