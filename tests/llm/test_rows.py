@@ -26,7 +26,7 @@ def test_sql(spark, name):
 
 
 def test_registered():
-    assert {f"op{i}" for i in range(1, 11)} <= {name.split("_")[0] for name in QUERIES}
+    assert {f"op{i}" for i in range(1, 14)} <= {name.split("_")[0] for name in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
