@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,7 +36,7 @@ from fieldtally.llm.bpe import byte_alphabet
 from fieldtally.llm.common import by_size, texts, written
 
 #: Pieces of text a worker keeps aligned, twice at most, and the longest that is kept.
-KEPT, KEPT_CHARS = 60_000, 48
+KEPT, KEPT_CHARS = 200_000, 48
 #: Characters worked on at once; a longer text is worked on alone.
 AT_ONCE = 1 << 19
 BLANK = "▁"
@@ -54,6 +55,7 @@ class Aligner:
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_a, self.bytes_b = self._bytes_a(path_a), self._bytes_b()
+        self.size_a, self.size_b = ([len(x) for x in of] for of in (self.bytes_a, self.bytes_b))
         size = max(len(self.bytes_a), len(self.bytes_b))
         self.kind, self.shift = (np.dtype("<u4"), 16) if size <= 1 << 16 else (np.dtype("<u8"), 32)
         ids: dict[bytes, list[int]] = defaultdict(list)
@@ -110,22 +112,37 @@ class Aligner:
         """``None`` where the bytes of either side aren't those of the piece."""
         if b"".join(map(self.bytes_a.__getitem__, a)) != piece or b"".join(map(self.bytes_b.__getitem__, b)) != piece:
             return None
-        ends_b = np.cumsum([len(self.bytes_b[i]) for i in b])
-        ends_a = np.cumsum([len(self.bytes_a[i]) for i in a])
-        _, of_a, of_b = np.intersect1d(ends_a, ends_b, return_indices=True)
-        groups, at_a, at_b, links = [], 0, 0, []
-        for i, j in zip((of_a + 1).tolist(), (of_b + 1).tolist()):
-            groups.append(f"{','.join(map(str, a[at_a:i]))}|{','.join(map(str, b[at_b:j]))}")
-            links.append(a[i - 1] << self.shift | b[j - 1])
+        size_a, size_b = self.size_a, self.size_b
+        groups, links, i, j, at_a, at_b = [], [], 0, 0, 0, 0
+        end_a, end_b = size_a[a[0]], size_b[b[0]]
+        while True:  # the side that is behind takes its next token, until both end together
+            if end_a < end_b:
+                i += 1
+                end_a += size_a[a[i]]
+                continue
+            if end_b < end_a:
+                j += 1
+                end_b += size_b[b[j]]
+                continue
+            links.append(a[i] << self.shift | b[j])
+            i, j = i + 1, j + 1
+            if i - at_a == 1 == j - at_b:
+                groups.append(f"{a[at_a]}|{b[at_b]}")
+            else:
+                groups.append(f"{','.join(map(str, a[at_a:i]))}|{','.join(map(str, b[at_b:j]))}")
+            if i == len(a):
+                break
             at_a, at_b = i, j
-        return len(a), len(b), len(groups), ";".join(groups), np.array(links, self.kind).tobytes()
+            end_a += size_a[a[i]]
+            end_b += size_b[b[j]]
+        return len(a), len(b), len(groups), ";".join(groups), struct.pack(f"<{len(links)}{self.kind.char}", *links)
 
     def learn(self, pieces: set[str]) -> None:
         """Aligns the pieces that aren't known yet."""
         new = [p for p in pieces if p not in self.kept]
         self.kept.update({p: self.older[p] for p in new if p in self.older})
         new = [p for p in new if p not in self.kept]
-        both = zip(new, self.a.encode_batch(new, add_special_tokens=False), self.encode_b(new))
+        both = zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), self.encode_b(new))
         self.kept.update({p: self.aligned(p.encode(), a.ids, b) for p, a, b in both})
 
     def align(self, batch: list[str | None]) -> list[Aligned]:
