@@ -19,16 +19,18 @@ def page_elements(spark: SparkSession, path: str) -> DataFrame:
     ``page`` says what is wrong with what is no element: the rest of a torn page, or a page without
     ``results``, its beginning as ``text``.  Elements that are no objects come without place, with
     what stands between them, as they can't be submissions.  Of the page's other answers none may
-    be an array of objects.  Files are not compressed.
+    be an array of objects.  Files may be compressed; one whose codec can't be split is one range.
     """
-    meta = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "file"), ("file_block_start", "start"), ("file_size", "bytes"))]
+    meta = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "file"), ("file_block_start", "start"))]
     pieces = spark.read.text(path, lineSep="}").select(*meta, F.monotonically_increasing_id().alias("i"), F.col("value").alias("text"))
     own = Window.partitionBy("file", "start").orderBy("i")
-    # a piece without a brace behind it ends the file
-    length = F.octet_length("text") + 1
-    ends = pieces.groupBy("file", "start").agg(F.sum(length).alias("length"), F.max("i").alias("last"), F.max("bytes").alias("bytes"))
-    files = ends.groupBy("file").agg(F.sum("length").alias("length"), F.max("bytes").alias("bytes"), F.max_by("last", "start").alias("last"))
-    open_end = files.where(F.col("length") > F.col("bytes")).select("file", F.col("last").alias("open"))
+    # a piece without a brace behind it ends the file, which then has a brace less than pieces
+    ends = pieces.groupBy("file", "start").agg(F.count("*").alias("pieces"), F.max("i").alias("last"))
+    files = ends.groupBy("file").agg(F.sum("pieces").alias("pieces"), F.max_by("last", "start").alias("last"))
+    # the braces, counted between other separators, as the sizes of compressed files don't tell
+    between = spark.read.text(path, lineSep="{").select(F.col("_metadata.file_path").alias("file"), _count("value", "}").alias("braces"))
+    braces = between.groupBy("file").agg(F.sum("braces").alias("braces"))
+    open_end = files.join(braces, "file").where(F.col("pieces") > F.col("braces")).select("file", F.col("last").alias("open"))
     pieces = pieces.join(open_end, "file", "left").withColumn("closed", ~F.coalesce(F.col("i") == F.col("open"), F.lit(False)))
 
     plain = F.regexp_replace("text", r"(?s)\\.", "")
