@@ -24,7 +24,7 @@ def stage_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     or a month skips what lies before and after.
     """
     even = df.hint("rebalance", "year").sortWithinPartitions("year", "date")
-    even.write.mode(mode).partitionBy("year").parquet(path)
+    even.write.mode(mode).option("compression", "zstd").partitionBy("year").parquet(path)
 
 
 def stage_tables(tables: SurveyTables, path: str) -> None:

@@ -206,14 +206,15 @@ def _set_aside(
     return _parsed(spark, out, schema, False), bad
 
 
-def latest_versions(submissions: DataFrame) -> DataFrame:
+def latest_versions(submissions: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Each submission once, as it was last submitted, whatever was landed before or again.
 
     One aggregate by ``_id``: the row of the latest ``_submission_time`` (a missing or unreadable
     one is the earliest), of equal times the one of the greatest hash of all answers, so that the
     result doesn't depend on the order of files.  Rows without an id are told apart by their answers.
+    With ``columns`` only these are carried through the shuffle; which row counts stays the same.
     """
-    newest = newest_version(submissions.columns).alias("s")
+    newest = newest_version(submissions.columns, columns).alias("s")
     return by_submission(submissions).agg(newest).select("s.*")
 
 
@@ -226,9 +227,9 @@ def by_submission(submissions: DataFrame) -> GroupedData:
     return submissions.groupBy(F.col("_id").alias("__id"), unnamed.alias("__unnamed"))
 
 
-def newest_version(names: Iterable[str]) -> Column:
-    """Of the rows of a submission the latest one, as a struct of its columns."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in names])
+def newest_version(names: Iterable[str], kept: Iterable[str] | None = None) -> Column:
+    """Of the rows of a submission the latest one, as a struct of its columns, or of those ``kept``."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in (names if kept is None else kept)])
     return F.max_by(whole, F.struct(F.try_to_timestamp(F.col("_submission_time")), _hash_of(names)))
 
 
@@ -257,5 +258,5 @@ def stage_submissions(df: DataFrame, path: str) -> DataFrame:
 
     The five tables then each read their own columns, and JSON is parsed once.
     """
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
