@@ -46,17 +46,24 @@ def landing_folder(spark) -> str:
     return f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
 
 
-def landed_lines(spark, sf, *more) -> str:
-    folder = landing_folder(spark)
-    star.line_texts(spark, sf, *more).write.text(folder)
+def land(texts: DataFrame, pages: bool = False) -> str:
+    """Writes texts to a landing folder: lines to files small enough for many readers, pages to a file each.
+
+    JSON repeats its names in every submission; compressed it takes a fifteenth of the disk.
+    """
+    folder = landing_folder(texts.sparkSession)
+    writer = texts.write.option("compression", "gzip")
+    (writer.partitionBy("page") if pages else writer.option("maxRecordsPerFile", 20_000)).text(folder)
     return folder
 
 
+def landed_lines(spark, sf, *more) -> str:
+    return land(star.line_texts(spark, sf, *more))
+
+
 def landed_pages(spark, sf) -> str:
     """Pages as files of one payload each."""
-    folder = landing_folder(spark)
-    star.page_texts(spark, sf).repartition("page").write.partitionBy("page").text(folder)
-    return folder
+    return land(star.page_lines(spark, sf), pages=True)
 
 
 READ = with_tables(
@@ -103,8 +110,7 @@ def _(spark, sf):
         .when(line == "5", F.regexp_replace("value", r'"nat_fishcatch":\[.*?\]', '"nat_fishcatch":"none"'))
         .otherwise(F.col("value"))
     )
-    folder, rejects = landing_folder(spark), landing_folder(spark)
-    star.line_texts(spark, sf).select(spoilt.alias("value")).write.text(folder)
+    folder, rejects = land(star.line_texts(spark, sf).select(spoilt.alias("value"))), landing_folder(spark)
     good = read_submissions(spark, folder, lines=True, rejects=rejects)
     counts = good.select(F.lit(1).alias("good"), F.lit(0).alias("bad")).unionAll(
         spark.read.parquet(rejects).select(F.lit(0), F.lit(1))
@@ -120,8 +126,7 @@ def _(spark, sf):
     """Pages with groups of a wrong type and ids that are no number: all other submissions of a page stay."""
     value = F.regexp_replace("value", r'"_id":(\d+)(,[^{}]*"inspectorate":"none")', '"_id":"no $1"$2')
     value = F.regexp_replace(value, r'("inspectorate":"5",[^{}]*"_validation_status":)\{[^}]*\}', '$1"none"')
-    folder, rejects = landing_folder(spark), landing_folder(spark)
-    star.page_texts(spark, sf).select("page", value.alias("value")).repartition("page").write.partitionBy("page").text(folder)
+    folder, rejects = land(star.page_lines(spark, sf).withColumn("value", value), pages=True), landing_folder(spark)
     good = read_submissions(spark, folder, rejects=rejects)
     aside = spark.read.parquet(rejects)
     counts = good.select(F.lit(1).alias("good"), F.lit(0).alias("bad"), F.col("_id").alias("ids"), F.lit(None).alias("page")).unionAll(
@@ -160,9 +165,8 @@ def _(spark, sf):
         given.select(F.to_json(F.col("s").withField("_submission_time", first)).alias("value")),
         given.select(F.to_json(F.col("s").withField("_submission_time", second).withField("province", province)).alias("value")),
     ]
-    folder = landing_folder(spark)
-    versions[0].unionAll(versions[1]).write.text(folder)
-    found = latest_versions(read_submissions(spark, folder, lines=True))
+    folder = land(versions[0].unionAll(versions[1]))
+    found = latest_versions(read_submissions(spark, folder, lines=True), ["_id", "date", "province", "_submission_time"])
     return found.select(F.col("_id").alias("id"), "date", "province", F.col("_submission_time").substr(1, 4).alias("year_submitted"))
 
 

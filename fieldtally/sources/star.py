@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldtally import domains as D
@@ -23,7 +23,7 @@ from fieldtally.operators.lookups import (
     code_list,
 )
 from fieldtally.plans.typed import SurveyTables
-from fieldtally.sources.submissions import REPEAT_FIELDS
+from fieldtally.sources.submissions import REPEAT_FIELDS, SUBMISSION
 
 # Answers to the aquaculture type question, by line number.
 TYPE_ANSWERS = {
@@ -143,7 +143,7 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nested(table(spark, sf_dir, "lineitem"))
 
 
-def _nested(items: DataFrame) -> DataFrame:
+def _nested(items: DataFrame, *kept: str) -> DataFrame:
     line = F.col("l_linenumber")
     day = F.col("l_shipdate").cast("date").cast("string")
     none = F.lit(None).cast("string")
@@ -160,6 +160,7 @@ def _nested(items: DataFrame) -> DataFrame:
     kind = F.translate("l_returnflag", "RAN", "123")
     codes = F.concat_ws(" ", (F.col("l_partkey") % 10).cast("string"), line.cast("string"))
     return items.select(
+        *kept,
         (F.col("l_orderkey") * 8 + line).alias("_id"),
         day.alias("date"),
         F.when(line == 2, F.lpad(province, 2, "0")).otherwise(province).alias("province"),
@@ -196,12 +197,21 @@ def line_texts(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     return submissions(spark, sf_dir).select(F.to_json(F.struct("*", *more)).alias("value"))
 
 
-def page_texts(spark: SparkSession, sf_dir: str, size: int = 2000) -> DataFrame:
-    """The submissions as JSON payloads of up to ``size``, with the number of the page."""
-    page = F.floor(F.col("_id") / size).alias("page")
-    pages = submissions(spark, sf_dir).select(page, F.struct("*").alias("s"))
-    pages = pages.groupBy("page").agg(F.collect_list("s").alias("results"))
-    return pages.select("page", F.to_json(F.struct("results")).alias("value"))
+def page_lines(spark: SparkSession, sf_dir: str, size: int = 2000) -> DataFrame:
+    """The submissions as JSON payloads of up to ``size``: the lines of each page in their order, with its number.
+
+    Written by ``page`` they are a file for each page.  The items are dealt by page before they
+    become JSON, and no page is held as one text.
+    """
+    page = F.floor((F.col("l_orderkey") * 8 + F.col("l_linenumber")) / size)
+    items = table(spark, sf_dir, "lineitem").withColumn("page", page).repartition("page")
+    own = Window.partitionBy("page").orderBy("l_orderkey", "l_linenumber")
+    items = items.withColumns({"first": F.row_number().over(own) == 1, "last": F.lead(F.lit(False), 1, True).over(own)})
+    one = F.to_json(F.struct(*[F.col(c) for c in SUBMISSION.names]))
+    value = F.concat(
+        F.when(F.col("first"), '{"results":[').otherwise(","), one, F.when(F.col("last"), "]}").otherwise("")
+    )
+    return _nested(items, "page", "first", "last").select("page", value.alias("value"))
 
 
 def _choice_rows(df: DataFrame, name: str, code: Column, kh: Column, en: Column) -> DataFrame:
