@@ -216,5 +216,5 @@ def _even(df: DataFrame, target: str) -> None:
 
 
 def _small(df: DataFrame, target: str) -> None:
-    """A file a year, of what has been aggregated."""
-    df.repartition("year").write.partitionBy("year").parquet(target)
+    """What has been aggregated: years of few rows share a task, one of many cells is split over several."""
+    df.hint("rebalance", "year").write.partitionBy("year").parquet(target)
