@@ -2,7 +2,9 @@
 
 Each stage is a function of the session, the documents its predecessor kept, and the folder of the
 given tables. ``run`` writes what a stage returns to the folder all machines share, and the next
-one reads it from there. All stages but the last return the columns of ``documents``.
+one reads it from there. All stages but the last return the columns of ``documents``. What a stage
+returns is computed when it is written, so stages that hand texts to Python leave the session's
+``spark.sql.execution.arrow.maxRecordsPerBatch`` at ``HANDED`` or less.
 """
 
 from __future__ import annotations
@@ -12,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally.llm import bpe, decontaminate, jaccard, line_dedup, quality
-from fieldtally.llm.common import held_out, table, written
+from fieldtally.llm.common import BATCH_ROWS, held_out, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows that a task of Python is handed at once. Spark's ten thousand, as texts, are held several times over by each task.
+HANDED = 500
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,6 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Labels are learned from as in the query, from documents that are not held out. Without labels
     all documents stay.
     """
+    hand_less(spark)
     learned = ~F.coalesce(held_out(), F.lit(False))
     labels = table(spark, sf_dir, "labels").where(learned).select("doc_id", "quality")
     model = quality.fit(labels.join(docs.where(learned).select("doc_id", "text"), "doc_id"))
@@ -54,14 +59,21 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A null or empty text, an empty table and an empty benchmark change nothing; very long texts are
     searched whole, and repeated rows are treated alike.
     """
+    hand_less(spark)
     return counted(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` of the documents that are left, a row each; of a null or empty text none and empty."""
+    hand_less(spark)
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def hand_less(spark: SparkSession) -> None:
+    before = int(spark.conf.get(BATCH_ROWS))
+    spark.conf.set(BATCH_ROWS, min(before, HANDED) if before > 0 else HANDED)
+
+
 def columns_of(docs: DataFrame) -> list:
     """The columns of ``documents`` that ``docs`` has."""
     return [F.col(c) for c in COLUMNS if c in docs.columns]

@@ -27,9 +27,9 @@ from fieldtally.llm.common import by_size, texts
 #: Bytes up to which a word is merged by scanning.
 SHORT = 96
 #: Chunks kept encoded per Python worker, twice at most, and the longest that is kept.
-KEPT, KEPT_CHARS = 100_000, 48
+KEPT, KEPT_CHARS = 40_000, 48
 #: Characters encoded at once; a longer text is encoded alone.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 BITS = 20
 MASK, NONE = (1 << BITS) - 1, 1 << 60
 

@@ -46,7 +46,7 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 @lru_cache(maxsize=4)
 def property_table(name: str) -> np.ndarray:
     """By code point, what ``str.<name>()`` says of the character."""
-    return np.array([getattr(chr(i), name)() for i in range(0x110000)], bool)
+    return np.fromiter((getattr(chr(i), name)() for i in range(0x110000)), bool, 0x110000)
 
 
 def ngram_hashes(points: np.ndarray, n: int, buckets: int) -> np.ndarray:

@@ -34,6 +34,8 @@ LONG, PIECE = 24, 3
 LABELLED = 3000
 NEIGHBOURS, SHARPNESS = 15, 12.0
 MEASURES = 7
+#: Texts, and characters of several texts, that are scored at once; a text has some thousand features.
+SCORED, SCORED_CHARS = 64, 1 << 17
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
@@ -50,8 +52,7 @@ class Model:
 @lru_cache(maxsize=1)
 def class_table() -> np.ndarray:
     """By code point: small letter 1, capital 2, digit 3, blank 4, line end 5, all else one of 6 to 127."""
-    points = np.arange(0x110000)
-    table = (6 + points % 122).astype(np.uint8)
+    table = np.resize(np.arange(6, 128, dtype=np.uint8), 0x110000)
     for name, value in (("isspace", 4), ("isalpha", 1), ("isupper", 2), ("isdigit", 3)):
         table[property_table(name)] = value
     table[10] = 5
@@ -60,8 +61,13 @@ def class_table() -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def run_buckets() -> list[np.ndarray]:
-    """By run of one, two or three classes, seven bits each, its bucket."""
-    return [ngram_hashes(np.arange(1 << 7 * n, dtype=np.uint64) + np.uint64(n << 40), 1, BUCKETS) for n in SIZES]
+    """By run of one, two or three classes, seven bits each, its bucket; made in parts, as a worker keeps what it once needed."""
+    found = [np.empty(1 << 7 * n, np.uint16) for n in SIZES]
+    for n, buckets in zip(SIZES, found):
+        for at in range(0, len(buckets), 1 << 16):
+            part = buckets[at : at + (1 << 16)]
+            part[:] = ngram_hashes(np.arange(at, at + len(part), dtype=np.uint64) + np.uint64(n << 40), 1, BUCKETS)
+    return found
 
 
 def measures(text: str) -> list[float]:
@@ -82,7 +88,7 @@ def measures(text: str) -> list[float]:
     ]
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 14)
 def term_place(term: str) -> int:
     return crc32(term.encode("utf-8", "surrogatepass")) % TERMS
 
@@ -231,9 +237,9 @@ def score_batches(spark, model: Model | None):
 
     def scored(batch: pa.RecordBatch) -> pa.Array:
         model, scores = shared.value, []
-        for some in by_size(texts(batch), 1 << 19):
-            for at in range(0, len(some), 512):
-                block = [t or "" for t in some[at : at + 512]]
+        for some in by_size(texts(batch), SCORED_CHARS):
+            for at in range(0, len(some), SCORED):
+                block = [t or "" for t in some[at : at + SCORED]]
                 found = votes(model, embed(model, features(block))) if model else np.full(len(block), 0.5)
                 scores.append(np.round(np.clip(found, 0, 1), 9))  # sums differ in the last digits with the block
         return pa.array(np.concatenate(scores) if scores else [], pa.float64())
@@ -247,6 +253,8 @@ def keep_good(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(np.asarray(scored(batch)) >= least))
+            for at in range(0, batch.num_rows, SCORED):
+                some = batch.slice(at, SCORED)
+                yield some.filter(pa.array(np.asarray(scored(some)) >= least))
 
     return docs.mapInArrow(run, columns)

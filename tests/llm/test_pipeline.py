@@ -3,7 +3,9 @@
 import struct
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from cases import TEXTS, documents, no_documents, sorted_rows
 from test_rows import SMALL, hits, smallest_linked
@@ -11,8 +13,8 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
-from fieldtally.llm import line_dedup
-from fieldtally.llm.common import table, written
+from fieldtally.llm import line_dedup, quality
+from fieldtally.llm.common import BATCH_ROWS, table, written
 from fieldtally.llm.queries import QUERIES
 
 
@@ -114,3 +116,29 @@ def test_edges(spark, make):
         assert kept.count() <= len(TEXTS) + 3
     else:
         assert kept.count() == 0
+
+
+def test_python_is_handed_few_texts_at_once(spark, tmp_path):
+    """Stages are computed when they are written, so what they hand to Python is bounded by the session."""
+    docs = spark.createDataFrame([(i, f"some text {i}", "en", "s", 9) for i in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    before = spark.conf.get(BATCH_ROWS)
+    try:
+        for stage in (pipeline.quality_classifier, pipeline.decontamination, pipeline.bpe_encoding):
+            spark.conf.set(BATCH_ROWS, 10_000)
+            assert stage(spark, docs, str(tmp_path)).count() == 3
+            assert int(spark.conf.get(BATCH_ROWS)) <= 500
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
+def test_quality_works_on_few_texts_at_once(spark, monkeypatch):
+    seen, features = [], quality.features
+    monkeypatch.setattr(quality, "features", lambda block: seen.append(len(block)) or features(block))
+    model = quality.train(features([f"text {i} " * (i + 1) for i in range(30)]), np.arange(30).astype(np.float32) % 2)
+    texts = [f"{i} other words" for i in range(300)]
+    scores = quality.score_batches(spark, model)(pa.record_batch({"text": texts}))
+    assert len(scores) == 300 and max(seen) <= 64
+    assert sum(x.nbytes for x in quality.run_buckets()) < 5 << 20
