@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm.common import packed, texts, written
-from fieldtally.llm.shingles import Points, Scratch, alive, by_class, drawn_outside, keyed, pairs_within, runs_of, shared, shingled, sketch, word_hashes
+from fieldtally.llm.shingles import Points, Scratch, by_class, drawn_outside, keyed, not_alone, pairs_within, runs_of, shared, shingled, sketch, word_hashes
 
 #: Bits of a word's hash that name its place in the table of counts.
 COUNTED_BITS = 20
@@ -105,7 +105,7 @@ def places(hashed: np.ndarray) -> np.ndarray:
 
 
 def first_regions(docs: DataFrame, n: int, table: np.ndarray, percent: int, scratch: Scratch) -> DataFrame:
-    """``region, key, size, pos``: sets by each of their rarest shingles, where another set has it too.
+    """``region, key, size, pos``: sets by each of their rarest shingles, where another set has it too and may be linked.
 
     Of each set there is one shingle more than two linked sets can differ in. A task gives a set
     once however many copies it reads, so copies don't gather at a shingle.
@@ -133,11 +133,9 @@ def first_regions(docs: DataFrame, n: int, table: np.ndarray, percent: int, scra
             by_row = [pa.array(keys, pa.binary()).take(pa.array(row)), pa.array(np.array(sizes, np.int64)[row])]
             yield pa.RecordBatch.from_arrays([rare, *by_row, pa.array(place.astype(np.int32))], schema=schema)
 
-    inner = Scratch(docs.sparkSession)
-    rows = inner(shingled(docs).mapInArrow(run, "region long, key binary, size long, pos int"))
-    found = scratch(shared(rows, inner).dropDuplicates(["region", "key"]))
-    inner.drop()
-    return found
+    rows = shingled(docs).mapInArrow(run, "region long, key binary, size long, pos int")
+    found = shared(rows, F.min("size").alias("least"))
+    return scratch(found.where(not_alone(percent)).drop("least"))
 
 
 def pivots(regions: DataFrame, turn: int) -> DataFrame:
@@ -176,7 +174,6 @@ def cells(met: DataFrame, found: DataFrame, percent: int) -> DataFrame:
 def link(docs: DataFrame, n: int, sets: DataFrame, table: np.ndarray, percent: int, scratch: Scratch) -> DataFrame:
     """``key, root`` of the points linked with others, by ``percent`` of similarity or more."""
     regions = first_regions(docs, n, table, percent, scratch)
-    regions = scratch(alive(regions, percent))
     known = sets.where(F.col("key").isNotNull()).join(regions.select("key").distinct(), "key", "left_semi")
     known = scratch(known.dropDuplicates(["key"]))
     sketches = known.select("key", "sketch")

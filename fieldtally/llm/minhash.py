@@ -103,7 +103,6 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
 
 def buckets(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """``region, key`` of sets by each band in which another set agrees, and ``key, size, sketch, signature`` of these; written."""
-    inner = Scratch(rows.sparkSession)
     schema = pa.schema([("region", pa.int64()), ("key", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,9 +112,7 @@ def buckets(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array(found), batch.column("key").take(pa.array(by_row))], schema=schema)
 
     one = rows.where(F.col("signature").isNotNull()).select("key", "size", "sketch", "signature")
-    banded = inner(one.select("key", "signature").mapInArrow(run, "region long, key binary"))
-    several = scratch(shared(banded, inner).distinct())
-    inner.drop()
+    several = scratch(shared(one.select("key", "signature").mapInArrow(run, "region long, key binary")))
     scratch.sweep()
     keys = scratch(several.select("key").distinct())
     return several, scratch(one.join(at_hand(keys), "key", "left_semi").dropDuplicates(["key"]))

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from fieldtally.llm.common import texts, write_to
 from fieldtally.session import shared_folder
 
-#: Rows of at most 50 bytes that are broadcast, and hashes of sets that are; more are shuffled.
-BROADCAST_ROWS, BROADCAST_HASHES = 200_000, 2_000_000
+#: Rows of at most 50 bytes that are broadcast; more are shuffled, and so are sets, whatever their number.
+BROADCAST_ROWS = 200_000
 #: Places of a sketch.
 SKETCH = 32
 
@@ -91,44 +91,52 @@ def at_hand(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
-def shared(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of ``region, key, ...`` whose region another set has too.
+def shared(rows: DataFrame, *of_region: Column) -> DataFrame:
+    """The rows of ``region, key, ...`` whose region another set has too, each set once in a region, with aggregates of the region.
 
     Regions are told apart by the least and greatest hash of their sets, so nothing gathers at one.
-    Their number grows with the input, so they are joined by shuffle.
+    Their number grows with the input, so they are joined by shuffle, at every size. Both sides use all
+    columns and are dealt by region, so one shuffle serves them, and ``rows`` are made once.
     """
-    mark = F.xxhash64("key")
-    several = rows.groupBy("region").agg(F.min(mark).alias("x"), F.max(mark).alias("y"))
-    several = scratch(several.where(F.col("x") != F.col("y")).select("region"))
-    return rows.join(several, "region", "left_semi")
+    mark = F.xxhash64(*[c for c in rows.columns if c != "region"])
+    dealt = rows.repartition("region")
+    several = dealt.groupBy("region").agg(F.min(mark).alias("x"), F.max(mark).alias("y"), *of_region)
+    several = several.where(F.col("x") != F.col("y")).drop("x", "y")
+    return dealt.join(several.hint("merge"), "region").dropDuplicates(["region", "key"])
 
 
 def linked(percent: int) -> Column:
     return F.col("common") * 100 >= F.col("total") * percent
 
 
-def may_link(percent: int) -> Column:
+def may_link(percent: int, sketched: bool = True) -> Column:
     """Of two sets of a region, ``other_`` before the names of one's columns: what two linked sets fulfil in some region.
 
     The first shingle that two sets share, by any order, has behind it in both all others they
-    share. And the sketches of two sets differ in no more than the sets, the most that two linked
-    ones can differ in follows from their sizes.
+    share. And the sketches of two sets, if they are there, differ in no more than the sets, the most that
+    two linked ones can differ in follows from their sizes.
     """
     sizes = F.col("size") + F.col("other_size")
     enough = [(F.col(s) - F.col(p) + 1) * (100 + percent) >= percent * sizes for s, p in (("size", "pos"), ("other_size", "other_pos"))]
+    if not sketched:
+        return enough[0] & enough[1]
     apart = sum((F.abs(F.col("sketch")[i].cast("int") - F.col("other_sketch")[i].cast("int")) for i in range(SKETCH)), F.lit(0))
     return enough[0] & enough[1] & (apart * (100 + percent) <= sizes * (100 - percent))
 
 
-def alive(regions: DataFrame, percent: int) -> DataFrame:
-    """The rows of regions but for points that could be linked with none of the region, not even with one of its least size.
+def not_alone(percent: int) -> Column:
+    """Whether a point could be linked with one of the region's ``least`` size.
 
     A point whose shingles that are rarer than the region's are already more than two linked sets
     can differ in has its partners elsewhere, if any.
     """
+    return (F.col("size") - F.col("pos") + 1) * (100 + percent) >= percent * (F.col("size") + F.col("least"))
+
+
+def alive(regions: DataFrame, percent: int) -> DataFrame:
+    """The rows of regions but for points that could be linked with none of the region, not even with one of its least size."""
     least = regions.groupBy("region").agg(F.min("size").alias("least"))
-    enough = (F.col("size") - F.col("pos") + 1) * (100 + percent) >= percent * (F.col("size") + F.col("least"))
-    return regions.join(least, "region").where(enough).drop("least")
+    return regions.join(least, "region").where(not_alone(percent)).drop("least")
 
 
 def pairs_within(regions: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -136,14 +144,26 @@ def pairs_within(regions: DataFrame, sketches: DataFrame, percent: int) -> DataF
 
     ``sketches`` has ``key, sketch`` of all points.
     """
-    names = ("key", "size", "pos", "sketch", "root")
     regions = regions.select("region", "key", "size", "pos", "root").join(sketches, "key")
-    other = regions.select("region", *[F.col(c).alias(f"other_{c}") for c in names])
     met = (F.col("key") < F.col("other_key")) & (F.col("root") != F.col("other_root"))
-    pairs = regions.join(other, "region").where(met & may_link(percent))
+    pairs = regions.join(as_other(regions), "region").where(met & may_link(percent))
     return pairs.select(F.col("key").alias("a"), F.col("other_key").alias("b"))
 
 
+def pairs_with(regions: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    """``a < b`` of a point of a region and a chosen one there that may be linked and aren't of one class.
+
+    Both have ``region, key, size, pos, root``, and ``sketch`` if it is to be looked at.
+    """
+    met = (F.col("key") != F.col("other_key")) & (F.col("root") != F.col("other_root"))
+    pairs = regions.join(as_other(chosen), "region").where(met & may_link(percent, "sketch" in regions.columns))
+    return pairs.select(F.least("key", "other_key").alias("a"), F.greatest("key", "other_key").alias("b"))
+
+
+def as_other(regions: DataFrame) -> DataFrame:
+    return regions.select("region", *[F.col(c).alias(f"other_{c}") for c in regions.columns if c != "region"])
+
+
 def drawn_outside(turn: int, about: int) -> Column:
     """Whether a point of an active region is outside its largest class and among ``about`` drawn there, all if they are no more.
 
@@ -170,11 +190,10 @@ class Points:
         pairs = at_hand(pairs)
         wanted = at_hand(self.scratch(pairs.select("a").distinct()))
         a = self.scratch(self.sets.join(wanted.withColumnRenamed("a", "key"), "key", "left_semi").toDF("a", "grams_a"))
-        hashes = a.agg(F.sum(F.array_size("grams_a"))).first()[0] or 0
         b = self.sets.toDF("b", "grams_b")
         common = F.array_size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("common")
         sizes = (F.array_size("grams_a") + F.array_size("grams_b")).cast("long").alias("sizes")
-        both = b.join(pairs, "b").join(F.broadcast(a) if hashes <= BROADCAST_HASHES else a, "a")
+        both = b.join(pairs, "b").join(a.hint("merge"), "a")
         both = both.select("a", "b", common, sizes)
         return self.scratch(both.select("a", "b", "common", (F.col("sizes") - F.col("common")).alias("total")))
 

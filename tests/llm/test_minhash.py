@@ -13,6 +13,7 @@ from test_rows import changed_copies, near_copies, shingles, smallest_linked
 from fieldtally.llm import minhash
 from fieldtally.llm.common import table
 from fieldtally.llm.queries import QUERIES
+from fieldtally.llm.shingles import shared
 
 NAMES = ("doc_id", "n_shingles", "component_id")
 
@@ -70,3 +71,14 @@ def test_bands_of_equal_signatures_only():
     signatures[1, : minhash.ROWS] = signatures[0, : minhash.ROWS]
     found = minhash.bands(signatures)
     assert found[0, 0] == found[1, 0] and len(np.unique(found)) == found.size - 1
+
+
+def test_buckets_are_shuffled_once(spark):
+    """Whatever its size, a table of buckets is dealt once by region; nothing is broadcast, and copies go."""
+    rows = [(i % 50, b"%d" % (i % 120)) for i in range(600)] + [(1000 + i, b"alone") for i in range(9)] * 2
+    found = shared(spark.createDataFrame(rows, "region long, key binary"))
+    expected = {(r, k) for r, k in rows if len({k2 for r2, k2 in rows if r2 == r}) > 1}
+    assert sorted((r.region, bytes(r.key)) for r in found.collect()) == sorted(expected)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Broadcast" not in plan
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("ReusedExchange") == 1  # one of the two
