@@ -8,10 +8,12 @@ probability that it reaches the threshold; below ``MISS`` the pair is pruned. Su
 verified by their whole sets.
 
 No bucket is compared all with all but one of a few sets. In a larger one all are compared with
-some drawn as its centres; the links found make classes, and a bucket of one class is done. The
+its centre; the links found make classes, and a bucket of one class is done. The
 sets of what is left (a common passage may bring thousands of unlike texts into a bucket) are dealt
 anew by those of their shingles that are rarest among them, which keeps every pair that can be
-linked together, and compared with the centres of these smaller buckets, until none is left.
+linked together, and compared with several centres of these smaller buckets, until none is left.
+A set meets only centres of other classes that its size, the place of the bucket's shingle and
+sketches of both don't rule out, so few of the rows of a bucket with one large class are made pairs.
 """
 
 from __future__ import annotations
@@ -26,15 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm.common import texts, written
-from fieldtally.llm.shingles import Points, Scratch, at_hand, by_class, drawn_outside, keyed, pairs_within, shared, shingled, shingles, sketch
+from fieldtally.llm.shingles import Points, Scratch, at_hand, by_class, drawn_outside, keyed, pairs_with, pairs_within, shared, shingled, shingles, sketch
 
 BANDS, ROWS = 32, 4
 #: Hashes compared between two looks at the posterior, and the probability at which a pair is pruned.
 BATCH, MISS = 32, 1e-6
-#: Sets of a bucket that are compared all with all, and centres of a larger one, times ``GROWTH`` each turn.
-SMALL, CENTRES, GROWTH = 16, 4, 4
+#: Sets of a bucket that are compared all with all, and centres of a larger one from the second turn on, times ``GROWTH`` each turn.
+SMALL, CENTRES, GROWTH = 16, 64, 4
 #: Shingles hashed at once.
 AT_ONCE = 2048
+POINT = ("region", "key", "size", "pos")
 
 
 @lru_cache(maxsize=1)
@@ -155,11 +158,15 @@ def plausible(pairs: DataFrame, signatures: DataFrame, percent: int, scratch: Sc
 
 
 def centres(regions: DataFrame, turn: int) -> DataFrame:
-    """``region, centre``: of each region the set with the rarest place of its shingle, and some outside the largest class, drawn by hash."""
-    first = F.min(F.struct("pos", F.xxhash64("key"), "key"))["key"]
-    drawn = regions.where(drawn_outside(turn, CENTRES * GROWTH**turn))
-    drawn = drawn.select("region", F.col("key").alias("centre"))
-    return regions.groupBy("region").agg(first.alias("centre")).unionByName(drawn).distinct()
+    """The rows of the centres: of each region the set with the rarest place of its shingle and, after the first turn, some outside the largest class, drawn by hash.
+
+    At first every set is a class of its own, and one centre of each bucket finds most of the copies.
+    """
+    point = F.struct(*regions.columns).alias("point")
+    first = regions.groupBy("region").agg(F.min(F.struct("pos", F.xxhash64("key"), point))["point"].alias("point"))
+    if turn:
+        first = first.select("point").unionByName(regions.where(drawn_outside(turn, CENTRES * GROWTH ** (turn - 1))).select(point))
+    return first.select("point.*").dropDuplicates(["region", "key"])
 
 
 def link(docs: DataFrame, n: int, rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -173,12 +180,14 @@ def link(docs: DataFrame, n: int, rows: DataFrame, percent: int, scratch: Scratc
     regions = points.active(regions)
     while not regions.isEmpty():
         small, large = regions.where(F.col("points") <= SMALL), regions.where(F.col("points") > SMALL)
+        # the first buckets are many, and carry no sketches
+        large = scratch(large.join(sketches, "key")) if turn else large
         drawn = scratch(centres(large, turn))
-        met = large.select("region", "key").join(drawn, "region").where(F.col("key") != F.col("centre"))
-        pairs = pairs_within(small, sketches, percent).unionByName(met.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")))
+        columns = [*POINT, "root", *["sketch"][: bool(turn)]]
+        pairs = pairs_within(small, sketches, percent).unionByName(pairs_with(large.select(columns), drawn.select(columns), percent))
         pairs = scratch(pairs.distinct())
         points.merge(points.compared(plausible(pairs, signatures, percent, scratch)))
-        left = large.select("region", "key", "size", "pos").join(drawn.toDF("region", "key"), ["region", "key"], "left_anti")
+        left = large.select(*POINT).join(drawn.select("region", "key"), ["region", "key"], "left_anti")
         many = points.active(left).select("key", "size").dropDuplicates(["key"])
         turn += 1
         scratch.sweep()

@@ -13,7 +13,7 @@ from test_rows import changed_copies, near_copies, shingles, smallest_linked
 from fieldtally.llm import minhash
 from fieldtally.llm.common import table
 from fieldtally.llm.queries import QUERIES
-from fieldtally.llm.shingles import shared
+from fieldtally.llm.shingles import SKETCH, pairs_with, shared
 
 NAMES = ("doc_id", "n_shingles", "component_id")
 
@@ -73,6 +73,21 @@ def test_bands_of_equal_signatures_only():
     assert found[0, 0] == found[1, 0] and len(np.unique(found)) == found.size - 1
 
 
+def test_centres_meet_only_what_they_may_be_linked_with(spark):
+    """A bucket of one large class and some others doesn't become a pair for every centre and point."""
+    sketch = [3] * SKETCH
+    point = lambda i, size, root, apart: (1, b"%04d" % i, size, 1, root, 340, 40, apart, sketch)
+    rows = [point(i, 100, b"0000", False) for i in range(300)]
+    rows += [point(300 + i, 100 if i < 4 else 300, b"%04d" % (300 + i), True) for i in range(40)]
+    kind = "region long, key binary, size long, pos int, root binary, points long, outside long, apart boolean, sketch array<smallint>"
+    regions = spark.createDataFrame(rows, kind)
+    assert minhash.centres(regions, 0).count() == 1
+    chosen = minhash.centres(regions, 1)
+    assert chosen.where("apart").count() == 40
+    pairs = {(bytes(a), bytes(b)) for a, b in pairs_with(regions, chosen, 80).collect()}
+    assert pairs == {(a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[4] != b[4] and a[2] == b[2]}
+
+
 def test_buckets_are_shuffled_once(spark):
     """Whatever its size, a table of buckets is dealt once by region; nothing is broadcast, and copies go."""
     rows = [(i % 50, b"%d" % (i % 120)) for i in range(600)] + [(1000 + i, b"alone") for i in range(9)] * 2
