@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm.common import packed, texts, written
-from fieldtally.llm.shingles import Points, Scratch, by_class, drawn_outside, keyed, not_alone, pairs_within, runs_of, shared, shingled, sketch, word_hashes
+from fieldtally.llm.shingles import Points, Scratch, active, at_hand, by_class, drawn_outside, keyed, not_alone, pairs_with, pairs_within, runs_of, shared, shingled, sketch, word_hashes
 
 #: Bits of a word's hash that name its place in the table of counts.
 COUNTED_BITS = 20
@@ -139,27 +139,23 @@ def first_regions(docs: DataFrame, n: int, table: np.ndarray, percent: int, scra
 
 
 def pivots(regions: DataFrame, turn: int) -> DataFrame:
-    """``region, pivot, celled`` of larger regions; some pivots have cells.
+    """The rows of the pivots of larger regions, and whether they have cells, ``celled``.
 
     Of each the point with the rarest place of its shingle, and some points outside the largest
     class, drawn by hash; all of them if they are a few, and the region is done then.
     """
-    central = regions.groupBy("region").agg(F.min(F.struct("pos", F.xxhash64("key"), "key"))["key"].alias("pivot"))
-    drawn = regions.where(drawn_outside(turn, PIVOTS * GROWTH**turn))
-    drawn = drawn.select("region", F.col("key").alias("pivot"), drawn_outside(turn, CELLS).alias("celled"))
-    every = central.withColumn("celled", F.lit(True)).unionByName(drawn)
-    return every.groupBy("region", "pivot").agg(F.bool_or("celled").alias("celled"))
+    celled = F.col("central") | drawn_outside(turn, CELLS)
+    return regions.where(F.col("central") | drawn_outside(turn, PIVOTS * GROWTH**turn)).withColumn("celled", celled)
 
 
 def cells(met: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """``region, key`` of the Voronoi cells that points belong to or have in their window.
 
-    ``met`` has ``region, key, pivot, celled``, of each pivot every other point of its region, ``found`` the
-    compared pairs.
+    ``met`` has ``region, key, pivot`` of the points that are left in a region and its pivots with cells, ``a, b``
+    the same two in order, and ``found`` the compared pairs.
     """
     radius, rounding = 1 - percent / 100, 1e-9
-    ends = [F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")]
-    apart = met.where("celled").select("region", "key", "pivot", *ends).join(found, ["a", "b"])
+    apart = met.join(found, ["a", "b"])
     apart = apart.select("region", "key", F.struct((1 - F.col("common") / F.col("total")).alias("d"), "pivot").alias("to"))
     # a few, as there are pivots with cells
     by_point = apart.groupBy("region", "key").agg(F.sort_array(F.collect_list("to")).alias("to"))
@@ -177,34 +173,38 @@ def link(docs: DataFrame, n: int, sets: DataFrame, table: np.ndarray, percent: i
     known = sets.where(F.col("key").isNotNull()).join(regions.select("key").distinct(), "key", "left_semi")
     known = scratch(known.dropDuplicates(["key"]))
     sketches = known.select("key", "sketch")
-    counted = regions.groupBy("region").agg(F.count("*").alias("points")).where(F.col("points") > 1)
-    regions = regions.join(counted, "region")
-    regions = scratch(regions.withColumns({"root": F.col("key"), "outside": F.col("points"), "apart": F.lit(False)}))
+    # at first every point is a class of its own, and none outside the largest
+    regions = active(regions, None, scratch, once=True).withColumn("apart", F.lit(False))
     points, turn = None, 0
     while not regions.isEmpty():
         small, large = regions.where(F.col("points") <= SMALL), regions.where(F.col("points") > SMALL)
+        # the first regions are many, and carry no sketches
+        large = scratch(large.join(sketches, "key")) if turn else large
         drawn = scratch(pivots(large, turn))
-        met = scratch(large.select("region", "key").join(drawn, "region").where(F.col("key") != F.col("pivot")))
-        pairs = pairs_within(small, sketches, percent).unionByName(met.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")))
+        columns = [*POINT, "root", *["sketch"][: bool(turn)]]
+        pairs = pairs_within(small, sketches, percent).unionByName(pairs_with(large.select(columns), drawn.select(columns), percent))
         pairs = scratch(pairs.distinct())
         if points is None:
             keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select("key")).distinct()
             rows = known.select("key", "doc_id", "text_key").join(keys, "key", "left_semi")
             points = Points(docs, n, rows, percent, scratch)
-        found = points.compared(pairs)
-        points.merge(found)
-        left = large.select(*POINT).join(drawn.select("region", F.col("pivot").alias("key")), ["region", "key"], "left_anti")
+        points.merge(points.compared(pairs))
+        left = large.select(*POINT).join(at_hand(drawn.select("region", "key")), ["region", "key"], "left_anti")
         left = points.active(left)
         if left.isEmpty():
             break
-        inner = cells(met.join(left.select("region").distinct(), "region", "left_semi"), found, percent)
+        celled = at_hand(drawn.where("celled").select("region", F.col("key").alias("pivot")))
+        met = left.select("region", "key").join(celled, "region")
+        met = scratch(met.withColumns({"a": F.least("key", "pivot"), "b": F.greatest("key", "pivot")}))
+        inner = cells(met, points.compared(scratch(met.select("a", "b").distinct())), percent)
         left = left.select(*POINT).join(inner, ["region", "key"]).drop("region").withColumnRenamed("inner", "region")
         left = points.active(left)
-        few = left.where(F.col("points") <= SMALL).select(*POINT)
+        # places in another order than those of the regions dealt anew are not to be compared with them
+        few = left.where(F.col("points") <= SMALL).select(*POINT).withColumn("pos", F.lit(1))
         many = left.where(F.col("points") > SMALL).select("key", "size").dropDuplicates(["key"])
         turn += 1
         scratch.sweep()
-        regions = points.active(few.unionByName(points.rare_regions(many, turn)))
+        regions = points.active(few.unionByName(points.rare_regions(many, turn)), once=True)
     return written(points.classes) if points else sets.sparkSession.createDataFrame([], "key binary, root binary")
 
 

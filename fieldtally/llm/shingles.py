@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldtally.llm.common import texts, write_to
@@ -23,6 +23,8 @@ from fieldtally.session import shared_folder
 
 #: Rows of at most 50 bytes that are broadcast; more are shuffled, and so are sets, whatever their number.
 BROADCAST_ROWS = 200_000
+#: Chosen points of regions, of some 200 bytes with their sketches, that are broadcast.
+CHOSEN_ROWS = 50_000
 #: Places of a sketch.
 SKETCH = 32
 
@@ -86,9 +88,13 @@ def shingled(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
 
 
-def at_hand(rows: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it has no more than ``BROADCAST_ROWS`` rows, else joined by shuffle."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+def at_hand(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, to be broadcast if it has no more than ``most`` rows, else joined by shuffle."""
+    return F.broadcast(rows) if is_few(rows, most) else rows
+
+
+def is_few(rows: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    return rows.limit(most + 1).count() <= most
 
 
 def shared(rows: DataFrame, *of_region: Column) -> DataFrame:
@@ -135,8 +141,9 @@ def not_alone(percent: int) -> Column:
 
 def alive(regions: DataFrame, percent: int) -> DataFrame:
     """The rows of regions but for points that could be linked with none of the region, not even with one of its least size."""
-    least = regions.groupBy("region").agg(F.min("size").alias("least"))
-    return regions.join(least, "region").where(not_alone(percent)).drop("least")
+    dealt = regions.repartition("region")
+    least = dealt.groupBy("region").agg(F.min("size").alias("least"))
+    return dealt.join(least.hint("merge"), "region").where(not_alone(percent)).drop("least")
 
 
 def pairs_within(regions: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -144,7 +151,7 @@ def pairs_within(regions: DataFrame, sketches: DataFrame, percent: int) -> DataF
 
     ``sketches`` has ``key, sketch`` of all points.
     """
-    regions = regions.select("region", "key", "size", "pos", "root").join(sketches, "key")
+    regions = regions.select("region", "key", "size", "pos", "root").join(sketches, "key").repartition("region")
     met = (F.col("key") < F.col("other_key")) & (F.col("root") != F.col("other_root"))
     pairs = regions.join(as_other(regions), "region").where(met & may_link(percent))
     return pairs.select(F.col("key").alias("a"), F.col("other_key").alias("b"))
@@ -156,10 +163,23 @@ def pairs_with(regions: DataFrame, chosen: DataFrame, percent: int) -> DataFrame
     Both have ``region, key, size, pos, root``, and ``sketch`` if it is to be looked at.
     """
     met = (F.col("key") != F.col("other_key")) & (F.col("root") != F.col("other_root"))
-    pairs = regions.join(as_other(chosen), "region").where(met & may_link(percent, "sketch" in regions.columns))
+    pairs = regions.join(at_hand(as_other(chosen), CHOSEN_ROWS), "region").where(met & may_link(percent, "sketch" in regions.columns))
     return pairs.select(F.least("key", "other_key").alias("a"), F.greatest("key", "other_key").alias("b"))
 
 
+def central() -> Column:
+    """Least at the central point of a region."""
+    return F.struct("pos", F.xxhash64("key").alias("drawn"), "key")
+
+
+def with_central(regions: DataFrame) -> DataFrame:
+    """Regions with ``central``, whether a point has the rarest place of the region's shingle, as active ones come with."""
+    if "central" in regions.columns:
+        return regions
+    first = F.min(central()).over(Window.partitionBy("region"))
+    return regions.withColumn("central", first["key"] == F.col("key"))
+
+
 def as_other(regions: DataFrame) -> DataFrame:
     return regions.select("region", *[F.col(c).alias(f"other_{c}") for c in regions.columns if c != "region"])
 
@@ -173,6 +193,37 @@ def drawn_outside(turn: int, about: int) -> Column:
     return F.col("apart") & (F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(unit)) * F.col("outside") < about * unit)
 
 
+def active(regions: DataFrame, classes: DataFrame | None, scratch: Scratch, once: bool = False) -> DataFrame:
+    """The rows of regions with points of more than one class, with their ``root``; written.
+
+    Beside it the region's ``points``, how many of them are ``outside`` its largest class, and
+    ``apart`` and ``central``, whether this one is, and whether it has the rarest place of the region's shingle.
+    ``classes`` has ``key, root``; without it each point is a class.
+
+    A passage of many shingles brings the same points together as often. With ``once``, of regions of the
+    same points, told by 128 bits of their keys, only that of the first places stays: in one order of all
+    shingles its places are the least of each point, so what they rule out the others rule out too.
+    """
+    known = regions.join(at_hand(classes), "key", "left") if classes else regions.withColumn("root", F.col("key"))
+    # dealt once, for both sums and the join with them
+    known = known.withColumn("root", F.coalesce("root", "key")).repartition("region")
+    marks = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"mark_{i}") for i in range(2)]
+    sums = [F.count("*").alias("n"), F.min(central()).alias("first"), F.sum("pos").alias("places"), *marks]
+    by_class = known.groupBy("region", F.xxhash64("root").alias("mark")).agg(*sums)
+    sums = [F.sum("n").alias("points"), F.max(F.struct("n", "mark")).alias("main"), F.min("first").alias("first"), F.sum("places").alias("places")]
+    mixed = by_class.groupBy("region").agg(*sums, *[F.bit_xor(f"mark_{i}").alias(f"mark_{i}") for i in range(2)])
+    mixed = mixed.where(F.col("points") > F.col("main.n"))
+    of_region = ["region", "points", (F.col("points") - F.col("main.n")).alias("outside"), F.col("main.mark").alias("mark"), F.col("first.key").alias("first")]
+    if once:
+        one = F.min(F.struct("places", *of_region)).alias("one")
+        mixed = mixed.groupBy("points", "mark_0", "mark_1").agg(one).select("one.*").drop("places")
+    else:
+        mixed = mixed.select(*of_region)
+    found = known.join(mixed.hint("merge"), "region")
+    found = found.withColumns({"apart": F.xxhash64("root") != F.col("mark"), "central": F.col("key") == F.col("first")})
+    return scratch(found.drop("mark", "first"))
+
+
 class Points:
     """The sets that may be linked with another, and what is known of them so far.
 
@@ -183,13 +234,16 @@ class Points:
         self.percent, self.scratch = percent, scratch
         self.sets = sets_of(docs, n, scratch(places), scratch)
         #: By point that isn't the smallest of its class, the smallest.
-        self.classes = docs.sparkSession.createDataFrame([], "key binary, root binary")
+        self.classes = scratch(docs.sparkSession.createDataFrame([], "key binary, root binary"))
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """``a, b, common, total`` of written, different pairs, by their whole sets; written."""
-        pairs = at_hand(pairs)
-        wanted = at_hand(self.scratch(pairs.select("a").distinct()))
-        a = self.scratch(self.sets.join(wanted.withColumnRenamed("a", "key"), "key", "left_semi").toDF("a", "grams_a"))
+        ends = pairs.select(F.col("a").alias("key"))
+        if is_few(pairs):
+            a, pairs = self.sets.join(F.broadcast(ends), "key", "left_semi"), F.broadcast(pairs)
+        else:
+            a = self.scratch(self.sets.join(at_hand(self.scratch(ends.distinct())), "key", "left_semi"))
+        a = a.toDF("a", "grams_a")
         b = self.sets.toDF("b", "grams_b")
         common = F.array_size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("common")
         sizes = (F.array_size("grams_a") + F.array_size("grams_b")).cast("long").alias("sizes")
@@ -204,18 +258,8 @@ class Points:
         if not links.isEmpty():
             self.classes = classes(links.unionByName(self.classes.toDF("high", "low")), self.scratch)
 
-    def active(self, regions: DataFrame) -> DataFrame:
-        """The rows of regions with points of more than one class, with their ``root``; written.
-
-        Beside it the region's ``points``, how many of them are ``outside`` its largest class, and
-        ``apart``, whether this one is.
-        """
-        known = regions.join(self.classes, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        by_class = known.groupBy("region", F.xxhash64("root").alias("mark")).agg(F.count("*").alias("n"))
-        largest = by_class.groupBy("region").agg(F.sum("n").alias("points"), F.max(F.struct("n", "mark")).alias("main"))
-        mixed = largest.where(F.col("points") > F.col("main.n"))
-        mixed = mixed.select("region", "points", (F.col("points") - F.col("main.n")).alias("outside"), "main.mark")
-        return self.scratch(known.join(mixed, "region").withColumn("apart", F.xxhash64("root") != F.col("mark")).drop("mark"))
+    def active(self, regions: DataFrame, once: bool = False) -> DataFrame:
+        return active(regions, self.classes, self.scratch, once)
 
     def rare_regions(self, points: DataFrame, turn: int) -> DataFrame:
         """``region, key, size, pos``: points by those of their shingles that are rarest among these points.
@@ -223,16 +267,17 @@ class Points:
         ``points`` has ``key, size``, each point once. Of each there is one shingle more
         than two linked sets can differ in, but for those that no other point has.
         """
-        grams = points.join(self.sets, "key").select("key", "size", F.explode("grams").alias("gram"))
+        wanted = at_hand(self.scratch(points))
+        grams = self.sets.join(wanted, "key").select("key", "size", F.explode("grams").alias("gram")).repartition("gram")
         often = grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-        held = grams.join(often, "gram").groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("held"))
+        held = grams.join(often.hint("merge"), "gram").groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("held"))
         kept = F.col("size") - F.ceil(F.col("size") * self.percent / 100) + 1
         alone = F.col("size") - F.array_size("held")
         first = F.slice("held", F.lit(1), F.greatest(kept - alone, F.lit(0)).cast("int"))
         found = held.select("key", "size", alone.alias("alone"), F.posexplode(first).alias("i", "rare"))
         region = F.xxhash64("rare.gram", F.lit(turn))
         found = found.select(region.alias("region"), "key", "size", (F.col("alone") + F.col("i") + 1).cast("int").alias("pos"))
-        return alive(self.scratch(found), self.percent)
+        return alive(found, self.percent)
 
 
 def sets_of(docs: DataFrame, n: int, places: DataFrame, scratch: Scratch) -> DataFrame:
@@ -266,25 +311,25 @@ def classes(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Only smallest values are gathered, so a point with very many edges is no task of its own.
     """
     edges = scratch(edges.distinct())
-    mark = fingerprint(edges)
     while True:
+        near = F.broadcast if edges.count() <= BROADCAST_ROWS // 2 else lambda rows: rows
+        if settled(edges, near):
+            return edges.toDF("key", "root")
         both = edges.unionByName(edges.select(F.col("low").alias("high"), F.col("high").alias("low")))
         least = both.groupBy("high").agg(F.min("low").alias("least"))
         least = least.select("high", F.least("high", "least").alias("least"))
-        large = both.join(least, "high").where(F.col("low") > F.col("high")).select(F.col("low").alias("high"), F.col("least").alias("low"))
-        large = large.distinct()
+        large = both.join(near(least), "high").where(F.col("low") > F.col("high")).select(F.col("low").alias("high"), F.col("least").alias("low"))
         least = large.groupBy("high").agg(F.min("low").alias("least"))
-        small = large.join(least, "high").select("high", F.array_distinct(F.array("high", "low")).alias("ends"), "least")
+        small = large.join(near(least), "high").select("high", F.array_distinct(F.array("high", "low")).alias("ends"), "least")
         small = small.select(F.explode("ends").alias("high"), F.col("least").alias("low"))
         edges = scratch(small.where(F.col("high") != F.col("low")).distinct())
-        before, mark = mark, fingerprint(edges)
-        if mark == before:
-            return edges.toDF("key", "root")
 
 
-def fingerprint(edges: DataFrame) -> tuple:
-    """Equal for equal sets of edges, and else different but for an accident of 64 bits."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("high", "low"))).first())
+def settled(edges: DataFrame, near: Callable[[DataFrame], DataFrame]) -> bool:
+    """Whether each edge leads to a root: none has an edge itself, and no point has two."""
+    if not edges.select(F.col("low").alias("high")).join(near(edges.select("high")), "high", "left_semi").isEmpty():
+        return False
+    return edges.groupBy("high").agg(F.count("*").alias("n")).where(F.col("n") > 1).isEmpty()
 
 
 def by_class(rows: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ import __spark_entry__ as entry
 from fieldtally.llm import decontaminate, fm_index, jaccard, licenses, line_dedup, top_k, urls
 from fieldtally.llm.common import table
 from fieldtally.llm.queries import QUERIES, SQL
+from fieldtally.llm.shingles import Scratch
 
 SMALL = TESTDATA / "sf0.001"
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -157,6 +158,23 @@ def test_classes(spark, monkeypatch, n, percent, cells):
     assert sorted_rows(found, "doc_id", "n_shingles", "component_id") == sorted(smallest_linked(rows, n, percent), key=repr)
 
 
+def test_regions_of_the_same_points_are_one(spark, monkeypatch):
+    """A passage of many shingles in unlike texts brings them together once, not once for each shingle."""
+    met, write = [], Scratch.__call__
+
+    def counted(self, df):
+        out = write(self, df)
+        met.append(out.count() if {"key", "pivot"} <= set(out.columns) else 0)
+        return out
+
+    monkeypatch.setattr(Scratch, "__call__", counted)
+    draw, passage = random.Random(5), " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join([passage, *draw.choices("abcde", k=250)])) for i in range(40)]
+    found = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert sorted_rows(found, "doc_id", "n_shingles", "component_id") == sorted(smallest_linked(rows, 5, 80), key=repr)
+    assert sum(met) <= 40 * (1 + jaccard.CELLS)
+
+
 def test_class_edges(spark):
     docs = documents(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
