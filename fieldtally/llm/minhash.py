@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm.common import texts, written
-from fieldtally.llm.shingles import Points, Scratch, at_hand, by_class, drawn_outside, keyed, pairs_with, pairs_within, shared, shingled, shingles, sketch
+from fieldtally.llm.shingles import Points, Scratch, at_hand, by_class, drawn_outside, is_few, keyed, pairs_with, pairs_within, shared, shingled, shingles, sketch, with_central
 
 BANDS, ROWS = 32, 4
 #: Hashes compared between two looks at the posterior, and the probability at which a pair is pruned.
@@ -105,20 +105,22 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
 
 
 def buckets(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``region, key`` of sets by each band in which another set agrees, and ``key, size, sketch, signature`` of these; written."""
-    schema = pa.schema([("region", pa.int64()), ("key", pa.binary())])
+    """``region, key, size`` of sets by each band in which another set agrees, and of these the rows, one each; written."""
+    schema = pa.schema([("region", pa.int64()), ("key", pa.binary()), ("size", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = bands(matrix(batch.column("signature"))).ravel()
             by_row = np.repeat(np.arange(batch.num_rows), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(found), batch.column("key").take(pa.array(by_row))], schema=schema)
+            by_row = [batch.column(c).take(pa.array(by_row)) for c in ("key", "size")]
+            yield pa.RecordBatch.from_arrays([pa.array(found), *by_row], schema=schema)
 
-    one = rows.where(F.col("signature").isNotNull()).select("key", "size", "sketch", "signature")
-    several = scratch(shared(one.select("key", "signature").mapInArrow(run, "region long, key binary")))
+    one = rows.where(F.col("signature").isNotNull())
+    several = scratch(shared(one.select("key", "size", "signature").mapInArrow(run, "region long, key binary, size long")))
     scratch.sweep()
-    keys = scratch(several.select("key").distinct())
-    return several, scratch(one.join(at_hand(keys), "key", "left_semi").dropDuplicates(["key"]))
+    keys = several.select("key")
+    keys = F.broadcast(keys) if is_few(several) else at_hand(scratch(keys.distinct()))
+    return several, scratch(one.join(keys, "key", "left_semi").dropDuplicates(["key"]))
 
 
 def least_agreements(percent: int) -> list[int]:
@@ -162,22 +164,19 @@ def centres(regions: DataFrame, turn: int) -> DataFrame:
 
     At first every set is a class of its own, and one centre of each bucket finds most of the copies.
     """
-    point = F.struct(*regions.columns).alias("point")
-    first = regions.groupBy("region").agg(F.min(F.struct("pos", F.xxhash64("key"), point))["point"].alias("point"))
+    chosen = F.col("central")
     if turn:
-        first = first.select("point").unionByName(regions.where(drawn_outside(turn, CENTRES * GROWTH ** (turn - 1))).select(point))
-    return first.select("point.*").dropDuplicates(["region", "key"])
+        chosen |= drawn_outside(turn, CENTRES * GROWTH ** (turn - 1))
+    return with_central(regions).where(chosen)
 
 
 def link(docs: DataFrame, n: int, rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """``key, root`` of the sets linked with others, by ``percent`` of similarity or more; written."""
     regions, known = buckets(rows, scratch)
     signatures = known.select("key", "signature")
-    places = rows.select("key", "doc_id", "text_key").join(at_hand(known.select("key")), "key", "left_semi").dropDuplicates(["key"])
-    points, turn = Points(docs, n, places, percent, scratch), 0
+    points, turn = Points(docs, n, known.select("key", "doc_id", "text_key"), percent, scratch), 0
     sketches = known.select("key", "sketch")
-    regions = regions.join(known.select("key", "size"), "key").select("region", "key", "size", F.lit(1).alias("pos"))
-    regions = points.active(regions)
+    regions = points.active(regions.withColumn("pos", F.lit(1)))
     while not regions.isEmpty():
         small, large = regions.where(F.col("points") <= SMALL), regions.where(F.col("points") > SMALL)
         # the first buckets are many, and carry no sketches
@@ -187,7 +186,7 @@ def link(docs: DataFrame, n: int, rows: DataFrame, percent: int, scratch: Scratc
         pairs = pairs_within(small, sketches, percent).unionByName(pairs_with(large.select(columns), drawn.select(columns), percent))
         pairs = scratch(pairs.distinct())
         points.merge(points.compared(plausible(pairs, signatures, percent, scratch)))
-        left = large.select(*POINT).join(drawn.select("region", "key"), ["region", "key"], "left_anti")
+        left = large.select(*POINT).join(at_hand(drawn.select("region", "key")), ["region", "key"], "left_anti")
         many = points.active(left).select("key", "size").dropDuplicates(["key"])
         turn += 1
         scratch.sweep()

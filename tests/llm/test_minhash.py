@@ -13,7 +13,7 @@ from test_rows import changed_copies, near_copies, shingles, smallest_linked
 from fieldtally.llm import minhash
 from fieldtally.llm.common import table
 from fieldtally.llm.queries import QUERIES
-from fieldtally.llm.shingles import SKETCH, pairs_with, shared
+from fieldtally.llm.shingles import SKETCH, Points, pairs_with, shared
 
 NAMES = ("doc_id", "n_shingles", "component_id")
 
@@ -97,3 +97,19 @@ def test_buckets_are_shuffled_once(spark):
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "Broadcast" not in plan
     assert plan.count("Exchange hashpartitioning") == 2 and plan.count("ReusedExchange") == 1  # one of the two
+
+
+def test_active_regions_are_dealt_once(spark):
+    """Both sums over a region and the join with them need one shuffle, and known classes none."""
+    rows = sorted({(i % 20, b"%03d" % (i % 90), 100, 1) for i in range(180)})
+    frames = []
+    points = Points.__new__(Points)
+    points.scratch = lambda df: frames.append(df) or df
+    points.classes = spark.createDataFrame([(b"%03d" % i, b"000") for i in range(0, 90, 10)], "key binary, root binary")
+    found = points.active(spark.createDataFrame(rows, "region long, key binary, size long, pos int").localCheckpoint())
+    held = {r: {k for r2, k, _, _ in rows if r2 == r} for r, _, _, _ in rows}
+    mixed = {r: ks for r, ks in held.items() if not all(int(k) % 10 == 0 for k in ks)}
+    assert sorted((r.region, bytes(r.key)) for r in found.collect()) == sorted((r, k) for r, ks in mixed.items() for k in ks)
+    plan = frames[0]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning(region") - plan.count("ReusedExchange") <= 1
+    assert "Exchange hashpartitioning(key" not in plan
