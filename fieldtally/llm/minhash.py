@@ -105,18 +105,17 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
 
 
 def buckets(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``region, key, size`` of sets by each band in which another set agrees, and of these the rows, one each; written."""
-    schema = pa.schema([("region", pa.int64()), ("key", pa.binary()), ("size", pa.int64())])
+    """``region, key`` of sets by each band in which another set agrees, and of these the rows, one each; written."""
+    schema = pa.schema([("region", pa.int64()), ("key", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = bands(matrix(batch.column("signature"))).ravel()
             by_row = np.repeat(np.arange(batch.num_rows), BANDS)
-            by_row = [batch.column(c).take(pa.array(by_row)) for c in ("key", "size")]
-            yield pa.RecordBatch.from_arrays([pa.array(found), *by_row], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(found), batch.column("key").take(pa.array(by_row))], schema=schema)
 
     one = rows.where(F.col("signature").isNotNull())
-    several = scratch(shared(one.select("key", "size", "signature").mapInArrow(run, "region long, key binary, size long")))
+    several = scratch(shared(one.select("key", "signature").mapInArrow(run, "region long, key binary")))
     scratch.sweep()
     keys = several.select("key")
     keys = F.broadcast(keys) if is_few(several) else at_hand(scratch(keys.distinct()))
@@ -176,7 +175,8 @@ def link(docs: DataFrame, n: int, rows: DataFrame, percent: int, scratch: Scratc
     signatures = known.select("key", "signature")
     points, turn = Points(docs, n, known.select("key", "doc_id", "text_key"), percent, scratch), 0
     sketches = known.select("key", "sketch")
-    regions = points.active(regions.withColumn("pos", F.lit(1)))
+    regions = regions.join(at_hand(known.select("key", "size")), "key").select("region", "key", "size", F.lit(1).alias("pos"))
+    regions = points.active(regions)
     while not regions.isEmpty():
         small, large = regions.where(F.col("points") <= SMALL), regions.where(F.col("points") > SMALL)
         # the first buckets are many, and carry no sketches
