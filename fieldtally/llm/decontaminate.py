@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -136,24 +136,28 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*kept, raw[at:]]).decode("utf-8", "replace")
 
 
-def blocks(benchmark: DataFrame, window: int) -> Iterator[Phrases]:
-    """Phrases of the benchmark, in blocks of about ``BLOCK`` characters, so that none grows with the table."""
+def blocks(benchmark: DataFrame, window: int) -> Iterator[tuple[Phrases, bool]]:
+    """Phrases of the benchmark, in blocks of about ``BLOCK`` characters, so that none grows with the table, and whether it is the last."""
     known = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("words"))
     known = known.where(F.col("item").isNotNull() & F.col("words").isNotNull())
     size = known.agg(F.sum(F.length("words"))).first()[0] or 0
-    n = -(-size // BLOCK)
+    n = max(1, -(-size // BLOCK))
     for i in range(n):
         part = known.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == i)
-        yield Phrases.of([(r[0], r[1]) for r in part.distinct().collect()], window)
+        yield Phrases.of([(r[0], r[1]) for r in part.distinct().collect()], window), i == n - 1
 
 
-def scan(df: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """``df``, which has ``text``, with ``n_words, spans, items`` added, block after block of the benchmark."""
+def scan(df: DataFrame, benchmark: DataFrame, window: int, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, kind: T.StructType | None = None) -> DataFrame:
+    """``df``, which has ``text``, with ``n_words, spans, items`` added, block after block of the benchmark.
+
+    With ``finish``, what it makes of such batches, rows of ``kind``. It is called where the last block is searched for: a
+    Python function after that would take another worker for each core, and an executor keeps these for what follows.
+    """
     context = df.sparkSession.sparkContext
     out = df.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPANS), "items": F.array().cast("array<string>")})
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
 
-    def pass_over(shared) -> callable:
+    def pass_over(shared, finish) -> callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = 0
@@ -170,17 +174,16 @@ def scan(df: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
                         "items": pa.array(items, pa.list_(pa.string())),
                     }
                     columns = [new.get(name, part.column(i)) for i, name in enumerate(part.schema.names)]
-                    yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+                    found = pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+                    yield finish(found) if finish else found
 
         return run
 
-    passes = 0
-    for phrases in blocks(benchmark, window):  # the driver holds one block at a time, and so does a task
-        if passes:
-            out = written(out)
-        out = out.mapInArrow(pass_over(context.broadcast(phrases)), schema)
-        passes += 1
-    return out if passes else out.mapInArrow(pass_over(context.broadcast(Phrases.of([], window))), schema)
+    for phrases, last in blocks(benchmark, window):  # the driver holds one block at a time, and so does a task
+        shared = context.broadcast(phrases)
+        if last:
+            return out.mapInArrow(pass_over(shared, finish), kind if finish else schema)
+        out = written(out.mapInArrow(pass_over(shared, None), schema))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -209,12 +212,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column("spans").to_pylist()
-            new = [without(t, [(s["first"], s["last"]) for s in x]) if x else t for t, x in zip(texts(batch), spans)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string())], names=["row", "text"])
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans = batch.column("spans").to_pylist()
+        new = [without(t, [(s["first"], s["last"]) for s in x]) if x else t for t, x in zip(texts(batch), spans)]
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string())], names=["row", "text"])
 
-    found = scan(packed, benchmark, window)
-    out = found.select("row", "text", "spans").mapInArrow(cut, packed.schema)
+    out = scan(packed, benchmark, window, cut, packed.schema)
     return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

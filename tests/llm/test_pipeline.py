@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
-from fieldtally.llm import line_dedup, quality
+from fieldtally.llm import decontaminate, line_dedup, quality
 from fieldtally.llm.common import BATCH_ROWS, table, written
 from fieldtally.llm.queries import QUERIES
 
@@ -142,3 +142,16 @@ def test_quality_works_on_few_texts_at_once(spark, monkeypatch):
     scores = quality.score_batches(spark, model)(pa.record_batch({"text": texts}))
     assert len(scores) == 300 and max(seen) <= 64
     assert sum(x.nbytes for x in quality.run_buckets()) < 5 << 20
+
+
+def test_a_task_takes_one_worker_of_python(spark, monkeypatch):
+    """An executor keeps its Python workers for the next stages, and each takes up what these need."""
+    docs = spark.createDataFrame([(i, "some words of a benchmark item stand in a text " * i) for i in range(4)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([("a", "words of a benchmark item"), ("b", "stand in"), ("c", "nowhere")], "item_id string, text string")
+    whole = sorted_rows(decontaminate.decontaminate(docs, benchmark), "*")
+    assert [t for _, t in whole][1] != "some words of a benchmark item stand in a text "
+    for block in (decontaminate.BLOCK, 12):
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        found = decontaminate.decontaminate(docs, benchmark)
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        assert sorted_rows(found, "*") == whole
