@@ -29,14 +29,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm.common import packed, texts, written
-from fieldtally.llm.shingles import Points, Scratch, active, at_hand, by_class, drawn_outside, keyed, not_alone, pairs_with, pairs_within, runs_of, shared, shingled, sketch, word_hashes
+from fieldtally.llm.shingles import Points, Scratch, active, at_hand, by_class, drawn_outside, keyed, marked, marks, not_alone, pairs_with, pairs_within, runs_of, shared, shingled, sketch, word_hashes
 
 #: Bits of a word's hash that name its place in the table of counts.
 COUNTED_BITS = 20
+#: Bits of a shingle's hash that are counted, of them those that name its slice, and those of its place among the shared ones.
+PREFIX_BITS, SLICE_BITS, SHARED_BITS = 40, 10, 27
+#: Shingles a task holds before it gives them on.
+HELD = 2_000_000
 #: Points of a region that is compared pair by pair, and pivots of a larger one, times ``GROWTH`` each turn.
 SMALL, PIVOTS, GROWTH = 16, 4, 4
 #: About how many pivots of a region have cells; the others are compared alone.
@@ -104,36 +108,105 @@ def places(hashed: np.ndarray) -> np.ndarray:
     return (hashed >> np.uint64(64 - COUNTED_BITS)).astype(np.int64)
 
 
-def first_regions(docs: DataFrame, n: int, table: np.ndarray, percent: int, scratch: Scratch) -> DataFrame:
+def slices(held: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """The prefixes of hashes by slice, in order, as differences whose bytes stand by their place, so that they compress."""
+    low = PREFIX_BITS - SLICE_BITS
+    found = np.sort(np.concatenate([np.zeros(0, np.uint64), *held]) >> np.uint64(64 - PREFIX_BITS))
+    ends = np.searchsorted(found, np.arange((1 << SLICE_BITS) + 1, dtype=np.uint64) << np.uint64(low))
+    for i in np.flatnonzero(np.diff(ends)):
+        own = (found[ends[i] : ends[i + 1]] & np.uint64((1 << low) - 1)).astype("<u4")
+        yield int(i), np.diff(own, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unsliced(held: bytes) -> np.ndarray:
+    apart = np.frombuffer(held, np.uint8).reshape(4, -1).T
+    return np.cumsum(np.ascontiguousarray(apart).view("<u4")[:, 0], dtype=np.uint64)
+
+
+def shared_shingles(rows: DataFrame, n: int, common, percent: int, scratch: Scratch) -> np.ndarray:
+    """A table of bits of fixed size, set at the places of all rarest shingles that more than one set has, and of a few others.
+
+    Only prefixes of hashes are shuffled, of some 3 bytes each, where rows of a region have ten times as many.
+    A task gives a set once; copies that several tasks read make their shingles look shared, which leaves none out.
+    """
+    schema = pa.schema([("slice", pa.int32()), ("held", pa.binary())])
+    low, narrow = PREFIX_BITS - SLICE_BITS, PREFIX_BITS - SHARED_BITS
+
+    def batch_of(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(schema.types)], schema=schema)
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen, held, size = common.value, set(), [], 0
+        for batch in batches:
+            for text in texts(batch):
+                own, rare = rarest(text, n, counts, percent)
+                key = keyed(own)
+                if len(own) and key not in seen:
+                    seen.add(key)
+                    held.append(rare.view(np.uint64))
+                    size += len(rare)
+            if size > HELD:
+                yield batch_of(list(slices(held)))
+                held, size = [], 0
+        yield batch_of(list(slices(held)))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_slice: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for i, held in zip(batch.column("slice").to_pylist(), batch.column("held").to_pylist()):
+                by_slice.setdefault(i, []).append(held)
+        for i in list(by_slice):
+            own = np.sort(np.concatenate([unsliced(x) for x in by_slice.pop(i)]))
+            bits = np.zeros(1 << (low - narrow), np.uint8)
+            bits[own[1:][own[1:] == own[:-1]] >> np.uint64(narrow)] = 1
+            yield batch_of([(i, np.packbits(bits, bitorder="little").tobytes())])
+
+    kind = "slice int, held binary"
+    dealt = rows.mapInArrow(give, kind).repartition("slice")
+    found = scratch(dealt.mapInArrow(meet, kind)).toArrow()
+    table = np.zeros((1 << SLICE_BITS, 1 << (low - narrow - 3)), np.uint8)
+    for i, bits in zip(found["slice"].to_pylist(), found["held"].to_pylist()):
+        table[i] = np.frombuffer(bits, np.uint8)
+    return table.reshape(-1)
+
+
+def first_regions(docs: DataFrame, wanted: DataFrame, n: int, table: np.ndarray, percent: int, scratch: Scratch) -> DataFrame:
     """``region, key, size, pos``: sets by each of their rarest shingles, where another set has it too and may be linked.
 
-    Of each set there is one shingle more than two linked sets can differ in. A task gives a set
-    once however many copies it reads, so copies don't gather at a shingle.
+    Of each set there is one shingle more than two linked sets can differ in; those that no other
+    set has, most of them, are told by a pass before and make no rows. ``wanted`` marks a row of each
+    set, and a task gives a set once however many copies it reads, so copies don't gather at a shingle.
     """
-    common = docs.sparkSession.sparkContext.broadcast(table)
+    context = docs.sparkSession.sparkContext
+    common = context.broadcast(table)
+    chosen = marked(shingled(docs), wanted, "doc_id", "text_key").where("maybe").drop("maybe")
+    met = context.broadcast(shared_shingles(chosen, n, common, percent, scratch))
+    scratch.sweep()
     schema = pa.schema([("region", pa.int64()), ("key", pa.binary()), ("size", pa.int64()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = common.value, set()
+        counts, bits, seen = common.value, met.value, set()
         for batch in batches:
-            found, keys, sizes = [], [], []
+            found, pos, keys, sizes = [], [], [], []
             for text in texts(batch):
                 own, rare = rarest(text, n, counts, percent)
                 key = keyed(own)
                 if not len(own) or key in seen:
                     continue
                 seen.add(key)
-                found.append(rare)
+                place = rare.view(np.uint64) >> np.uint64(64 - SHARED_BITS)
+                (kept,) = np.nonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                found.append(rare[kept])
+                pos.append(kept + 1)
                 keys.append(key)
                 sizes.append(len(own))
-            times = np.array([len(x) for x in found], np.int64)
-            row = np.repeat(np.arange(len(found)), times)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + 1
+            row = np.repeat(np.arange(len(found)), [len(x) for x in found])
             rare = pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))
+            place = np.concatenate([*pos, np.zeros(0, np.int64)]).astype(np.int32)
             by_row = [pa.array(keys, pa.binary()).take(pa.array(row)), pa.array(np.array(sizes, np.int64)[row])]
-            yield pa.RecordBatch.from_arrays([rare, *by_row, pa.array(place.astype(np.int32))], schema=schema)
+            yield pa.RecordBatch.from_arrays([rare, *by_row, pa.array(place)], schema=schema)
 
-    rows = shingled(docs).mapInArrow(run, "region long, key binary, size long, pos int")
+    rows = chosen.mapInArrow(run, "region long, key binary, size long, pos int")
     found = shared(rows, F.min("size").alias("least"))
     return scratch(found.where(not_alone(percent)).drop("least"))
 
@@ -169,7 +242,10 @@ def cells(met: DataFrame, found: DataFrame, percent: int) -> DataFrame:
 
 def link(docs: DataFrame, n: int, sets: DataFrame, table: np.ndarray, percent: int, scratch: Scratch) -> DataFrame:
     """``key, root`` of the points linked with others, by ``percent`` of similarity or more."""
-    regions = first_regions(docs, n, table, percent, scratch)
+    # of copies one row is read, and a few others
+    row = F.min(F.struct("doc_id", "text_key")).alias("row")
+    rows = scratch(marks(sets.where(F.col("key").isNotNull()).groupBy("key").agg(row).select("row.*"), "doc_id", "text_key"))
+    regions = first_regions(docs, rows, n, table, percent, scratch)
     known = sets.where(F.col("key").isNotNull()).join(regions.select("key").distinct(), "key", "left_semi")
     known = scratch(known.dropDuplicates(["key"]))
     sketches = known.select("key", "sketch")
@@ -188,11 +264,13 @@ def link(docs: DataFrame, n: int, sets: DataFrame, table: np.ndarray, percent: i
             keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(large.select("key")).distinct()
             rows = known.select("key", "doc_id", "text_key").join(keys, "key", "left_semi")
             points = Points(docs, n, rows, percent, scratch)
+            scratch.sweep()
         points.merge(points.compared(pairs))
         left = large.select(*POINT).join(at_hand(drawn.select("region", "key")), ["region", "key"], "left_anti")
         left = points.active(left)
         if left.isEmpty():
             break
+        scratch.sweep()
         celled = at_hand(drawn.where("celled").select("region", F.col("key").alias("pivot")))
         met = left.select("region", "key").join(celled, "region")
         met = scratch(met.withColumns({"a": F.least("key", "pivot"), "b": F.greatest("key", "pivot")}))
@@ -205,6 +283,7 @@ def link(docs: DataFrame, n: int, sets: DataFrame, table: np.ndarray, percent: i
         turn += 1
         scratch.sweep()
         regions = points.active(few.unionByName(points.rare_regions(many, turn)), once=True)
+        scratch.clear(regions, known, points.sets, points.classes)
     return written(points.classes) if points else sets.sparkSession.createDataFrame([], "key binary, root binary")
 
 
@@ -224,7 +303,7 @@ def classified(docs: DataFrame, n: int, percent: int) -> DataFrame:
 def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every whole text, linked at ``percent`` or more.
 
-    ``docs`` is read three times, so it should be a table; shingles aren't kept, since they are
+    ``docs`` is read four times, so it should be a table; shingles aren't kept, since they are
     larger than the texts.
 
     A text's set is of the different runs of ``n`` words, or of the one run of all if there are
@@ -245,16 +324,24 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     repeated whole, one. Rows without words are in no class and all stay. Classes as in
     :func:`components`.
     """
-    rows = classified(docs, n, percent)
+    rows = written(classified(docs, n, percent).drop("size"))
     known = rows.where(F.col("root").isNotNull())
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
     by_set = known.groupBy("root", "key").agg(F.min(order).alias("first"))
     chosen = by_set.groupBy("root").agg(F.min("first").alias("first"))
-    chosen = chosen.select(F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("own"))
+    chosen = written(chosen.select(F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("own")))
+
+    def same(of: DataFrame) -> Column:
+        return reduce(lambda a, b: a & b, [of[c].eqNullSafe(chosen[c]) for c in ("id", "own")])
+
+    # texts are only shuffled where a row like theirs goes, and of a few others
+    times = known.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("own")).agg(F.count("*").alias("n"))
+    gone = times.where(F.col("n") > 1).drop("n").unionByName(times.drop("n").join(chosen, same(times), "left_anti"))
     text = F.col("row.text").cast("string")
     given = docs.select(packed(docs)).withColumns({"id": F.col("row.doc_id").cast("long"), "own": F.unhex(F.md5(text))})
     worded = F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    same = reduce(lambda a, b: a & b, [given[c].eqNullSafe(chosen[c]) for c in ("id", "own")])
-    kept = given.where(worded).join(chosen, same, "left_semi").dropDuplicates(["id", "own"])
-    kept = kept.select("row").unionByName(given.where(~worded).select("row"))
+    given = marked(given.withColumn("worded", worded), written(marks(gone, "id", "own")), "id", "own")
+    doubted = given.where(F.col("worded") & F.col("maybe"))
+    kept = doubted.join(chosen, same(doubted), "left_semi").dropDuplicates(["id", "own"])
+    kept = kept.select("row").unionByName(given.where(~(F.col("worded") & F.col("maybe"))).select("row"))
     return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -25,6 +25,8 @@ from fieldtally.session import shared_folder
 BROADCAST_ROWS = 200_000
 #: Chosen points of regions, of some 200 bytes with their sketches, that are broadcast.
 CHOSEN_ROWS = 50_000
+#: Bits of a row's place in the table of marks, which is broadcast at every size: 2^19 rows at most.
+MARKED_BITS = 25
 #: Places of a sketch.
 SKETCH = 32
 
@@ -33,11 +35,20 @@ class Scratch:
     """Tables written to the shared folder, also for after the loss of an executor; dropped together."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.number = spark, count()
+        self.spark, self.number, self.made = spark, count(), []
         self.folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        return write_to(df, f"{self.folder}/{next(self.number)}")
+        self.made.append(next(self.number))
+        return write_to(df, f"{self.folder}/{self.made[-1]}")
+
+    def clear(self, *kept: DataFrame) -> None:
+        """Removes the tables made so far but those the given frames are read from, and what `sweep` does."""
+        used = {f.rsplit("/", 2)[-2] for frame in kept for f in frame.inputFiles()}
+        gone, self.made = [i for i in self.made if str(i) not in used], [i for i in self.made if str(i) in used]
+        for i in gone:
+            self._delete(f"{self.folder}/{i}")
+        self.sweep()
 
     def sweep(self) -> None:
         """Has Spark remove the shuffle files of frames that are no longer used; it does when the driver collects garbage."""
@@ -46,7 +57,11 @@ class Scratch:
 
     def drop(self) -> None:
         """Removes them all; nothing may read them any more."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        self._delete(self.folder)
+        self.sweep()
+
+    def _delete(self, path: str) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
@@ -97,6 +112,28 @@ def is_few(rows: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     return rows.limit(most + 1).count() <= most
 
 
+def marks(rows: DataFrame, *columns: str) -> DataFrame:
+    """``word, bits``: a bit at the place of each row's hash, in a table of fixed size, to be written."""
+    place = _place(*columns)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place["bit"])
+    return rows.select(place["word"].alias("word"), bit.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def marked(rows: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """The rows with ``maybe``, whether their place is marked: those whose hash is, and a few others. No row is shuffled."""
+    place = _place(*columns)
+    found = rows.withColumn("place", F.struct(place["word"].alias("word"), place["bit"].alias("bit")))
+    table = F.broadcast(table.toDF("word_marked", "bits_marked"))
+    found = found.join(table, F.col("place.word") == F.col("word_marked"), "left")
+    maybe = F.coalesce(F.getbit("bits_marked", F.col("place.bit")) == 1, F.lit(False))
+    return found.select(*rows.columns, maybe.alias("maybe"))
+
+
+def _place(*columns: str) -> dict[str, Column]:
+    place = F.pmod(F.xxhash64(*columns), F.lit(1 << MARKED_BITS))
+    return {"word": F.shiftright(place, 6), "bit": place.bitwiseAND(F.lit(63)).cast("int")}
+
+
 def shared(rows: DataFrame, *of_region: Column) -> DataFrame:
     """The rows of ``region, key, ...`` whose region another set has too, each set once in a region, with aggregates of the region.
 
@@ -240,17 +277,20 @@ class Points:
         """``a, b, common, total`` of written, different pairs, by their whole sets; written."""
         ends = pairs.select(F.col("a").alias("key"))
         if is_few(pairs):
-            a, pairs = self.sets.join(F.broadcast(ends), "key", "left_semi"), F.broadcast(pairs)
+            a, b, pairs = self.sets.join(F.broadcast(ends), "key", "left_semi"), self.sets, F.broadcast(pairs)
         else:
-            a = self.scratch(self.sets.join(at_hand(self.scratch(ends.distinct())), "key", "left_semi"))
-        a = a.toDF("a", "grams_a")
-        b = self.sets.toDF("b", "grams_b")
+            a, b = self._among(ends), self._among(pairs.select(F.col("b").alias("key")))
+        a, b = a.toDF("a", "grams_a"), b.toDF("b", "grams_b")
         common = F.array_size(F.array_intersect("grams_a", "grams_b")).cast("long").alias("common")
         sizes = (F.array_size("grams_a") + F.array_size("grams_b")).cast("long").alias("sizes")
         both = b.join(pairs, "b").join(a.hint("merge"), "a")
         both = both.select("a", "b", common, sizes)
         return self.scratch(both.select("a", "b", "common", (F.col("sizes") - F.col("common")).alias("total")))
 
+    def _among(self, keys: DataFrame) -> DataFrame:
+        """The sets of the keys, and a few others; the others are not shuffled."""
+        return marked(self.sets, self.scratch(marks(keys, "key")), "key").where("maybe").drop("maybe")
+
     def merge(self, compared: DataFrame) -> None:
         """Makes one class of the classes that are linked."""
         links = compared.where(linked(self.percent))
@@ -269,7 +309,10 @@ class Points:
         """
         wanted = at_hand(self.scratch(points))
         grams = self.sets.join(wanted, "key").select("key", "size", F.explode("grams").alias("gram")).repartition("gram")
-        often = grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+        # by all columns, so that one shuffle serves both sides of the join
+        mark = F.xxhash64("key", "size")
+        often = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min(mark).alias("x"), F.max(mark).alias("y"))
+        often = often.where(F.col("x") != F.col("y")).drop("x", "y")
         held = grams.join(often.hint("merge"), "gram").groupBy("key", "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("held"))
         kept = F.col("size") - F.ceil(F.col("size") * self.percent / 100) + 1
         alone = F.col("size") - F.array_size("held")
@@ -281,7 +324,7 @@ class Points:
 
 
 def sets_of(docs: DataFrame, n: int, places: DataFrame, scratch: Scratch) -> DataFrame:
-    """``key, grams`` of the sets of the texts at the given places, each once; written."""
+    """``key, grams`` of the sets of the texts at the given places, and of a few others, each once; written."""
     schema = pa.schema([("key", pa.binary()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,10 +340,9 @@ def sets_of(docs: DataFrame, n: int, places: DataFrame, scratch: Scratch) -> Dat
             grams = pa.ListArray.from_arrays(offsets, np.concatenate([*found.values(), np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), grams], schema=schema)
 
-    place = at_hand(places.select(F.col("doc_id").alias("id"), F.col("text_key").alias("own")))
-    rows = shingled(docs)
-    wanted = rows.join(place, rows.doc_id.eqNullSafe(place.id) & (rows.text_key == place.own), "left_semi")
-    return scratch(wanted.mapInArrow(run, "key binary, grams array<long>").dropDuplicates(["key"]))
+    # texts are not shuffled: those of a few other rows do no harm, as sets are asked for by key
+    wanted = marked(shingled(docs), scratch(marks(places, "doc_id", "text_key")), "doc_id", "text_key").where("maybe")
+    return scratch(wanted.select("text").mapInArrow(run, "key binary, grams array<long>").dropDuplicates(["key"]))
 
 
 def classes(edges: DataFrame, scratch: Scratch) -> DataFrame:

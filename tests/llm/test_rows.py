@@ -15,7 +15,7 @@ import __spark_entry__ as entry
 from fieldtally.llm import decontaminate, fm_index, jaccard, licenses, line_dedup, top_k, urls
 from fieldtally.llm.common import table
 from fieldtally.llm.queries import QUERIES, SQL
-from fieldtally.llm.shingles import Scratch
+from fieldtally.llm.shingles import Scratch, marked, marks
 
 SMALL = TESTDATA / "sf0.001"
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -175,6 +175,53 @@ def test_regions_of_the_same_points_are_one(spark, monkeypatch):
     assert sum(met) <= 40 * (1 + jaccard.CELLS)
 
 
+def far_texts(n: int) -> list[str]:
+    """Texts without a word in common, but for the last two, of which one has a word more."""
+    found = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(n - 1)]
+    return [*found, found[-1] + " more"]
+
+
+def test_only_shingles_that_sets_share_are_shuffled(spark, monkeypatch):
+    given, shared = [], jaccard.shared
+    monkeypatch.setattr(jaccard, "shared", lambda rows, *more: given.append(rows.count()) or shared(rows, *more))
+    texts = far_texts(30)
+    found = jaccard.components(spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string"), 5, 80)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: i for i in range(31)} | {29: 28, 30: 0}
+    assert 2 <= given[0] <= 40
+
+
+def test_only_texts_in_doubt_are_shuffled(spark, monkeypatch):
+    doubted, marked_of = [], jaccard.marked
+
+    def counted(rows, *more):
+        found = marked_of(rows, *more)
+        if "worded" in rows.columns:
+            doubted.append(found.where("worded and maybe").count())
+        return found
+
+    monkeypatch.setattr(jaccard, "marked", counted)
+    rows = list(enumerate(far_texts(30)))
+    kept = jaccard.one_of_each(spark.createDataFrame([*rows, rows[3], (31, None), (31, None)], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(29), 31, 31]
+    # the text that goes, the one that stands twice, and hardly another
+    assert 3 <= doubted[0] <= 5
+
+
+@pytest.mark.parametrize("n", [0, 1, 700])
+def test_hashes_in_slices(n):
+    held = np.random.default_rng(n).integers(0, 1 << 63, n, np.int64).view(np.uint64)
+    found = [np.uint64(i << 30) | jaccard.unsliced(x) for i, x in jaccard.slices([held, held])]
+    expected = np.sort(np.concatenate([held, held]) >> np.uint64(24))
+    assert np.array_equal(np.concatenate([*found, np.zeros(0, np.uint64)]), expected)
+
+
+def test_marks_leave_out_none(spark):
+    rows = spark.createDataFrame([(i if i % 9 else None, str(i)) for i in range(500)], "a long, b string")
+    table = marks(rows.where("cast(b as int) % 5 = 0"), "a", "b")
+    found = {int(r.b) for r in marked(rows, table, "a", "b").where("maybe").collect()}
+    assert found >= set(range(0, 500, 5)) and len(found) < 110
+
+
 def test_class_edges(spark):
     docs = documents(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
