@@ -38,9 +38,9 @@ from fieldtally.llm.shingles import Points, Scratch, active, at_hand, by_class,
 #: Bits of a word's hash that name its place in the table of counts.
 COUNTED_BITS = 20
 #: Bits of a shingle's hash that are counted, of them those that name its slice, and those of its place among the shared ones.
-PREFIX_BITS, SLICE_BITS, SHARED_BITS = 40, 10, 27
+PREFIX_BITS, SLICE_BITS, SHARED_BITS = 40, 10, 26
 #: Shingles a task holds before it gives them on.
-HELD = 2_000_000
+HELD = 500_000
 #: Points of a region that is compared pair by pair, and pivots of a larger one, times ``GROWTH`` each turn.
 SMALL, PIVOTS, GROWTH = 16, 4, 4
 #: About how many pivots of a region have cells; the others are compared alone.

@@ -25,8 +25,8 @@ from fieldtally.session import shared_folder
 BROADCAST_ROWS = 200_000
 #: Chosen points of regions, of some 200 bytes with their sketches, that are broadcast.
 CHOSEN_ROWS = 50_000
-#: Bits of a row's place in the table of marks, which is broadcast at every size: 2^19 rows at most.
-MARKED_BITS = 25
+#: Bits of a row's place in the table of marks, which is broadcast at every size: 2^18 rows at most.
+MARKED_BITS = 24
 #: Places of a sketch.
 SKETCH = 32
 
