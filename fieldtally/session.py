@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,19 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def listed(spark: SparkSession, read: Callable[[], DataFrame]) -> DataFrame:
+    """What ``read`` reads, its folders listed by a few tasks a core: one for each of very many folders costs more than the listing."""
+    before = int(spark.conf.get(LISTING))
+    spark.conf.set(LISTING, max(1, min(before, 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        return read()
+    finally:
+        spark.conf.set(LISTING, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a small aggregated frame to the shared folder, so that no later step rescans."""
     folder = shared_folder(df.sparkSession)

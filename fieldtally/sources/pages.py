@@ -1,10 +1,11 @@
 """Payload pages of any size, taken apart by many tasks.
 
-A page is cut at each closing brace, by byte ranges of its file.  Where a piece stands follows from
-the pieces before it: whether it begins inside a string, from the quotes, and how deep it is
-nested, from braces and brackets outside strings.  Both are running sums: within a range of the
-file by a window over its pieces, and over the ranges by their totals, a few numbers each.  The
-pieces between two ends of elements of ``results`` are an element, put together again.
+A page is cut at each closing brace, by byte ranges of its file, and pieces that follow each other
+are held together in blocks.  Where a block stands follows from the blocks before it: whether it
+begins inside a string, from the quotes, and how deep it is nested, from braces and brackets outside
+strings.  Both are running sums over blocks, of what is left of their texts without strings.  The
+pieces between two ends of elements of ``results`` are an element; only those that cross the end of
+a block are put together again by a shuffle.
 """
 
 from __future__ import annotations
@@ -12,6 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldtally.session import listed
+
+#: Bits of a piece's number within its block: blocks are of up to 4096 pieces.
+BLOCK_BITS = 12
+
 
 def page_elements(spark: SparkSession, path: str) -> DataFrame:
     """``file, pos, page, text``: the elements of ``results`` of each page, as texts, in their places.
@@ -22,39 +28,33 @@ def page_elements(spark: SparkSession, path: str) -> DataFrame:
     be an array of objects.  Files may be compressed; one whose codec can't be split is one range.
     """
     meta = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "file"), ("file_block_start", "start"))]
-    pieces = spark.read.text(path, lineSep="}").select(*meta, F.monotonically_increasing_id().alias("i"), F.col("value").alias("text"))
-    own = Window.partitionBy("file", "start").orderBy("i")
-    # a piece without a brace behind it ends the file, which then has a brace less than pieces
-    ends = pieces.groupBy("file", "start").agg(F.count("*").alias("pieces"), F.max("i").alias("last"))
-    files = ends.groupBy("file").agg(F.sum("pieces").alias("pieces"), F.max_by("last", "start").alias("last"))
-    # the braces, counted between other separators, as the sizes of compressed files don't tell
-    between = spark.read.text(path, lineSep="{").select(F.col("_metadata.file_path").alias("file"), _count("value", "}").alias("braces"))
-    braces = between.groupBy("file").agg(F.sum("braces").alias("braces"))
-    open_end = files.join(braces, "file").where(F.col("pieces") > F.col("braces")).select("file", F.col("last").alias("open"))
-    pieces = pieces.join(open_end, "file", "left").withColumn("closed", ~F.coalesce(F.col("i") == F.col("open"), F.lit(False)))
-
-    plain = F.regexp_replace("text", r"(?s)\\.", "")
-    pieces = pieces.withColumn("plain", plain).withColumn("quotes", F.length("plain") - F.length(F.replace("plain", F.lit('"'), F.lit(""))))
-    pieces = _with_running(pieces, own, "quotes", "before")
-    inside = F.col("before") % 2 == 1
-    outside = F.regexp_replace(F.when(inside, F.concat(F.lit('"'), "plain")).otherwise(F.col("plain")), r'"[^"]*("|$)', "")
-    closes = F.col("closed") & ((F.col("before") + F.col("quotes")) % 2 == 0)
-    pieces = pieces.withColumns({"outside": outside, "closes": closes})
-    changes = {"braces": _count("outside", "{") - F.col("closes").cast("int"), "brackets": _count("outside", "[") - _count("outside", "]")}
-    pieces = pieces.withColumns(changes)
-    for column in changes:
-        pieces = _with_running(pieces, own, column, f"{column}_before")
-    deep = {c: F.col(f"{c}_before") + F.col(c) for c in changes}
-    # the end of an element: its brace leaves the page's object and one array open
-    end = F.col("closes") & (deep["braces"] == 1) & (deep["brackets"] == 1)
-    pieces = pieces.withColumns({"end": end.cast("int"), "open": deep["braces"] + deep["brackets"]})
-    pieces = _with_running(pieces, own, "end", "pos")
-
-    part = F.struct("start", "i", F.concat("text", F.when(F.col("closed"), "}").otherwise("")).alias("text"))
-    elements = pieces.groupBy("file", "pos").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.max("end").alias("whole"), F.max_by("open", F.struct("start", "i")).alias("open"))
-    text = F.array_join(F.col("parts.text"), "")
-    first = F.col("pos") == 0
-    elements = elements.select("file", F.col("pos").cast("int").alias("pos"), "whole", "open", text.alias("text"), first.alias("first"))
+    pieces = listed(spark, lambda: spark.read.text(path, lineSep="}")).select(*meta, F.monotonically_increasing_id().alias("i"), F.col("value").alias("text"))
+    part = F.struct("i", "text")
+    blocks = pieces.groupBy("file", "start", F.shiftright("i", BLOCK_BITS).alias("block")).agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    blocks = blocks.select("file", "start", "block", F.col("parts.text").alias("texts"))
+    joined = blocks.join(_placed(blocks, _braces(spark, path)), ["file", "start", "block"])
+
+    last = F.size("ends")
+
+    def stretch(j: Column) -> Column:
+        """The pieces from one end to the next, before the first one and behind the last one too."""
+        start, stop = F.when(j == 0, 0).otherwise(F.get("ends", j - 1) + 1), F.when(j < last, F.get("ends", j)).otherwise(F.size("texts") - 1)
+        closed = (stop < F.size("texts") - 1) | F.col("closed")
+        text = F.concat(F.array_join(F.slice("texts", start + 1, stop - start + 1), "}"), F.when(closed, "}").otherwise(""))
+        # behind an end there may be nothing more in the block
+        return F.when(stop >= start, F.struct((F.col("pos") + j).alias("pos"), (j < last).cast("int").alias("whole"), text.alias("text")))
+
+    # both of the same columns, so that what they come from is made once
+    inner = F.transform(F.when(last > 1, F.sequence(F.lit(1), last - 1)), stretch)
+    inner = joined.select("file", "open", F.explode(inner).alias("f")).select("file", "f.pos", "f.whole", "open", "f.text")
+    outer = F.array_compact(F.transform(F.when(last > 0, F.array(F.lit(0), last)).otherwise(F.array(F.lit(0))), stretch))
+    outer = joined.select("file", "start", "block", "open", F.explode(outer).alias("f"))
+    part = F.struct("start", "block", "f.text")
+    elements = outer.groupBy("file", F.col("f.pos").alias("pos")).agg(
+        F.sort_array(F.collect_list(part)).alias("parts"), F.max("f.whole").alias("whole"), F.max_by("open", F.struct("start", "block")).alias("open")
+    )
+    elements = elements.select("file", "pos", "whole", "open", F.array_join("parts.text", "").alias("text")).unionByName(inner)
+    elements = elements.withColumns({"pos": F.col("pos").cast("int"), "first": F.col("pos") == 0})
     head = r'(?s)^.*?"results"\s*:\s*\['
     named = ~F.col("first") | F.col("text").rlike(head)
     text = F.when(F.col("first"), F.regexp_replace("text", head, "")).otherwise(F.col("text"))
@@ -62,6 +62,58 @@ def page_elements(spark: SparkSession, path: str) -> DataFrame:
     return _records(elements)
 
 
+def _braces(spark: SparkSession, path: str) -> DataFrame:
+    """How many braces close in each file, counted between other separators, as the sizes of compressed files don't tell."""
+    between = listed(spark, lambda: spark.read.text(path, lineSep="{")).select(F.col("_metadata.file_path").alias("file"), _count("value", "}").alias("braces"))
+    return between.groupBy("file").agg(F.sum("braces").alias("braces"))
+
+
+def _placed(blocks: DataFrame, braces: DataFrame) -> DataFrame:
+    """``file, start, block, pos, ends, open, closed``: where elements end in each block, and the place of the first to end there.
+
+    ``open`` is how deep the page is nested behind the block, ``closed`` whether a brace stands behind its last piece.
+    Only what is left of a text without its strings, a fiftieth or so, is carried by the windows.
+    """
+    plain = '[^"{}\\[\\]\\\\]'
+    # strings without braces and brackets change nothing, whether what is taken for one stands inside or between
+    pair = f'{plain}*+"{plain}*+"'
+    bare = F.regexp_replace(F.array_join("texts", "}"), f'{pair}{pair}|{pair}|{plain}++|\\\\[^}}]|\\\\', "")
+    own = Window.partitionBy("file").orderBy("start", "block")
+    earlier = own.rowsBetween(Window.unboundedPreceding, -1)
+    rows = blocks.select("file", "start", "block", F.size("texts").alias("pieces"), bare.alias("bare"))
+    # few bytes, and much to do for each
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file").join(braces, "file")
+    # a piece without a brace behind it ends the file, which then has a brace less than pieces
+    pieces = F.sum("pieces").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumn("closed", F.lead("block").over(own).isNotNull() | (pieces <= F.col("braces")))
+    rows = rows.withColumn("bare", F.concat("bare", F.when(F.col("closed"), "}").otherwise("")))
+    quotes = F.coalesce(F.sum(_count("bare", '"')).over(earlier), F.lit(0))
+    rows = rows.withColumn("bare", F.when(quotes % 2 == 1, F.concat(F.lit('"'), "bare")).otherwise(F.col("bare")))
+    short = F.replace(F.col("bare"), F.lit('""'), F.lit(""))
+    strings = F.transform(F.split("bare", '"'), lambda x, j: F.when(j % 2 == 1, F.translate(x, "}{[]", "x")).otherwise(x))
+    # a brace in a string ends a piece, but nothing else
+    rows = rows.withColumn("bare", F.when(short.contains('"'), F.array_join(strings, "")).otherwise(short))
+    deep = {"braces": _count("bare", "{") - _count("bare", "}"), "brackets": _count("bare", "[") - _count("bare", "]")}
+    before = {f"{c}_before": F.coalesce(F.sum(x).over(earlier), F.lit(0)).cast("int") for c, x in deep.items()}
+    rows = rows.withColumns(before)
+    rows = rows.withColumn("open", sum((F.col(f"{c}_before") + x for c, x in deep.items()), F.lit(0)))
+    start = F.struct(F.lit(0).alias("j"), F.col("braces_before").alias("b"), F.col("brackets_before").alias("k"), F.array().cast("array<int>").alias("ends"))
+
+    def step(state: Column, piece: Column) -> Column:
+        closes = F.when(piece.endswith("}"), 1).otherwise(0)
+        b = state["b"] + _count(piece, "{") - closes
+        k = state["k"] + _count(piece, "[") - _count(piece, "]")
+        # the end of an element: its brace leaves the page's object and one array open
+        end = (closes == 1) & (b == 1) & (k == 1)
+        ends = F.when(end, F.concat(state["ends"], F.array(state["j"]))).otherwise(state["ends"])
+        return F.struct((state["j"] + 1).alias("j"), b.alias("b"), k.alias("k"), ends.alias("ends"))
+
+    ends = F.aggregate(F.split("bare", "(?<=[}x])"), start, step)["ends"]
+    rows = rows.withColumn("ends", ends)
+    place = F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0))
+    return rows.withColumn("pos", place.cast("int")).select("file", "start", "block", "pos", "ends", "open", "closed")
+
+
 def _records(elements: DataFrame) -> DataFrame:
     """An element for each whole one, what stands before it if that is no object, and what is wrong."""
     # up to the element, or behind the last one to the end of the array
@@ -84,15 +136,6 @@ def _records(elements: DataFrame) -> DataFrame:
     return found.select("file", "r.pos", "r.page", "r.text")
 
 
-def _count(column: str, character: str) -> Column:
-    return F.length(column) - F.length(F.replace(F.col(column), F.lit(character), F.lit("")))
-
-
-def _with_running(pieces: DataFrame, own: Window, column: str, name: str) -> DataFrame:
-    """The sum of a column over all pieces before, in the file."""
-    totals = pieces.groupBy("file", "start").agg(F.sum(column).alias("total"))
-    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("file", "start", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("earlier"))
-    inside = F.coalesce(F.sum(column).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    both = pieces.withColumn("__inside", inside).join(totals, ["file", "start"])
-    return both.withColumn(name, F.col("__inside") + F.col("earlier")).drop("__inside", "earlier")
+def _count(column: Column | str, character: str) -> Column:
+    text = F.col(column) if isinstance(column, str) else column
+    return F.length(text) - F.length(F.replace(text, F.lit(character), F.lit("")))
