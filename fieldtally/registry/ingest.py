@@ -124,8 +124,11 @@ def _(spark, sf):
     CAST(count(DISTINCT (l_orderkey * 8 + l_linenumber) // 2000) AS BIGINT) AS pages FROM lineitem""")
 def _(spark, sf):
     """Pages with groups of a wrong type and ids that are no number: all other submissions of a page stay."""
-    value = F.regexp_replace("value", r'"_id":(\d+)(,[^{}]*"inspectorate":"none")', '"_id":"no $1"$2')
-    value = F.regexp_replace(value, r'("inspectorate":"5",[^{}]*"_validation_status":)\{[^}]*\}', '$1"none"')
+    value = F.col("value")
+    no_id = F.regexp_replace(value, r'"_id":(\d+)(,[^{}]*"inspectorate":"none")', '"_id":"no $1"$2')
+    value = F.when(value.contains('"inspectorate":"none"'), no_id).otherwise(value)
+    no_status = F.regexp_replace(value, r'("inspectorate":"5",[^{}]*"_validation_status":)\{[^}]*\}', '$1"none"')
+    value = F.when(value.contains('"inspectorate":"5",'), no_status).otherwise(value)
     folder, rejects = land(star.page_lines(spark, sf).withColumn("value", value), pages=True), landing_folder(spark)
     good = read_submissions(spark, folder, rejects=rejects)
     aside = spark.read.parquet(rejects)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtally.operators.repeats import require_results
-from fieldtally.session import shared_folder
+from fieldtally.session import listed, shared_folder
 from fieldtally.sources.pages import page_elements
 
 BAD = "__unread"
@@ -142,12 +142,12 @@ def parse_landed(
 
     One pass gives both, and their numbers.
     """
-    rows = records(_texts(spark.read, path, lines), schema, lines)
+    rows = records(listed(spark, lambda: _texts(spark.read, path, lines)), schema, lines)
     seen = Observation()
     bad = F.col("fault").isNotNull()
     split = rows.select("file", "pos", F.when(bad, F.col("text")).alias("text"), F.when(~bad, F.col("s")).alias("s"), bad.alias("bad"))
     split = split.observe(seen, F.count_if(~F.col("bad")).alias("good"), F.count_if(F.col("bad")).alias("bad"))
-    split.write.mode("overwrite").partitionBy("bad").parquet(out)
+    split.write.mode("overwrite").option("compression", "zstd").partitionBy("bad").parquet(out)
     return seen.get["good"], seen.get["bad"]
 
 
@@ -187,7 +187,7 @@ def read_submissions(
     """
     if rejects is not None:
         return _set_aside(spark, path, rejects, lines, schema)[0]
-    return readable(records(_texts(spark.read, path, lines), schema, lines), schema)
+    return readable(records(listed(spark, lambda: _texts(spark.read, path, lines)), schema, lines), schema)
 
 
 def set_aside(
@@ -202,7 +202,7 @@ def _set_aside(
 ) -> tuple[DataFrame, int]:
     out = f"{shared_folder(spark)}/parsed-{uuid.uuid4().hex}"
     _, bad = parse_landed(spark, path, out, lines, schema)
-    _parsed(spark, out, schema, True).write.mode("overwrite").parquet(rejects)
+    _parsed(spark, out, schema, True).write.mode("overwrite").option("compression", "zstd").parquet(rejects)
     return _parsed(spark, out, schema, False), bad
 
 

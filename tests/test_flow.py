@@ -14,8 +14,8 @@ from fieldtally.plans import options as O
 from fieldtally.plans import reports as R
 from fieldtally.plans.bundle import report_bundle
 from fieldtally.plans.typed import SurveyTables
-from fieldtally.session import settle, shared_folder
-from fieldtally.sources import sinks, staging
+from fieldtally.session import LISTING, listed, settle, shared_folder
+from fieldtally.sources import pages, sinks, staging
 from fieldtally.sources.pages import page_elements
 from fieldtally.sources.warehouse import Warehouse
 from fieldtally.sources.submissions import (
@@ -238,6 +238,40 @@ def test_what_large_pages_hold(spark, tmp_path, page, fault, good):
             read_pages(spark, str(tmp_path)).count()
 
 
+def test_large_pages_are_read_once_and_counted_once(spark, tmp_path):
+    (tmp_path / "0.json").write_text(json.dumps({"results": SUBMISSIONS}))
+    found = page_elements(spark, str(tmp_path))
+    assert found.count() == len(SUBMISSIONS)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan text") == 2
+
+
+@pytest.mark.parametrize("bits", [0, 1, 3])
+def test_pages_in_blocks_of_any_size(spark, tmp_path, monkeypatch, bits):
+    monkeypatch.setattr(pages, "BLOCK_BITS", bits)
+    given = [{"_id": i, "a": [{"b": "}" * i + '\\" {['}, {}], "c": {"d": [[], {"e": {}}]}} for i in range(12)]
+    (tmp_path / "0.json").write_text(json.dumps({"note": '"}]', "results": given, "more": {}}) + "\n")
+    found = page_elements(spark, str(tmp_path)).collect()
+    assert [json.loads(r.text) for r in sorted(found, key=lambda r: r.pos)] == given
+    assert [r.page for r in found] == [None] * 12
+
+
+def test_folders_are_listed_by_few_tasks(spark):
+    before, seen = spark.conf.get(LISTING), []
+    listed(spark, lambda: seen.append(int(spark.conf.get(LISTING))))
+    assert seen[0] <= 4 * spark.sparkContext.defaultParallelism < int(before) and spark.conf.get(LISTING) == before
+
+
+def test_rejects_are_written_small(spark, tmp_path):
+    """Both what is set aside and the submissions beside it are compressed by zstd, whatever the session's codec."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text("".join(json.dumps(s) + "\n" for s in SUBMISSIONS) + "torn\n")
+    good = read_submissions(spark, str(tmp_path / "in"), lines=True, rejects=str(tmp_path / "out"))
+    files = [*good.inputFiles(), *spark.read.parquet(str(tmp_path / "out")).inputFiles()]
+    assert files and all("zstd" in f for f in files)
+
+
 def changed(i, **answers):
     return SUBMISSIONS[i] | answers
 
